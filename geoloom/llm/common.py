@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,3 +51,41 @@ def text_bytes(column: pa.Array):
 def crc32_of_id(col: Column) -> Column:
     """crc32 of the id written as text (null id: of the empty text)."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary"))
+
+
+def byte_slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20, rows: int = 2000):
+    """The batch in parts of at most ``rows`` rows whose texts have about ``most`` bytes at most; a longer text is a part of its own."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    upto = np.concatenate([[0], np.cumsum(size)])
+    k = 0
+    while k < batch.num_rows:
+        j = min(max(k + 1, int(np.searchsorted(upto, upto[k] + most, "right")) - 1), k + rows)
+        yield batch.slice(k, j - k)
+        k = j
+
+
+def bit_table(keys: DataFrame, bits: int, key: str = "key") -> np.ndarray:
+    """A table of ``2 ** bits`` bits, packed, with the top bits of each 64-bit key marked.
+
+    Its size is fixed whatever the number of keys.  Each page of it is made in a task
+    and fetched one after another.
+    """
+    page_bits = min(18, bits)
+    place = F.shiftrightunsigned(F.col(key), 64 - bits)
+    pages = keys.select(F.shiftrightunsigned(place, page_bits).cast("int").alias("page"), place.bitwiseAND(F.lit((1 << page_bits) - 1)).cast("int").alias("slot"))
+
+    def page(table: pa.Table) -> pa.Table:
+        flat = np.zeros(1 << page_bits, np.uint8)
+        flat[table.column("slot").to_numpy()] = 1
+        return pa.table({"page": table.column("page").slice(0, 1), "bits": pa.array([np.packbits(flat, bitorder="little").tobytes()], pa.binary())})
+
+    out, size = np.zeros(max(1, (1 << bits) // 8), np.uint8), (1 << page_bits) // 8
+    for row in pages.distinct().groupBy("page").applyInArrow(page, "page int, bits binary").toLocalIterator():
+        out[row["page"] * size : (row["page"] + 1) * size] = np.frombuffer(row["bits"], np.uint8)
+    return out
+
+
+def marked(table: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
+    """Whether each 64-bit key is marked in a :func:`bit_table`."""
+    slot = keys >> np.uint64(64 - bits)
+    return ((table[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)

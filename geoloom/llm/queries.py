@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def _tokenizer() -> str:
@@ -23,6 +22,19 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", fp_hex("fp").alias("fingerprint"), "component_id")
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contaminated
+
+    found = contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "similarity", "start", "words")
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_model import quality_scores
+
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import written_and_read
 
@@ -35,6 +47,24 @@ def op5_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(_table(spark, sf_dir, "documents"), _tokenizer(), end_id=2, size=4096)
 
 
+def op6_format_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import secret_digests
+
+    return secret_digests(_table(spark, sf_dir, "documents"))
+
+
+def op7_tree_scored_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extracted
+
+    return extracted(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op8_super_kmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import without_repeats
+
+    return without_repeats(_table(spark, sf_dir, "documents"), size=35, with_text=False)
+
+
 def op9_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import quality_rules
 
