@@ -5,8 +5,58 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+from geoloom.llm.common import scratch_path
+from geoloom.llm.decontaminate import decontaminated
+from geoloom.llm.near_dedup import keep_one
+from geoloom.llm.packing import packed
+from geoloom.llm.quality_model import kept_by_quality
+from geoloom.llm.secret_scan import redacted
+
+TABLE = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents the classifier does not reject."""
+    return kept_by_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select(TABLE)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies.
+
+    Copies are near if their sets of 5-word shingles have a similarity of 0.8 or
+    more, which is an angle of 0.15 half turns between the sets: 39 of 256 SimHash
+    bits, give or take 6.  Sixteen trees of radius 1 over blocks of 16 bits find 99 %
+    of such pairs.
+    """
+    return keep_one(docs, shingle=5, bits=256, radius=45, n_blocks=16, block_radius=1, distinct=True, leaf_rows=4096).select(TABLE)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(TABLE)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets masked and n_chars set anew."""
+    return redacted(docs).withColumn("n_chars", F.length("text").cast("long")).select(TABLE)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 4096 tokens."""
+    import public_tokenizers
+
+    return packed(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, size=4096)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", drop_low_quality),
+    ("near-dedup", drop_near_copies),
+    ("decontamination", drop_benchmark_leaks),
+    ("secret scan", mask_secrets),
+    ("packing", pack_sequences),
+]
 
 #: Fingerprints, a trained network and token packing are beyond SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
@@ -14,8 +64,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written to the shared folder and read again."""
-    from geoloom.llm.common import scratch_path
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = scratch_path(spark, f"stage-{name.replace(' ', '-')}")
