@@ -37,9 +37,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     Options as in :func:`near_duplicates`.  All columns of ``docs`` are returned.
     If several rows share the kept id and text, one of them stays.
     """
-    kept = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    same = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col).cast("long") == F.col("_kept"), "left_semi")
-    return same.dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_n"))
+    kept = checkpointed(found.select(F.col("doc_id").alias("_kept"), "_n"))
+    same = docs.join(kept.select("_kept"), F.col(id_col).cast("long") == F.col("_kept"), "left_semi")
+    if kept.where("_n > 1").limit(1).count():  # only then are there rows of one id to choose from
+        same = same.dropDuplicates([id_col])
+    return same.unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def fp_hex(fp: str = "fp"):

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import doc_columns, scratch_path
+from .common import byte_slices, doc_columns, scratch_path
 from .tokens import encoder_for, tokenizer_text
 from .wordhash import scrambled
 
@@ -92,8 +92,7 @@ def packed(docs: DataFrame, tokenizer_path: str, end_id: int = 2, size: int = 40
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(spec.value)
         for whole in batches:
-            for k in range(0, whole.num_rows, 1000):
-                b = whole.slice(k, 1000)
+            for b in byte_slices(whole, "text"):
                 ids, offsets = encoder.encode_column(b.column("text"), end_id)
                 keys = hilbert_keys(document_cells(ids, offsets))
                 small = len(ids) == 0 or int(ids.max()) < 1 << 16

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import simple8b
-from .common import doc_columns, scratch_path
+from .common import byte_slices, doc_columns, scratch_path
 from .tokens import encoder_for, tokenizer_text
 
 MAGIC = b"S8BTOK01"
@@ -98,9 +98,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, i
         with store.open_output_stream(own) as out:
             writer = FileWriter(out)
             encoder = encoder_for(spec.value)
-            for b in batches:
-                ids, offsets = encoder.encode_column(b.column("text"), end_id)
-                writer.add(b.column("doc_id").to_pylist(), ids, np.diff(offsets))
+            for whole in batches:
+                for b in byte_slices(whole, "text"):
+                    ids, offsets = encoder.encode_column(b.column("text"), end_id)
+                    writer.add(b.column("doc_id").to_pylist(), ids, np.diff(offsets))
             n_docs, n_ids = writer.finish()
         store.move(own, final)
         yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()], pa.int32()), pa.array([n_docs]), pa.array([n_ids])], ["part", "n_docs", "n_ids"])
