@@ -28,10 +28,10 @@ def tiles(pixels: DataFrame, halo: int, tile: int = TILE) -> DataFrame:
     def span(c: str, n: str):
         low = F.greatest(F.floor((F.col(c) - halo) / tile), F.lit(0))
         high = F.least(F.floor((F.col(c) + halo) / tile), F.floor((F.col(n) - 1) / tile))
-        return F.explode(F.sequence(low, high))
+        return F.explode(F.sequence(low.cast("int"), high.cast("int")))
 
     sent = pixels.select(*PLACE, "value").join(size, ["raster_id", "band"])
-    return sent.withColumn("ty", span("row", "h").cast("int")).withColumn("tx", span("col", "w").cast("int"))
+    return sent.withColumn("ty", span("row", "h")).withColumn("tx", span("col", "w"))
 
 
 def tile_apply(pixels: DataFrame, work: Callable[[np.ndarray], np.ndarray], halo: int, border: str = "reflect101", tile: int = TILE) -> DataFrame:
@@ -65,7 +65,7 @@ def gaussian_weights(size: int, sigma: float) -> np.ndarray:
 def separable(grid: np.ndarray, down: np.ndarray, across: np.ndarray) -> np.ndarray:
     """Correlation with the outer product of two odd kernels; the result is smaller by their halves."""
     half = sliding_window_view(grid, len(across), axis=1) @ across
-    return np.moveaxis(sliding_window_view(half, len(down), axis=0), -1, -1) @ down
+    return sliding_window_view(half, len(down), axis=0) @ down
 
 
 def filtered(pixels: DataFrame, method: str = "gaussian", kernel_size: int = 5, sigma: float = 1.5, tile: int = TILE) -> DataFrame:

@@ -23,7 +23,11 @@ def neighbours(source: str, offsets: list[tuple], border: str = "reflect101", ag
     """SQL for an aggregate over weighted neighbours; border 'none' leaves out places beyond the raster."""
     values = ", ".join(f"({dy}, {dx}, {w!r}::DOUBLE)" for dy, dx, w in offsets)
     y, x = (("p.\"row\" + dy", "p.col + dx") if border == "none" else (place('(p."row" + dy)', border), place("(p.col + dx)", border)))
-    return f'SELECT p.raster_id, p.band, p."row", p.col, p.value AS own, {agg} AS value FROM {source} p CROSS JOIN (VALUES {values}) k(dy, dx, w) JOIN {source} q ON q.raster_id = p.raster_id AND q.band = p.band AND q."row" = {y} AND q.col = {x} GROUP BY p.raster_id, p.band, p."row", p.col, p.value'
+    sent = f'SELECT raster_id * 4096 + p."row" * 64 + p.col AS id, raster_id * 4096 + {y} * 64 + {x} AS near, p.value, dy, dx, w FROM {source} p CROSS JOIN (VALUES {values}) k(dy, dx, w)'
+    if border == "none":
+        sent += f' WHERE {y} BETWEEN 0 AND 63 AND {x} BETWEEN 0 AND 63'
+    sums = f'SELECT p.id, any_value(p.value) AS own, {agg} AS value FROM ({sent}) p JOIN (SELECT raster_id * 4096 + "row" * 64 + col AS id, value FROM {source}) q ON q.id = p.near GROUP BY p.id'
+    return f'SELECT id // 4096 AS raster_id, 1 AS band, CAST(id // 64 % 64 AS INTEGER) AS "row", CAST(id % 64 AS INTEGER) AS col, own, value FROM ({sums})'
 
 
 def outer(down, across) -> list[tuple]:
@@ -122,11 +126,12 @@ def w13_corner_shi_tomasi(spark, sf):
 
 TEMPLATE = np.array([[0, 40, 0], [80, 200, 120], [0, 160, 0]])
 T8 = np.rint(TEMPLATE * 255 / 200)
+FITS = 'SELECT * FROM ({}) WHERE "row" <= 61 AND col <= 61'
 CELLS = [(i, j, float(T8[i, j])) for i in range(3) for j in range(3)]
 
 
 def _template(name: str, method: str, value: str) -> None:
-    inner = neighbours("st", CELLS, "none", f"{value}").replace('GROUP BY p.raster_id', 'WHERE p."row" <= 61 AND p.col <= 61 GROUP BY p.raster_id')
+    inner = FITS.format(neighbours("st", CELLS, "none", value))
     QUERIES[name], ORACLES[name] = (lambda spark, sf: rounded(A.template_scores(band(spark, sf), TEMPLATE, method), "value", digits=4)), f"WITH {ONE} " + select(inner, "round(value, 4)")
 
 
@@ -140,7 +145,7 @@ _template("w12_template_ccoeff", "ccoeff", f"sum(w * q.value) - sum(q.value) * {
 _template("w12_template_ccoeff_normed", "ccoeff_normed", f"CASE WHEN sqrt({CS} * {CT}) > 1e-9 THEN (sum(w * q.value) - sum(q.value) * {float(T8.sum())!r} / 9) / sqrt({CS} * {CT}) ELSE 0 END")
 
 
-@query(f"WITH {ONE}, m AS ({neighbours('st', CELLS, 'none', SS + ' - 2 * sum(w * q.value) + ' + TT).replace('GROUP BY p.raster_id', 'WHERE p.' + chr(34) + 'row' + chr(34) + ' <= 61 AND p.col <= 61 GROUP BY p.raster_id')}) SELECT raster_id, \"row\", col, value FROM (SELECT *, row_number() OVER (PARTITION BY raster_id ORDER BY value, \"row\", col) AS n FROM m) WHERE n = 1")
+@query(f"WITH {ONE}, m AS ({FITS.format(neighbours('st', CELLS, 'none', SS + ' - 2 * sum(w * q.value) + ' + TT))}) SELECT raster_id, \"row\", col, value FROM (SELECT *, row_number() OVER (PARTITION BY raster_id ORDER BY value, \"row\", col) AS n FROM m) WHERE n = 1")
 def w12_template_best(spark, sf):
     return A.best_match(A.template_scores(band(spark, sf), TEMPLATE, "sqdiff"), "sqdiff")
 

@@ -13,8 +13,8 @@ QUERIES, ORACLES, query = group()
 
 
 ENDS = PIX + """,
-ends AS (SELECT raster_id, band, min(value) AS lo, max(value) AS hi FROM pix GROUP BY ALL),
-st AS (SELECT raster_id, band, "row", col, CASE WHEN hi - lo < 1e-10 THEN 0.0 ELSE round_even((value - lo) * 255 / (hi - lo), 0) END AS value FROM pix JOIN ends USING (raster_id, band))"""
+ends AS MATERIALIZED (SELECT raster_id, band, min(value) AS lo, max(value) AS hi FROM pix GROUP BY ALL),
+st AS MATERIALIZED (SELECT raster_id, band, "row", col, CASE WHEN hi - lo < 1e-10 THEN 0.0 ELSE round_even((value - lo) * 255 / (hi - lo), 0) END AS value FROM pix JOIN ends USING (raster_id, band))"""
 OTSU = ENDS + """,
 h AS (SELECT raster_id, band, CAST(value AS INTEGER) AS t, count(*) AS n FROM st GROUP BY ALL),
 c AS (SELECT *, sum(n) OVER w AS w0, sum(n * t) OVER w AS s0, sum(n) OVER (PARTITION BY raster_id, band) AS wn, sum(n * t) OVER (PARTITION BY raster_id, band) AS sn FROM h WINDOW w AS (PARTITION BY raster_id, band ORDER BY t)),

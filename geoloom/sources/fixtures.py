@@ -61,8 +61,8 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The same tables as DuckDB common table expressions.
-PX = """cells AS (SELECT l_suppkey // 25 AS raster_id, l_orderkey % 64 AS r, l_partkey % 64 AS c, sum(l_linenumber) AS n, sum(CAST(floor(l_quantity) AS BIGINT)) AS q, count(*) AS k FROM lineitem GROUP BY ALL),
-px AS (SELECT g.raster_id, CAST(g.r AS INTEGER) AS "row", CAST(g.c AS INTEGER) AS col, CAST(coalesce(n % 4, 0) AS DOUBLE) AS hi, CAST(coalesce(1 + q % 3, 1) AS DOUBLE) AS lo,
+PX = """cells AS MATERIALIZED (SELECT l_suppkey // 25 AS raster_id, l_orderkey % 64 AS r, l_partkey % 64 AS c, sum(l_linenumber) AS n, sum(CAST(floor(l_quantity) AS BIGINT)) AS q, count(*) AS k FROM lineitem GROUP BY ALL),
+px AS MATERIALIZED (SELECT g.raster_id, CAST(g.r AS INTEGER) AS "row", CAST(g.c AS INTEGER) AS col, CAST(coalesce(n % 4, 0) AS DOUBLE) AS hi, CAST(coalesce(1 + q % 3, 1) AS DOUBLE) AS lo,
  CAST(coalesce(q % 256, 0) AS DOUBLE) AS b1, CAST(coalesce(k, 0) AS DOUBLE) AS b2, CAST(coalesce(n % 256, 0) AS DOUBLE) AS b3, CAST(coalesce((7 * n + 13 * k) % 256, 0) AS DOUBLE) AS b4
  FROM (SELECT raster_id, r, c FROM (SELECT DISTINCT raster_id FROM cells), range(64) t(r), range(64) u(c)) g LEFT JOIN cells USING (raster_id, r, c))"""
 PIX = PX + """,
