@@ -22,7 +22,7 @@ def place(at: str, border: str) -> str:
 def neighbours(source: str, offsets: list[tuple], border: str = "reflect101", agg: str = "sum(w * q.value)") -> str:
     """SQL for an aggregate over weighted neighbours; border 'none' leaves out places beyond the raster."""
     values = ", ".join(f"({dy}, {dx}, {w!r}::DOUBLE)" for dy, dx, w in offsets)
-    y, x = (("p.\"row\" + dy", "p.col + dx") if border == "none" else (place('(p."row" + dy)', border), place("(p.col + dx)", border)))
+    y, x = (('(p."row" + dy)', '(p.col + dx)') if border == "none" else (place('(p."row" + dy)', border), place("(p.col + dx)", border)))
     sent = f'SELECT raster_id * 4096 + p."row" * 64 + p.col AS id, raster_id * 4096 + {y} * 64 + {x} AS near, p.value, dy, dx, w FROM {source} p CROSS JOIN (VALUES {values}) k(dy, dx, w)'
     if border == "none":
         sent += f' WHERE {y} BETWEEN 0 AND 63 AND {x} BETWEEN 0 AND 63'

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ()
+MODULES = ("raster", "focal", "mosaic", "vector")
 
 
 def queries() -> dict[str, Callable]:
