@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-MODULES = ("raster", "focal", "mosaic", "vector")
+MODULES = ("raster", "focal", "mosaic", "vector", "segment")
 
 
 def queries() -> dict[str, Callable]:
