@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -53,7 +55,7 @@ def crc32_of_id(col: Column) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary"))
 
 
-def byte_slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20, rows: int = 2000):
+def byte_slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20, rows: int = 2000):
     """The batch in parts of at most ``rows`` rows whose texts have about ``most`` bytes at most; a longer text is a part of its own."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     upto = np.concatenate([[0], np.cumsum(size)])
@@ -64,6 +66,15 @@ def byte_slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20, rows: i
         k = j
 
 
+def tidy() -> None:
+    """Give memory that a task has freed back to the machine, as Python workers outlive their tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def bit_table(keys: DataFrame, bits: int, key: str = "key") -> np.ndarray:
     """A table of ``2 ** bits`` bits, packed, with the top bits of each 64-bit key marked.
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_table, byte_slices, checkpointed, doc_columns, marked
+from .common import bit_table, byte_slices, checkpointed, doc_columns, marked, tidy
 from .wordhash import column_words, scrambled, window_hashes
 
 U = np.uint64
@@ -154,6 +154,7 @@ def contaminated(docs: DataFrame, items: DataFrame, shingle: int = 5, similarity
                             ],
                             ["doc_id", "text_hash", "start", "words", "fp", "keys"],
                         )
+        tidy()
 
     own = doc_columns(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
     windows = checkpointed(own.mapInArrow(scan, schema))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import byte_slices, doc_columns, scratch_path
+from .common import byte_slices, doc_columns, scratch_path, tidy
 from .tokens import encoder_for, tokenizer_text
 from .wordhash import scrambled
 
@@ -100,6 +100,7 @@ def packed(docs: DataFrame, tokenizer_path: str, end_id: int = 2, size: int = 40
                 at = (offsets * (2 if small else 4)).tolist()
                 texts = [bytes(raw[i:j]) for i, j in zip(at, at[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(keys), pa.array(np.diff(offsets)), pa.array(texts, pa.binary())], ["doc_id", "curve", "n", "ids"])
+        tidy()
 
     path = scratch_path(spark, "packing")
     doc_columns(docs, id_col, text_col).mapInArrow(encode, "doc_id long, curve long, n long, ids binary").write.parquet(path)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, crc32_of_id, doc_columns
+from .common import byte_slices, crc32_of_id, doc_columns, tidy
 from .wordhash import column_words, scrambled
 
 U = np.uint64
@@ -142,13 +142,14 @@ def fit_sample(batches: Iterator[pa.RecordBatch]) -> bytes:
     """The model of labelled texts (columns text and quality), as bytes."""
     kept, hashes, labels = [], [], []
     for whole in batches:
-        for b in byte_slices(whole, "text", 1 << 20):
+        for b in byte_slices(whole, "text", 1 << 19, 1000):
             _, _, _, first, h = column_words(b.column("text"))
             hashes += [h[i:j] for i, j in zip(first, first[1:], strict=False)]
             labels += b.column("quality").to_pylist()
             kept.append(b.column("text"))
     vectors = Vectors.learn(hashes)
     y = np.array(labels, np.float64)
+    del hashes
     x = np.concatenate([vectors.pooled(c) for c in kept]) if kept else np.zeros((0, PARTS + CONTEXT + 6))
     if not len(y):  # nothing is known of quality, so nothing is rejected
         x, y = np.zeros((1, x.shape[1])), np.ones(1)
@@ -185,6 +186,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = 6000, thres
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([fit_sample(batches)], pa.binary())], ["model"])
+        tidy()
 
     one = rows.repartition(1).sortWithinPartitions(F.xxhash64("text"))
     fitted = one.mapInArrow(fit, "model binary").first()
@@ -193,8 +195,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = 6000, thres
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, net = load_model(model.value)
         for whole in batches:
-            for b in byte_slices(whole, "text", 1 << 20):
+            for b in byte_slices(whole, "text", 1 << 19, 1000):
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(net.scores(vectors.pooled(b.column("text"))).astype(np.float64))], ["doc_id", "score"])
+        tidy()
 
     scored = own.mapInArrow(score, "doc_id long, score double")
     return scored.select("doc_id", (F.pmod(crc32_of_id(F.col("doc_id")), F.lit(folds)) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .automata import Automaton, infer
-from .common import checkpointed, doc_columns
+from .common import byte_slices, checkpointed, doc_columns, tidy
 
 # Fixed patterns of the base kinds, in their order.
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -82,12 +82,14 @@ def secret_spans(docs: DataFrame, per_kind: int = 300, margin: float = 0.3, id_c
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for text in b.column("text").to_pylist():
-                base = base_spans(text or "")
-                out.append([dict(zip(("kind", "start", "stop", "secret"), s, strict=True)) for s in base + candidate_spans(text or "", base)])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(out, _FOUND)], ["doc_id", "text_hash", "spans"])
+        for whole in batches:
+            for b in byte_slices(whole, "text"):
+                out = []
+                for text in b.column("text").to_pylist():
+                    base = base_spans(text or "")
+                    out.append([dict(zip(("kind", "start", "stop", "secret"), s, strict=True)) for s in base + candidate_spans(text or "", base)])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(out, _FOUND)], ["doc_id", "text_hash", "spans"])
+        tidy()
 
     own = doc_columns(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
     found = checkpointed(own.mapInArrow(scan, f"doc_id long, text_hash long, spans {_SPANS}"))
@@ -149,8 +151,10 @@ def redacted(docs: DataFrame, mask: str = "[secret]", id_col: str = "doc_id", te
     names = docs.columns
 
     def mask_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [masked(t, s, mask) if s else t for t, s in zip(b.column(text_col).to_pylist(), b.column("_spans").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text_col else b.column(c) for c in names], names)
+        for whole in batches:
+            for b in byte_slices(whole, text_col):
+                texts = [masked(t, s, mask) if s else t for t, s in zip(b.column(text_col).to_pylist(), b.column("_spans").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text_col else b.column(c) for c in names], names)
+        tidy()
 
     return both.select(*names, "_spans").mapInArrow(mask_all, docs.schema)

@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from .common import doc_columns, text_bytes
+from .common import byte_slices, doc_columns, text_bytes, tidy
 
 _BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1).astype(np.int64)
 _BYTE_SLOT = (np.arange(8, dtype=np.int64) * 256)[None, :]
@@ -66,11 +66,12 @@ def fingerprints(docs: DataFrame, shingle: int = 3, bits: int = 64, distinct: bo
     n_words = bits // 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in byte_slices(whole, "text")):
             out = []
             for raw in text_bytes(b.column("text")):
                 h = shingle_hashes(words_of(raw), shingle)
                 out.append(fingerprint(np.unique(h) if distinct else h, n_words))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "fp"])
+        tidy()
 
     return doc_columns(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp binary")

@@ -33,7 +33,7 @@ class TextEncoder:
     the plain letters this holds for.
     """
 
-    def __init__(self, tokenizer_json: str, keep: int = 1_200_000):
+    def __init__(self, tokenizer_json: str, keep: int = 600_000):
         self.whole = Tokenizer.from_str(tokenizer_json)
         self.whole.no_padding()
         self.whole.no_truncation()

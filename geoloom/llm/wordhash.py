@@ -62,7 +62,7 @@ def _powers(n: int) -> list[np.ndarray]:
     return _POWERS
 
 
-def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 1 << 21) -> np.ndarray:
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 1 << 19) -> np.ndarray:
     """The hash of each span; spans are in order and don't overlap."""
     out = np.empty(len(starts), np.uint64)
     k = 0
