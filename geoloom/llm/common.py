@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 import uuid
 
 import numpy as np
@@ -13,20 +12,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geoloom.operators.graph import checkpointed, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine), a temporary
-    folder is set and used.
-    """
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="geoloom-")
-        sc.setCheckpointDir(named)
-        named = sc.getCheckpointDir()
-    return named if "://" in named or named.startswith("file:") else f"file://{named}"
+__all__ = ["bit_table", "byte_slices", "checkpointed", "crc32_of_id", "doc_columns", "marked", "scratch_path", "shared_dir", "text_bytes", "tidy"]
 
 
 def scratch_path(spark: SparkSession, what: str) -> str:
@@ -34,12 +23,6 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder, so that lost executors cost a reread only."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def doc_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns an operator needs, under fixed names; all others, clashing or not, are left out."""
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))

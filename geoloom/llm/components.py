@@ -1,53 +1,5 @@
-"""Connected components of a graph given as an edge table."""
+"""Connected components, as the raster operators use them."""
 
-from __future__ import annotations
+from geoloom.operators.graph import connected_components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import checkpointed
-
-
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
-    """``(node, component)`` for every node with a link; component is the smallest node reachable.
-
-    Alternates the large-star and small-star steps (Kiveris et al., 2014): a
-    long chain shrinks by a factor each round and a hub costs one pre-aggregated
-    minimum, so no node's neighbours meet in one task.  Each round is kept in the
-    shared folder.  Null ends and loops are ignored; an empty table gives no rows.
-    """
-    x, y = F.col(a).cast("long"), F.col(b).cast("long")
-    links = edges.where(x.isNotNull() & y.isNotNull() & (x != y)).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct()
-    links = checkpointed(links)
-    seen = _signature(links)
-    for _ in range(max_rounds):
-        if seen[0] == 0:
-            break
-        links = checkpointed(_small_star(_large_star(links)))
-        now = _signature(links)
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    roots = links.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
-
-
-def _signature(links: DataFrame) -> tuple:
-    row = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
-    return row["n"], row["h"]
-
-
-def _large_star(links: DataFrame) -> DataFrame:
-    """Every larger neighbour of a node is linked to the node's smallest neighbour."""
-    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-
-
-def _small_star(links: DataFrame) -> DataFrame:
-    """A node and its smaller neighbours are linked to the smallest of them."""
-    least = links.groupBy("u").agg(F.min("v").alias("m"))
-    down = links.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return down.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+__all__ = ["connected_components"]
