@@ -130,10 +130,33 @@ def signed_area(ring: np.ndarray) -> float:
 
 
 def intersection(a: Rings, b: Rings) -> Rings:
-    """What lies in both."""
+    """What lies in both; two convex shapes are clipped directly."""
+    if len(a) == len(b) == 1 and len(a[0]) > 2 and len(b[0]) > 2 and is_simple_convex(a[0]) and is_simple_convex(b[0]):
+        return clipped(a[0], b[0])
     return combine(a, b, np.logical_and)
 
 
+def clipped(shape: np.ndarray, window: np.ndarray) -> Rings:
+    """The part of a convex shape in a convex window: it is cut by one side of the window after another (Sutherland-Hodgman)."""
+    out = [tuple(p) for p in (shape if signed_area(shape) > 0 else shape[::-1]).tolist()]
+    sides = window if signed_area(window) > 0 else window[::-1]
+    for (ax, ay), (bx, by) in zip(sides.tolist(), np.roll(sides, -1, 0).tolist(), strict=True):
+        depth = [(bx - ax) * (y - ay) - (by - ay) * (x - ax) for x, y in out]
+        kept = []
+        for k, (p, d) in enumerate(zip(out, depth, strict=True)):
+            q, e = out[k - 1], depth[k - 1]
+            if (d >= 0) != (e >= 0):
+                t = e / (e - d)
+                kept.append((q[0] + t * (p[0] - q[0]), q[1] + t * (p[1] - q[1])))
+            if d >= 0:
+                kept.append(p)
+        out = kept
+        if not out:
+            return []
+    ring = np.array([p for k, p in enumerate(out) if p != out[k - 1]])
+    return [ring] if len(ring) > 2 and signed_area(ring) > 1e-15 else []
+
+
 def difference(a: Rings, b: Rings) -> Rings:
     """What lies in a alone."""
     return combine(a, b, lambda p, q: p & ~q)
@@ -145,7 +168,9 @@ def union(a: Rings, b: Rings) -> Rings:
 
 
 def repaired(a: Rings) -> Rings:
-    """Self-crossing rings rebuilt by the even-odd rule."""
+    """Self-crossing rings rebuilt by the even-odd rule; a convex ring needs nothing."""
+    if len(a) == 1 and len(a[0]) > 2 and is_simple_convex(a[0]):
+        return a if signed_area(a[0]) > 0 else [a[0][::-1]]
     return combine(a, [], lambda p, q: p)
 
 
@@ -187,7 +212,7 @@ def buffer(kind: str, parts: list[Rings], distance: float, segments: int = 30) -
     rings = [r for p in parts for r in p]
     if "Polygon" in kind:
         own = repaired(rings)
-        if distance > 0 and len(own) == 1 and is_convex(own[0]):
+        if distance > 0 and len(own) == 1 and is_simple_convex(own[0]):
             return around(own[0])
         capsules = union_all([around(np.stack([a, b])) for r in rings for a, b in zip(r, np.roll(r, -1, 0), strict=True) if (a != b).any()])
         return union(own, capsules) if distance > 0 else difference(own, capsules)
@@ -201,6 +226,13 @@ def is_convex(ring: np.ndarray) -> bool:
     return bool((turn >= 0).all() or (turn <= 0).all())
 
 
+def is_simple_convex(ring: np.ndarray) -> bool:
+    """Whether a ring is convex and turns once around, with some area."""
+    before, after = ring - np.roll(ring, 1, 0), np.roll(ring, -1, 0) - ring
+    turn = np.arctan2(before[:, 0] * after[:, 1] - before[:, 1] * after[:, 0], (before * after).sum(1))
+    return bool(is_convex(ring) and abs(abs(turn.sum()) - 2 * np.pi) < 1e-6 and signed_area(ring) != 0)
+
+
 def nested(rings: Rings) -> list[Rings]:
     """Parts of a MultiPolygon: each shell with the holes it is the smallest to hold."""
     shells = sorted((r for r in rings if signed_area(r) > 0), key=signed_area)

@@ -53,7 +53,7 @@ def _names(features: DataFrame) -> list[str]:
 def clip(features: DataFrame, overlay: DataFrame, fid: str, oid: str, cell: float) -> DataFrame:
     """Features within the merged overlay: attributes stay, geometry is the common part, features off it go."""
     near = _with_candidates(features, overlay, fid, oid, cell, "inner").select(*_names(features), "geom", "_others")
-    return _mapped(near, _names(features), lambda r: (P.to_struct(P.intersection(P.from_struct(r["geom"]), P.union_all([P.repaired(P.from_struct(o)) for o in r["_others"]]))),))
+    return _mapped(near, _names(features), lambda r: (P.to_struct(P.union_all([P.intersection(P.from_struct(r["geom"]), P.repaired(P.from_struct(o))) for o in r["_others"]])),))
 
 
 def difference(features: DataFrame, overlay: DataFrame, fid: str, oid: str, cell: float) -> DataFrame:

@@ -17,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def raster_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(raster_id)`` of all rasters."""
+    return table(spark, sf_dir, "lineitem").select(F.floor(F.col("l_suppkey") / 25).cast("long").alias("raster_id")).distinct()
+
+
 def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(raster_id, row, col, hi, lo, b1, b2, b3, b4)``, a row for every pixel; hi = 0 is NoData."""
     li = table(spark, sf_dir, "lineitem")
@@ -24,7 +29,7 @@ def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = li.groupBy(F.floor(F.col("l_suppkey") / 25).cast("long").alias("raster_id"), (F.col("l_orderkey") % SIDE).cast("int").alias("row"), (F.col("l_partkey") % SIDE).cast("int").alias("col"))
     got = cells.agg((n % 4).alias("hi"), (1 + q % 3).alias("lo"), (q % 256).alias("b1"), F.count("*").alias("b2"), (n % 256).alias("b3"), ((7 * n + 13 * F.count("*")) % 256).alias("b4"))
     side = F.sequence(F.lit(0), F.lit(SIDE - 1))
-    grid = got.select("raster_id").distinct().select("raster_id", F.explode(side).alias("row")).select("*", F.explode(side).alias("col"))
+    grid = raster_ids(spark, sf_dir).select("raster_id", F.explode(side).alias("row")).select("*", F.explode(side).alias("col"))
     return grid.join(got, ["raster_id", "row", "col"], "left").select("raster_id", "row", "col", *[F.coalesce(c, F.lit(1 if c == "lo" else 0)).cast("double").alias(c) for c in ("hi", "lo", "b1", "b2", "b3", "b4")])
 
 
