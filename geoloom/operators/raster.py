@@ -267,3 +267,38 @@ def set_nodata(catalog: DataFrame, nodata: float, band: int = 0) -> DataFrame:
 def assign_srs(catalog: DataFrame, srid: int) -> DataFrame:
     """The catalog with another CRS label; nothing is resampled."""
     return catalog.withColumn("srid", F.lit(int(srid)))
+
+
+def clahe(pixels: DataFrame, clip_limit: float = 2.0, grid: int = 8) -> DataFrame:
+    """Contrast-limited equalisation of the stretched band, over 255.
+
+    The raster is cut into ``grid`` x ``grid`` tiles.  A tile's 256-bin histogram is
+    clipped, its excess spread over all bins, and its running sum makes a table; a
+    pixel blends the tables of the four nearest tiles.  Histograms and tables are
+    bounded rows, joined back on tile and level.
+    """
+    in_range("clip_limit", clip_limit, 0, open_low=True)
+    in_range("grid", grid, 1)
+    size = pixels.groupBy(*KEY).agg(F.ceil((F.max("row") + 1) / grid).cast("int").alias("th"), F.ceil((F.max("col") + 1) / grid).cast("int").alias("tw"))
+    v = stretched(pixels).join(size, KEY).withColumn("level", F.col("value").cast("int"))
+    tile = [*KEY, "ty", "tx"]
+    hist = v.groupBy(*KEY, F.floor(F.col("row") / F.col("th")).cast("int").alias("ty"), F.floor(F.col("col") / F.col("tw")).cast("int").alias("tx"), "level").agg(F.count("*").alias("n"))
+    whole = Window.partitionBy(*tile)
+    limit = F.greatest(F.lit(1), F.floor(F.sum("n").over(whole) * clip_limit / 256))
+    held = hist.withColumns({"area": F.sum("n").over(whole), "kept": F.least("n", limit)})
+    excess = held.groupBy(*tile).agg(F.sum(F.col("n") - F.col("kept")).alias("excess"), F.max("area").alias("area"))
+    bins = excess.select(*tile, "excess", "area", F.explode(F.sequence(F.lit(0), F.lit(255))).alias("level")).join(held.select(*tile, "level", "kept"), [*tile, "level"], "left")
+    rest = F.col("excess") % 256
+    step = F.greatest(F.lit(1), F.floor(F.lit(256) / F.greatest(rest, F.lit(1))))
+    extra = F.when((rest > 0) & (F.col("level") % step == 0) & (F.floor(F.col("level") / step) < rest), 1).otherwise(0)
+    full = F.coalesce("kept", F.lit(0)) + F.floor(F.col("excess") / 256) + extra
+    upto = Window.partitionBy(*tile).orderBy("level").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lut = bins.withColumn("full", full).select(*tile, "level", F.least(F.lit(255.0), F.rint(F.sum("full").over(upto) * 255 / F.col("area"))).alias("out"))
+    fy, fx = F.col("row") / F.col("th") - 0.5, F.col("col") / F.col("tw") - 0.5
+    corner = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)])).alias("q")
+    near = v.select(*PLACE, "level", fy.alias("fy"), fx.alias("fx"), F.lit(grid).alias("g"), corner)
+    side = lambda f, k: F.greatest(F.lit(0), F.least(F.col("g") - 1, F.floor(f) + F.col(f"q.{k}"))).cast("int")
+    share = lambda f, k: F.when(F.col(f"q.{k}") == 1, F.col(f) - F.floor(f)).otherwise(1 - F.col(f) + F.floor(f))
+    near = near.select(*PLACE, "level", side("fy", "i").alias("ty"), side("fx", "j").alias("tx"), (share("fy", "i") * share("fx", "j")).alias("w"))
+    blended = near.join(lut, [*tile, "level"]).groupBy(*PLACE).agg((F.sum(F.col("w") * F.col("out")) / F.sum("w")).alias("value"))
+    return blended.select(*PLACE, (F.rint(F.round("value", 6)) / 255).alias("value"))

@@ -172,3 +172,8 @@ def p23_set_nodata(spark, sf):
 @query(f"WITH {PIX} SELECT raster_id, band, count(*) AS pixels, 3857 AS srid, CAST(NULL AS DOUBLE) AS nodata FROM pix GROUP BY ALL")
 def p24_assign_srs(spark, sf):
     return R.assign_srs(_catalog(spark, sf), 3857)
+
+
+@query()
+def p15_enhance_clahe(spark, sf):
+    return rounded(R.clahe(X.pixels(spark, sf, (1,))), "value")
