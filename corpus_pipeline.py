@@ -23,14 +23,8 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies.
-
-    Copies are near if their sets of 5-word shingles have a similarity of 0.8 or
-    more, which is an angle of 0.15 half turns between the sets: 39 of 256 SimHash
-    bits, give or take 6.  Sixteen trees of radius 1 over blocks of 16 bits find 99 %
-    of such pairs.
-    """
-    return keep_one(docs, shingle=5, bits=256, radius=45, n_blocks=16, block_radius=1, distinct=True, leaf_rows=4096).select(TABLE)
+    """One document of each group of near copies: 0.8 or more of the 5-word shingles of either are shared, decided on the shingles themselves."""
+    return keep_one(docs, similarity=0.8, shingle=5).select(TABLE)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

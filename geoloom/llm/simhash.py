@@ -54,12 +54,17 @@ def fingerprint(h: np.ndarray, n_words: int = 1) -> bytes:
     return b"".join(np.packbits(bit_votes(mixed(h, k)) * 2 > len(h), bitorder="little").tobytes() for k in range(n_words))
 
 
+def set_hash(unique: np.ndarray) -> int:
+    """A signed 64-bit hash of a set of shingle hashes, given in order."""
+    return int(np.uint64(xxhash.xxh64_intdigest(unique.tobytes(), 7)).view(np.int64))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, bits: int = 64, distinct: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, fp)`` for every row; fp is binary, ``bits / 8`` bytes.
 
     Whole texts are read.  Null and empty texts get the zero fingerprint.  With
-    ``distinct`` a repeated shingle votes once.  Rows are kept one for one, null
-    and repeated ids included.
+    ``distinct`` a repeated shingle votes once, and ``(set_hash, n)`` of the set of
+    shingles follow.  Rows are kept one for one, null and repeated ids included.
     """
     if bits % 64 or bits <= 0 or shingle <= 0:
         raise ValueError("bits must be a multiple of 64, shingle positive")
@@ -67,11 +72,18 @@ def fingerprints(docs: DataFrame, shingle: int = 3, bits: int = 64, distinct: bo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (part for whole in batches for part in byte_slices(whole, "text")):
-            out = []
+            fps, hashes, sizes = [], [], []
             for raw in text_bytes(b.column("text")):
                 h = shingle_hashes(words_of(raw), shingle)
-                out.append(fingerprint(np.unique(h) if distinct else h, n_words))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "fp"])
+                if distinct:
+                    h = np.unique(h)
+                    hashes.append(set_hash(h))
+                    sizes.append(len(h))
+                fps.append(fingerprint(h, n_words))
+            columns, names = [b.column("doc_id"), pa.array(fps, pa.binary())], ["doc_id", "fp"]
+            if distinct:
+                columns, names = [*columns, pa.array(hashes, pa.int64()), pa.array(sizes, pa.int64())], [*names, "set_hash", "n"]
+            yield pa.RecordBatch.from_arrays(columns, names)
         tidy()
 
-    return doc_columns(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp binary")
+    return doc_columns(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp binary" + ", set_hash long, n long" * distinct)

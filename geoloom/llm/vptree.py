@@ -134,7 +134,7 @@ def blocks_of(bits: int, n_blocks: int) -> list[np.ndarray]:
     return out
 
 
-def near_links(groups: DataFrame, bits: int, radius: int, n_blocks: int, block_radius: int, sample: int = 16384, leaf_rows: int = 2048, hot_leaf: int = 16384) -> DataFrame:
+def near_links(groups: DataFrame, bits: int, radius: int, n_blocks: int, block_radius: int, sample: int = 16384, leaf_rows: int = 2048, hot_leaf: int = 16384, most: int = 131_072) -> DataFrame:
     """``(a, b)`` links between the ``rep`` ids of distinct fingerprints within ``radius`` bits.
 
     groups: ``(fp binary, rep long)``, one row for each distinct fingerprint.  There
@@ -144,8 +144,8 @@ def near_links(groups: DataFrame, bits: int, radius: int, n_blocks: int, block_r
     found with the probability that one block is close enough.  The links span the
     same components as all pairs.
 
-    The trees are fitted on at most ``sample`` fingerprints, the ones with the
-    smallest hashes; every fingerprint is routed.  A leaf that gets more than
+    The trees are fitted on ``sample`` fingerprints, the ones with the smallest
+    hashes, or a 64th of all up to ``most`` if that is more; every fingerprint is routed.  A leaf that gets more than
     ``hot_leaf`` rows is dealt as pairs of salted parts, so no task holds it whole.
     """
     spark = groups.sparkSession
@@ -153,7 +153,7 @@ def near_links(groups: DataFrame, bits: int, radius: int, n_blocks: int, block_r
     if total < 2:
         return spark.createDataFrame([], "a long, b long")
     w = bits // 64
-    drawn = groups.select("fp", F.xxhash64("fp").alias("k")).orderBy("k").limit(sample).select("fp").toPandas()["fp"]
+    drawn = groups.select("fp", F.xxhash64("fp").alias("k")).orderBy("k").limit(max(sample, min(most, total // 64))).select("fp").toPandas()["fp"]
     points = np.frombuffer(b"".join(map(bytes, drawn)), np.uint64).reshape(-1, w)
     per_leaf = leaf_rows * len(points) / total
     trees = [build_tree(points, m, block_radius, per_leaf, seed=i) for i, m in enumerate(blocks_of(bits, n_blocks))]

@@ -17,7 +17,8 @@ from geoloom.llm import automata, simple8b
 from geoloom.llm.components import connected_components
 from geoloom.llm.decontaminate import contaminated, decontaminated
 from geoloom.llm.html_text import extracted, main_text
-from geoloom.llm.near_dedup import fp_hex, keep_one, near_duplicates
+from geoloom.llm.jaccard import exact_links
+from geoloom.llm.near_dedup import fp_hex, keep_one, near_duplicates, similar_documents
 from geoloom.llm.packing import cut_tail, hilbert_keys, packed
 from geoloom.llm.quality_model import kept_by_quality, quality_scores
 from geoloom.llm.quality_rules import quality_rules
@@ -123,25 +124,76 @@ def test_keep_one(odd, none):
     assert near_duplicates(none).count() == 0 and keep_one(none).count() == 0
 
 
-def test_wide_fingerprints_find_five_word_copies(spark):
-    rng = np.random.default_rng(4)
-    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
-    texts, truth = [], []
-    for g in range(40):
-        base = [word() for _ in range(300)]
-        for copy in range(4):
-            w = list(base)
-            for at in rng.integers(0, 300, copy * 2):
-                w[at] = word()
-            texts.append(" ".join(w))
-            truth.append(g)
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(df, shingle=5, bits=256, radius=45, n_blocks=16, block_radius=1, distinct=True).collect()}
-    first = {}
-    for k, g in enumerate(truth):
-        first.setdefault(g, k)
-    assert np.mean([got[k] == first[g] for k, g in enumerate(truth)]) > 0.97
-    assert all(truth[c] == truth[k] for k, c in got.items())
+def shingle_set(text, size=5):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[k : k + size]) for k in range(len(w) - size + 1)} or ({tuple(w)} if w else set())
+
+
+def similar_groups(sets, least=0.8):
+    parent = list(range(len(sets)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            shared = len(a & b)
+            if shared >= least * (len(a) + len(b) - shared) - 1e-9:
+                parent[find(i)] = find(j)
+    return [find(i) for i in range(len(sets))]
+
+
+def same_partition(a, b):
+    return len(set(a)) == len(set(b)) == len(set(zip(a, b, strict=True)))
+
+
+def test_exact_links():
+    rng = np.random.default_rng(5)
+    for trial in range(30):
+        sets = []
+        for _ in range(rng.integers(1, 6)):
+            base = rng.integers(0, 2**63, rng.integers(1, 60), dtype=np.uint64)
+            for _ in range(rng.integers(1, 12)):
+                own = base.copy()
+                own[rng.random(len(own)) < rng.choice([0.02, 0.1, 0.2])] += np.uint64(trial + 1)
+                sets.append(np.unique(own))
+        sets.append(np.empty(0, np.uint64))
+        label = list(range(len(sets)))
+        for a, b in exact_links(np.arange(len(sets)), np.concatenate(sets), np.cumsum([0, *map(len, sets)]), 0.8):
+            label = [label[b] if x == label[a] else x for x in label]
+        assert same_partition(label, similar_groups([set(x.tolist()) for x in sets]))
+
+
+@pytest.mark.parametrize(("table", "part_bytes"), [("docs", 1 << 22), ("odd", 1 << 22), ("made", 1 << 22), ("made", 3000)])
+def test_similar_documents(request, spark, table, part_bytes):
+    if table == "made":  # groups of copies with more and more words changed, small and large
+        rng = np.random.default_rng(4)
+        word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+        texts = []
+        for g in range(30):
+            base = [word() for _ in range(150 + 10 * g)]
+            for copy in range(40 if g == 7 else 5):
+                w = list(base)
+                for at in rng.integers(0, len(w), copy % 9 * 2):
+                    w[at] = word()
+                texts.append(" ".join(w))
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    else:
+        df = request.getfixturevalue(table)
+    source = pairs(df)
+    group = similar_groups([shingle_set(t) for _, t in source])
+    least = {}
+    for (i, _), g in zip(source, group, strict=True):
+        if i is not None:
+            least[g] = min(least.get(g, i), i)
+    got = similar_documents(df, part_bytes=part_bytes)
+    assert rows(got) == sorted(((i, least.get(g)) for (i, _), g in zip(source, group, strict=True)), key=lambda r: [(x is None, str(x)) for x in r])
+
+
+def test_similar_documents_of_nothing(none):
+    assert similar_documents(none).count() == 0 and keep_one(none, similarity=0.8).count() == 0
 
 
 # 2 ------------------------------------------------------------------------------------
