@@ -25,11 +25,10 @@ U = np.uint64
 
 @dataclass(frozen=True)
 class Plan:
-    """size: words in a window; run: words in a minimiser; fine_run: those where a key is crowded."""
+    """size: words in a window; run: words in a minimiser."""
 
     size: int = 35
     run: int = 4
-    fine_run: int = 16
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -42,28 +41,22 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - reach)], x[width - reach :]) if width > reach else x
 
 
-def segments(h: np.ndarray, first: np.ndarray, plan: Plan, crowded: np.ndarray | None = None):
-    """(start, end, text, key, fine, spots) of the runs of windows that share a key.
+def segments(h: np.ndarray, first: np.ndarray, plan: Plan):
+    """(start, end, text, key, spots) of the runs of windows that share a key.
 
     start, end: first and last window, numbered by first word; spots: places of the
-    minimiser in the segment, two or more if the text may repeat within itself;
-    fine: whether the key is of the longer run.
+    minimiser in the segment, two or more if the text may repeat within itself.
     """
     n = len(h) - plan.size + 1
     none = np.empty(0, np.int64)
     if n <= 0:
-        return none, none, none, none.astype(np.uint64), none.astype(bool), none
+        return none, none, none, none.astype(np.uint64), none
     runs = window_hashes(h, plan.run)
     key = sliding_min(runs, plan.size - plan.run + 1)
-    fine = np.zeros(n, bool)
-    if crowded is not None and len(crowded):
-        fine = np.isin(key, crowded)
-        if fine.any():
-            key = np.where(fine, sliding_min(window_hashes(h, plan.fine_run), plan.size - plan.fine_run + 1), key)
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))[:n]
     valid = np.arange(n) + plan.size <= first[text + 1]
     new = np.ones(n, bool)
-    new[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1]) | (fine[1:] != fine[:-1]) | ~valid[:-1]
+    new[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1]) | ~valid[:-1]
     start = np.flatnonzero(new & valid)
     last = np.ones(n, bool)
     last[:-1] = new[1:] | ~valid[1:]
@@ -73,7 +66,7 @@ def segments(h: np.ndarray, first: np.ndarray, plan: Plan, crowded: np.ndarray |
     if len(start):
         at = np.cumsum(spans) - spans
         spots = np.add.reduceat((runs[ragged(start, spans)] == np.repeat(key[start], spans)).astype(np.int64), at)
-    return start, end, text[start], key[start], fine[start], spots
+    return start, end, text[start], key[start], spots
 
 
 def joined_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -85,10 +78,15 @@ def joined_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple
     return out.tobytes(), at
 
 
+def window_pair(h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each window."""
+    return window_hashes(h, size), window_hashes(scrambled(h ^ U(0xD1B54A32D192ED03)), size)
+
+
 def repeated_windows(packed: list[bytes], times: np.ndarray, plan: Plan) -> list[np.ndarray]:
     """For each packed string the windows that start more than once, a string counting ``times`` times."""
     raw, starts, ends, first, h = column_words(pa.array(packed, pa.binary()))
-    a, b = window_hashes(h, plan.size), window_hashes(scrambled(h ^ U(0xD1B54A32D192ED03)), plan.size)
+    a, b = window_pair(h, plan.size)
     owner = np.repeat(np.arange(len(packed)), np.diff(first))[: len(a)]
     rows = np.flatnonzero(np.arange(len(a)) + plan.size <= first[owner + 1]) if len(a) else np.empty(0, np.int64)
     if not len(rows):
@@ -121,10 +119,12 @@ def repeated_ranges(docs: DataFrame, plan: Plan = Plan(), buckets: int | None =
     A first pass counts keys: one that has a single place cannot have equal windows,
     and its string need not travel.  The keys with two places or more are marked in a
     bit table of fixed size (``2 ** filter_bits`` bits, 8 MB as set), which tasks
-    read; a false mark costs a string, nothing else.  A key with over
-    ``crowded_rows`` segments is replaced by the minimiser of longer runs, which
-    parts its windows over many buckets.  Strings that are equal within a task's
-    batch travel once, with their places.
+    read; a false mark costs a string, nothing else.  Strings that are equal within
+    a task's batch travel once, with their places.
+
+    The windows of a key with over ``crowded_rows`` segments (a second bit table)
+    would crowd one bucket, so they are counted each by its two 64-bit hashes:
+    partial counts first, then a join back to the places, which no task has to hold.
     """
     spark = docs.sparkSession
     own = doc_columns(docs, id_col, text_col).select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
@@ -134,7 +134,7 @@ def repeated_ranges(docs: DataFrame, plan: Plan = Plan(), buckets: int | None =
         for whole in batches:
             for b in byte_slices(whole, "text"):
                 _, _, _, first, h = column_words(b.column("text"))
-                _, _, _, key, _, spots = segments(h, first, plan)
+                _, _, _, key, spots = segments(h, first, plan)
                 keys, at = np.unique(key, return_inverse=True)
                 n = np.bincount(at, weights=spots, minlength=len(keys)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["key", "n"])
@@ -146,17 +146,21 @@ def repeated_ranges(docs: DataFrame, plan: Plan = Plan(), buckets: int | None =
     def bit_page(table: pa.Table) -> pa.Table:
         flat = np.zeros(1 << page_bits, np.uint8)
         flat[table.column("slot").to_numpy()] = 1
-        n = table.column("n").to_numpy()
-        hot = table.column("key").to_numpy()[n > crowded_rows]
-        return pa.table({"page": table.column("page").slice(0, 1), "bits": pa.array([np.packbits(flat, bitorder="little").tobytes()], pa.binary()), "hot": pa.array([hot.tolist()], pa.list_(pa.int64()))})
+        hot = np.zeros(1 << page_bits, np.uint8)
+        hot[table.column("slot").to_numpy()[table.column("n").to_numpy() > crowded_rows]] = 1
+        written = {"bits": np.packbits(flat, bitorder="little").tobytes(), "hot": np.packbits(hot, bitorder="little").tobytes() if hot.any() else None}
+        return pa.table({"page": table.column("page").slice(0, 1), **{k: pa.array([v], pa.binary()) for k, v in written.items()}})
 
-    pages = counted.select("key", "n", F.shiftrightunsigned(place, page_bits).cast("int").alias("page"), place.bitwiseAND(F.lit((1 << page_bits) - 1)).cast("int").alias("slot"))
-    marks, hot = np.zeros((1 << filter_bits) // 8, np.uint8), []
+    pages = counted.select("n", F.shiftrightunsigned(place, page_bits).cast("int").alias("page"), place.bitwiseAND(F.lit((1 << page_bits) - 1)).cast("int").alias("slot"))
+    marks, crowded = np.zeros((1 << filter_bits) // 8, np.uint8), np.zeros((1 << filter_bits) // 8, np.uint8)
     page_bytes = (1 << page_bits) // 8
-    for row in pages.groupBy("page").applyInArrow(bit_page, "page int, bits binary, hot array<long>").toLocalIterator():
-        marks[row["page"] * page_bytes : (row["page"] + 1) * page_bytes] = np.frombuffer(row["bits"], np.uint8)
-        hot += row["hot"]
-    shared = spark.sparkContext.broadcast((marks, np.array(sorted(hot), np.int64).view(np.uint64)))
+    for row in pages.groupBy("page").applyInArrow(bit_page, "page int, bits binary, hot binary").toLocalIterator():
+        at = slice(row["page"] * page_bytes, (row["page"] + 1) * page_bytes)
+        marks[at] = np.frombuffer(row["bits"], np.uint8)
+        if row["hot"]:
+            crowded[at] = np.frombuffer(row["hot"], np.uint8)
+    any_crowded = bool(crowded.any())
+    shared = spark.sparkContext.broadcast((marks, crowded if any_crowded else None))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, crowded = shared.value
@@ -164,8 +168,10 @@ def repeated_ranges(docs: DataFrame, plan: Plan = Plan(), buckets: int | None =
             places: dict[tuple[int, bytes], list[tuple]] = {}
             for b in byte_slices(whole, "text"):
                 raw, starts, ends, first, h = column_words(b.column("text"))
-                start, end, text, key, fine, _ = segments(h, first, plan, crowded)
-                wanted = fine | marked(table, key, filter_bits)
+                start, end, text, key, _ = segments(h, first, plan)
+                wanted = marked(table, key, filter_bits)
+                if crowded is not None:
+                    wanted &= ~marked(crowded, key, filter_bits)
                 start, end, text, key = start[wanted], end[wanted], text[wanted], key[wanted]
                 line, at = joined_words(raw, starts, ends)
                 ids, hashes = b.column("doc_id").to_pylist(), b.column("text_hash").to_pylist()
@@ -198,7 +204,27 @@ def repeated_ranges(docs: DataFrame, plan: Plan = Plan(), buckets: int | None =
         return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("doc_id", "text_hash", "a", "b"), columns, strict=True)})
 
     sent = own.mapInArrow(send, "bucket int, packed binary, ids array<long>, hashes array<long>, at array<long>")
-    return sent.groupBy("bucket").applyInArrow(search, "doc_id long, text_hash long, a long, b long")
+    found = sent.groupBy("bucket").applyInArrow(search, "doc_id long, text_hash long, a long, b long")
+    if not any_crowded:
+        return found
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in byte_slices(whole, "text"):
+                _, _, _, first, h = column_words(b.column("text"))
+                start, end, text, key, _ = segments(h, first, plan)
+                hot = marked(shared.value[1], key, filter_bits)
+                start, end, text = start[hot], end[hot], text[hot]
+                if len(start):
+                    at, owner = ragged(start, end - start + 1), np.repeat(text, end - start + 1)
+                    hashes = [pa.array(x[at].view(np.int64)) for x in window_pair(h, plan.size)]
+                    rows = pa.array(owner)
+                    yield pa.RecordBatch.from_arrays([*hashes, b.column("doc_id").take(rows), b.column("text_hash").take(rows), pa.array(at - first[owner])], ["wa", "wb", "doc_id", "text_hash", "a"])
+
+    windows = own.mapInArrow(single, "wa long, wb long, doc_id long, text_hash long, a long")
+    repeated = windows.groupBy("wa", "wb").agg(F.count("*").alias("n")).where("n > 1").select("wa", "wb")
+    hits = windows.join(repeated, ["wa", "wb"], "left_semi")
+    return found.unionByName(hits.select("doc_id", "text_hash", "a", (F.col("a") + plan.size).alias("b")))
 
 
 def without_repeats(docs: DataFrame, size: int = 35, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, **options) -> DataFrame:
@@ -213,7 +239,7 @@ def without_repeats(docs: DataFrame, size: int = 35, id_col: str = "doc_id", tex
     places, so both lose what they share.  A null id is kept.  An empty table gives
     no rows.
     """
-    plan = Plan(size, min(4, size), min(16, max(1, size // 2)))
+    plan = Plan(size, min(4, size))
     ranges = repeated_ranges(docs, plan, id_col=id_col, text_col=text_col, **options)
     ranges = ranges.groupBy("doc_id", "text_hash").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
     own = doc_columns(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
