@@ -15,7 +15,7 @@ from .wordhash import ragged
 
 
 def exact_links(ids: np.ndarray, tokens: np.ndarray, offsets: np.ndarray, similarity: float) -> list[tuple[int, int]]:
-    """Links that join the same rows as all pairs of sets with that Jaccard similarity or more do.
+    """Links that join the same rows as all pairs of sets with that Jaccard similarity or more do: each row to the least id of its group.
 
     Row k is the set ``tokens[offsets[k]:offsets[k + 1]]``.  The most central row not
     yet linked is compared with all others, until each row is linked to such a pivot
@@ -29,7 +29,7 @@ def exact_links(ids: np.ndarray, tokens: np.ndarray, offsets: np.ndarray, simila
     owner = np.repeat(np.arange(n), size)
     posting = owner[np.argsort(token, kind="stable")]
     begin = np.concatenate([[0], np.cumsum(df)])
-    label, links = np.arange(n), []
+    label = np.arange(n)
 
     def compare(row: int) -> np.ndarray:
         """Rows similar to this one; their groups become one."""
@@ -37,11 +37,8 @@ def exact_links(ids: np.ndarray, tokens: np.ndarray, offsets: np.ndarray, simila
         shared = np.bincount(posting[ragged(begin[own], df[own])], minlength=n)
         both = size[row] + size - shared
         near = np.flatnonzero(shared >= similarity * both - 1e-9)
-        others, at = np.unique(label[near], return_index=True)
-        apart = others != label[row]
-        links.extend((int(ids[row]), int(ids[near[k]])) for k in at[apart].tolist())
         merge = np.zeros(n, bool)
-        merge[others] = True
+        merge[label[near]] = True
         label[merge[label]] = label[row]
         return near
 
@@ -56,7 +53,9 @@ def exact_links(ids: np.ndarray, tokens: np.ndarray, offsets: np.ndarray, simila
             compare(row)
             if (label == label[0]).all():
                 break
-    return links
+    least = np.full(n, np.iinfo(np.int64).max)
+    np.minimum.at(least, label, ids)
+    return [(a, b) for a, b in zip(ids.tolist(), least[label].tolist(), strict=True) if a != b]
 
 
 def verified_links(docs: DataFrame, candidates: DataFrame, shingle: int, similarity: float, part_bytes: int = 1 << 22, filter_bits: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

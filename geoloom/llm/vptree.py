@@ -89,11 +89,10 @@ def route(tree: Tree, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def local_links(ids: np.ndarray, fps: np.ndarray, radius: int, mask: np.ndarray, block_radius: int, step: int = 256) -> list[tuple[int, int]]:
     """Links that join the same rows as all pairs within ``radius``, and within ``block_radius`` under ``mask``, do.
 
-    At most a spanning forest is returned, so a crowd of near copies gives as many links as rows.
+    Each row is linked to the least id of its group only, so a crowd of near copies gives as many links as rows.
     """
     n, used = len(ids), np.flatnonzero(mask)
     parent, label = np.arange(n), np.arange(n)
-    links: list[tuple[int, int]] = []
 
     def find(i: int) -> int:
         while parent[i] != i:
@@ -116,11 +115,11 @@ def local_links(ids: np.ndarray, fps: np.ndarray, radius: int, mask: np.ndarray,
             if x != y:
                 lo, hi = (x, y) if ids[x] < ids[y] else (y, x)
                 parent[hi] = lo
-                links.append((int(ids[hi]), int(ids[lo])))
         while not (parent[parent] == parent).all():
             parent = parent[parent]
         label = parent[label]
-    return links
+    moved = np.flatnonzero(label != np.arange(n))
+    return list(zip(ids[moved].tolist(), ids[label[moved]].tolist(), strict=True))
 
 
 def blocks_of(bits: int, n_blocks: int) -> list[np.ndarray]:
