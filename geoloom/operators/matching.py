@@ -22,12 +22,13 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, d: s + d)
 
 
-def two_nearest(queries: DataFrame, train: DataFrame, metric: str = "l2", block: int = 2048) -> DataFrame:
+def two_nearest(queries: DataFrame, train: DataFrame, metric: str = "l2", block: int = 2048, skip_own: bool = False) -> DataFrame:
     """``(query_id, train_id, distance, rank)``: the two nearest of ``train`` for each query, exactly.
 
     Both tables are ``(id, vec)``.  Queries and train rows are dealt to blocks and each
     block pair is one numpy product; a pair gives two rows a query, and the best two of
-    all pairs follow by a window.  Ties go to the smaller id.
+    all pairs follow by a window.  Ties go to the smaller id.  With ``skip_own`` both
+    tables share their ids, and a query's own row is not its neighbour.
     """
     one_of("metric", metric, ("l2", "hamming"))
     nq, nt = (max(1, -(-t.count() // block)) for t in (queries, train))
@@ -44,10 +45,13 @@ def two_nearest(queries: DataFrame, train: DataFrame, metric: str = "l2", block:
             d = np.bitwise_count(x.astype(np.int64)[:, None, :] ^ y.astype(np.int64)[None, :, :]).sum(2).astype(float)
         else:
             d = np.concatenate([((x[k : k + 64, None, :] - y[None, :, :]) ** 2).sum(2) for k in range(0, len(x), 64)])
+        if skip_own:
+            d[a["id"].to_numpy()[:, None] == b["id"].to_numpy()[None, :]] = np.inf
         take = np.argsort(d, axis=1, kind="stable")[:, :2]
         rows = np.repeat(np.arange(len(x)), take.shape[1])
         dist = d[rows, take.ravel()]
-        return pd.DataFrame({"query_id": a["id"].to_numpy()[rows], "train_id": b["id"].to_numpy()[take.ravel()], "distance": dist if metric == "hamming" else np.sqrt(dist)})
+        out = pd.DataFrame({"query_id": a["id"].to_numpy()[rows], "train_id": b["id"].to_numpy()[take.ravel()], "distance": dist if metric == "hamming" else np.sqrt(dist)})
+        return out[np.isfinite(dist)]
 
     found = q.unionByName(t).groupBy("qb", "tb").applyInPandas(nearest, "query_id long, train_id long, distance double")
     order = Window.partitionBy("query_id").orderBy("distance", "train_id")
@@ -61,7 +65,7 @@ def ratio_matches(nearest: DataFrame, ratio: float = 0.75) -> DataFrame:
     return pair.where(F.col("distance") < ratio * F.col("second")).select(F.col("query_id").alias("idx1"), "idx2", "distance")
 
 
-def lsh_matches(queries: DataFrame, train: DataFrame, ratio: float = 0.75, reach: float = 4.0, bucket: float = 2.0, tables: int = 4) -> DataFrame:
+def lsh_matches(queries: DataFrame, train: DataFrame, ratio: float = 0.75, reach: float = 4.0, bucket: float = 2.0, tables: int = 4, skip_own: bool = False) -> DataFrame:
     """As :func:`ratio_matches` over approximate neighbours from Spark ML's random-projection LSH join."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
@@ -70,6 +74,8 @@ def lsh_matches(queries: DataFrame, train: DataFrame, ratio: float = 0.75, reach
     a, b = as_vector(queries), as_vector(train)
     model = BucketedRandomProjectionLSH(inputCol="v", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=1).fit(b)
     near = model.approxSimilarityJoin(a, b, reach, "distance").select(F.col("datasetA.id").alias("query_id"), F.col("datasetB.id").alias("train_id"), "distance")
+    if skip_own:
+        near = near.where("query_id <> train_id")
     order = Window.partitionBy("query_id").orderBy("distance", "train_id")
     return ratio_matches(near.withColumn("rank", F.row_number().over(order)).where("rank <= 2"), ratio)
 

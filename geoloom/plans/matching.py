@@ -12,8 +12,9 @@ QUERIES, ORACLES, query = group()
 
 
 def _vectors(spark, sf):
+    """(queries, all rows): a query is left out of its own neighbours only by ``skip_own``."""
     v = X.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    return v.where("id % 100 = 0"), v.where("id % 100 <> 0")
+    return v.where("id % 100 = 0"), v
 
 
 NEAREST = """d AS (SELECT a.vec_id AS query_id, b.vec_id AS train_id, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) ^ 2)) AS d2 FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 AND b.vec_id % 100 <> 0),
@@ -22,17 +23,17 @@ n AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY d2, train
 
 @query(f"WITH {NEAREST} SELECT query_id, train_id, round(sqrt(d2), 5) AS distance, rank FROM n WHERE rank <= 2")
 def k2_two_nearest(spark, sf):
-    return rounded(K.two_nearest(*_vectors(spark, sf)), "distance", digits=5)
+    return rounded(K.two_nearest(*_vectors(spark, sf), skip_own=True), "distance", digits=5)
 
 
 @query(f"WITH {NEAREST}, p AS (SELECT query_id, min(d2) FILTER (rank = 1) AS a, min(d2) FILTER (rank = 2) AS b, min(train_id) FILTER (rank = 1) AS t FROM n WHERE rank <= 2 GROUP BY ALL) SELECT query_id AS idx1, t AS idx2, round(sqrt(a), 5) AS distance FROM p WHERE sqrt(a) < 0.95 * sqrt(b)")
 def k2_match(spark, sf):
-    return rounded(K.ratio_matches(K.two_nearest(*_vectors(spark, sf)), 0.95), "distance", digits=5)
+    return rounded(K.ratio_matches(K.two_nearest(*_vectors(spark, sf), skip_own=True), 0.95), "distance", digits=5)
 
 
 @query()
 def k2_match_lsh(spark, sf):
-    return K.lsh_matches(*_vectors(spark, sf), ratio=0.95)
+    return K.lsh_matches(*_vectors(spark, sf), ratio=0.95, skip_own=True)
 
 
 def _band(spark, sf):

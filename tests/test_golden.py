@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from geoloom.functions import geometry as G
 from geoloom.functions import params, polygons
 from geoloom.operators import focal, graph, matching, mosaic, overlay, project, raster, segment, vector, zonal
+from geoloom.plans import registry
 from geoloom.sources import io
 
 
@@ -210,3 +211,20 @@ def test_layers_and_bad_filters(spark):
         vector.filter_features(two, where="no_such_column > 1").count()
     with pytest.raises(ValueError):
         vector.filter_features(two)
+
+
+def test_neighbours_are_sought_among_all_rows(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(401, 8)).astype("f4").astype(float)
+    v[100], v[300] = v[0] + 0.01, v[200] + 0.01  # queries that are each other's nearest
+    spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    v = v.astype("f4").astype(float)
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    want = {(q, int(t), k + 1) for q in range(0, 401, 100) for k, t in enumerate(np.argsort(d[q])[:2])}
+    queries = registry.queries()
+    assert {(r["query_id"], r["train_id"], r["rank"]) for r in queries["k2_two_nearest"](spark, str(tmp_path)).collect()} == want
+    clear = {(q, int(np.argmin(d[q]))) for q in range(0, 401, 100) if np.sort(d[q])[0] < 0.95 * np.sort(d[q])[1]}
+    assert {(0, 100), (100, 0), (200, 300), (300, 200)} <= clear
+    for name in ("k2_match", "k2_match_lsh"):
+        assert {(r["idx1"], r["idx2"]) for r in queries[name](spark, str(tmp_path)).collect()} == clear, name
