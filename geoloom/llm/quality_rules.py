@@ -23,15 +23,21 @@ class Bands:
     """Limits of raw size over compressed size.
 
     whole: ``(bytes from, lowest, highest)`` by ascending length of the text; chunk:
-    ``(lowest, highest)`` of each full chunk of ``chunk_bytes``; a text fails if more
-    than ``chunks_out`` of its full chunks lie outside.  A text compresses better the
-    longer it is, so both limits rise with its length; below 64 bytes the frame's own
-    bytes outweigh the text and nothing is judged.
+    ``(lowest, highest)`` of each full chunk of ``chunk_bytes``; the bytes after the last
+    full chunk are a chunk with the limits of their own length.  A text fails if more
+    than ``chunks_out`` of its chunks lie outside.  A text compresses better the longer
+    it is, so both limits rise with its length.  The lowest are just under the least
+    ratio of clean text of that length; from 128 bytes they lie over that of base64,
+    from 1.3 KB over that of random letters; below that some clean text is as dense.
+    Below 64 bytes the frame's own bytes outweigh the text and nothing is judged.
     """
 
-    whole: tuple = ((64, 0.70, 3.0), (256, 0.95, 3.2), (1024, 1.15, 3.6), (4096, 1.30, 4.2), (16384, 1.40, 5.0), (65536, 1.45, 6.0))
+    whole: tuple = (
+        (64, 0.86, 3.0), (96, 0.90, 3.0), (128, 1.04, 3.0), (192, 1.15, 3.0), (256, 1.28, 3.2), (384, 1.33, 3.2), (512, 1.42, 3.2), (768, 1.50, 3.2), (1024, 1.64, 3.6), (1280, 1.70, 3.6),
+        (1536, 1.76, 3.6), (2048, 1.84, 3.6), (3072, 1.92, 3.6), (4096, 1.92, 4.2), (16384, 2.15, 5.0), (65536, 2.15, 6.0),
+    )
     chunk_bytes: int = 4096
-    chunk: tuple = (1.25, 4.4)
+    chunk: tuple = (1.92, 4.4)
     chunks_out: float = 0.25
     level: int = 3
 
@@ -44,7 +50,7 @@ class Bands:
 
 
 def compression(raw: bytes, bands: Bands, coder: zstandard.ZstdCompressor) -> tuple[float, int, int, bool]:
-    """(ratio of the whole text, full chunks, chunks out of the band, verdict)."""
+    """(ratio of the whole text, chunks, chunks out of the band, verdict); a rest of 64 bytes or more after the full chunks is one too."""
     if not raw:
         return 0.0, 0, 0, True
     ratio = len(raw) / len(coder.compress(raw))
@@ -54,6 +60,11 @@ def compression(raw: bytes, bands: Bands, coder: zstandard.ZstdCompressor) -> tu
     for k in range(n):
         r = bands.chunk_bytes / len(coder.compress(raw[k * bands.chunk_bytes : (k + 1) * bands.chunk_bytes]))
         out += not bands.chunk[0] <= r <= bands.chunk[1]
+    rest = raw[n * bands.chunk_bytes :]
+    if n and len(rest) >= bands.whole[0][0]:
+        low_rest, high_rest = bands.limits(len(rest))
+        n += 1
+        out += not low_rest <= len(rest) / len(coder.compress(rest)) <= high_rest
     return ratio, n, out, low <= ratio <= high and out <= bands.chunks_out * n
 
 

@@ -462,6 +462,25 @@ def test_compression_bands(spark):
     assert got[1] and not got[3]
 
 
+def test_incompressible_texts_fail(spark, docs):
+    rng = np.random.default_rng(1)
+    drawn = lambda letters, n, word: " ".join("".join(rng.choice(list(letters), word)) for _ in range(n // (word + 1) + 1))[:n]
+    low = "abcdefghijklmnopqrstuvwxyz"
+    base64 = low + low.upper() + "0123456789+/"
+    noise = "".join(chr(c) for c in rng.integers(0x4E00, 0x9FFF, 6000))
+    bad = [" ".join(noise[k : k + 40] for k in range(0, 6000, 40))]
+    bad += [drawn(base64, n, 20) for n in (300, 400, 1100, 4200, 14000, 40000, 70000)]
+    bad += [drawn(low, n, 7) for n in (1100, 1500, 2100, 4200, 14000, 40000, 70000)]
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").where("quality = 1")
+    good = [t for t in (r["text"] for r in docs.join(labels, "doc_id").collect()) if len(t) >= 64]
+    long = next(t for t in good if len(t.encode()) >= 4096 and t.isascii())[:4096]
+    bad += [long + drawn(base64, 3000, 20)]  # only the bytes after the full chunk are noise
+    table = spark.createDataFrame(list(enumerate(bad + good)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in quality_rules(table).collect()}
+    assert not [k for k in range(len(bad)) if got[k]["kept"] or got[k]["base_failed"]]
+    assert good and all(got[k]["kept"] or got[k]["base_failed"] for k in range(len(bad), len(got)))
+
+
 # 10 -----------------------------------------------------------------------------------
 
 
