@@ -22,19 +22,16 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, d: s + d)
 
 
-def two_nearest(queries: DataFrame, train: DataFrame, metric: str = "l2", block: int = 2048, skip_own: bool = False) -> DataFrame:
-    """``(query_id, train_id, distance, rank)``: the two nearest of ``train`` for each query, exactly.
+_FOUND = "query_id long, train_id long, distance double"
 
-    Both tables are ``(id, vec)``.  Queries and train rows are dealt to blocks and each
-    block pair is one numpy product; a pair gives two rows a query, and the best two of
-    all pairs follow by a window.  Ties go to the smaller id.  With ``skip_own`` both
-    tables share their ids, and a query's own row is not its neighbour.
-    """
-    one_of("metric", metric, ("l2", "hamming"))
-    nq, nt = (max(1, -(-t.count() // block)) for t in (queries, train))
-    side = lambda t, n, s: t.select("id", "vec", F.lit(s).alias("side"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("own"))
-    q = side(queries, nq, 0).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(nt - 1)))).select("id", "vec", "side", F.col("own").alias("qb"), F.col("other").alias("tb"))
-    t = side(train, nt, 1).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))).select("id", "vec", "side", F.col("other").alias("qb"), F.col("own").alias("tb"))
+
+def _best_two(found: DataFrame) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy("distance", "train_id")
+    return found.withColumn("rank", F.row_number().over(order)).where("rank <= 2")
+
+
+def _block_nearest(metric: str, skip_own: bool):
+    """The function that gives the two nearest train rows (``side`` 1) of each query (``side`` 0) of a group."""
 
     def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1].sort_values("id")
@@ -53,9 +50,25 @@ def two_nearest(queries: DataFrame, train: DataFrame, metric: str = "l2", block:
         out = pd.DataFrame({"query_id": a["id"].to_numpy()[rows], "train_id": b["id"].to_numpy()[take.ravel()], "distance": dist if metric == "hamming" else np.sqrt(dist)})
         return out[np.isfinite(dist)]
 
-    found = q.unionByName(t).groupBy("qb", "tb").applyInPandas(nearest, "query_id long, train_id long, distance double")
-    order = Window.partitionBy("query_id").orderBy("distance", "train_id")
-    return found.withColumn("rank", F.row_number().over(order)).where("rank <= 2")
+    return nearest
+
+
+def two_nearest(queries: DataFrame, train: DataFrame, metric: str = "l2", block: int = 2048, skip_own: bool = False) -> DataFrame:
+    """``(query_id, train_id, distance, rank)``: the two nearest of ``train`` for each query, exactly.
+
+    Both tables are ``(id, vec)``.  Queries and train rows are dealt to blocks and each
+    block pair is one numpy product; a pair gives two rows a query, and the best two of
+    all pairs follow by a window.  Ties go to the smaller id.  With ``skip_own`` both
+    tables share their ids, and a query's own row is not its neighbour.
+    """
+    one_of("metric", metric, ("l2", "hamming"))
+    nq, nt = (max(1, -(-t.count() // block)) for t in (queries, train))
+    side = lambda t, n, s: t.select("id", "vec", F.lit(s).alias("side"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("own"))
+    q = side(queries, nq, 0).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(nt - 1)))).select("id", "vec", "side", F.col("own").alias("qb"), F.col("other").alias("tb"))
+    t = side(train, nt, 1).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))).select("id", "vec", "side", F.col("other").alias("qb"), F.col("own").alias("tb"))
+
+    found = q.unionByName(t).groupBy("qb", "tb").applyInPandas(_block_nearest(metric, skip_own), _FOUND)
+    return _best_two(found)
 
 
 def ratio_matches(nearest: DataFrame, ratio: float = 0.75) -> DataFrame:
@@ -65,19 +78,81 @@ def ratio_matches(nearest: DataFrame, ratio: float = 0.75) -> DataFrame:
     return pair.where(F.col("distance") < ratio * F.col("second")).select(F.col("query_id").alias("idx1"), "idx2", "distance")
 
 
-def lsh_matches(queries: DataFrame, train: DataFrame, ratio: float = 0.75, reach: float = 4.0, bucket: float = 2.0, tables: int = 4, skip_own: bool = False) -> DataFrame:
-    """As :func:`ratio_matches` over approximate neighbours from Spark ML's random-projection LSH join."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+def _buckets(x: np.ndarray, planes: np.ndarray, shift: np.ndarray, width: float) -> np.ndarray:
+    """The bucket of each vector in each table (rows x tables): ``planes`` is tables x projections x length."""
+    tables, k, length = planes.shape
+    at = np.floor((x @ planes.reshape(tables * k, length).T).reshape(len(x), tables, k) / width + shift).astype(np.int64)
+    out = np.broadcast_to(np.arange(tables, dtype=np.int64), (len(x), tables)).copy()
+    for j in range(k):
+        out = (out * np.int64(1_000_003)) ^ at[:, :, j]
+    return out
 
-    as_vector = lambda t: t.select("id", array_to_vector(F.col("vec").cast("array<double>")).alias("v"))
-    a, b = as_vector(queries), as_vector(train)
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=1).fit(b)
-    near = model.approxSimilarityJoin(a, b, reach, "distance").select(F.col("datasetA.id").alias("query_id"), F.col("datasetB.id").alias("train_id"), "distance")
-    if skip_own:
-        near = near.where("query_id <> train_id")
-    order = Window.partitionBy("query_id").orderBy("distance", "train_id")
-    return ratio_matches(near.withColumn("rank", F.row_number().over(order)).where("rank <= 2"), ratio)
+
+def _plan_tables(x: np.ndarray, y: np.ndarray, others: np.ndarray, recall: float, most_tables: int, most_work: float, seed: int) -> tuple | None:
+    """(planes, shift, width) by which a share ``recall`` of the true pairs x[i], y[i] meet, with the fewest chance pairs; None if that takes over ``most_work`` of all pairs."""
+    rng = np.random.default_rng(seed)
+    scale = float(np.median(np.sqrt(((x - y) ** 2).sum(1)))) or 1e-9
+    best = None
+    for k in (1, 2, 3, 4, 6, 8, 12):
+        planes, shift = rng.normal(size=(most_tables, k, x.shape[1])), rng.random((most_tables, k))
+        for width in (0.5 * scale, scale, 2 * scale, 4 * scale, 8 * scale):
+            hx, hy, ho = (_buckets(v, planes, shift, width) for v in (x, y, others))
+            met = np.logical_or.accumulate(hx == hy, axis=1).mean(0)
+            if met[-1] < recall:
+                continue
+            n = int(np.argmax(met >= recall)) + 1
+            work = sum(float((hx[:, None, t] == ho[None, :, t]).mean()) for t in range(n))
+            if best is None or work < best[0]:
+                best = work, (planes[:n], shift[:n], width)
+    return best[1] if best and best[0] <= most_work else None
+
+
+def lsh_nearest(queries: DataFrame, train: DataFrame, recall: float = 0.9, part: int = 2048, sample: int = 256, most_tables: int = 32, most_work: float = 0.5, skip_own: bool = False, seed: int = 1) -> DataFrame:
+    """As :func:`two_nearest` (L2) by random-projection hashes, with at least about ``recall`` of its rows.
+
+    The bucket width, the projections a table and the number of tables come from
+    ``sample`` queries and their exact neighbours: tables are added until ``recall``
+    and 0.03 more of these are met.  Vectors so far from each other that buckets would
+    compare over ``most_work`` of all pairs are left to :func:`two_nearest`, which
+    costs less then.  Crowded buckets are dealt as pairs of salted parts of about
+    ``part`` rows, and queries with fewer than two candidates are answered exactly.
+    """
+    in_range("recall", recall, 0, 1, open_low=True)
+    queries, train = checkpointed(queries.select("id", "vec")), checkpointed(train.select("id", "vec"))
+    few = lambda t, n: t.orderBy(F.xxhash64("id"), "id").limit(n)
+    asked = few(queries, sample)
+    true = two_nearest(asked, train, skip_own=skip_own).select("query_id", "train_id")
+    true = true.join(asked.select(F.col("id").alias("query_id"), F.col("vec").alias("q")), "query_id").join(train.select(F.col("id").alias("train_id"), F.col("vec").alias("t")), "train_id").select("q", "t").toPandas()
+    others = few(train, 1024).select("vec").toPandas()["vec"]
+    if not len(true):
+        return two_nearest(queries, train, skip_own=skip_own)
+    stacked = lambda v: np.stack(v.to_numpy()).astype(float)
+    plan = _plan_tables(stacked(true["q"]), stacked(true["t"]), stacked(others), min(1.0, recall + 0.03), most_tables, most_work, seed)
+    if plan is None:
+        return two_nearest(queries, train, skip_own=skip_own)
+
+    def hashed(batches):
+        for pdf in batches:
+            if len(pdf):
+                yield pdf.assign(buckets=list(_buckets(stacked(pdf["vec"]), *plan)))
+
+    spread = lambda t: t.mapInPandas(hashed, "id long, vec array<double>, buckets array<long>").select("id", "vec", F.explode("buckets").alias("bucket"))
+    doubles = lambda t: t.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
+    q, t = spread(doubles(queries)), spread(doubles(train))
+    parts = lambda v, name: v.groupBy("bucket").agg(F.ceil(F.count("*") / part).cast("int").alias(name))
+    sizes = checkpointed(parts(q, "qn").join(parts(t, "tn"), "bucket"))
+    side = lambda v, s, own, other: v.join(sizes, "bucket").select("id", "vec", F.lit(s).alias("side"), "bucket", F.pmod(F.xxhash64("id"), F.col(own)).cast("int").alias(own[0] + "b"), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other[0] + "b"))
+    met = side(q, 0, "qn", "tn").unionByName(side(t, 1, "tn", "qn"))
+    found = met.groupBy("bucket", "qb", "tb").applyInPandas(_block_nearest("l2", skip_own), _FOUND)
+    near = checkpointed(_best_two(found.groupBy("query_id", "train_id").agg(F.min("distance").alias("distance"))))
+    full = near.where("rank = 2").select(F.col("query_id").alias("id"))
+    lone = checkpointed(queries.join(full, "id", "left_anti"))
+    return near.join(full.withColumnRenamed("id", "query_id"), "query_id", "left_semi").unionByName(two_nearest(lone, train, skip_own=skip_own))
+
+
+def lsh_matches(queries: DataFrame, train: DataFrame, ratio: float = 0.75, recall: float = 0.9, skip_own: bool = False) -> DataFrame:
+    """As :func:`ratio_matches` over :func:`lsh_nearest`."""
+    return ratio_matches(lsh_nearest(queries, train, recall, skip_own=skip_own), ratio)
 
 
 def suppressed(candidates: DataFrame, min_distance: float = 10, shape: str = "square", max_rounds: int = 100) -> DataFrame:

@@ -228,3 +228,20 @@ def test_neighbours_are_sought_among_all_rows(spark, tmp_path):
     assert {(0, 100), (100, 0), (200, 300), (300, 200)} <= clear
     for name in ("k2_match", "k2_match_lsh"):
         assert {(r["idx1"], r["idx2"]) for r in queries[name](spark, str(tmp_path)).collect()} == clear, name
+
+
+def test_lsh_recall_and_lone_queries(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(150, 16)) * 10
+    train = np.concatenate([centres[rng.integers(0, 150, 3000)] + rng.normal(size=(3000, 16)), np.full((1, 16), 500.0), np.full((1, 16), 900.0)])
+    asked = np.concatenate([centres[:100] + rng.normal(size=(100, 16)), np.full((1, 16), 501.0)])  # the last has one neighbour near and none else
+    table = lambda v: spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "id long, vec array<double>").repartition(4)
+    q, t = table(asked), table(train)
+    d = np.sqrt(((asked[:, None] - train[None]) ** 2).sum(2))
+    true = {(k, int(n)) for k in range(len(asked)) for n in np.argsort(d[k])[:2]}
+    x, y = np.repeat(asked, 2, axis=0), train[np.argsort(d, axis=1)[:, :2].ravel()]
+    assert matching._plan_tables(x, y, train[:1024], 0.93, 32, 0.5, 1) is not None  # so that buckets are what is tested
+    for part in (64, 2048):
+        got = [(r["query_id"], r["train_id"]) for r in matching.lsh_nearest(q, t, part=part).collect()]
+        assert len(got) == len(set(got)) == 2 * len(asked) and len(true & set(got)) >= 0.9 * len(true)
+    assert (100, 3000) in {(r["idx1"], r["idx2"]) for r in matching.lsh_matches(q, t).collect()}
