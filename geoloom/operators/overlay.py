@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from geoloom.functions import geometry as G
 from geoloom.functions import polygons as P
 from geoloom.functions.params import in_range
+from geoloom.operators.graph import checkpointed
 from geoloom.operators.project import require_projected
 from geoloom.operators.vector import grid_join, overlap_ratio
 
@@ -113,22 +115,40 @@ def require_simple_overlay(overlay: DataFrame, oid: str, cell: float, least: int
         raise ValueError(f"overlay shapes overlap too much for a line union: {row['ratio']:.2f}")
 
 
-def dissolve(features: DataFrame, field: str | None = None, cell: float = 16.0) -> DataFrame:
+def dissolve(features: DataFrame, field: str | None = None, cell: float = 16.0, fan_in: int = 64) -> DataFrame:
     """``(field, geom)``: the union of each group as a MultiPolygon, null keys as an empty text; without a field, of all.
 
-    In two levels: features that start in one grid cell are united first, in parallel
-    and over bounded groups, then the cells of a key.  Disjoint parts just lie side by
-    side in the second level's result.
+    In rounds over a grid of cells of a key, where a piece lies in the cell of its
+    lower left corner.  The cells start so small that the most crowded ``cell`` would
+    hold about ``fan_in`` features in each, if they were spread evenly.  A round deals
+    the pieces of a cell to parts of about ``fan_in`` by their hash and unites each
+    part; when no cell has two parts, four by four cells become one, until each key
+    has one piece.  Equal geometries of a key count once.
     """
     if field is not None and field not in features.columns:
         raise ValueError(f"no field {field!r}")
     in_range("cell", cell, 0, open_low=True)
+    in_range("fan_in", fan_in, 2)
     key = F.coalesce(F.col(field).cast("string"), F.lit("")) if field else F.lit("")
     name = field or "group"
-    v = features.where(~G.is_empty(F.col("geom"))).select(key.alias(name), "geom", F.floor(F.col("xmin") / cell).alias("_cx"), F.floor(F.col("ymin") / cell).alias("_cy"))
+    own = [name, "_cx", "_cy"]
+    v = features.where(~G.is_empty(F.col("geom"))).select(key.alias(name), "geom", F.floor(F.col("xmin") / cell).alias("_cx"), F.floor(F.col("ymin") / cell).alias("_cy"), "xmin", "ymin").dropDuplicates([name, "geom"])
+    v = checkpointed(v)
+    most = v.groupBy(own).count().agg(F.max("count")).first()[0] or 0
+    fine = cell / 2 ** min(10, max(0, math.ceil(math.log(max(1, most) / fan_in, 4))))
+    low = v.agg(F.min(F.floor(F.col("xmin") / fine)).alias("x"), F.min(F.floor(F.col("ymin") / fine)).alias("y")).first()
+    pieces = v.select(name, "geom", *[(F.floor(F.col(c) / fine) - F.lit(low[k])).alias(f"_c{k}") for c, k in (("xmin", "x"), ("ymin", "y"))])
     together = lambda r: (P.to_struct(P.union_all([P.repaired(P.from_struct(g)) for g in r["_g"]])),)
-    first = _mapped(v.groupBy(name, "_cx", "_cy").agg(F.collect_list("geom").alias("_g")), [name], together)
-    return _mapped(first.groupBy(name).agg(F.collect_list("geom").alias("_g")), [name], together)
+    while True:
+        parts = pieces.groupBy(own).agg(F.ceil(F.count("*") / fan_in).cast("int").alias("_n"))
+        dealt = pieces.join(parts, own).withColumn("_part", F.pmod(F.xxhash64("geom"), F.col("_n")))
+        grouped = dealt.groupBy(*own, "_part").agg(F.collect_list("geom").alias("_g"))
+        pieces = checkpointed(_mapped(grouped, own, together).select(*own, "geom"))
+        cells, crowded, spread = pieces.groupBy(own).count().groupBy(name).agg(F.count("*").alias("cells"), F.max("count").alias("parts")).agg(F.count("*"), F.max("parts"), F.max("cells")).first()
+        if not cells or (crowded == 1 and spread == 1):
+            return G.with_box(pieces.select(name, "geom"))
+        if crowded == 1:
+            pieces = pieces.withColumns({c: F.floor(F.col(c) / 4) for c in own[1:]})
 
 
 def buffer(features: DataFrame, distance: float, srid: int, segments: int = 30) -> DataFrame:
