@@ -277,3 +277,13 @@ def hough_circle_votes(edges: DataFrame, min_radius: int = 1, max_radius: int =
     n = F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy"))
     at = lambda c, g: F.floor(F.round(F.col(c) + F.col("r") * F.col(g) / n, 6) + 0.5).cast("int")
     return every.select("raster_id", at("row", "gy").alias("row"), at("col", "gx").alias("col"), F.abs("r").alias("radius")).groupBy("raster_id", "row", "col", "radius").agg(F.count("*").alias("votes"))
+
+
+def hough_circles(edges: DataFrame, min_radius: int = 1, max_radius: int = 10, threshold: int = 30, min_distance: float = 20) -> DataFrame:
+    """``(raster_id, row, col, radius, votes)``: centres with ``threshold`` votes over all radii, the best of those nearer than ``min_distance``, each with its most voted radius (the least of equals)."""
+    from geoloom.operators.matching import suppressed
+
+    best = F.max_by("radius", F.struct("votes", -F.col("radius"))).alias("radius")
+    centres = hough_circle_votes(edges, min_radius, max_radius).groupBy("raster_id", "row", "col").agg(best, F.sum("votes").cast("double").alias("response")).where(F.col("response") >= threshold)
+    kept = suppressed(centres, min_distance, "round", 10_000).select("raster_id", "row", "col")
+    return centres.join(kept, ["raster_id", "row", "col"]).select("raster_id", "row", "col", "radius", F.col("response").cast("long").alias("votes"))

@@ -264,3 +264,9 @@ def test_dissolve_unites_few_at_a_time(spark, monkeypatch):
         cells = {(x, r["ymin"]) for r in some for x in (r["xmin"], r["xmin"] + 1)}
         assert got[kind] == pytest.approx(len(cells))
     assert len(got) == 2 and max(most) <= 32
+
+
+def test_circles_are_found(spark):
+    rows = {(0, round(y + r * np.sin(t)), round(x + r * np.cos(t)), y, x) for y, x, r in ((40, 40, 10), (80, 85, 7)) for t in np.linspace(0, 2 * np.pi, 200)}
+    edges = spark.createDataFrame([(i, int(a), int(b), int(b - x), int(a - y)) for i, a, b, y, x in rows], "raster_id long, row int, col int, gx int, gy int")
+    assert {(r["row"], r["col"], r["radius"]) for r in segment.hough_circles(edges, 3, 14).collect()} == {(40, 40, 10), (80, 85, 7)}
