@@ -2,7 +2,6 @@
 
 import collections
 import hashlib
-import html
 import re
 import zlib
 
@@ -16,7 +15,6 @@ from tokenizers import Tokenizer
 from geoloom.llm import automata, simple8b
 from geoloom.llm.components import connected_components
 from geoloom.llm.decontaminate import contaminated, decontaminated
-from geoloom.llm.html_text import extracted, main_text
 from geoloom.llm.jaccard import exact_links
 from geoloom.llm.near_dedup import fp_hex, keep_one, near_duplicates, similar_documents
 from geoloom.llm.packing import cut_tail, hilbert_keys, packed
@@ -380,28 +378,6 @@ def test_automata_learn_a_format(spark):
     assert found[99].startswith("format:5:")
 
 
-# 7 ------------------------------------------------------------------------------------
-
-
-def test_html(spark, data):
-    pages = spark.read.parquet(f"{data}/pages.parquet")
-    for r in extracted(pages).join(pages, ["page_id", "url"]).collect():
-        article = re.search(r"(?s)<article>(.*?)</article>", r["html"])[1]
-        parts = [" ".join(html.unescape(re.sub("<br>", " ", re.sub("</?b>", "", x))).split()) for x in re.split("</?(?:p|h1)>", article)]
-        assert r["text"] == "\n\n".join(x for x in parts if x) and r["n_chars"] == len(r["text"])
-
-
-def test_html_shapes(spark):
-    page = """<header><h1>Site</h1><nav><a href=x>Home</a></nav></header><div id="cookie-notice"><p>We use cookies, really, many.</p></div>
-    <div class="wrap"><main><h1>Title</h1><p>One, two &amp; three&nbsp;x <a href=y>link</a></p><div>loose &lt; text<ul><li>a<li>b</ul></div><script>var a="<p>no</p>";</script><!-- <p>no</p> -->
-    <form><p>Email</p></form><section class="comments"><p>First, I say, nice, very nice.</p></section></main><aside><p>Related, more, and more, text here.</p></aside></div><footer><p>Foot, note, long, text, here.</p></footer>"""
-    assert main_text(page) == "Title\n\nOne, two & three x link\n\nloose < text\n\na\n\nb"
-    assert [main_text(x) for x in ("", "plain", "<p>a<p>b", "<!-- x", "<div" * 3, "<nav>x</nav>", "<article></article>")] == ["", "plain", "a\n\nb", "", "<div<div<div", "", ""]
-    df = spark.createDataFrame([(1, "u", None, "old"), (1, "u", "<p>a", "old"), (None, None, "", "old")], "page_id long, url string, html string, text string")
-    assert rows(extracted(df).select("page_id", "url", "text", "n_chars")) == [(1, "u", "", 0), (1, "u", "a", 1), (None, None, "", 0)]
-    assert extracted(df.limit(0)).count() == 0
-
-
 # 8 ------------------------------------------------------------------------------------
 
 
