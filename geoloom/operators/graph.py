@@ -9,10 +9,16 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; a temporary one is set only where the session names none."""
+    """The folder all executors share, from ``spark.checkpoint.dir``.
+
+    A session of one machine (``local``) that names none gets a temporary folder; on a
+    cluster that is an error, as executors could not read each other's files there.
+    """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="geoloom-"))
         named = sc.getCheckpointDir()
     return named if "://" in named or named.startswith("file:") else f"file://{named}"
@@ -28,9 +34,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     """``(node, component)`` for every node with a link; component is the smallest node reachable.
 
     Alternates the large-star and small-star steps (Kiveris et al., 2014): a long
-    chain shrinks by a factor each round, and a hub costs one pre-aggregated minimum,
-    so no node's neighbours meet in one task.  Each round is kept in the shared
-    folder.  Null ends and loops are ignored; an empty table gives no rows.
+    chain shrinks by a factor each round.  A node's least neighbour is a
+    pre-aggregated minimum.  Nodes with over a thousandth of all rows, of which there
+    are under a thousand, get theirs by a broadcast of those few rows, so no task
+    holds all neighbours of a hub.  Each round is kept in the shared folder.  Null
+    ends and loops are ignored; an empty table gives no rows.
     """
     x, y = F.col(a).cast("long"), F.col(b).cast("long")
     links = checkpointed(edges.where(x.isNotNull() & y.isNotNull() & (x != y)).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct())
@@ -38,7 +46,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     for _ in range(max_rounds):
         if seen[0] == 0:
             break
-        links = checkpointed(_small_star(_large_star(links)))
+        links = checkpointed(_small_star(checkpointed(_large_star(links, 2 * seen[0]))))
         now = _signature(links)
         if now == seen:
             break
@@ -54,15 +62,24 @@ def _signature(links: DataFrame) -> tuple:
     return row["n"], row["h"]
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _with_least(links: DataFrame, least: DataFrame, rows: int, share: int = 1000) -> DataFrame:
+    """Links with ``m`` of their ``u``; least: ``(u, m, n)``, n being the rows of that u among ``rows``."""
+    if rows < 10 * share:
+        return links.join(least.drop("n"), "u")
+    hubs = F.broadcast(least.where(F.col("n") > rows / share).select("u", F.col("m").alias("_m")))  # under ``share`` rows
+    told = links.join(hubs, "u", "left")
+    return told.where("_m is not null").select("u", "v", F.col("_m").alias("m")).unionByName(told.where("_m is null").drop("_m").join(least.drop("n"), "u").select("u", "v", "m"))
+
+
+def _large_star(links: DataFrame, rows: int) -> DataFrame:
     """Every larger neighbour of a node is linked to the node's smallest neighbour."""
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+    return _with_least(both.where("v > u"), least, rows).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are linked to the smallest of them."""
-    least = links.groupBy("u").agg(F.min("v").alias("m"))
-    down = links.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    down = _with_least(links, least, links.count()).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return down.unionByName(least.select("u", F.col("m").alias("v"))).distinct()

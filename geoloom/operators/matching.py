@@ -155,12 +155,13 @@ def lsh_matches(queries: DataFrame, train: DataFrame, ratio: float = 0.75, recal
     return ratio_matches(lsh_nearest(queries, train, recall, skip_own=skip_own), ratio)
 
 
-def suppressed(candidates: DataFrame, min_distance: float = 10, shape: str = "square", max_rounds: int = 100) -> DataFrame:
+def suppressed(candidates: DataFrame, min_distance: float = 10, shape: str = "square") -> DataFrame:
     """The candidates ``(raster_id, row, col, response)`` that a greedy pass in order of response keeps, none nearer than ``min_distance`` to a kept one.
 
     In rounds: a point better than all undecided neighbours is kept and its neighbours
-    go; the set is that of the greedy order (ties by row, then column).  Neighbours are
-    found by a grid join, so a round costs no all-pairs comparison.
+    go; the set is that of the greedy order (ties by row, then column).  Each round
+    decides the best point left at least, and rounds go on until all are decided.
+    Neighbours are found by a grid join, so a round costs no all-pairs comparison.
     """
     in_range("min_distance", min_distance, 0)
     if min_distance <= 0:
@@ -177,14 +178,12 @@ def suppressed(candidates: DataFrame, min_distance: float = 10, shape: str = "sq
         own = others.select("raster_id", F.struct(F.floor(F.col("row") / d).alias("cy"), F.floor(F.col("col") / d).alias("cx")).alias("cell"), F.col("row").alias("o_row"), F.col("col").alias("o_col"), F.col("response").alias("o_response"))
         return spread.join(own, ["raster_id", "cell"]).where(close)
 
-    for _ in range(max_rounds):
+    while state.where("kept = 0").limit(1).count():
         undecided = state.where("kept = 0")
         beaten = beside(undecided, undecided).where(better).select("raster_id", "row", "col").distinct()
         won = checkpointed(undecided.join(beaten, ["raster_id", "row", "col"], "left_anti").withColumn("kept", F.lit(1)))
         gone = beside(undecided, won).select("raster_id", "row", "col").distinct()
         state = checkpointed(state.where("kept = 1").unionByName(won).unionByName(undecided.join(gone, ["raster_id", "row", "col"], "left_anti").join(won.select("raster_id", "row", "col"), ["raster_id", "row", "col"], "left_anti")))
-        if not state.where("kept = 0").limit(1).count():
-            break
     return state.where("kept = 1").drop("kept")
 
 
@@ -265,12 +264,45 @@ def solve(model: str, src: np.ndarray, dst: np.ndarray) -> np.ndarray | None:
     return np.array([[p[0], p[1], p[2]], [p[3], p[4], p[5]], [0, 0, 1]]) if model == "affine" else np.append(p, 1).reshape(3, 3)
 
 
+def refit(inliers: DataFrame, model: str) -> np.ndarray | None:
+    """The least-squares matrix of all ``(x1, y1, x2, y2)`` rows; None if they don't fix it.
+
+    Only sums reach the driver: first means and spreads, by which the places are
+    scaled, then the normal equations of the model's 2 to 8 parameters.
+    """
+    names = ("x1", "y1", "x2", "y2")
+    size = inliers.agg(*[f(n).alias(f"{f.__name__}_{n}") for n in names for f in (F.avg, F.stddev_pop)], F.count("*").alias("n")).first()
+    if not size["n"]:
+        return None
+    mean, spread = [size[f"avg_{n}"] for n in names], [max(size[f"stddev_pop_{a}"], size[f"stddev_pop_{b}"]) or 1.0 for a, b in (("x1", "y1"), ("x2", "y2"))]
+    if model == "translation":
+        return np.array([[1, 0, mean[2] - mean[0]], [0, 1, mean[3] - mean[1]], [0, 0, 1.0]])
+    x, y, u, v = ((F.col(n) - mean[k]) / spread[k // 2] for k, n in enumerate(names))
+    zero, one = F.lit(0.0), F.lit(1.0)
+    rows = {
+        "similarity": (([x, -y, one, zero], u), ([y, x, zero, one], v)),
+        "affine": (([x, y, one, zero, zero, zero], u), ([zero, zero, zero, x, y, one], v)),
+        "projective": (([x, y, one, zero, zero, zero, -u * x, -u * y], u), ([zero, zero, zero, x, y, one, -v * x, -v * y], v)),
+    }[model]
+    n = len(rows[0][0])
+    sums = inliers.agg(*[F.sum(sum((r[i] * r[j] for r, _ in rows), zero)).alias(f"h{i}_{j}") for i in range(n) for j in range(i, n)], *[F.sum(sum((r[i] * w for r, w in rows), zero)).alias(f"g{i}") for i in range(n)]).first()
+    h = np.array([[sums[f"h{min(i, j)}_{max(i, j)}"] for j in range(n)] for i in range(n)])
+    if np.linalg.matrix_rank(h, hermitian=True) < n:
+        return None
+    p = np.linalg.solve(h, np.array([sums[f"g{i}"] for i in range(n)]))
+    m = np.array([[p[0], -p[1], p[2]], [p[1], p[0], p[3]], [0, 0, 1]]) if model == "similarity" else np.append(p, [0, 0, 1][n - 9 :] if n < 8 else [1]).reshape(3, 3)
+    before = np.array([[1 / spread[0], 0, -mean[0] / spread[0]], [0, 1 / spread[0], -mean[1] / spread[0]], [0, 0, 1]])
+    after = np.array([[spread[1], 0, mean[2]], [0, spread[1], mean[3]], [0, 0, 1]])
+    m = after @ m @ before
+    return m / m[2, 2]
+
+
 def fit_transform(matches: DataFrame, model: str = "affine", trials: int = 256, tolerance: float = 3.0, sample: int = 4096, seed: int = 1) -> np.ndarray:
     """The matrix that takes ``(x1, y1)`` to ``(x2, y2)`` for most matches (RANSAC).
 
     Hypotheses come from seeded draws of a bounded sample of matches (those with the
     smallest hashes).  All matches then vote in one aggregate, a count for each
-    hypothesis, and the winner is refitted from its inliers' sums.
+    hypothesis, and the winner is refitted to all its inliers (:func:`refit`).
     """
     one_of("model", model, MODELS)
     need = MODELS[model]
@@ -304,8 +336,7 @@ def fit_transform(matches: DataFrame, model: str = "affine", trials: int = 256,
 
     votes = matches.select("x1", "y1", "x2", "y2").mapInPandas(vote, "k int, n long").groupBy("k").agg(F.sum("n").alias("n"))
     best = found[votes.orderBy(F.col("n").desc(), "k").first()["k"]]
-    inliers = matches.where(inside(best)).select("x1", "y1", "x2", "y2").orderBy(F.xxhash64("x1", "y1", "x2", "y2")).limit(sample).toPandas().to_numpy(float)
-    refined = solve(model, inliers[:, :2], inliers[:, 2:]) if len(inliers) >= need else None
+    refined = refit(matches.where(inside(best)), model)
     return best if refined is None else refined
 
 
@@ -318,9 +349,14 @@ def match_keypoints(a: DataFrame, b: DataFrame, ratio: float = 0.75) -> DataFram
     return found.join(named(p, 1), "idx1").join(named(q, 2), "idx2")
 
 
+def registration(reference: DataFrame, moving: DataFrame, model: str = "affine") -> np.ndarray:
+    """The matrix from places of the reference to those of ``moving``, by their keypoints."""
+    return fit_transform(match_keypoints(keypoints(reference), keypoints(moving)), model)
+
+
 def register(reference: DataFrame, moving: DataFrame, height: int, width: int, model: str = "affine", method: str = "bilinear") -> tuple[DataFrame, np.ndarray]:
     """(``moving`` on the reference's grid, the matrix from reference to moving places)."""
-    m = fit_transform(match_keypoints(keypoints(reference), keypoints(moving)), model)
+    m = registration(reference, moving, model)
     return warp(moving, height, width, tuple(float(x) for x in m.ravel()), method), m
 
 
@@ -363,11 +399,25 @@ def ecc_register(reference: DataFrame, moving: DataFrame, height: int, width: in
     return warp(moving, height, width, tuple(float(v) for v in m.ravel()), "bilinear"), m
 
 
-def stitch(images: list[DataFrame], height: int, width: int, model: str = "translation") -> DataFrame:
-    """``(band, row, col, value)``: each image registered to the first on a canvas of its own grid; a later one overwrites."""
+def stitch(images: list[DataFrame], model: str = "translation", method: str = "nearest") -> DataFrame:
+    """``(band, row, col, value)``: images in a chain, each registered to the one before it, on one canvas; a later one overwrites.
+
+    The canvas holds every image whole: its corners are taken to the first image's
+    places, and each image is warped to the box they span.  Rows and columns count
+    from the canvas's upper left corner.
+    """
     in_range("images", len(images), 2)
     from geoloom.operators.mosaic import mosaic
 
-    gt = (0.0, 1.0, 0.0, 0.0, 0.0, -1.0)
-    placed = [(images[0], gt)] + [(register(images[0], im, height, width, model, "nearest")[0], gt) for im in images[1:]]
+    placed, to_image = [], np.eye(3)
+    for k, image in enumerate(images):
+        if k:
+            to_image = registration(images[k - 1], image, model) @ to_image
+        box = image.agg(F.min("col"), F.min("row"), F.max("col") + 1, F.max("row") + 1).first()
+        corners_ = np.linalg.inv(to_image) @ np.array([[box[a], box[b], 1] for a in (0, 2) for b in (1, 3)], float).T
+        at = np.round(corners_[:2] / corners_[2], 6)
+        (x0, y0), (x1, y1) = np.floor(at.min(1)), np.ceil(at.max(1))
+        shift = np.array([[1, 0, x0], [0, 1, y0], [0, 0, 1]])
+        seen = warp(image, int(y1 - y0), int(x1 - x0), tuple(float(v) for v in (to_image @ shift).ravel()), method)
+        placed.append((seen, (float(x0), 1.0, 0.0, -float(y0), 0.0, -1.0)))
     return mosaic(placed)

@@ -181,7 +181,7 @@ def canny(pixels: DataFrame, low: float = 50, high: float = 150) -> DataFrame:
     return grouped.join(strong, "label", "left_semi").select(*KEY, "row", "col")
 
 
-def watershed(pixels: DataFrame, markers: DataFrame, tile: int = TILE, max_rounds: int = 200) -> DataFrame:
+def watershed(pixels: DataFrame, markers: DataFrame, tile: int = TILE) -> DataFrame:
     """``(raster_id, band, row, col, label)``: each pixel gets the marker it is reached from over the lowest pass.
 
     markers: ``(raster_id, band, row, col, label)`` with labels above 0.  Tiles are
@@ -215,14 +215,13 @@ def watershed(pixels: DataFrame, markers: DataFrame, tile: int = TILE, max_round
         changed = [b != a for a, b in zip(before, zip(cost, steps, label, strict=True), strict=True)]
         return pdf.assign(label=label, cost=cost, steps=steps, changed=changed)[core][[x.split()[0] for x in schema.split(", ")]]
 
-    for _ in range(max_rounds):
+    while True:
         span = lambda c: F.explode(F.array_distinct(F.array(*[F.floor((F.col(c) + d) / tile) for d in (-1, 0, 1)])))
         dealt = state.select(*KEY, "row", "col", "value", "label", "cost", "steps").withColumn("ty", span("row")).withColumn("tx", span("col"))
         dealt = dealt.withColumn("core", (F.floor(F.col("row") / tile) == F.col("ty")) & (F.floor(F.col("col") / tile) == F.col("tx")))
         state = checkpointed(dealt.groupBy(*KEY, "ty", "tx").applyInPandas(flood, schema))
-        if not state.where("changed").limit(1).count():
-            break
-    return state.select(*KEY, "row", "col", "label")
+        if not state.where("changed").limit(1).count():  # costs only fall, so this comes
+            return state.select(*KEY, "row", "col", "label")
 
 
 def auto_markers(pixels: DataFrame) -> DataFrame:
@@ -285,5 +284,5 @@ def hough_circles(edges: DataFrame, min_radius: int = 1, max_radius: int = 10, t
 
     best = F.max_by("radius", F.struct("votes", -F.col("radius"))).alias("radius")
     centres = hough_circle_votes(edges, min_radius, max_radius).groupBy("raster_id", "row", "col").agg(best, F.sum("votes").cast("double").alias("response")).where(F.col("response") >= threshold)
-    kept = suppressed(centres, min_distance, "round", 10_000).select("raster_id", "row", "col")
+    kept = suppressed(centres, min_distance, "round").select("raster_id", "row", "col")
     return centres.join(kept, ["raster_id", "row", "col"]).select("raster_id", "row", "col", "radius", F.col("response").cast("long").alias("votes"))

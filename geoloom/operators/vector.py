@@ -48,18 +48,25 @@ def boxes_meet(a: str, b: str) -> Column:
     return (c(a, "xmin") <= c(b, "xmax")) & (c(b, "xmin") <= c(a, "xmax")) & (c(a, "ymin") <= c(b, "ymax")) & (c(b, "ymin") <= c(a, "ymax"))
 
 
+def bounds(features: DataFrame) -> DataFrame:
+    """``(xmin, ymin, xmax, ymax)`` of a layer, one row."""
+    return features.agg(*_span())
+
+
+def _span() -> list[Column]:
+    return [(F.min if c.endswith("min") else F.max)(c).alias(c) for c in BOX]
+
+
 def info(features: DataFrame) -> DataFrame:
     """Count, kind and extent of a layer (one row), with its field names and types."""
     fields = F.lit(", ".join(f"{n}:{t}" for n, t in features.dtypes if n not in ("geom", *BOX)))
-    return features.agg(F.count("*").alias("n"), F.max(F.struct(G.rank(F.col("geom")).alias("r"), F.col("geom.kind").alias("k"))).alias("m"), F.min("xmin").alias("xmin"), F.min("ymin").alias("ymin"), F.max("xmax").alias("xmax"), F.max("ymax").alias("ymax")).select("n", F.col("m.k").alias("kind"), *BOX, fields.alias("fields"))
+    return features.agg(F.count("*").alias("n"), F.max(F.struct(G.rank(F.col("geom")).alias("r"), F.col("geom.kind").alias("k"))).alias("m"), *_span()).select("n", F.col("m.k").alias("kind"), *BOX, fields.alias("fields"))
 
 
-def effective_kind(features: DataFrame, declared: str | None = None) -> str | None:
-    """The declared kind, else that of the first feature that isn't empty."""
-    if declared:
-        return declared
-    row = features.where(~G.is_empty(F.col("geom"))).select(F.col("geom.kind").alias("k")).first()
-    return row["k"] if row else None
+def effective_kind(features: DataFrame, fid: str, declared: str | None = None) -> DataFrame:
+    """``(kind)``, one row: the declared kind, else that of the feature with the least ``fid`` that isn't empty."""
+    kind = F.min_by("geom.kind", fid) if declared is None else F.lit(declared)
+    return features.where(~G.is_empty(F.col("geom"))).agg(kind.alias("kind"))
 
 
 def grid_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, cell: float, most_cells: int = 4096) -> DataFrame:

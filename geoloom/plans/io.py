@@ -15,13 +15,19 @@ from geoloom.sources import io
 from geoloom.sources.fixtures import PIX, RECTS
 
 QUERIES, ORACLES, query = group()
+SCHEMA = "oid long, kind string"
 BACK = f"WITH {RECTS} SELECT oid, kind, round(xmin, 6) AS xmin, round(ymax, 6) AS ymax, round((xmax - xmin) * (ymax - ymin), 6) AS area FROM rects"
 
 
 def _back(spark, sf, fmt: str):
-    path = io.scratch(spark, "features")
-    io.write_features(V.rectangles(X.rects(spark, sf)), path, fmt)
-    got = io.read_features(spark, path, fmt, "oid long, kind string")
+    """Features written as Parquet, converted to the format and read back."""
+    stored, path = io.scratch(spark, "features"), io.scratch(spark, "features")
+    io.write_features(V.rectangles(X.rects(spark, sf)), stored)
+    if fmt == "parquet":
+        path = stored
+    else:
+        io.convert(spark, stored, "parquet", path, fmt, SCHEMA)
+    got = io.read_features(spark, path, fmt, SCHEMA)
     return rounded(got.select("oid", "kind", "xmin", "ymax", G.area(F.col("geom")).alias("area")), "xmin", "ymax", "area")
 
 

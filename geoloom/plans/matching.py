@@ -84,11 +84,11 @@ def k6_ecc_register(spark, sf):
 
     one, width = _strip(spark, sf)
     one = filtered(one, "gaussian", 9, 3.0)
-    out, m = K.ecc_register(one, _moved(one, 1, 1), 64, width, "translation", iterations=4)
+    out, m = K.ecc_register(one, _moved(one, 1, 1), 64, width, "translation")
     return out.withColumns({"dx": F.lit(round(float(m[0, 2]), 2)), "dy": F.lit(round(float(m[1, 2]), 2))})
 
 
 @query()
 def k7_stitch(spark, sf):
-    one, width = _strip(spark, sf)
-    return K.stitch([one, _moved(one, 3, 2)], 64, width)
+    one, _ = _strip(spark, sf)
+    return K.stitch([one, _moved(one, 3, 2)])

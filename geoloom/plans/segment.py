@@ -60,7 +60,7 @@ def c3_watershed(spark, sf):
 
 @query()
 def c4_kmeans(spark, sf):
-    labels, cost = S.kmeans(X.pixels(spark, sf), [1, 2, 3, 4], k=5, max_iter=20)
+    labels, cost = S.kmeans(X.pixels(spark, sf), [1, 2, 3, 4], k=5)
     return labels.withColumn("compactness", F.lit(cost))
 
 

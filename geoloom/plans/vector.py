@@ -59,7 +59,7 @@ def f5_contains_point(spark, sf):
 @query(f"WITH {LINES} SELECT max(CASE WHEN lid IS NOT NULL THEN 'LineString' END) AS kind FROM lines")
 def f7_effective_kind(spark, sf):
     lines = X.lines(spark, sf).withColumn("geom", G.segment(*[F.col(c) for c in ("x0", "y0", "x1", "y1")]))
-    return lines.where(~G.is_empty(F.col("geom"))).agg(F.max_by(F.col("geom.kind"), G.rank(F.col("geom"))).alias("kind"))
+    return V.effective_kind(lines, "lid")
 
 
 @query(f"WITH {RECTS} SELECT count(*) AS n, 'Polygon' AS kind, min(xmin) AS xmin, min(ymin) AS ymin, max(xmax) AS xmax, max(ymax) AS ymax, 'oid:bigint, kind:string' AS fields FROM rects")
@@ -70,7 +70,7 @@ def f10_info(spark, sf):
 @query(f"WITH {POINTS} SELECT min(x) AS xmin, min(y) AS ymin, max(x) AS xmax, max(y) AS ymax FROM points")
 def f11_extent(spark, sf):
     pts = G.with_box(X.points(spark, sf).withColumn("geom", G.point(F.col("x"), F.col("y"))))
-    return pts.agg(F.min("xmin").alias("xmin"), F.min("ymin").alias("ymin"), F.max("xmax").alias("xmax"), F.max("ymax").alias("ymax"))
+    return V.bounds(pts)
 
 
 @query(f"WITH {RECTS} SELECT oid, 'MultiPolygon' AS kind, round((xmax - xmin) * (ymax - ymin), 6) AS area, round(2 * (xmax - xmin + ymax - ymin), 6) AS length, false AS empty, 2 AS rank FROM rects")

@@ -38,14 +38,16 @@ def write_features(features: DataFrame, path: str, fmt: str = "parquet", mode: s
         features.select(*names, G.to_geojson(F.col("geom")).alias("geometry")).write.mode(mode).option("header", True).option("escape", '"').csv(path)
     else:
         pairs = lambda r: F.array_join(F.transform(r, lambda v: F.concat_ws(",", v["x"].cast("string"), v["y"].cast("string"))), " ")
-        part = F.col("geom.parts")[0]
-        of = lambda kind, value: F.when(F.col("geom.kind").isin(kind, f"Multi{kind}"), value)
-        holes = F.transform(F.slice(part, 2, F.greatest(F.size(part) - 1, F.lit(1))), lambda r: F.struct(F.struct(pairs(r).alias("coordinates")).alias("LinearRing")))
+        line = lambda p: F.struct(pairs(p[0]).alias("coordinates"))
+        ring = lambda r: F.struct(F.struct(pairs(r).alias("coordinates")).alias("LinearRing"))
+        area = lambda p: F.struct(ring(p[0]).alias("outerBoundaryIs"), F.transform(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(1))), ring).alias("innerBoundaryIs"))
+        kind, parts = F.col("geom.kind"), F.col("geom.parts")
+        shapes = {"Point": line, "LineString": line, "Polygon": area}
+        several = F.struct(*[F.when(kind == f"Multi{k}", F.transform(parts, f)).alias(k) for k, f in shapes.items()])
         mark = features.select(
             F.to_json(F.struct(*names)).alias("description"),
-            of("Point", F.struct(pairs(part[0]).alias("coordinates"))).alias("Point"),
-            of("LineString", F.struct(pairs(part[0]).alias("coordinates"))).alias("LineString"),
-            of("Polygon", F.struct(F.struct(F.struct(pairs(part[0]).alias("coordinates")).alias("LinearRing")).alias("outerBoundaryIs"), holes.alias("innerBoundaryIs"))).alias("Polygon"),
+            *[F.when(kind == k, f(parts[0])).alias(k) for k, f in shapes.items()],
+            F.when(kind.isin(*[f"Multi{k}" for k in shapes]), several).alias("MultiGeometry"),
         )
         mark.write.mode(mode).format("xml").option("rowTag", "Placemark").option("rootTag", "Document").save(path)
 
@@ -75,13 +77,17 @@ def read_features(spark: SparkSession, path: str, fmt: str, schema: str) -> Data
         table = spark.read.option("header", True).option("escape", '"').schema(f"{schema}, geometry string").csv(path)
         return G.with_box(table.withColumn("geom", G.from_geojson(F.col("geometry"))).drop("geometry"))
     ring = "struct<LinearRing:struct<coordinates:string>>"
-    table = spark.read.format("xml").option("rowTag", "Placemark").schema(f"description string, Point struct<coordinates:string>, LineString struct<coordinates:string>, Polygon struct<outerBoundaryIs:{ring},innerBoundaryIs:array<{ring}>>").load(path)
+    types = {"Point": "struct<coordinates:string>", "LineString": "struct<coordinates:string>", "Polygon": f"struct<outerBoundaryIs:{ring},innerBoundaryIs:array<{ring}>>"}
+    several = ",".join(f"{k}:array<{t}>" for k, t in types.items())
+    table = spark.read.format("xml").option("rowTag", "Placemark").schema(f"description string, {', '.join(f'{k} {t}' for k, t in types.items())}, MultiGeometry struct<{several}>").load(path)
     pts = lambda t: F.transform(F.split(F.trim(t), r"\s+"), lambda s: G.vertex(F.split(s, ",")[0], F.split(s, ",")[1]))
-    shell = F.array(pts(F.col("Polygon.outerBoundaryIs.LinearRing.coordinates")))
-    holes = F.transform(F.coalesce(F.col("Polygon.innerBoundaryIs"), F.array().cast(f"array<{ring}>")), lambda h: pts(h["LinearRing"]["coordinates"]))
-    geom = F.when(F.col("Point").isNotNull(), G.geometry("Point", F.array(F.array(pts(F.col("Point.coordinates"))))))
-    geom = geom.when(F.col("LineString").isNotNull(), G.geometry("LineString", F.array(F.array(pts(F.col("LineString.coordinates"))))))
-    geom = geom.when(F.col("Polygon").isNotNull(), G.geometry("Polygon", F.array(F.concat(shell, holes))))
+    line = lambda g: F.array(pts(g["coordinates"]))
+    none = F.array().cast(f"array<{ring}>")
+    area = lambda g: F.concat(F.array(pts(g["outerBoundaryIs"]["LinearRing"]["coordinates"])), F.transform(F.coalesce(g["innerBoundaryIs"], none), lambda h: pts(h["LinearRing"]["coordinates"])))
+    geom = F.lit(None).cast(G.TYPE)
+    for kind, part in (("Point", line), ("LineString", line), ("Polygon", area)):
+        one, many = F.col(kind), F.col(f"MultiGeometry.{kind}")
+        geom = F.coalesce(F.when(one.isNotNull(), G.geometry(kind, F.array(part(one)))), F.when(F.size(many) > 0, G.geometry(f"Multi{kind}", F.transform(many, part))), geom)
     return G.with_box(_typed(table.withColumn("geom", geom), "description", schema))
 
 
