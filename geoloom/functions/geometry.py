@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TYPE = "struct<kind:string,parts:array<array<array<struct<x:double,y:double>>>>>"
+_BOX = ["xmin", "ymin", "xmax", "ymax"]
 RANKS = {"Point": 0, "MultiPoint": 0, "LineString": 1, "MultiLineString": 1, "Polygon": 2, "MultiPolygon": 2}
 
 
@@ -54,8 +55,7 @@ def map_vertices(geom: Column, f: Callable[[Column, Column], tuple[Column, Colum
 
 def with_box(features: DataFrame, geom: str = "geom") -> DataFrame:
     """Features with their box in xmin, ymin, xmax, ymax; null for empty geometries."""
-    xs, ys = F.transform(vertices(F.col(geom)), lambda v: v["x"]), F.transform(vertices(F.col(geom)), lambda v: v["y"])
-    return features.withColumns({"xmin": F.array_min(xs), "ymin": F.array_min(ys), "xmax": F.array_max(xs), "ymax": F.array_max(ys)})
+    return features.withColumns({f"{a}{c}": F.expr(f"array_{c}(flatten(flatten({geom}.parts)).{a})") for c in ("min", "max") for a in "xy"}).select(*[c for c in features.columns if c not in _BOX], *_BOX)
 
 
 def ring_area(ring: Column) -> Column:
@@ -100,6 +100,21 @@ def promoted(geom: Column) -> Column:
     return F.struct(F.when(k.isin("Point", "LineString", "Polygon"), F.concat(F.lit("Multi"), k)).otherwise(k).alias("kind"), geom["parts"].alias("parts"))
 
 
+def is_box(geom: str = "geom") -> Column:
+    """Whether the area in a column is one rectangle along the axes, told by its five vertices."""
+    ring = f"get(get({geom}.parts, 0), 0)"
+    at_corner = " AND ".join(f"v.{a} IN (array_min({ring}.{a}), array_max({ring}.{a}))" for a in "xy")
+    along = f"forall(sequence(1, 4), k -> (try_element_at({ring}, k).x = try_element_at({ring}, k + 1).x) <> (try_element_at({ring}, k).y = try_element_at({ring}, k + 1).y))"
+    around = f"get({ring}, 0) = get({ring}, 4) AND get({ring}, 0) <> get({ring}, 2) AND get({ring}, 1) <> get({ring}, 3)"
+    return F.expr(f"coalesce({geom}.kind IN ('Polygon', 'MultiPolygon') AND size({geom}.parts) = 1 AND size(get({geom}.parts, 0)) = 1 AND size({ring}) = 5 AND forall({ring}, v -> {at_corner}) AND {along} AND {around}, false)")
+
+
+def box_area(xmin: str, ymin: str, xmax: str, ymax: str) -> Column:
+    """A MultiPolygon of one rectangle from SQL expressions of its sides."""
+    ring = ", ".join(f"named_struct('x', CAST({x} AS DOUBLE), 'y', CAST({y} AS DOUBLE))" for x, y in ((xmin, ymin), (xmax, ymin), (xmax, ymax), (xmin, ymax), (xmin, ymin)))
+    return F.expr(f"named_struct('kind', 'MultiPolygon', 'parts', array(array(array({ring}))))")
+
+
 def contains_point(geom: Column, x: Column, y: Column) -> Column:
     """Whether an area holds a point, by the crossing number over all rings: holes fall out; a point on a left or lower edge is inside."""
 

@@ -21,49 +21,67 @@ def edges_of(rings: Rings) -> np.ndarray:
     return np.concatenate(out) if out else np.empty((0, 4))
 
 
-def inside(points: np.ndarray, edges: np.ndarray) -> np.ndarray:
+def inside(points: np.ndarray, edges: np.ndarray, step: int = 1 << 21) -> np.ndarray:
     """Whether each point is inside by the crossing number."""
-    if not len(edges):
-        return np.zeros(len(points), bool)
-    x, y = points[:, :1], points[:, 1:]
+    out = np.zeros(len(points), bool)
     x0, y0, x1, y1 = edges.T
-    hit = (y0 > y) != (y1 > y)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        at = x0 + (y - y0) * (x1 - x0) / (y1 - y0)
-    return (hit & (x < at)).sum(1) % 2 == 1
+    rise = np.where(y1 == y0, 1, y1 - y0)
+    for k in range(0, len(points) if len(edges) else 0, max(1, step // max(1, len(edges)))):
+        part = slice(k, k + max(1, step // len(edges)))
+        x, y = points[part, :1], points[part, 1:]
+        hit = (y0 > y) != (y1 > y)
+        out[part] = (hit & (x < x0 + (y - y0) * (x1 - x0) / rise)).sum(1) % 2 == 1
+    return out
+
+
+def meeting(lo: np.ndarray, hi: np.ndarray, step: int = 1 << 20):
+    """Pairs (i, j) of boxes that meet, each once, in blocks: by a sweep over the sorted left sides."""
+    order = np.argsort(lo[:, 0], kind="stable")
+    left, right = lo[order], hi[order]
+    upto = np.searchsorted(left[:, 0], right[:, 0], "right")  # boxes that begin before this one ends
+    n = np.maximum(upto - np.arange(len(lo)) - 1, 0)
+    total = np.concatenate([[0], np.cumsum(n)])
+    k = 0
+    while k < len(lo):
+        m = max(int(np.searchsorted(total, total[k] + step, "right")) - 1, k + 1)
+        i = np.repeat(np.arange(k, m), n[k:m])
+        j = i + 1 + np.arange(len(i)) - np.repeat(total[k:m] - total[k], n[k:m])
+        met = (left[i, 1] <= right[j, 1]) & (left[j, 1] <= right[i, 1])
+        yield order[i[met]], order[j[met]]
+        k = m
 
 
 def noded(edges: np.ndarray, grid: float) -> np.ndarray:
     """Edges cut at all crossings and touches, ends on a grid, each piece once, whole pieces only."""
-    cuts: list[list[float]] = [[0.0, 1.0] for _ in edges]
     p, d = edges[:, :2], edges[:, 2:] - edges[:, :2]
-    lo, hi = np.minimum(edges[:, :2], edges[:, 2:]) - grid, np.maximum(edges[:, :2], edges[:, 2:]) + grid
-    for i in range(len(edges)):
-        near = np.flatnonzero((lo[i + 1 :] <= hi[i]).all(1) & (hi[i + 1 :] >= lo[i]).all(1)) + i + 1
-        if not len(near):
-            continue
-        cross = d[i, 0] * d[near, 1] - d[i, 1] * d[near, 0]
-        w = p[near] - p[i]
-        flat = np.abs(cross) <= 1e-12 * (np.hypot(*d[i]) * np.hypot(*d[near].T) + 1e-300)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            t = (w[:, 0] * d[near, 1] - w[:, 1] * d[near, 0]) / cross
-            u = (w[:, 0] * d[i, 1] - w[:, 1] * d[i, 0]) / cross
-        ti, ui = grid / (np.hypot(*d[i]) + 1e-300), grid / (np.hypot(*d[near].T) + 1e-300)
-        for k in np.flatnonzero(~flat & (t >= -ti) & (t <= 1 + ti) & (u >= -ui) & (u <= 1 + ui)):
-            cuts[i].append(float(t[k]))
-            cuts[near[k]].append(float(u[k]))
-        for k in np.flatnonzero(flat):
-            j = near[k]
-            if abs(w[k, 0] * d[i, 1] - w[k, 1] * d[i, 0]) > grid * np.hypot(*d[i]):
-                continue
-            cuts[i] += [float((q - p[i]) @ d[i] / (d[i] @ d[i])) for q in (edges[j, :2], edges[j, 2:])]
-            cuts[j] += [float((q - p[j]) @ d[j] / (d[j] @ d[j])) for q in (edges[i, :2], edges[i, 2:])]
-    pieces = set()
-    for e, step, ts in zip(p, d, cuts, strict=True):
-        ends = sorted(min(max(t, 0.0), 1.0) for t in ts)
-        at = [tuple(np.rint((e + t * step) / grid).astype(np.int64).tolist()) for t in ends]
-        pieces |= {(a, b) if a < b else (b, a) for a, b in zip(at, at[1:], strict=False) if a != b}
-    return np.array([[*a, *b] for a, b in sorted(pieces)], float).reshape(-1, 4) * grid
+    length = np.hypot(*d.T) + 1e-300
+    every = np.arange(len(edges))
+    at, cut = [every, every], [np.zeros(len(edges)), np.ones(len(edges))]
+    for i, j in meeting(np.minimum(edges[:, :2], edges[:, 2:]) - grid, np.maximum(edges[:, :2], edges[:, 2:]) + grid):
+        w = p[j] - p[i]
+        cross = d[i, 0] * d[j, 1] - d[i, 1] * d[j, 0]
+        flat = np.abs(cross) <= 1e-12 * length[i] * length[j]
+        some = np.where(flat, 1.0, cross)
+        t, u = (w[:, 0] * d[j, 1] - w[:, 1] * d[j, 0]) / some, (w[:, 0] * d[i, 1] - w[:, 1] * d[i, 0]) / some
+        ti, ui = grid / length[i], grid / length[j]
+        hit = ~flat & (t >= -ti) & (t <= 1 + ti) & (u >= -ui) & (u <= 1 + ui)
+        at += [i[hit], j[hit]]
+        cut += [t[hit], u[hit]]
+        on = flat & (np.abs(w[:, 0] * d[i, 1] - w[:, 1] * d[i, 0]) <= grid * length[i])
+        for a, b in ((i[on], j[on]), (j[on], i[on])):
+            for q in (edges[b, :2], edges[b, 2:]):
+                at.append(a)
+                cut.append(((q - p[a]) * d[a]).sum(1) / length[a] ** 2)
+    at, cut = np.concatenate(at), np.clip(np.concatenate(cut), 0.0, 1.0)
+    order = np.lexsort((cut, at))
+    at, cut = at[order], cut[order]
+    place = np.rint((p[at] + cut[:, None] * d[at]) / grid).astype(np.int64)
+    a, b = place[:-1], place[1:]
+    keep = (at[:-1] == at[1:]) & (a != b).any(1)
+    a, b = a[keep], b[keep]
+    swap = (a[:, 0] > b[:, 0]) | ((a[:, 0] == b[:, 0]) & (a[:, 1] > b[:, 1]))
+    pieces = np.where(swap[:, None], np.hstack([b, a]), np.hstack([a, b]))
+    return np.unique(pieces, axis=0).reshape(-1, 4).astype(float) * grid
 
 
 def combine(a: Rings, b: Rings, wanted: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Rings:

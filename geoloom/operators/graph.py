@@ -30,6 +30,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_join(big: DataFrame, small: DataFrame, key: list[str], how: str = "inner", most: int = 200_000) -> DataFrame:
+    """``big`` joined with an aggregate that has few rows a key: computed once, counted, and broadcast if it has at most ``most`` rows, so that ``big`` need not move."""
+    small = checkpointed(small)
+    return big.join(F.broadcast(small) if small.limit(most + 1).count() <= most else small, key, how)
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """``(node, component)`` for every node with a link; component is the smallest node reachable.
 
@@ -46,7 +52,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     for _ in range(max_rounds):
         if seen[0] == 0:
             break
-        links = checkpointed(_small_star(checkpointed(_large_star(links, 2 * seen[0]))))
+        links = checkpointed(_small_star(_large_star(links, 2 * seen[0]), seen[0]))
         now = _signature(links)
         if now == seen:
             break
@@ -63,7 +69,7 @@ def _signature(links: DataFrame) -> tuple:
 
 
 def _with_least(links: DataFrame, least: DataFrame, rows: int, share: int = 1000) -> DataFrame:
-    """Links with ``m`` of their ``u``; least: ``(u, m, n)``, n being the rows of that u among ``rows``."""
+    """Links with ``m`` of their ``u``; least: ``(u, m, n)``, n being the rows of that u, of at most ``rows`` in all."""
     if rows < 10 * share:
         return links.join(least.drop("n"), "u")
     hubs = F.broadcast(least.where(F.col("n") > rows / share).select("u", F.col("m").alias("_m")))  # under ``share`` rows
@@ -78,8 +84,8 @@ def _large_star(links: DataFrame, rows: int) -> DataFrame:
     return _with_least(both.where("v > u"), least, rows).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, rows: int) -> DataFrame:
     """A node and its smaller neighbours are linked to the smallest of them."""
     least = links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-    down = _with_least(links, least, links.count()).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    down = _with_least(links, least, rows).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return down.unionByName(least.select("u", F.col("m").alias("v"))).distinct()

@@ -1,88 +1,177 @@
-"""Area overlays: clip, difference, union, dissolve, buffer, repair."""
+"""Area overlays: clip, difference, union, dissolve, buffer, repair.
+
+Rectangles along the axes are overlaid by column expressions.  Only pairs and groups
+with another shape go to numpy, a pair or a bounded group in each row.
+"""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geoloom.functions import arrow_geometry as A
 from geoloom.functions import geometry as G
 from geoloom.functions import polygons as P
 from geoloom.functions.params import in_range
 from geoloom.operators.graph import checkpointed
-from geoloom.operators.project import require_projected
-from geoloom.operators.vector import grid_join, overlap_ratio
+from geoloom.operators.project import require_projected, require_same
+from geoloom.operators.vector import BOX, grid_join, grid_pairs, overlap_ratio
 
-_ARROW = pa.struct([("kind", pa.string()), ("parts", pa.list_(pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))))])
+FAN_IN = 64
 
 
-def _mapped(table: DataFrame, columns: list[str], f: Callable[[dict], tuple], extra: dict[str, tuple[str, pa.DataType]] | None = None) -> DataFrame:
-    """Rows with ``columns`` kept, and a geometry (and ``extra`` columns) from each row's dict; a None geometry drops the row."""
-    extra = extra or {}
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in table.dtypes if c in columns), *(f"{n} {t}" for n, (t, _) in extra.items()), f"geom {G.TYPE}"])
-    order = [c for c in table.columns if c in columns]
+def _names(features: DataFrame) -> list[str]:
+    return [c for c in features.columns if c not in ("geom", *BOX)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = [f(row) for row in b.to_pylist()]
-            keep = [k for k, (g, *_) in enumerate(out) if g is not None]
-            at = pa.array(keep, pa.int64())
-            columns_ = [b.column(c).take(at) for c in order] + [pa.array([out[k][1 + n] for k in keep], t) for n, (_, t) in enumerate(extra.values())]
-            yield pa.RecordBatch.from_arrays([*columns_, pa.array([out[k][0] for k in keep], _ARROW)], [*order, *extra, "geom"])
 
-    return G.with_box(table.mapInArrow(run, schema))
+def rings_of(parts: A.Parts) -> P.Rings:
+    """The rings of an area without their closing vertices."""
+    return [r[:-1] if len(r) > 1 and (r[0] == r[-1]).all() else r for p in parts for r in p if len(r)]
 
 
-def normalized(features: DataFrame) -> DataFrame:
-    """Features with self-crossing areas rebuilt; empty and null geometries go."""
-    names = [c for c in features.columns if c not in ("geom", "xmin", "ymin", "xmax", "ymax")]
-    return _mapped(features.where(~G.is_empty(F.col("geom"))).select(*names, "geom"), names, lambda r: (P.to_struct(P.repaired(P.from_struct(r["geom"]))),))
+def parts_of(rings: P.Rings) -> A.Parts:
+    """Parts of closed rings, each shell with its holes."""
+    return [[np.concatenate([r, r[:1]]) for r in p] for p in P.nested(rings)]
 
 
-def _with_candidates(features: DataFrame, overlay: DataFrame, fid: str, oid: str, cell: float, how: str) -> DataFrame:
-    """Features with ``_others``: the overlay geometries whose boxes meet theirs, found by the grid join."""
-    pairs = grid_join(features, overlay, fid, oid, cell).join(overlay.select(oid, F.col("geom").alias("_o")), oid)
-    return features.join(pairs.groupBy(fid).agg(F.collect_list("_o").alias("_others")), fid, how)
+def _shaped(table: DataFrame, columns: list[str], shapes: list[str], work: Callable[..., P.Rings]) -> DataFrame:
+    """``columns`` of each row and the MultiPolygon that ``work`` makes of its geometry columns ``shapes``; rows with nothing left go.
 
+    A column of arrays of geometries is given as a list of areas.
+    """
+    types = dict(table.dtypes)
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in columns), f"geom {G.TYPE}"])
 
-def _names(features: DataFrame) -> list[str]:
-    return [c for c in features.columns if c not in ("geom", "xmin", "ymin", "xmax", "ymax")]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            given = []
+            for c in shapes:
+                column = b.column(c)
+                several = pa.types.is_list(column.type) or pa.types.is_large_list(column.type)
+                given.append([[rings_of(p) for p in x] for x in A.lists_of(column)] if several else [rings_of(p) for p in A.parts_of(column)])
+            out = [parts_of(work(*row)) for row in zip(*given, strict=True)]
+            keep = [k for k, parts in enumerate(out) if parts]
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in columns), A.geometries("MultiPolygon", [out[k] for k in keep])], [*columns, "geom"])
 
+    return table.select(*columns, *[c for c in shapes if c not in columns]).mapInArrow(run, schema)
 
-def clip(features: DataFrame, overlay: DataFrame, fid: str, oid: str, cell: float) -> DataFrame:
-    """Features within the merged overlay: attributes stay, geometry is the common part, features off it go."""
-    near = _with_candidates(features, overlay, fid, oid, cell, "inner").select(*_names(features), "geom", "_others")
-    return _mapped(near, _names(features), lambda r: (P.to_struct(P.union_all([P.intersection(P.from_struct(r["geom"]), P.repaired(P.from_struct(o))) for o in r["_others"]])),))
 
+def normalized(features: DataFrame) -> DataFrame:
+    """Features with self-crossing areas rebuilt; empty and null geometries go.  Rectangles need no repair."""
+    names = _names(features)
+    v = features.where(~G.is_empty(F.col("geom"))).select(*names, "geom")
+    box = G.is_box()
+    fine = v.where(box).withColumn("geom", G.promoted(F.col("geom")))
+    return G.with_box(fine.unionByName(_shaped(v.where(~box), names, ["geom"], P.repaired)))
 
-def difference(features: DataFrame, overlay: DataFrame, fid: str, oid: str, cell: float) -> DataFrame:
-    """Features less the overlay: those off it stay unchanged, those within it and null geometries go."""
-    near = _with_candidates(features.where(~G.is_empty(F.col("geom"))), overlay, fid, oid, cell, "left").select(*_names(features), "geom", "_others")
 
-    def cut(r: dict) -> tuple:
-        if not r["_others"]:
-            return (r["geom"],)
-        return (P.to_struct(P.difference(P.from_struct(r["geom"]), P.union_all([P.repaired(P.from_struct(o)) for o in r["_others"]]))),)
+def _marked(features: DataFrame, fid: str) -> DataFrame:
+    """``(fid, geom, box, box_only)`` of the features that have a geometry."""
+    return features.where(~G.is_empty(F.col("geom"))).select(fid, "geom", *BOX, G.is_box().alias("box_only"))
 
-    return _mapped(near, _names(features), cut)
 
+def united(pieces: DataFrame, keys: list[str], fan_in: int = FAN_IN) -> DataFrame:
+    """``(keys.., geom)``: the union of each key's areas ``geom`` as a MultiPolygon.
 
-def union(features: DataFrame, overlay: DataFrame, fid: str, oid: str, cell: float, keep_attributes: bool = False) -> DataFrame:
-    """``(fid, source, geom)``: each feature united with all overlay shapes near it (``union``) if it touches any, else itself (``input``)."""
-    names = _names(features) if keep_attributes else [fid]
-    near = _with_candidates(features, overlay, fid, oid, cell, "left").select(*names, "geom", "_others")
+    Keys of up to ``fan_in`` areas are united in one step.  The areas of others are
+    dealt to parts of about that many by their hash, and the parts united in rounds,
+    so a step never gathers more.  A key of one area, and rectangles that lie apart,
+    need no arrangement.
+    """
+    in_range("fan_in", fan_in, 2)
+    pieces = checkpointed(pieces.select(*keys, "geom"))
+    done = None
+    while True:
+        sizes = pieces.groupBy(*keys).agg(F.count("*").alias("_n"))
+        crowded = checkpointed(sizes.where(F.col("_n") > fan_in).select(*keys, F.ceil(F.col("_n") / fan_in).cast("int").alias("_m")))
+        if not crowded.limit(1).count():
+            last = _merged(pieces, keys)
+            return last if done is None else done.unionByName(last)
+        calm = _merged(pieces.join(crowded, _same(keys, pieces, crowded), "left_anti"), keys)
+        done = calm if done is None else done.unionByName(calm)
+        named = crowded.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+        dealt = pieces.join(named, _same(keys, pieces, named, [f"_k{i}" for i in range(len(keys))])).select(*keys, "geom", F.pmod(F.xxhash64("geom"), F.col("_m")).alias("_part"))
+        pieces = checkpointed(_merged(dealt.dropDuplicates([*keys, "_part", "geom"]), [*keys, "_part"]).select(*keys, "geom"))
+
+
+def _same(keys: list[str], a: DataFrame, b: DataFrame, named: list[str] | None = None):
+    out = F.lit(True)
+    for k, n in zip(keys, named or keys, strict=True):
+        out = out & a[k].eqNullSafe(b[n])
+    return out
+
+
+def _merged(pieces: DataFrame, keys: list[str]) -> DataFrame:
+    """One step of :func:`united`: each key's areas in one row."""
+    v = G.with_box(pieces).withColumn("box_only", G.is_box())
+    grouped = v.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*BOX, "geom", "box_only"))).alias("_s"))
+    apart = "forall(sequence(1, size(_s)), k -> forall(slice(_s, k + 1, size(_s)), o -> o.xmin > element_at(_s, k).xmax OR o.xmax < element_at(_s, k).xmin OR o.ymin > element_at(_s, k).ymax OR o.ymax < element_at(_s, k).ymin))"
+    easy = F.expr(f"size(_s) = 1 OR (forall(_s, s -> s.box_only) AND {apart})")
+    told = grouped.select(*keys, easy.alias("_easy"), F.expr("_s.geom").alias("_g"))
+    plain = told.where("_easy").select(*keys, G.geometry("MultiPolygon", F.expr("flatten(_g.parts)")).alias("geom"))
+    return plain.unionByName(_shaped(told.where("not _easy"), keys, ["_g"], lambda g: P.union_all(g)))
+
+
+def _pieces(own: DataFrame, others: DataFrame, fid: str, oid: str, cell: float) -> DataFrame:
+    """``(fid, geom)``: the part of each feature in each overlay shape, a row for each pair that has one."""
+    near = checkpointed(grid_pairs(own, others, fid, oid, cell, keep=("box_only",)))
+    x0, y0, x1, y1 = (f"{'greatest' if c.endswith('min') else 'least'}(a_{c}, b_{c})" for c in BOX)
+    boxes = near.where(f"a_box_only AND b_box_only AND {x1} > {x0} AND {y1} > {y0}").select(F.col("a_id").alias(fid), G.box_area(x0, y0, x1, y1).alias("geom"))
+    rest = near.where("NOT (a_box_only AND b_box_only)").select(F.col("a_id").alias(fid), F.col("b_id").alias("_oid"))
+    rest = rest.join(own.select(fid, "geom"), fid).join(others.select(F.col(oid).alias("_oid"), F.col("geom").alias("_o")), "_oid")
+    return boxes.unionByName(_shaped(rest, [fid], ["geom", "_o"], P.intersection))
+
+
+def _overlay(overlay: DataFrame, oid: str) -> DataFrame:
+    """Overlay shapes, repaired once and kept."""
+    return checkpointed(_marked(normalized(overlay), oid))
+
+
+def clip(features: DataFrame, overlay: DataFrame, fid: str, oid: str, cell: float, srid: int | None = None, overlay_srid: int | None = None) -> DataFrame:
+    """Features within the merged overlay: attributes stay, geometry is the common part, features off it go.
+
+    ``fid`` and ``oid`` number the rows of each table.  Layers of different CRS are refused.
+    """
+    require_same(srid, overlay_srid)
+    common = united(_pieces(_marked(features, fid), _overlay(overlay, oid), fid, oid, cell), [fid])
+    return G.with_box(features.select(*_names(features)).join(common, fid).select(*_names(features), "geom"))
 
-    def joined(r: dict) -> tuple:
-        own = P.from_struct(r["geom"])
-        others = P.union_all([P.repaired(P.from_struct(o)) for o in r["_others"] or []])
-        if not others or not touches(own, others):
-            return r["geom"], "input"
-        return P.to_struct(P.union(own, others)), "union"
 
-    return _mapped(near, names, joined, {"source": ("string", pa.string())})
+def difference(features: DataFrame, overlay: DataFrame, fid: str, oid: str, cell: float, srid: int | None = None, overlay_srid: int | None = None) -> DataFrame:
+    """Features less the overlay: those off it stay unchanged, those within it and null geometries go."""
+    require_same(srid, overlay_srid)
+    names, own = _names(features), _marked(features, fid)
+    taken = united(_pieces(own, _overlay(overlay, oid), fid, oid, cell), [fid]).select(fid, F.col("geom").alias("_cut"))
+    both = features.where(~G.is_empty(F.col("geom"))).select(*names, "geom").join(taken, fid, "left")
+    whole = G.is_box() & (G.area(F.col("_cut")) >= G.area(F.col("geom")) * (1 - 1e-12))
+    alone = both.where("_cut is null").select(*names, "geom")
+    cut = _shaped(both.where(F.col("_cut").isNotNull() & ~whole), names, ["geom", "_cut"], P.difference)
+    return G.with_box(alone.unionByName(cut))
+
+
+def union(features: DataFrame, overlay: DataFrame, fid: str, oid: str, cell: float, keep_attributes: bool = False, srid: int | None = None, overlay_srid: int | None = None) -> DataFrame:
+    """``(fid, source, geom)``: each feature united with all overlay shapes whose boxes meet its own (``union``) if it touches any, else itself (``input``)."""
+    require_same(srid, overlay_srid)
+    names = _names(features) if keep_attributes else [fid]
+    own, others = _marked(features, fid), _overlay(overlay, oid)
+    near = checkpointed(grid_pairs(own, others, fid, oid, cell, keep=("box_only",)))
+    shapes = near.where("b_box_only").select(F.col("a_id").alias(fid), G.box_area(*[f"b_{c}" for c in BOX]).alias("geom"))
+    others_ = near.where("not b_box_only").select(F.col("a_id").alias(fid), F.col("b_id").alias("_oid")).join(others.select(F.col(oid).alias("_oid"), "geom"), "_oid").select(fid, "geom")
+    around = united(shapes.unionByName(others_), [fid]).select(fid, F.col("geom").alias("_all"))
+    sure = near.where("a_box_only and b_box_only").select(F.col("a_id").alias(fid)).distinct().withColumn("_sure", F.lit(True))
+    both = features.select(*names, "geom").join(around, fid, "left").join(sure, fid, "left")
+    alone = both.where("_all is null").select(*names, F.lit("input").alias("source"), "geom")
+    joined = _shaped(both.where("_sure").withColumn("source", F.lit("union")), [*names, "source"], ["geom", "_all"], P.union)
+    doubtful = both.where("_all is not null and _sure is null")
+    met = _shaped(doubtful.withColumn("source", F.lit("union")), [*names, "source"], ["geom", "_all"], lambda a, b: P.union(a, b) if touches(a, b) else [])
+    apart = doubtful.join(met.select(F.col(fid).alias("_met")), F.col(fid) == F.col("_met"), "left_anti").select(*names, F.lit("input").alias("source"), "geom")
+    return G.with_box(alone.unionByName(joined).unionByName(met).unionByName(apart))
 
 
 def touches(a: P.Rings, b: P.Rings) -> bool:
@@ -115,40 +204,35 @@ def require_simple_overlay(overlay: DataFrame, oid: str, cell: float, least: int
         raise ValueError(f"overlay shapes overlap too much for a line union: {row['ratio']:.2f}")
 
 
-def dissolve(features: DataFrame, field: str | None = None, cell: float = 16.0, fan_in: int = 64) -> DataFrame:
+def dissolve(features: DataFrame, field: str | None = None, cell: float = 16.0, fan_in: int = FAN_IN, srid: int | None = None) -> DataFrame:
     """``(field, geom)``: the union of each group as a MultiPolygon, null keys as an empty text; without a field, of all.
 
     In rounds over a grid of cells of a key, where a piece lies in the cell of its
     lower left corner.  The cells start so small that the most crowded ``cell`` would
-    hold about ``fan_in`` features in each, if they were spread evenly.  A round deals
-    the pieces of a cell to parts of about ``fan_in`` by their hash and unites each
-    part; when no cell has two parts, four by four cells become one, until each key
-    has one piece.  Equal geometries of a key count once.
+    hold about ``fan_in`` features in each, if they were spread evenly.  A round unites
+    the pieces of each cell (:func:`united`); then four by four cells become one, until
+    each key has one piece.  Equal geometries of a key count once.  A geographic CRS is
+    refused.
     """
+    if srid is not None:
+        require_projected(srid)
     if field is not None and field not in features.columns:
         raise ValueError(f"no field {field!r}")
     in_range("cell", cell, 0, open_low=True)
-    in_range("fan_in", fan_in, 2)
     key = F.coalesce(F.col(field).cast("string"), F.lit("")) if field else F.lit("")
     name = field or "group"
     own = [name, "_cx", "_cy"]
-    v = features.where(~G.is_empty(F.col("geom"))).select(key.alias(name), "geom", F.floor(F.col("xmin") / cell).alias("_cx"), F.floor(F.col("ymin") / cell).alias("_cy"), "xmin", "ymin").dropDuplicates([name, "geom"])
+    v = normalized(features.withColumn("_k", key).select(F.col("_k").alias(name), "geom")).dropDuplicates([name, "geom"])
     v = checkpointed(v)
-    most = v.groupBy(own).count().agg(F.max("count")).first()[0] or 0
+    most = v.groupBy(name, F.floor(F.col("xmin") / cell), F.floor(F.col("ymin") / cell)).count().agg(F.max("count")).first()[0] or 0
     fine = cell / 2 ** min(10, max(0, math.ceil(math.log(max(1, most) / fan_in, 4))))
     low = v.agg(F.min(F.floor(F.col("xmin") / fine)).alias("x"), F.min(F.floor(F.col("ymin") / fine)).alias("y")).first()
     pieces = v.select(name, "geom", *[(F.floor(F.col(c) / fine) - F.lit(low[k])).alias(f"_c{k}") for c, k in (("xmin", "x"), ("ymin", "y"))])
-    together = lambda r: (P.to_struct(P.union_all([P.repaired(P.from_struct(g)) for g in r["_g"]])),)
     while True:
-        parts = pieces.groupBy(own).agg(F.ceil(F.count("*") / fan_in).cast("int").alias("_n"))
-        dealt = pieces.join(parts, own).withColumn("_part", F.pmod(F.xxhash64("geom"), F.col("_n")))
-        grouped = dealt.groupBy(*own, "_part").agg(F.collect_list("geom").alias("_g"))
-        pieces = checkpointed(_mapped(grouped, own, together).select(*own, "geom"))
-        cells, crowded, spread = pieces.groupBy(own).count().groupBy(name).agg(F.count("*").alias("cells"), F.max("count").alias("parts")).agg(F.count("*"), F.max("parts"), F.max("cells")).first()
-        if not cells or (crowded == 1 and spread == 1):
+        pieces = checkpointed(united(pieces, own, fan_in))
+        if (pieces.groupBy(name).count().agg(F.max("count")).first()[0] or 1) == 1:
             return G.with_box(pieces.select(name, "geom"))
-        if crowded == 1:
-            pieces = pieces.withColumns({c: F.floor(F.col(c) / 4) for c in own[1:]})
+        pieces = pieces.withColumns({c: F.floor(F.col(c) / 4) for c in own[1:]})
 
 
 def buffer(features: DataFrame, distance: float, srid: int, segments: int = 30) -> DataFrame:
@@ -157,12 +241,18 @@ def buffer(features: DataFrame, distance: float, srid: int, segments: int = 30)
     in_range("segments", segments, 1)
     names = _names(features)
     v = features.where(~G.is_empty(F.col("geom"))).select(*names, "geom")
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in v.dtypes if c != "geom"), f"geom {G.TYPE}"])
 
-    def widen(r: dict) -> tuple:
-        parts = [P.from_struct({"parts": [part]}, areas="Polygon" in r["geom"]["kind"]) for part in r["geom"]["parts"]]
-        return (P.to_struct(P.buffer(r["geom"]["kind"], parts, distance, segments)),)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kinds = b.column("geom").flatten()[0].to_pylist()
+            given = [[rings_of([p]) if "Polygon" in k else p for p in parts] for k, parts in zip(kinds, A.parts_of(b.column("geom")), strict=True)]
+            out = [parts_of(P.buffer(k, parts, distance, segments)) for k, parts in zip(kinds, given, strict=True)]
+            keep = [n for n, parts in enumerate(out) if parts]
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in names), A.geometries("MultiPolygon", [out[n] for n in keep])], [*names, "geom"])
 
-    return _mapped(v, names, widen)
+    return G.with_box(v.mapInArrow(run, schema))
 
 
 def buffer_report(features: DataFrame, buffered: DataFrame, distance: float) -> DataFrame:

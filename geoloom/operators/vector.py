@@ -70,7 +70,12 @@ def effective_kind(features: DataFrame, fid: str, declared: str | None = None) -
 
 
 def grid_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, cell: float, most_cells: int = 4096) -> DataFrame:
-    """``(left_id, right_id)`` of all features whose boxes meet (closed intervals).
+    """``(left_id, right_id)`` of all features whose boxes meet (closed intervals); see :func:`grid_pairs`."""
+    return grid_pairs(left, right, left_id, right_id, cell, most_cells).select(F.col("a_id").alias(left_id), F.col("b_id").alias(right_id))
+
+
+def grid_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, cell: float, most_cells: int = 4096, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(a_id, a_xmin .. a_ymax, b_id, b_xmin .. b_ymax)`` of all features whose boxes meet, with both boxes and the columns ``keep`` of each side.
 
     Each box is dealt to the grid cells it covers and the sides are joined on the cell.
     A pair is kept only in the cell of the lower left corner of the boxes' common
@@ -81,7 +86,7 @@ def grid_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, ce
     in_range("cell", cell, 0, open_low=True)
 
     def named(t: DataFrame, p: str, i: str) -> DataFrame:
-        return t.select(F.col(i).alias(f"{p}_id"), *[F.col(c).alias(f"{p}_{c}") for c in BOX]).where(f"{p}_xmin is not null")
+        return t.select(F.col(i).alias(f"{p}_id"), *[F.col(c).alias(f"{p}_{c}") for c in (*BOX, *keep)]).where(f"{p}_xmin is not null")
 
     a, b = named(left, "a", left_id), named(right, "b", right_id)
 
@@ -96,7 +101,7 @@ def grid_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, ce
     def met(x: DataFrame, y: DataFrame, size: float) -> DataFrame:
         at = lambda c: F.floor(F.greatest(f"a_{c}", f"b_{c}") / size)
         both = dealt(x, "a", size).join(dealt(y, "b", size), ["cx", "cy"])
-        return both.where(boxes_meet("a", "b") & (at("xmin") == F.col("cx")) & (at("ymin") == F.col("cy"))).select(F.col("a_id").alias(left_id), F.col("b_id").alias(right_id))
+        return both.where(boxes_meet("a", "b") & (at("xmin") == F.col("cx")) & (at("ymin") == F.col("cy"))).drop("cx", "cy")
 
     fine = met(a.where(~large("a")), b.where(~large("b")), cell)
     coarse = met(a.where(large("a")), b, cell * 64).unionByName(met(a.where(~large("a")), b.where(large("b")), cell * 64))
