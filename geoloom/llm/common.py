@@ -12,10 +12,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.operators.graph import checkpointed, shared_dir
+from geoloom.operators.graph import checkpointed, shared_dir, skew_join
 
-
-__all__ = ["bit_table", "byte_slices", "checkpointed", "crc32_of_id", "doc_columns", "marked", "scratch_path", "shared_dir", "text_bytes", "tidy"]
+__all__ = ["bit_table", "byte_slices", "checkpointed", "crc32_of_id", "discard", "doc_columns", "marked", "parted", "row_key", "scratch_path", "shared_dir", "skew_join", "text_bytes", "tidy"]
 
 
 def scratch_path(spark: SparkSession, what: str) -> str:
@@ -23,6 +22,12 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder that :func:`scratch_path` named, once nothing reads it any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def doc_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns an operator needs, under fixed names; all others, clashing or not, are left out."""
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
@@ -83,3 +88,25 @@ def marked(table: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
     """Whether each 64-bit key is marked in a :func:`bit_table`."""
     slot = keys >> np.uint64(64 - bits)
     return ((table[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+
+
+def row_key(id_col: str = "doc_id", hash_col: str = "text_hash") -> Column:
+    """One 64-bit key of a row's id, which may be null, and its text's hash."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(hash_col))
+
+
+def parted(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 26) -> tuple[DataFrame, DataFrame]:
+    """(rows of ``docs`` whose :func:`row_key` surely isn't among ``keys``, the other rows): both with ``_id`` and ``_hash``, id and text hash.
+
+    keys: ``(key)``.  A bit table of fixed size (8 MB as set) tells them apart where the
+    rows lie, so that texts which nothing is known of need not move.  The other rows
+    may hold some whose key isn't listed: the fuller the table, the more.
+    """
+    table = docs.sparkSession.sparkContext.broadcast(bit_table(keys.select("key"), bits))
+
+    def listed(key: pa.Array) -> pa.Array:
+        return pa.array(marked(table.value, key.to_numpy(zero_copy_only=False).view(np.uint64), bits))
+
+    told = docs.withColumns({"_id": F.col(f"`{id_col}`").cast("long"), "_hash": F.xxhash64(F.col(f"`{text_col}`").cast("string"))})
+    flag = F.arrow_udf(listed, "boolean")(row_key("_id", "_hash"))
+    return told.where(~flag), told.where(flag)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_table, byte_slices, doc_columns, marked, text_bytes, tidy
+from .common import bit_table, byte_slices, doc_columns, marked, row_key, text_bytes, tidy
 from .simhash import shingle_hashes, words_of
 from .wordhash import ragged
 
@@ -59,35 +59,40 @@ def exact_links(ids: np.ndarray, tokens: np.ndarray, offsets: np.ndarray, simila
 
 
 def verified_links(docs: DataFrame, candidates: DataFrame, shingle: int, similarity: float, part_bytes: int = 1 << 22, filter_bits: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(a, b)`` links between ids whose texts have that similarity, within each candidate group.
-
-    candidates: ``(node long, component long, n long)``, the ids to compare, their
-    groups and about how many shingles each has.  The texts of those ids are read
-    again; a bit table of fixed size passes over most others before anything moves
-    (a false mark costs work only).  Small groups share tasks of about ``part_bytes``
-    of shingle hashes.  A group beyond that is dealt as pairs of salted parts, so
-    every pair of its rows meets in a task and no task holds it whole.
+    """``(a, b)`` links between nodes whose texts have that similarity, within each candidate group.
+
+    candidates: ``(node long, component long, n long, doc_id long, text_hash long)``: the
+    nodes to compare, their groups, about how many shingles each has, and a row that
+    has its text.  The texts of those rows are read again; a bit table of fixed size
+    passes over most others before anything moves (a false mark costs work only), and
+    a task reads a repeated row once.  Small groups share tasks of about
+    ``part_bytes`` of shingle hashes.  A group beyond that is dealt as pairs of
+    salted parts, so every pair of its rows meets in a task and no task holds it
+    whole; the work of one such group grows with the square of its distinct texts.
     """
     spark = docs.sparkSession
     sizes = candidates.groupBy("component").agg(F.sum("n").alias("total"))
     whole = sizes.agg(F.sum("total")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-8 * whole // part_bytes))
-    wanted = spark.sparkContext.broadcast(bit_table(candidates.select(F.xxhash64("node").alias("key")), filter_bits))
+    wanted = spark.sparkContext.broadcast(bit_table(candidates.select(row_key().alias("key")), filter_bits))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            b = batch.filter(pa.array(marked(wanted.value, batch.column("key").to_numpy().view(np.uint64), filter_bits)))
+            keys = batch.column("key").to_numpy()
+            fresh = [k for k in np.flatnonzero(marked(wanted.value, keys.view(np.uint64), filter_bits)).tolist() if not (keys[k] in seen or seen.add(keys[k]))]
+            b = batch.take(pa.array(fresh, pa.int64()))
             for part in byte_slices(b, "text"):
                 sets = [np.unique(shingle_hashes(words_of(raw), shingle)).tobytes() for raw in text_bytes(part.column("text"))]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], ["node", "tokens"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(sets, pa.binary())], ["_id", "_hash", "tokens"])
         tidy()
 
-    own = doc_columns(docs, id_col, text_col).where("doc_id is not null").withColumn("key", F.xxhash64("doc_id"))
-    sets = own.mapInArrow(read, "node long, tokens binary")
+    own = doc_columns(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text")).withColumn("key", row_key())
+    sets = own.mapInArrow(read, "_id long, _hash long, tokens binary")
     parts = F.ceil(8 * F.col("total") / part_bytes).cast("int")
-    dealt = candidates.join(sizes, "component").select("node", "component", F.greatest(F.lit(1), parts).alias("m"))
-    dealt = dealt.select("node", "component", "m", F.pmod(F.xxhash64("node", F.lit(5)), F.col("m")).cast("int").alias("s"))
-    rows = sets.join(dealt, "node").withColumn("t", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    dealt = candidates.join(sizes, "component").select("doc_id", "text_hash", "node", "component", F.greatest(F.lit(1), parts).alias("m"))
+    dealt = dealt.select("doc_id", "text_hash", "node", "component", "m", F.pmod(F.xxhash64("node", F.lit(5)), F.col("m")).cast("int").alias("s"))
+    rows = sets.join(dealt, sets["_id"].eqNullSafe(dealt["doc_id"]) & (sets["_hash"] == dealt["text_hash"])).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
     group = F.when(F.col("m") > 1, F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(buckets)))
     rows = rows.select("node", "component", "tokens", (F.col("m") > 1).alias("hot"), group.alias("g"), F.least("s", "t").alias("p"), F.greatest("s", "t").alias("q"))
 

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import byte_slices, doc_columns, text_bytes, tidy
 
@@ -60,7 +61,7 @@ def set_hash(unique: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, bits: int = 64, distinct: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, fp)`` for every row; fp is binary, ``bits / 8`` bytes.
+    """``(doc_id, text_hash, fp)`` for every row; fp is binary, ``bits / 8`` bytes.
 
     Whole texts are read.  Null and empty texts get the zero fingerprint.  With
     ``distinct`` a repeated shingle votes once, and ``(set_hash, n)`` of the set of
@@ -80,10 +81,11 @@ def fingerprints(docs: DataFrame, shingle: int = 3, bits: int = 64, distinct: bo
                     hashes.append(set_hash(h))
                     sizes.append(len(h))
                 fps.append(fingerprint(h, n_words))
-            columns, names = [b.column("doc_id"), pa.array(fps, pa.binary())], ["doc_id", "fp"]
+            columns, names = [b.column("doc_id"), b.column("text_hash"), pa.array(fps, pa.binary())], ["doc_id", "text_hash", "fp"]
             if distinct:
                 columns, names = [*columns, pa.array(hashes, pa.int64()), pa.array(sizes, pa.int64())], [*names, "set_hash", "n"]
             yield pa.RecordBatch.from_arrays(columns, names)
         tidy()
 
-    return doc_columns(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp binary" + ", set_hash long, n long" * distinct)
+    own = doc_columns(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
+    return own.mapInArrow(run, "doc_id long, text_hash long, fp binary" + ", set_hash long, n long" * distinct)
