@@ -10,11 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_table, byte_slices, checkpointed, doc_columns, marked, tidy
+from .common import bit_table, byte_slices, checkpointed, doc_columns, marked, parted, row_key, skew_join, tidy
 from .wordhash import column_words, scrambled, window_hashes
 
 U = np.uint64
 BLOCKS, BLOCK_BITS = 8, 8
+ITEM = ["item_id", "item_hash"]
 
 
 def window_fingerprints(h: np.ndarray) -> np.ndarray:
@@ -36,30 +37,34 @@ def sized(keys: np.ndarray, words: int) -> np.ndarray:
 
 
 def item_shingles(items: DataFrame, shingle: int, item_col: str, text_col: str) -> DataFrame:
-    """``(item_id, words, key, n)``: each distinct shingle of each item and how often it occurs; items without words have none."""
+    """``(item_id, item_hash, words, key, n)``: each distinct shingle of each item and how often it occurs; items without words have none.
+
+    An item is an id with a text (``item_hash``): texts under one id are items of their own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             _, _, _, first, h = column_words(b.column("text"), lower=True)
             rows = []
-            for d, item in enumerate(b.column("item_id").to_pylist()):
+            for d, (item, text) in enumerate(zip(b.column("item_id").to_pylist(), b.column("item_hash").to_pylist(), strict=True)):
                 own = h[first[d] : first[d + 1]]
                 if len(own):
                     keys, n = np.unique(window_hashes(own, min(shingle, len(own))), return_counts=True)
-                    rows += [(item, len(own), k, c) for k, c in zip(keys.view(np.int64).tolist(), n.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in list(zip(*rows, strict=True)) or [()] * 4], ["item_id", "words", "key", "n"])
+                    rows += [(item, text, len(own), k, c) for k, c in zip(keys.view(np.int64).tolist(), n.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in list(zip(*rows, strict=True)) or [()] * 5], [*ITEM, "words", "key", "n"])
 
     own = items.select(F.col(f"`{item_col}`").cast("long").alias("item_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return own.where("item_id is not null").dropDuplicates(["item_id"]).mapInArrow(run, "item_id long, words long, key long, n long")
+    own = own.where("item_id is not null").withColumn("item_hash", F.xxhash64("text")).dropDuplicates(ITEM)
+    return own.mapInArrow(run, "item_id long, item_hash long, words long, key long, n long")
 
 
 def profile_items(shingles: DataFrame, similarity: float) -> DataFrame:
-    """``(item_id, words, fp, keys, counts, weights, needed)``, one row for each item.
+    """``(item_id, item_hash, words, fp, keys, counts, weights, needed)``, one row for each item.
 
     A shingle weighs one over the number of items that hold it.  needed: the fewest
     shingles a window must share to be similar, whichever they are.
     """
-    weighed = shingles.join(shingles.groupBy("key").agg((1.0 / F.countDistinct("item_id")).alias("w")), "key")
+    weighed = shingles.join(shingles.groupBy("key").agg((1.0 / F.count("*")).alias("w")), "key")
 
     def profile(table: pa.Table) -> pa.Table:
         keys, n, w = (table.column(c).to_numpy() for c in ("key", "n", "w"))
@@ -70,12 +75,12 @@ def profile_items(shingles: DataFrame, similarity: float) -> DataFrame:
         needed = len(spare) - int((spare <= (1 - similarity) * spare[-1] + 1e-9).sum())
         return pa.table(
             {
-                "item_id": table.column("item_id").slice(0, 1), "words": table.column("words").slice(0, 1), "fp": pa.array([int(fp.view(np.int64))]),
+                **{c: table.column(c).slice(0, 1) for c in (*ITEM, "words")}, "fp": pa.array([int(fp.view(np.int64))]),
                 "keys": pa.array([keys.tolist()]), "counts": pa.array([n.tolist()]), "weights": pa.array([w.tolist()]), "needed": pa.array([max(1, needed)], pa.int64()),
             }
         )
 
-    return weighed.groupBy("item_id").applyInArrow(profile, "item_id long, words long, fp long, keys array<long>, counts array<long>, weights array<double>, needed long")
+    return weighed.groupBy(*ITEM).applyInArrow(profile, "item_id long, item_hash long, words long, fp long, keys array<long>, counts array<long>, weights array<double>, needed long")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 23, filter_bits: int = 24, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -83,7 +88,7 @@ def contaminated(docs: DataFrame, items: DataFrame, shingle: int = 5, similarity
 
     Words are lower-cased in A-Z.  For an item of L words every window of L words of
     a document is judged by its shingles of ``shingle`` words (of L words, if the item
-    is shorter).  Windows that share too few shingles with items of their length to
+    is shorter); a document of fewer words is one window as a whole.  Windows that share too few shingles with items of their length to
     be similar are passed over, by a bit table of fixed size of all items' shingles
     (false marks only cost work).  The others get a 64-bit SimHash.  Eight blocks of
     8 bits find all items within ``radius`` bits: 23 bits leave some block with two
@@ -92,8 +97,11 @@ def contaminated(docs: DataFrame, items: DataFrame, shingle: int = 5, similarity
     or more; repeated shingles count as often as in both.
 
     Whole texts and all items are read; the tables are joined, neither is broadcast
-    whole.  Null and empty texts and items match nothing; items of one id count
-    once.  A null doc_id is carried.  Documents without a match give no row.
+    whole.  Equal windows are verified once, and a window that many documents share is
+    dealt back without a task that holds all its places.  Null and empty texts and
+    items match nothing; equal items of one id count once, different texts under one
+    id are items of their own and the best of them is told.  A null doc_id is carried.
+    Documents without a match give no row.
     """
     profiles = checkpointed(profile_items(item_shingles(items, shingle, item_col, item_text), similarity))
     lengths = {r["words"]: r["needed"] for r in profiles.groupBy("words").agg(F.min("needed").alias("needed")).collect()}  # a row for each length
@@ -113,6 +121,16 @@ def contaminated(docs: DataFrame, items: DataFrame, shingle: int = 5, similarity
 
     marks = docs.sparkSession.sparkContext.broadcast((bit_table(both.mapInArrow(keyed, "key long"), filter_bits), sorted(lengths.items())))
 
+    def window_batch(b: pa.RecordBatch, at: np.ndarray, start: np.ndarray, words: int, rows: np.ndarray) -> pa.RecordBatch:
+        take = pa.array(at)
+        return pa.RecordBatch.from_arrays(
+            [
+                b.column("doc_id").take(take), b.column("text_hash").take(take), pa.array(start), pa.array(np.full(len(at), words, np.int64)),
+                pa.array(window_fingerprints(rows).view(np.int64)), pa.array(list(rows.view(np.int64)), pa.list_(pa.int64())),
+            ],
+            ["doc_id", "text_hash", "start", "words", "fp", "keys"],
+        )
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, wanted = marks.value
         for whole in batches:
@@ -127,11 +145,18 @@ def contaminated(docs: DataFrame, items: DataFrame, shingle: int = 5, similarity
                         seen[size] = runs, np.flatnonzero(marked(table, runs, filter_bits))
                     runs, hits = seen[size]
                     n = words - size + 1
-                    if not len(hits) or len(runs) < n:
+                    if not len(hits):
                         continue
                     own = hits[marked(table, sized(runs[hits], words), filter_bits)]
                     if len(own) < needed:
                         continue
+                    length = np.diff(first)
+                    held = own[own + size <= first[text[own] + 1]]
+                    for d in np.flatnonzero((np.bincount(text[held], minlength=len(length)) >= needed) & (length < words)).tolist():
+                        rows = runs[first[d] : first[d + 1] - size + 1]  # a text shorter than the item
+                        yield window_batch(b, np.array([d]), np.zeros(1, np.int64), words, rows[None, :])
+                    if len(runs) < n:
+                        continue
                     # a window from s holds the places s .. s + n - 1: count changes at p - n + 1 and p + 1
                     edges = np.unique(np.concatenate([own - n + 1, own + 1]))
                     edges = edges[(edges >= 0) & (edges <= len(runs) - n)]
@@ -147,31 +172,26 @@ def contaminated(docs: DataFrame, items: DataFrame, shingle: int = 5, similarity
                         s = starts[k : k + 4096]
                         rows = runs[s[:, None] + np.arange(n)]
                         at = text[s]
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                b.column("doc_id").take(pa.array(at)), b.column("text_hash").take(pa.array(at)), pa.array(s - first[at]), pa.array(np.full(len(s), words, np.int64)),
-                                pa.array(window_fingerprints(rows).view(np.int64)), pa.array(list(rows.view(np.int64)), pa.list_(pa.int64())),
-                            ],
-                            ["doc_id", "text_hash", "start", "words", "fp", "keys"],
-                        )
+                        yield window_batch(b, at, s - first[at], words, rows)
         tidy()
 
     own = doc_columns(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
-    windows = checkpointed(own.mapInArrow(scan, schema))
+    windows = checkpointed(own.mapInArrow(scan, schema).withColumn("wid", F.xxhash64("words", "keys")))
+    distinct = checkpointed(windows.groupBy("words", "fp", "wid").agg(F.first("keys").alias("keys")))
     block = lambda k: F.shiftrightunsigned("fp", k * BLOCK_BITS).bitwiseAND(F.lit(0xFF)).cast("int")
-    asked = windows.select("words", "fp").distinct().select("words", "fp", F.posexplode(F.array(*[block(k) for k in range(BLOCKS)])).alias("block", "value"))
+    asked = distinct.select("words", "fp").distinct().select("words", "fp", F.posexplode(F.array(*[block(k) for k in range(BLOCKS)])).alias("block", "value"))
     reach = radius // BLOCKS
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(i, w, f, k, v) for i, w, f in zip(*(b.column(c).to_pylist() for c in ("item_id", "words", "fp")), strict=True) for k, v in block_values(f & 0xFFFFFFFFFFFFFFFF, reach)]
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 3 + [pa.int32()] * 2, strict=True)], ["item_id", "words", "item_fp", "block", "value"])
+            rows = [(i, t, w, f, k, v) for i, t, w, f in zip(*(b.column(c).to_pylist() for c in (*ITEM, "words", "fp")), strict=True) for k, v in block_values(f & 0xFFFFFFFFFFFFFFFF, reach)]
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 4 + [pa.int32()] * 2, strict=True)], [*ITEM, "words", "item_fp", "block", "value"])
 
-    index = profiles.select("item_id", "words", "fp").mapInArrow(listed, "item_id long, words long, item_fp long, block int, value int")
-    near = asked.join(index, ["words", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select("words", "fp", "item_id").distinct()
-    parts = profiles.select("item_id", F.col("keys").alias("item_keys"), "counts", "weights")
-    pairs = windows.join(near, ["words", "fp"]).join(parts, "item_id")
+    index = profiles.select(*ITEM, "words", "fp").mapInArrow(listed, "item_id long, item_hash long, words long, item_fp long, block int, value int")
+    near = asked.join(index, ["words", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select("words", "fp", *ITEM).distinct()
+    parts = profiles.select(*ITEM, F.col("keys").alias("item_keys"), "counts", "weights")
+    pairs = skew_join(checkpointed(distinct.join(near, ["words", "fp"])), parts, ITEM)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -182,15 +202,21 @@ def contaminated(docs: DataFrame, items: DataFrame, shingle: int = 5, similarity
                     have[k] = have.get(k, 0) + 1
                 shared = sum(w * min(n, have.get(k, 0)) for k, n, w in zip(item_keys, counts, weights, strict=True))
                 out.append(shared / sum(w * n for n, w in zip(counts, weights, strict=True)))
-            names = ["doc_id", "text_hash", "item_id", "start", "words"]
+            names = ["words", "fp", "wid", "item_id"]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(out, pa.float64())], [*names, "similarity"])
 
-    judged = pairs.mapInArrow(verify, "doc_id long, text_hash long, item_id long, start long, words long, similarity double").where(F.col("similarity") >= similarity - 1e-9)
-    best = judged.groupBy("doc_id", "text_hash", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), "words")).alias("m"))
+    judged = pairs.mapInArrow(verify, "words long, fp long, wid long, item_id long, similarity double").where(F.col("similarity") >= similarity - 1e-9)
+    told = judged.groupBy("words", "fp", "wid").agg(F.collect_set(F.struct("item_id", "similarity")).alias("told"))  # the items near one text
+    places = windows.select("doc_id", "text_hash", "start", "words", "fp", "wid")
+    found = skew_join(places, checkpointed(told), ["words", "fp", "wid"]).withColumn("t", F.explode("told"))
+    best = found.groupBy("doc_id", "text_hash", "t.item_id").agg(F.max(F.struct("t.similarity", (-F.col("start")).alias("s"), "words")).alias("m"))
     return best.select("doc_id", "text_hash", "item_id", F.round("m.similarity", 9).alias("similarity"), (-F.col("m.s")).alias("start"), "m.words")
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that hold no item; all columns stay."""
-    bad = contaminated(docs, items, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(bad, docs[id_col].cast("long").eqNullSafe(bad["_id"]) & (F.xxhash64(docs[text_col]) == bad["_hash"]), "left_anti")
+    """The rows of ``docs`` that hold no item; all columns stay.  Only rows that may hold one are moved."""
+    bad = contaminated(docs, items, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h")).distinct()
+    bad = checkpointed(bad)
+    calm, doubtful = parted(docs, bad.select(row_key("_i", "_h").alias("key")), id_col, text_col)
+    clean = doubtful.join(bad, doubtful["_id"].eqNullSafe(bad["_i"]) & (doubtful["_hash"] == bad["_h"]), "left_anti")
+    return calm.unionByName(clean).select(*docs.columns)

@@ -165,32 +165,39 @@ def load_model(content: bytes) -> tuple[Vectors, Network]:
     return Vectors(z["vocabulary"], z["contexts"]), Network(*(z[k] for k in ("mean", "scale", "w1", "b1", "w2", "b2")), float(z["temperature"]))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = 6000, threshold: float = 0.3, folds: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, held_out, score, predicted)`` for each row of ``docs``.
-
-    held_out: crc32 of the id as text is divisible by ``folds``; labels of such rows
-    are never used.  Of the other labelled rows the ``sample`` ones with the smallest
-    id hashes are learned from, in one task: that bound keeps the fit alike at every
-    size.  Every whole text is scored, from its words alone.  predicted: 1 if the
-    score is ``threshold`` or more.
-
-    Null and empty texts are scored as texts without words.  Null labels are left
-    out; of several labels of an id the largest counts.  Without labels all scores
-    are high.  Null and repeated ids are rows like others.
-    """
+def _fitted(docs: DataFrame, labels: DataFrame, sample: int, folds: int, id_col: str, text_col: str):
+    """The broadcast model of at most ``sample`` labelled rows; labels of held-out ids are never read."""
     own = doc_columns(docs, id_col, text_col)
     known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("int").alias("quality"))
     known = known.where(F.col("_id").isNotNull() & F.col("quality").isNotNull() & (F.pmod(crc32_of_id(F.col("_id")), F.lit(folds)) != 0))
     drawn = known.groupBy("_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    rows = own.join(F.broadcast(drawn), own["doc_id"] == drawn["_id"]).select("text", "quality")
+    rows = own.join(F.broadcast(drawn), own["doc_id"] == drawn["_id"])
+    # one row of an id, so that repeated ids add none
+    rows = rows.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "quality")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([fit_sample(batches)], pa.binary())], ["model"])
         tidy()
 
-    one = rows.repartition(1).sortWithinPartitions(F.xxhash64("text"))
-    fitted = one.mapInArrow(fit, "model binary").first()
-    model = docs.sparkSession.sparkContext.broadcast(bytes(fitted["model"]) if fitted else fit_sample(iter(())))
+    fitted = rows.repartition(1).sortWithinPartitions(F.xxhash64("text")).mapInArrow(fit, "model binary").first()
+    return docs.sparkSession.sparkContext.broadcast(bytes(fitted["model"]) if fitted else fit_sample(iter(())))
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = 6000, threshold: float = 0.3, folds: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, held_out, score, predicted)`` for each row of ``docs``.
+
+    held_out: crc32 of the id as text is divisible by ``folds``; labels of such rows
+    are never used.  Of the other labelled ids the ``sample`` ones with the smallest
+    hashes are learned from, a row for each, in one task: that bound keeps the fit
+    alike at every size.  Every whole text is scored, from its words alone.
+    predicted: 1 if the score is ``threshold`` or more.
+
+    Null and empty texts are scored as texts without words.  Null labels are left
+    out; of several labels of an id the largest counts, of several texts the one with
+    the smallest hash.  Without labels all scores are high.  Null and repeated ids
+    are rows like others.
+    """
+    model = _fitted(docs, labels, sample, folds, id_col, text_col)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, net = load_model(model.value)
@@ -199,12 +206,19 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = 6000, thres
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(net.scores(vectors.pooled(b.column("text"))).astype(np.float64))], ["doc_id", "score"])
         tidy()
 
-    scored = own.mapInArrow(score, "doc_id long, score double")
+    scored = doc_columns(docs, id_col, text_col).mapInArrow(score, "doc_id long, score double")
     return scored.select("doc_id", (F.pmod(crc32_of_id(F.col("doc_id")), F.lit(folds)) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def kept_by_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose id is not rejected; rows without an id stay, as nothing can be said of them by id."""
-    scores = quality_scores(docs, labels, id_col=id_col, text_col=text_col, **options)
-    bad = scores.where("predicted = 0 and doc_id is not null").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col].cast("long") == bad["_bad"], "left_anti")
+def kept_by_quality(docs: DataFrame, labels: DataFrame, sample: int = 6000, threshold: float = 0.3, folds: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose own text scores ``threshold`` or more, as :func:`quality_scores` scores it; all columns stay and nothing moves."""
+    model = _fitted(docs, labels, sample, folds, id_col, text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors, net = load_model(model.value)
+        for whole in batches:
+            for b in byte_slices(whole, text_col, 1 << 19, 1000):
+                yield b.filter(pa.array(net.scores(vectors.pooled(b.column(text_col))) >= threshold))
+        tidy()
+
+    return docs.mapInArrow(keep, docs.schema)

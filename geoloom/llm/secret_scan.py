@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .automata import Automaton, infer
-from .common import byte_slices, checkpointed, doc_columns, tidy
+from .common import byte_slices, checkpointed, doc_columns, parted, row_key, tidy
 
 # Fixed patterns of the base kinds, in their order.
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -44,10 +44,14 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 def candidate_spans(text: str, taken: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
     """Runs of 16 or more credential characters, letters and digits among them, that no base span touches."""
     out = []
+    blocks = iter(sorted((a, b) for _, a, b, _ in taken))
+    block, reach = next(blocks, None), -1  # reach: where the spans that begin before the run end
     for m in _CANDIDATE.finditer(text):
-        word = m[0]
-        if _DIGIT.search(word) and _LETTER.search(word) and not any(a < m.end() and m.start() < b for _, a, b, _ in taken):
-            out.append((3, m.start(), m.end(), word))
+        start, stop = m.span()
+        while block and block[0] < stop:
+            reach, block = max(reach, block[1]), next(blocks, None)
+        if reach <= start and _DIGIT.search(m[0]) and _LETTER.search(m[0]):
+            out.append((3, start, stop, m[0]))
     return out
 
 
@@ -142,12 +146,13 @@ def masked(text: str, spans: list[dict], mask: str) -> str:
 def redacted(docs: DataFrame, mask: str = "[secret]", id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with the secrets of all spans masked; every row and column stays.
 
-    The spans come back to their texts by id and text hash; only rows that have any
-    are looked up.
+    The spans come back to their texts by id and text hash; only rows that may have
+    any are moved.
     """
     spans = secret_spans(docs, id_col=id_col, text_col=text_col, **options).where(F.size("spans") > 0)
-    spans = spans.dropDuplicates(["doc_id", "text_hash"]).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans"))
-    both = docs.join(spans, docs[id_col].cast("long").eqNullSafe(spans["_id"]) & (F.xxhash64(docs[text_col]) == spans["_hash"]), "left")
+    spans = checkpointed(spans.dropDuplicates(["doc_id", "text_hash"]).select(F.col("doc_id").alias("_i"), F.col("text_hash").alias("_h"), F.col("spans").alias("_spans")))
+    calm, doubtful = parted(docs, spans.select(row_key("_i", "_h").alias("key")), id_col, text_col)
+    both = doubtful.join(spans, doubtful["_id"].eqNullSafe(spans["_i"]) & (doubtful["_hash"] == spans["_h"]), "left")
     names = docs.columns
 
     def mask_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,4 +162,4 @@ def redacted(docs: DataFrame, mask: str = "[secret]", id_col: str = "doc_id", te
                 yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text_col else b.column(c) for c in names], names)
         tidy()
 
-    return both.select(*names, "_spans").mapInArrow(mask_all, docs.schema)
+    return calm.select(*names).unionByName(both.select(*names, "_spans").mapInArrow(mask_all, docs.schema))

@@ -122,6 +122,19 @@ def test_keep_one(odd, none):
     assert near_duplicates(none).count() == 0 and keep_one(none).count() == 0
 
 
+def test_rows_that_share_an_id(spark):
+    table = [(1, "one two three four five six seven"), (1, "quite another text under the same id"), (2, "one two three four five six seven"), (None, "one two three four five six seven"), (None, "no id and nothing like it, either"), (3, "again and again and again and so on"), (3, "again and again and again and so on")]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(table)], "doc_id long, text string, n int")
+    for options in ({}, {"similarity": 0.8}):
+        got = collections.Counter((r["doc_id"], r["text"]) for r in keep_one(df, **options).collect())
+        assert got == collections.Counter([table[0], table[1], table[4], table[5]])
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    assert kept_by_quality(df, labels).count() == len(table)
+    secret = [(1, "password = abcdefgh12345678 end"), (1, "nothing to hide"), (None, "AKIA" + "A1B2" * 5), (2, "plain")]
+    masks = redacted(spark.createDataFrame(secret, "doc_id long, text string"))
+    assert collections.Counter(map(tuple, masks.collect())) == collections.Counter([(1, "password = [secret] end"), (1, "nothing to hide"), (None, "[secret]"), (2, "plain")])
+
+
 def shingle_set(text, size=5):
     w = (text or "").encode().lower().split()
     return {tuple(w[k : k + size]) for k in range(len(w) - size + 1)} or ({tuple(w)} if w else set())
@@ -214,8 +227,9 @@ def brute_contaminated(source, items, least=0.8, size=5):
             if not grams & c.keys():
                 continue
             whole = sum(m / df[s] for s, m in c.items())
-            for start in range(len(w) - n + 1):
-                own = collections.Counter(tuple(w[j : j + k]) for j in range(start, start + n - k + 1))
+            span = min(n, len(w))  # a text shorter than the item is one window
+            for start in range(len(w) - span + 1):
+                own = collections.Counter(tuple(w[j : j + k]) for j in range(start, start + span - k + 1))
                 v = sum(min(m, own[s]) / df[s] for s, m in c.items()) / whole
                 if v >= least - 1e-9 and (best is None or v > best[0] + 1e-12):
                     best = v, start
@@ -230,6 +244,27 @@ def test_contaminated(spark, data, docs):
     assert got == brute_contaminated(pairs(docs), [(r["item_id"], r["text"]) for r in items.collect()]) and got
 
 
+def test_contaminated_short_and_repeated(spark):
+    item = " ".join(f"w{k}" for k in range(38))
+    other = " ".join(f"v{k}" for k in range(20))
+    docs = [(1, item.rsplit(" ", 1)[0]), (2, " ".join(item.split()[:20])), (3, "a b " + other + " c"), (3, "nothing of them at all here"), (3, "x " + item), (4, item.upper()), (None, item)] + [(k, f"p{k} " + item) for k in range(100, 160)]
+    items = [(1, item), (1, other), (2, other + " w w w"), (3, "w0 w1")]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {}
+    for r in contaminated(d, i).collect():
+        got.setdefault((r["doc_id"], r["item_id"]), set()).add(round(r["similarity"], 6))
+    best = {}
+    for x in docs:  # items of one id in one table of the brute force would hide each other, so each stands under a number of its own
+        found = brute_contaminated([x], [(k, t) for k, (_, t) in enumerate(items)])
+        top = {}
+        for (_, k), v in found.items():
+            top[items[k][0]] = max(top.get(items[k][0], 0), v[0])
+        for k, v in top.items():
+            best.setdefault((x[0], k), set()).add(v)
+    assert got == best and (1, 1) in got and (3, 1) in got
+    assert {(r["doc_id"], r["text"]) for r in decontaminated(d, i.where("item_id < 3")).collect()} == {(3, docs[3][1]), docs[1]}
+
+
 def test_contaminated_edges(spark, odd, none):
     items = [(1, "X Y z"), (2, "c d e f g h i j k l"), (3, ""), (4, None), (5, "x x x x x x x"), (5, "x x x x x x x"), (None, "a b a b a b"), (6, "a b a b a b a c")]
     table = spark.createDataFrame(items, "item_id long, text string")
