@@ -36,6 +36,24 @@ def small_join(big: DataFrame, small: DataFrame, key: list[str], how: str = "inn
     return big.join(F.broadcast(small) if small.limit(most + 1).count() <= most else small, key, how)
 
 
+def skew_join(big: DataFrame, small: DataFrame, key: list[str], how: str = "inner", share: int = 1000) -> DataFrame:
+    """``big`` joined with ``small``, which has one row a key, without a task that holds a crowded key.
+
+    Keys with over a thousandth of the rows of ``big``, of which there are under a
+    thousand, are counted first and joined by a broadcast of their rows of ``small``;
+    all others are shuffled.  ``big`` is read twice, so it should be stored.
+    """
+    total = big.count()
+    if total < 10 * share:
+        return big.join(small, key, how)
+    hot = checkpointed(big.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") > total / share).select(*key))
+    if not hot.limit(1).count():
+        return big.join(small, key, how)
+    few = checkpointed(small.join(F.broadcast(hot), key, "left_semi"))
+    crowded = big.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(few), key, how)
+    return crowded.unionByName(big.join(F.broadcast(hot), key, "left_anti").join(small, key, how))
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """``(node, component)`` for every node with a link; component is the smallest node reachable.
 
