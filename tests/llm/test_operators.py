@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from geoloom.llm import automata, simple8b
+from geoloom.llm import automata, simple8b, substring_dedup
 from geoloom.llm.components import connected_components
 from geoloom.llm.decontaminate import contaminated, decontaminated
 from geoloom.llm.jaccard import exact_links
@@ -434,15 +434,29 @@ def test_substring_dedup(docs, none):
     assert without_repeats(none).count() == 0
 
 
-@pytest.mark.parametrize(("size", "crowded"), [(2, 100_000), (5, 0), (35, 0)])
-def test_substring_dedup_edges(spark, size, crowded):
-    source = [p if p[0] != 7 else (7, "word " * 100) for p in ODD]
+@pytest.mark.parametrize(("size", "options"), [(2, {}), (2, {"bucket_rows": 3}), (5, {"crowded_rows": 0}), (35, {"crowded_rows": 0, "few": 0}), (3, {"crowded_rows": 40, "few": 0, "bucket_rows": 7})])
+def test_substring_dedup_edges(spark, size, options):
+    source = [p if p[0] != 7 else (7, "word " * 100) for p in ODD] + [(8, "a b c d e f " * 20)] * 6 + [(8, "other words " + "a b c d e f " * 3), (9, " ".join(f"w{k}" for k in range(400)))]
     df = spark.createDataFrame(source, "doc_id long, text string")
-    got = without_repeats(df, size=size, crowded_rows=crowded)
+    got = without_repeats(df, size=size, **options)
     assert rows(got.drop("kept_text")) == brute_repeats(source, size)
     assert all(hashlib.sha256(r["kept_text"].encode()).hexdigest() == r["kept_sha256"] for r in got.collect())
 
 
+def test_windows_of_one_hash(monkeypatch):
+    same = lambda h, size: (np.zeros(max(0, len(h) - size + 1), np.uint64),) * 2
+    monkeypatch.setattr(substring_dedup, "window_pair", same)
+    packed = [b"a b c d", b"x y z", b"q b c r", b"x y z w"]
+    got = substring_dedup.repeated_windows(packed, np.ones(4, np.int64), substring_dedup.Plan(2, 2))
+    assert [g.tolist() for g in got] == [[1], [0, 1], [1], [0, 1]]
+
+
+def test_a_long_text_without_repeats(spark):
+    text = " ".join(f"w{k}" for k in range(300_000))
+    got = without_repeats(spark.createDataFrame([(1, text), (2, " ".join(text.split()[:1500]))], "doc_id long, text string"), with_text=False).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in got) == [(1, 300_000, 1500), (2, 1500, 1500)]
+
+
 # 9 ------------------------------------------------------------------------------------
 
 
