@@ -2,9 +2,11 @@
 
 import collections
 import hashlib
+import json
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -12,7 +14,8 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from geoloom.llm import automata, simple8b, substring_dedup
+from geoloom.llm import automata, queries, simple8b, substring_dedup
+from geoloom.llm.common import scratch_path
 from geoloom.llm.components import connected_components
 from geoloom.llm.decontaminate import contaminated, decontaminated
 from geoloom.llm.jaccard import exact_links
@@ -21,9 +24,9 @@ from geoloom.llm.packing import cut_tail, hilbert_keys, packed
 from geoloom.llm.quality_model import kept_by_quality, quality_scores
 from geoloom.llm.quality_rules import quality_rules
 from geoloom.llm.secret_scan import redacted, secret_digests
-from geoloom.llm.sharding import balanced_shards
+from geoloom.llm.sharding import balanced_shards, moved_cuts
 from geoloom.llm.substring_dedup import without_repeats
-from geoloom.llm.token_files import written_and_read
+from geoloom.llm.token_files import token_digests, write_tokens, written_and_read
 from geoloom.llm.tokens import TextEncoder, tokenizer_text
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -336,6 +339,29 @@ def test_encoder_is_the_library(docs):
         assert all(ids[offsets[k] : offsets[k + 1]].tolist() == [*w.ids, 1] for k, w in enumerate(want))
 
 
+def test_words_of_one_hash(docs):
+    texts = [t for _, t in pairs(docs)][:40] + ["a", "averyveryverylongword averyveryverylongworm", None]
+    encoder = TextEncoder(tokenizer_text(TOKENIZER))
+    encoder.hashes = lambda raw, starts, ends: (ends - starts).astype(np.uint64) % np.uint64(7)  # nearly all words collide
+    for _ in range(2):
+        ids, offsets = encoder.encode_column(pa.array(texts), 1)
+        want = encoder.whole.encode_batch([t or "" for t in texts], add_special_tokens=False)
+        assert all(ids[offsets[k] : offsets[k + 1]].tolist() == [*w.ids, 1] for k, w in enumerate(want))
+
+
+def test_token_files_roll(spark, docs):
+    many = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(None, f"no id {k % 3}") for k in range(5000)] + [(7, "the same row")] * 5000, "doc_id long, text string"))
+    path = scratch_path(spark, "tokens")
+    write_tokens(many, path, TOKENIZER, 1, roll_bytes=4096)
+    files = json.loads(spark.read.text(f"{path}/manifest.json", wholetext=True).first()[0])["files"]
+    assert len(files) >= 5 and sum(f["n_docs"] for f in files) == many.count()
+    got = sorted(token_digests(spark, path).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == sorted((i for i, _ in pairs(many)), key=lambda i: (i is not None, i or 0))
+    assert [r["start"] for r in got] == np.concatenate([[0], np.cumsum([r["n_tokens"] for r in got])])[:-1].tolist()
+    want = collections.Counter((i, zlib.crc32(u32(brute_ids(t, 1)))) for i, t in pairs(many))
+    assert collections.Counter((r["doc_id"], r["ids_crc32"]) for r in got) == want
+
+
 @pytest.mark.parametrize("table", ["docs", "odd"])
 def test_token_files(request, table):
     df = request.getfixturevalue(table)
@@ -523,5 +549,34 @@ def test_shards(request, table, shards):
     assert all(abs(n - sum(sizes.values()) / shards) <= 2 * max(r["size"] for r in got) for n in sizes.values())
 
 
+def test_equal_texts_share_a_shard(spark):
+    groups = [(f"group {g} " + "x" * (g % 40), 1 + g % 5) for g in range(900)]
+    table = [(k, t) for k, t in enumerate(t for t, n in groups for _ in range(n))] + [(None, "a large group " * 9)] * 4000
+    got = balanced_shards(spark.createDataFrame(table, "doc_id long, text string"), 24).collect()
+    share = sum(r["size"] for r in got) / 24
+    held, size = collections.defaultdict(set), collections.Counter()
+    for r in got:
+        held[r["text_crc32"]].add(r["shard"])
+        size[r["shard"]] += r["size"]
+    cut = [c for c, s in held.items() if len(s) > 1]
+    assert cut == [zlib.crc32(("a large group " * 9).encode())]
+    assert all(abs(size[k] - share) <= 0.2 * share + 200 for k in range(24))
+    assert moved_cuts(240, 24, [(8, 11), (100, 140)], 0.1) == [11.0, *[10.0 * k for k in range(2, 24)]]
+
+
 def test_no_shards(none):
     assert balanced_shards(none).count() == 0
+
+
+# SQL ----------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", ["op8_super_kmer_dedup", "op10_prefix_shards"])
+def test_same_rows_in_sql(spark, data, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
+    df = queries.queries()[name](spark, data)
+    result = con.execute(queries.oracle_sql()[name])
+    columns = [d[0] for d in result.description]
+    assert sorted(columns) == sorted(df.columns)
+    assert collections.Counter(result.fetchall()) == collections.Counter(map(tuple, df.select(*columns).collect()))
