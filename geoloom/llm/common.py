@@ -98,15 +98,18 @@ def row_key(id_col: str = "doc_id", hash_col: str = "text_hash") -> Column:
 def parted(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 26) -> tuple[DataFrame, DataFrame]:
     """(rows of ``docs`` whose :func:`row_key` surely isn't among ``keys``, the other rows): both with ``_id`` and ``_hash``, id and text hash.
 
-    keys: ``(key)``.  A bit table of fixed size (8 MB as set) tells them apart where the
-    rows lie, so that texts which nothing is known of need not move.  The other rows
-    may hold some whose key isn't listed: the fuller the table, the more.
+    keys: ``(key)``.  Bitmaps of ``2 ** bits`` bits in all (8 MB as set, whatever the
+    number of keys) are broadcast and tell rows apart where they lie, so that texts
+    which nothing is known of need not move.  The other rows may hold some whose key
+    isn't listed: the fuller the bitmaps, the more.
     """
-    table = docs.sparkSession.sparkContext.broadcast(bit_table(keys.select("key"), bits))
-
-    def listed(key: pa.Array) -> pa.Array:
-        return pa.array(marked(table.value, key.to_numpy(zero_copy_only=False).view(np.uint64), bits))
-
-    told = docs.withColumns({"_id": F.col(f"`{id_col}`").cast("long"), "_hash": F.xxhash64(F.col(f"`{text_col}`").cast("string"))})
-    flag = F.arrow_udf(listed, "boolean")(row_key("_id", "_hash"))
-    return told.where(~flag), told.where(flag)
+    place = lambda key: F.shiftrightunsigned(key, 64 - bits)
+    maps = keys.select(place(F.col("key")).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_bits"))
+    maps = checkpointed(maps)
+    told = docs.withColumns({"_id": F.col(f"`{id_col}`").cast("long"), "_hash": F.xxhash64(F.col(f"`{text_col}`").cast("string"))}).withColumn("_p", place(row_key("_id", "_hash")))
+    told = told.join(F.broadcast(maps), F.bitmap_bucket_number("_p") == F.col("_bucket"), "left")
+    at = F.bitmap_bit_position("_p")
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    listed = F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) > 0, F.lit(False))
+    names = [*docs.columns, "_id", "_hash"]
+    return told.where(~listed).select(*names), told.where(listed).select(*names)
