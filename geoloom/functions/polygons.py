@@ -267,12 +267,3 @@ def from_struct(geom: dict, areas: bool = True) -> Rings:
     """Rings of a geometry struct, those of areas without the closing vertex."""
     rings = [np.array([(v["x"], v["y"]) for v in r]) for p in geom["parts"] for r in p if len(r)]
     return rings if not areas else [r[:-1] if len(r) > 1 and (r[0] == r[-1]).all() else r for r in rings]
-
-
-def to_struct(rings: Rings) -> dict | None:
-    """A MultiPolygon struct of rings; None if nothing is left."""
-    parts = nested(rings)
-    if not parts:
-        return None
-    close = lambda r: [{"x": float(x), "y": float(y)} for x, y in [*r, r[0]]]
-    return {"kind": "MultiPolygon", "parts": [[close(r) for r in p] for p in parts]}

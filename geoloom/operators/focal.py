@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.functions.params import in_range, kernel, one_of
+from geoloom.operators.graph import small_join
 from geoloom.operators.raster import PLACE, stretched
 
 BORDERS = {"reflect101": {"mode": "reflect"}, "replicate": {"mode": "edge"}, "low": {"mode": "constant", "constant_values": -np.inf}, "high": {"mode": "constant", "constant_values": np.inf}}
@@ -22,15 +23,17 @@ TILE = 256
 
 
 def tiles(pixels: DataFrame, halo: int, tile: int = TILE) -> DataFrame:
-    """Pixels with the tile (ty, tx) they are sent to and the raster's size (h, w)."""
-    size = pixels.groupBy("raster_id", "band").agg((F.max("row") + 1).alias("h"), (F.max("col") + 1).alias("w"))
+    """Pixels with the tile (ty, tx) they are sent to and the raster's size (h, w), which the table may have already."""
 
     def span(c: str, n: str):
         low = F.greatest(F.floor((F.col(c) - halo) / tile), F.lit(0))
         high = F.least(F.floor((F.col(c) + halo) / tile), F.floor((F.col(n) - 1) / tile))
         return F.explode(F.sequence(low.cast("int"), high.cast("int")))
 
-    sent = pixels.select(*PLACE, "value").join(size, ["raster_id", "band"])
+    if "h" in pixels.columns:
+        sent = pixels.select(*PLACE, "value", "h", "w")
+    else:
+        sent = small_join(pixels.select(*PLACE, "value"), pixels.groupBy("raster_id", "band").agg((F.max("row") + 1).alias("h"), (F.max("col") + 1).alias("w")), ["raster_id", "band"])
     return sent.withColumn("ty", span("row", "h")).withColumn("tx", span("col", "w"))
 
 
@@ -79,16 +82,22 @@ def filtered(pixels: DataFrame, method: str = "gaussian", kernel_size: int = 5,
     if method == "gaussian":
         w = gaussian_weights(k, sigma)
         return tile_apply(pixels, lambda g: separable(g, w, w), half, tile=tile)
-    v = stretched(pixels)
+    v = stretched(pixels, sized=True)
     if method == "median":
         return tile_apply(v, lambda g: np.median(sliding_window_view(g, (k, k)).reshape(g.shape[0] - 2 * half, g.shape[1] - 2 * half, -1), axis=2) / 255, half, "replicate", tile)
     if method == "bilateral":
         return tile_apply(v, lambda g: bilateral(g, half) / 255, half, tile=tile)
-    steps = {"morph_erode": ["e"], "morph_dilate": ["d"], "morph_open": ["e", "d"], "morph_close": ["d", "e"]}[method]
-    for n, step in enumerate(steps):
-        scale = 255.0 if n == len(steps) - 1 else 1.0
-        v = tile_apply(v, (lambda s, c: lambda g: extreme(g, k, s) / c)(step, scale), half, "high" if step == "e" else "low", tile)
-    return v
+    steps = {"morph_erode": "e", "morph_dilate": "d", "morph_open": "ed", "morph_close": "de"}[method]
+    nothing = {"e": np.inf, "d": -np.inf}  # what a place off the raster counts as
+
+    def work(g: np.ndarray) -> np.ndarray:
+        off = np.isinf(g)
+        for step in steps:
+            g = extreme(np.where(off, nothing[step], g), k, step)
+            off = off[half:-half, half:-half]
+        return g / 255
+
+    return tile_apply(v, work, half * len(steps), "high", tile)
 
 
 def extreme(grid: np.ndarray, k: int, step: str) -> np.ndarray:
@@ -121,7 +130,7 @@ def adaptive_threshold(pixels: DataFrame, method: str = "mean", max_value: float
         core = g[half:-half, half:-half]
         return np.where(core > np.rint(np.round(separable(g, w, w), 9)) - offset, float(max_value), 0.0)
 
-    return tile_apply(stretched(pixels), work, half, "replicate", tile)
+    return tile_apply(stretched(pixels, sized=True), work, half, "replicate", tile)
 
 
 # Fixed: one-dimensional kernels of a derivative order, and the smoothing across it.
@@ -147,7 +156,7 @@ def edges(pixels: DataFrame, method: str = "sobel", dx: int = 1, dy: int = 1, ti
         table = SCHARR if method == "scharr" else DERIVATIVE
         down, across = np.array(table[dy]), np.array(table[dx])
         work = lambda g: separable(g, down, across)
-    return tile_apply(stretched(pixels), lambda g: np.minimum(np.abs(work(g)), 255) / 255, 1, tile=tile)
+    return tile_apply(stretched(pixels, sized=True), lambda g: np.minimum(np.abs(work(g)), 255) / 255, 1, tile=tile)
 
 
 def template_scores(pixels: DataFrame, template: np.ndarray, method: str = "ccoeff_normed", tile: int = TILE) -> DataFrame:
@@ -181,7 +190,7 @@ def template_scores(pixels: DataFrame, template: np.ndarray, method: str = "ccoe
             out = np.where(norm > 1e-9, out / np.where(norm > 1e-9, norm, 1), np.where(np.isnan(norm), np.nan, flat))
         return out
 
-    return tile_apply(stretched(pixels), work, halo, "high", tile)
+    return tile_apply(stretched(pixels, sized=True), work, halo, "high", tile)
 
 
 def best_match(scores: DataFrame, method: str) -> DataFrame:
@@ -202,4 +211,4 @@ def corner_response(pixels: DataFrame, method: str = "harris", k: float = 0.04,
             return xx * yy - xy * xy - k * (xx + yy) ** 2
         return (xx + yy) / 2 - np.sqrt(((xx - yy) / 2) ** 2 + xy**2)
 
-    return tile_apply(stretched(pixels), work, 2, tile=tile)
+    return tile_apply(stretched(pixels, sized=True), work, 2, tile=tile)

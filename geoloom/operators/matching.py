@@ -17,11 +17,6 @@ from geoloom.operators.project import warp
 from geoloom.operators.raster import stretched
 
 
-def squared_distance(a: Column, b: Column) -> Column:
-    """Squared L2 distance of two array columns."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, d: s + d)
-
-
 _FOUND = "query_id long, train_id long, distance double"
 
 

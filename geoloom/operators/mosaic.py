@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.functions.params import extent, in_range, one_of, same_length
+from geoloom.operators.graph import small_join
+from geoloom.operators.project import cubic
 from geoloom.operators.raster import KEY, PLACE
 
 GT = tuple[float, float, float, float, float, float]
@@ -69,16 +71,30 @@ def merge_bands(sources: list[DataFrame], bands: list[int]) -> DataFrame:
 
 
 def overviews(pixels: DataFrame, levels: tuple[int, ...] = (2, 4, 8, 16), resample: str = "average") -> DataFrame:
-    """``(raster_id, band, level, row, col, value)``: reduced copies by nearest (the block's first pixel), average, or mode (least on ties).
+    """``(raster_id, band, level, row, col, value)``: reduced copies by nearest (the block's first pixel), average, mode (least on ties), gaussian or cubic.
 
-    All levels come from one aggregate over pixels exploded by level.
+    All levels come from one aggregate over pixels exploded by level.  The smooth
+    kernels weigh pixels by their distance from the block's centre, in blocks:
+    ``exp(-2 d^2)`` within one block, or Keys' cubic within two; a pixel is sent to the
+    blocks it weighs in, 4 or 16, and weights are divided out.
     """
-    one_of("resample", resample, ("nearest", "average", "mode"))
+    one_of("resample", resample, ("nearest", "average", "mode", "gaussian", "cubic"))
     if not any(x > 1 for x in levels):
         raise ValueError("at least one level must be above 1")
-    v = pixels.select(*PLACE, "value", F.explode(F.array(*[F.lit(x) for x in levels if x > 1])).alias("level"))
-    v = v.withColumns({"r": F.floor(F.col("row") / F.col("level")).cast("int"), "c": F.floor(F.col("col") / F.col("level")).cast("int")})
+    level = F.explode(F.array(*[F.lit(x) for x in levels if x > 1])).alias("level")
     key = [*KEY, "level", "r", "c"]
+    if resample in ("gaussian", "cubic"):
+        reach, weight = (1, lambda d: F.when(F.abs(d) < 1, F.exp(d * d * -2)).otherwise(0.0)) if resample == "gaussian" else (2, cubic)
+        size = pixels.groupBy(*KEY).agg(F.max("row").alias("h"), F.max("col").alias("w"))
+        v = small_join(pixels.select(*PLACE, "value"), size, KEY).select(*PLACE, "value", "h", "w", level).where("value is not null")
+        centre = lambda c: (F.col(c) + 0.5) / F.col("level") - 0.5
+        near = lambda c, most: F.explode(F.sequence(F.greatest(F.floor(centre(c)) - (reach - 1), F.lit(0)), F.least(F.floor(centre(c)) + reach, F.floor(F.col(most) / F.col("level"))))).alias(c[0])
+        v = v.select("*", near("row", "h")).select("*", near("col", "w"))
+        v = v.withColumn("weight", weight(centre("row") - F.col("r")) * weight(centre("col") - F.col("c"))).where("weight <> 0")
+        out = v.groupBy(*key).agg(F.sum("weight").alias("_w"), F.sum(F.col("weight") * F.col("value")).alias("_v")).where(F.abs("_w") > 1e-9)
+        return out.select(*KEY, "level", F.col("r").cast("int").alias("row"), F.col("c").cast("int").alias("col"), (F.col("_v") / F.col("_w")).alias("value"))
+    v = pixels.select(*PLACE, "value", level)
+    v = v.withColumns({"r": F.floor(F.col("row") / F.col("level")).cast("int"), "c": F.floor(F.col("col") / F.col("level")).cast("int")})
     if resample == "mode":
         out = v.groupBy(*key, "value").agg(F.count("*").alias("n")).groupBy(*key).agg(F.max_by("value", F.struct("n", -F.col("value"))).alias("value"))
     elif resample == "nearest":

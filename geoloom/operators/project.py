@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -129,6 +131,18 @@ def lanczos(d: Column, lobes: int = 3) -> Column:
 
 #: Neighbours on each side and the weight of a distance.
 WEIGHTS: dict[str, tuple[int, Callable[[Column], Column]]] = {"bilinear": (1, lambda d: F.greatest(1 - F.abs(d), F.lit(0.0))), "cubic": (2, cubic), "cubicspline": (2, spline), "lanczos": (3, lanczos)}
+def _numpy(pieces: list, d: np.ndarray) -> np.ndarray:
+    d = np.abs(d)
+    return np.select([d < limit for limit, _ in pieces], [f(d) for _, f in pieces], 0.0)
+
+
+#: The same weights for whole arrays of distances.
+NUMPY_WEIGHTS: dict[str, Callable[[np.ndarray], np.ndarray]] = {
+    "bilinear": lambda d: np.maximum(1 - np.abs(d), 0.0),
+    "cubic": lambda d: _numpy([(1, lambda x: (1.5 * x - 2.5) * x * x + 1), (2, lambda x: ((-0.5 * x + 2.5) * x - 4) * x + 2)], d),
+    "cubicspline": lambda d: _numpy([(1, lambda x: 2 / 3 - x * x + x * x * x / 2), (2, lambda x: (2 - x) ** 3 / 6)], d),
+    "lanczos": lambda d: np.where(np.abs(d) < 3, np.sinc(d) * np.sinc(d / 3), 0.0),
+}
 RESAMPLERS = ("nearest", *WEIGHTS, "average", "mode")
 
 
@@ -180,9 +194,60 @@ def grid_targets(rasters: DataFrame, height: int, width: int, to_source: Callabl
     return grid.select("raster_id", "row", "col", y.alias("sr"), x.alias("sc"))
 
 
-def resize(pixels: DataFrame, height: int, width: int, factor: float, method: str = "bilinear") -> DataFrame:
-    """A raster scaled to ``height`` x ``width``; ``factor`` is source pixels per target pixel."""
-    return resample(pixels, grid_targets(pixels, height, width, lambda x, y: (x * factor, y * factor), method in ("average", "mode")), method)
+def resize(pixels: DataFrame, height: int, width: int, factor: float, method: str = "bilinear", tile: int = 256) -> DataFrame:
+    """A raster scaled to ``height`` x ``width``; ``factor`` is source pixels per target pixel.
+
+    The places that weigh in a target are those of its row and of its column, so weighted
+    methods and ``average`` work on tiles of the target: source pixels are dealt to the
+    tiles they weigh in, one shuffle, and a tile sums its kernel's places one after
+    another.  Others go by :func:`resample`.
+    """
+    one_of("method", method, RESAMPLERS)
+    if method in ("nearest", "mode"):
+        return resample(pixels, grid_targets(pixels, height, width, lambda x, y: (x * factor, y * factor), method == "mode"), method)
+    reach = 1 if method == "average" else WEIGHTS[method][0] + 1
+
+    def span(c: str, most: int) -> Column:
+        low = F.greatest(F.floor((F.col(c) - reach) / (tile * factor)), F.lit(0))
+        high = F.least(F.floor((F.col(c) + 1 + reach) / (tile * factor)), F.lit((most - 1) // tile))
+        return F.explode(F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>")))
+
+    def places(first: int, n: int, low: int, m: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each place of the kernel: which of m source places from ``low`` it is for each of n target places from ``first``, and its weight there (0 off the source)."""
+        t = np.arange(first, first + n)
+        if method == "average":
+            begin, count = np.floor(t * factor), int(np.ceil(factor)) + 1
+            weight = lambda k: np.maximum(np.minimum((t + 1) * factor, k + 1) - np.maximum(t * factor, k), 0)
+        else:
+            at = (t + 0.5) * factor - 0.5
+            begin, count = np.floor(at) + 2 - reach, 2 * (reach - 1)
+            weight = lambda k: NUMPY_WEIGHTS[method](at - k)
+        out = []
+        for k in (begin + step for step in range(count)):
+            own = (k - low).astype(np.int64)
+            on = (own >= 0) & (own < m)
+            out.append((np.where(on, own, 0), np.where(on, weight(k), 0.0)))
+        return out
+
+    def scale(pdf: pd.DataFrame) -> pd.DataFrame:
+        ty, tx = int(pdf["ty"].iat[0]) * tile, int(pdf["tx"].iat[0]) * tile
+        n, m = min(tile, height - ty), min(tile, width - tx)
+        y0, x0 = int(pdf["row"].min()), int(pdf["col"].min())
+        grid = np.full((int(pdf["row"].max()) - y0 + 1, int(pdf["col"].max()) - x0 + 1), np.nan)
+        grid[pdf["row"].to_numpy() - y0, pdf["col"].to_numpy() - x0] = pdf["value"].to_numpy()
+        total, whole = np.zeros((n, m)), np.zeros((n, m))
+        across = places(tx, m, x0, grid.shape[1])
+        for r, down in places(ty, n, y0, grid.shape[0]):
+            for c, side in across:
+                value, w = grid[r[:, None], c[None, :]], down[:, None] * side[None, :]
+                known = ~np.isnan(value)
+                total += np.where(known, w * np.where(known, value, 0.0), 0.0)
+                whole += np.where(known, w, 0.0)
+        y, x = np.nonzero(np.abs(whole) > 1e-9)
+        return pd.DataFrame({"raster_id": pdf["raster_id"].iat[0], "band": pdf["band"].iat[0], "row": y + ty, "col": x + tx, "value": total[y, x] / whole[y, x]})
+
+    sent = pixels.select(*KEY, "row", "col", "value").withColumn("ty", span("row", height)).withColumn("tx", span("col", width))
+    return sent.groupBy(*KEY, "ty", "tx").applyInPandas(scale, "raster_id long, band int, row int, col int, value double")
 
 
 def warp(pixels: DataFrame, height: int, width: int, inverse: tuple[float, ...], method: str = "nearest") -> DataFrame:

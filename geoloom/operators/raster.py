@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoloom.functions.params import in_range, one_of
+from geoloom.operators.graph import small_join
 
 KEY = ["raster_id", "band"]
 PLACE = ["raster_id", "band", "row", "col"]
@@ -118,14 +119,14 @@ def ndvi(pixels: DataFrame, red_band: int = 3, nir_band: int = 4) -> DataFrame:
 
 
 def ends(pixels: DataFrame) -> DataFrame:
-    """Each pixel with its band's minimum ``lo`` and maximum ``hi``: a small aggregate joined back, no global window."""
-    return pixels.join(pixels.groupBy(*KEY).agg(F.min("value").alias("lo"), F.max("value").alias("hi")), KEY)
+    """Each pixel with its band's minimum ``lo``, maximum ``hi`` and size ``h``, ``w``: a row a band, joined back."""
+    return small_join(pixels, pixels.groupBy(*KEY).agg(F.min("value").alias("lo"), F.max("value").alias("hi"), (F.max("row") + 1).alias("h"), (F.max("col") + 1).alias("w")), KEY)
 
 
-def stretched(pixels: DataFrame) -> DataFrame:
-    """Values stretched to whole 0..255 by the band's range, halves to even; a flat band gives 0."""
+def stretched(pixels: DataFrame, sized: bool = False) -> DataFrame:
+    """Values stretched to whole 0..255 by the band's range, halves to even; a flat band gives 0.  With ``sized``, the raster's ``h`` and ``w`` follow."""
     span = F.col("hi") - F.col("lo")
-    return ends(pixels).withColumn("value", F.when(span < 1e-10, F.lit(0.0)).otherwise(F.rint((F.col("value") - F.col("lo")) * 255 / span))).select(*PLACE, "value")
+    return ends(pixels).withColumn("value", F.when(span < 1e-10, F.lit(0.0)).otherwise(F.rint((F.col("value") - F.col("lo")) * 255 / span))).select(*PLACE, "value", *(["h", "w"] if sized else []))
 
 
 def otsu(levels: DataFrame) -> DataFrame:
@@ -146,7 +147,7 @@ def threshold(pixels: DataFrame, method: str = "otsu", threshold_value: float =
     v = stretched(pixels) if stretch else pixels.select(*PLACE, "value")
     value, t, full, zero = F.col("value"), F.lit(float(threshold_value)), F.lit(float(max_value)), F.lit(0.0)
     if method == "otsu":
-        v, t = v.join(otsu(v), KEY), F.col("threshold")
+        v, t = small_join(v, otsu(v), KEY), F.col("threshold")
     out = {"binary": F.when(value > t, full).otherwise(zero), "binary_inv": F.when(value > t, zero).otherwise(full), "truncate": F.least(value, t), "tozero": F.when(value > t, value).otherwise(zero)}
     return v.select(*PLACE, out.get(method, out["binary"]).alias("value"))
 
@@ -170,7 +171,7 @@ def equalized(pixels: DataFrame) -> DataFrame:
     upto = Window.partitionBy(*KEY).orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     lut = hist.select(*KEY, "value", F.sum("n").over(upto).alias("cdf"), F.sum("n").over(Window.partitionBy(*KEY)).alias("all"), F.first("n").over(upto).alias("base"))
     level = F.when(F.col("all") == F.col("base"), F.col("value")).otherwise(F.rint((F.col("cdf") - F.col("base")) * 255 / (F.col("all") - F.col("base"))))
-    return v.join(lut.select(*KEY, "value", (level / 255).alias("out")), [*KEY, "value"]).select(*PLACE, F.col("out").alias("value"))
+    return small_join(v, lut.select(*KEY, "value", (level / 255).alias("out")), [*KEY, "value"]).select(*PLACE, F.col("out").alias("value"))
 
 
 # Fixed: anchor colours of each map at even steps from 0 to 255.
@@ -251,12 +252,17 @@ def pansharpen(multi: DataFrame, pan: DataFrame, bands: list[int], method: str =
     return both.select("raster_id", "row", "col", every).select("raster_id", "p.band", "row", "col", "p.value")
 
 
-def raster_info(pixels: DataFrame, nodata: float | None = None, gt: tuple[float, ...] = (0.0, 1.0, 0.0, 64.0, 0.0, -1.0)) -> DataFrame:
-    """One row for each band: size, origin, extent and statistics."""
+def raster_info(pixels: DataFrame, nodata: float | None = None, gt: tuple[float, ...] = (0.0, 1.0, 0.0, 64.0, 0.0, -1.0), srid: int | None = None, scale: float = 1.0, offset: float = 0.0) -> DataFrame:
+    """One row for each band: size, origin, extent, sample type, NoData, scale, offset, CRS and statistics."""
     size = pixels.groupBy(*KEY).agg((F.max("col") + 1).cast("int").alias("width"), (F.max("row") + 1).cast("int").alias("height"))
     ox, px, _, oy, _, py = gt
     out = size.join(band_stats(pixels, nodata), KEY)
-    return out.select(*KEY, "width", "height", F.lit(ox).alias("xmin"), (F.lit(oy) + F.col("height") * py).alias("ymin"), (F.lit(ox) + F.col("width") * px).alias("xmax"), F.lit(oy).alias("ymax"), "n", "min", "max", "mean", "stddev")
+    told = {"dtype": dict(pixels.dtypes)["value"], "nodata": None if nodata is None else float(nodata), "value_scale": float(scale), "value_offset": float(offset), "srid": srid}
+    types = {"dtype": "string", "nodata": "double", "value_scale": "double", "value_offset": "double", "srid": "int"}
+    return out.select(
+        *KEY, "width", "height", F.lit(ox).alias("xmin"), (F.lit(oy) + F.col("height") * py).alias("ymin"), (F.lit(ox) + F.col("width") * px).alias("xmax"), F.lit(oy).alias("ymax"),
+        *[F.lit(v).cast(types[n]).alias(n) for n, v in told.items()], "n", "min", "max", "mean", "stddev",
+    )
 
 
 def set_nodata(catalog: DataFrame, nodata: float, band: int = 0) -> DataFrame:

@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoloom.functions.params import in_range, one_of
-from geoloom.operators.focal import DERIVATIVE, TILE, separable, tile_apply
-from geoloom.operators.graph import checkpointed, connected_components
+from geoloom.operators.focal import DERIVATIVE, TILE, separable, tile_apply, tiles
+from geoloom.operators.graph import checkpointed, connected_components, small_join
 from geoloom.operators.raster import KEY, by_band, otsu, stretched
 
 _GEOMETRY = pa.struct([("kind", pa.string()), ("parts", pa.list_(pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))))])
@@ -147,9 +147,9 @@ def contours(pixels: DataFrame, min_area: float = 100) -> DataFrame:
     """
     in_range("min_area", min_area, 0)
     v = stretched(pixels)
-    light = v.join(otsu(v), KEY).select(*KEY, "row", "col", F.when(F.col("value") > F.col("threshold"), 1.0).otherwise(0.0).alias("value"))
+    light = small_join(v, otsu(v), KEY).select(*KEY, "row", "col", F.when(F.col("value") > F.col("threshold"), 1.0).otherwise(0.0).alias("value"))
     size = light.groupBy(*KEY).agg(F.max("row").alias("h"), F.max("col").alias("w"))
-    dark = components(light.where("value = 0"), 4).join(size, KEY)
+    dark = small_join(components(light.where("value = 0"), 4), size, KEY)
     outer = dark.where("row = 0 or col = 0 or row = h or col = w").select("label").distinct()
     open_ = dark.join(outer, "label", "left_semi").select(*KEY, "row", "col")
     filled = components(light.join(open_, [*KEY, "row", "col"], "left_anti").withColumn("value", F.lit(1.0)), 8)
@@ -224,12 +224,58 @@ def watershed(pixels: DataFrame, markers: DataFrame, tile: int = TILE) -> DataFr
             return state.select(*KEY, "row", "col", "label")
 
 
-def auto_markers(pixels: DataFrame) -> DataFrame:
-    """Markers for :func:`watershed`: regions of pixels above Otsu's threshold whose 3 x 3 neighbourhood is too."""
+# Fixed: steps of a 5 x 5 chamfer distance and their lengths.
+CHAMFER = {(0, 1): 1.0, (1, 1): 1.4, (1, 2): 2.1969}
+
+
+def _chamfer(dist: np.ndarray) -> np.ndarray:
+    """Distances on a tile with two more cells on every side, relaxed until nothing changes."""
+    steps = {(sy * a, sx * b): w for (p, q), w in CHAMFER.items() for a, b in ((p, q), (q, p)) for sy in (-1, 1) for sx in (-1, 1)}
+    h, w = dist.shape
+    while True:
+        before = dist.copy()
+        for (dy, dx), length in steps.items():
+            to = dist[max(0, dy) : h + min(0, dy), max(0, dx) : w + min(0, dx)]
+            np.minimum(to, dist[max(0, -dy) : h + min(0, -dy), max(0, -dx) : w + min(0, -dx)] + length, out=to)
+        if (dist == before).all():
+            return dist
+
+
+def distance_transform(mask: DataFrame, tile: int = TILE) -> DataFrame:
+    """``(raster_id, band, row, col, value)``: each pixel's distance to the nearest pixel of value 0, along chamfer steps; infinite where the band has none.
+
+    Tiles are relaxed with two rows and columns of their neighbours; rounds go on until
+    no tile changes, so they are as many as the tiles that a distance spans.
+    """
+    size = mask.groupBy(*KEY).agg((F.max("row") + 1).alias("h"), (F.max("col") + 1).alias("w"))
+    start = F.when(F.col("value") == 0, F.lit(0.0)).otherwise(F.lit(float("inf")))
+    state = checkpointed(small_join(mask.select(*KEY, "row", "col", start.alias("value")), size, KEY))
+
+    def relax(pdf: pd.DataFrame) -> pd.DataFrame:
+        y0, x0 = int(pdf["row"].min()), int(pdf["col"].min())
+        y, x = pdf["row"].to_numpy() - y0, pdf["col"].to_numpy() - x0
+        grid = np.full((y.max() + 1, x.max() + 1), np.inf)
+        grid[y, x] = pdf["value"].to_numpy()
+        new = _chamfer(grid)[y, x]
+        out = pdf.assign(value=new, changed=new != pdf["value"].to_numpy())
+        own = (pdf["row"] // tile == pdf["ty"]) & (pdf["col"] // tile == pdf["tx"])
+        return out[own][[*KEY, "row", "col", "value", "h", "w", "changed"]]
+
+    while True:
+        dealt = tiles(state, 2, tile)
+        state = checkpointed(dealt.groupBy(*KEY, "ty", "tx").applyInPandas(relax, "raster_id long, band int, row int, col int, value double, h int, w int, changed boolean"))
+        if not state.where("changed").limit(1).count():
+            return state.select(*KEY, "row", "col", "value")
+
+
+def auto_markers(pixels: DataFrame, share: float = 0.5, tile: int = TILE) -> DataFrame:
+    """Markers for :func:`watershed`: regions of pixels above Otsu's threshold whose distance from the pixels below is over ``share`` of the band's greatest."""
     v = stretched(pixels)
-    light = v.join(otsu(v), KEY).select(*KEY, "row", "col", F.when(F.col("value") > F.col("threshold"), 1.0).otherwise(0.0).alias("value"))
-    core = tile_apply(light, lambda g: np.where(sliding_window_view(g, (3, 3)).min(axis=(2, 3)) > 0, 1.0, np.nan), 1, "replicate")
-    return components(core, 4).select(*KEY, "row", "col", (F.col("label") + 1).alias("label"))
+    light = small_join(v, otsu(v), KEY).select(*KEY, "row", "col", F.when(F.col("value") > F.col("threshold"), 1.0).otherwise(0.0).alias("value"))
+    far = distance_transform(light, tile).where("value > 0")
+    most = far.groupBy(*KEY).agg(F.max("value").alias("most"))
+    core = small_join(far, most, KEY).where((F.col("value") > F.col("most") * share) | (F.col("value") == float("inf"))).select(*KEY, "row", "col", F.lit(1.0).alias("value"))
+    return components(core, 8, tile).select(*KEY, "row", "col", (F.col("label") + 1).alias("label"))
 
 
 def kmeans(pixels: DataFrame, bands: list[int], k: int = 5, max_iter: int = 100, epsilon: float = 0.001, seed: int = 1) -> tuple[DataFrame, float]:
@@ -247,12 +293,21 @@ def kmeans(pixels: DataFrame, bands: list[int], k: int = 5, max_iter: int = 100,
 def hough_votes(edges: DataFrame, thetas: int = 180) -> DataFrame:
     """``(raster_id, rho, theta, votes)``: each edge pixel votes for the lines through it, theta in steps of 180 / thetas degrees.
 
-    180 rows a pixel, counted in partial aggregates before the shuffle.
+    Each batch counts its pixels' votes in numpy, so only counts are shuffled.
     """
-    t = F.radians(F.col("theta") * (180.0 / thetas))
-    rho = F.floor(F.round(F.col("col") * F.cos(t) + F.col("row") * F.sin(t), 6) + 0.5).cast("int")
-    every = edges.select("raster_id", "row", "col", F.explode(F.sequence(F.lit(0), F.lit(thetas - 1))).alias("theta"))
-    return every.select("raster_id", rho.alias("rho"), "theta").groupBy("raster_id", "rho", "theta").agg(F.count("*").alias("votes"))
+    angle = np.radians(np.arange(thetas) * (180.0 / thetas))
+    cos, sin = np.cos(angle), np.sin(angle)
+
+    def vote(batches):
+        for pdf in batches:
+            for rid, part in pdf.groupby("raster_id"):
+                rho = np.floor(np.round(part["col"].to_numpy()[:, None] * cos + part["row"].to_numpy()[:, None] * sin, 6) + 0.5).astype(np.int64)
+                low = rho.min() if len(rho) else 0
+                count = np.bincount(((rho - low) * thetas + np.arange(thetas)).ravel())
+                at = np.flatnonzero(count)
+                yield pd.DataFrame({"raster_id": rid, "rho": at // thetas + low, "theta": at % thetas, "votes": count[at]})
+
+    return edges.select("raster_id", "row", "col").mapInPandas(vote, "raster_id long, rho int, theta int, votes long").groupBy("raster_id", "rho", "theta").agg(F.sum("votes").alias("votes"))
 
 
 def hough_lines(edges: DataFrame, threshold: int = 50, min_length: float = 50, max_gap: float = 10, thetas: int = 180) -> DataFrame:

@@ -171,10 +171,7 @@ def clip_lines_to_boxes(lines: DataFrame, areas: DataFrame, lid: str, fid: str,
 
 def inside_stretches(stretches: DataFrame, lid: str) -> DataFrame:
     """``(lid, t0, t1)``: overlapping stretches of a line merged into islands."""
-    order = Window.partitionBy(lid).orderBy("t0", "t1")
-    before = F.max("t1").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = stretches.withColumn("new", F.when(before.isNull() | (F.col("t0") > before), 1).otherwise(0))
-    return marked.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy(lid, "island").agg(F.min("t0").alias("t0"), F.max("t1").alias("t1")).drop("island")
+    return _islands(stretches, [lid], "t0", "t1")
 
 
 def outside_stretches(lines: DataFrame, islands: DataFrame, lid: str) -> DataFrame:
@@ -193,6 +190,94 @@ def cut_lines(lines: DataFrame, stretches: DataFrame, lid: str) -> DataFrame:
     return cut.select(lid, G.geometry("MultiLineString", F.transform("s", lambda s: s["part"])).alias("geom"))
 
 
+def line_segments(lines: DataFrame, lid: str) -> DataFrame:
+    """``(sid, x0, y0, x1, y1, box..)`` of every segment of (multi-)lines; sid is ``(lid, part, k)``, k counting from 0."""
+    parts = lines.where(G.rank(F.col("geom")) == 1).select(F.col(lid).alias("_lid"), F.posexplode("geom.parts").alias("part", "p"))
+    ends = parts.select("_lid", "part", F.expr("get(p, 0)").alias("v")).where("size(v) > 1")
+    seg = ends.select("_lid", "part", "v", F.posexplode(F.expr("slice(v, 1, size(v) - 1)")).alias("k", "a")).withColumn("b", F.expr("v[k + 1]"))
+    own = seg.select(F.struct(F.col("_lid").alias("lid"), "part", "k").alias("sid"), F.col("a.x").alias("x0"), F.col("a.y").alias("y0"), F.col("b.x").alias("x1"), F.col("b.y").alias("y1"))
+    return own.where("x0 <> x1 or y0 <> y1").withColumns(_segment_box())
+
+
+def _segment_box() -> dict[str, Column]:
+    return {"xmin": F.least("x0", "x1"), "ymin": F.least("y0", "y1"), "xmax": F.greatest("x0", "x1"), "ymax": F.greatest("y0", "y1")}
+
+
+def line_stretches(lines: DataFrame, areas: DataFrame, lid: str, fid: str, cell: float) -> DataFrame:
+    """``(lid, part, m0, m1)``: stretches of (multi-)lines inside any of the areas, by measure: segment number plus share of it.
+
+    Segments and the areas' edges meet in a grid join; where they cross or touch, a
+    segment is cut, and a piece is inside an area if its middle is.  Stretches that
+    overlap or touch are merged, over segments and areas alike.
+    """
+    seg = line_segments(lines, lid)
+    ring = areas.where(G.rank(F.col("geom")) == 2).select(F.col(fid).alias("fid"), F.explode(F.flatten(F.col("geom.parts"))).alias("v")).where("size(v) > 1")
+    edge = ring.select("fid", "v", F.posexplode(F.expr("slice(v, 1, size(v) - 1)")).alias("k", "a")).withColumn("b", F.expr("v[k + 1]"))
+    edge = edge.select("fid", F.col("a.x").alias("x0"), F.col("a.y").alias("y0"), F.col("b.x").alias("x1"), F.col("b.y").alias("y1")).withColumns(_segment_box())
+    ends = ("x0", "y0", "x1", "y1")
+    met = grid_pairs(seg, edge, "sid", "fid", cell, keep=ends)
+    met = met.selectExpr("a_id AS sid", "b_id AS fid", "a_x1 - a_x0 AS dx", "a_y1 - a_y0 AS dy", "b_x1 - b_x0 AS ex", "b_y1 - b_y0 AS ey", "b_x0 - a_x0 AS wx", "b_y0 - a_y0 AS wy").withColumn("c", F.expr("dx * ey - dy * ex"))
+    crossing = F.expr("IF(c <> 0 AND (wx * dy - wy * dx) / c BETWEEN 0 AND 1, array((wx * ey - wy * ex) / c), IF(c = 0 AND wx * dy = wy * dx, array((wx * dx + wy * dy) / (dx * dx + dy * dy), ((wx + ex) * dx + (wy + ey) * dy) / (dx * dx + dy * dy)), CAST(array() AS array<double>)))")
+    cuts = met.select("sid", "fid", F.explode(crossing).alias("t")).where("t > 0 and t < 1").groupBy("sid", "fid").agg(F.collect_set("t").alias("ts"))
+    near = grid_pairs(seg, areas.where(G.rank(F.col("geom")) == 2), "sid", fid, cell, keep=()).select(F.col("a_id").alias("sid"), F.col("b_id").alias("fid"))
+    told = near.join(cuts, ["sid", "fid"], "left").withColumn("ts", F.expr("array_sort(concat(array(0D), coalesce(ts, CAST(array() AS array<double>)), array(1D)))"))
+    pieces = told.select("sid", "fid", "ts", F.explode(F.expr("sequence(0, size(ts) - 2)")).alias("i")).selectExpr("sid", "fid", "ts[i] AS t0", "ts[i + 1] AS t1")
+    placed = pieces.join(seg.select("sid", *ends), "sid").join(areas.select(F.col(fid).alias("fid"), "geom"), "fid")
+    middle = lambda p: F.expr(f"{p}0 + (t0 + t1) / 2 * ({p}1 - {p}0)")
+    inside = placed.where(G.contains_point(F.col("geom"), middle("x"), middle("y"))).select(F.col("sid.lid").alias(lid), F.col("sid.part").alias("part"), F.expr("sid.k + t0 AS m0"), F.expr("sid.k + t1 AS m1"))
+    return _islands(inside, [lid, "part"], "m0", "m1")
+
+
+def _islands(stretches: DataFrame, keys: list[str], start: str, stop: str) -> DataFrame:
+    order = Window.partitionBy(*keys).orderBy(start, stop)
+    before = F.max(stop).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = stretches.withColumn("new", F.when(before.isNull() | (F.col(start) > before), 1).otherwise(0))
+    return marked.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*keys, "island").agg(F.min(start).alias(start), F.max(stop).alias(stop)).drop("island")
+
+
+def lines_outside(lines: DataFrame, stretches: DataFrame, lid: str) -> DataFrame:
+    """``(lid, part, m0, m1)``: what the stretches leave of each line, lines without any whole."""
+    parts = lines.where(G.rank(F.col("geom")) == 1).select(lid, F.posexplode("geom.parts").alias("part", "p")).selectExpr(f"`{lid}`", "part", "CAST(size(get(p, 0)) - 1 AS DOUBLE) AS n").where("n > 0")
+    marks = parts.selectExpr(f"`{lid}`", "part", "0D AS m0", "0D AS m1").unionByName(stretches.select(lid, "part", "m0", "m1")).join(parts, [lid, "part"])
+    order = Window.partitionBy(lid, "part").orderBy("m0", "m1")
+    gaps = marks.select(lid, "part", F.col("m1").alias("a"), F.coalesce(F.lead("m0").over(order), F.col("n")).alias("b"))
+    return gaps.where("b > a").select(lid, "part", F.col("a").alias("m0"), F.col("b").alias("m1"))
+
+
+def lines_along(lines: DataFrame, stretches: DataFrame, lid: str) -> DataFrame:
+    """``(lid, part, m0, m1, geom)``: the piece of its line that each stretch is, its own vertices between its ends; pieces without length go."""
+    parts = lines.select(lid, F.posexplode("geom.parts").alias("part", "p")).select(lid, "part", F.expr("get(p, 0)").alias("v"))
+    k = lambda m: f"CAST(least(floor({m}), size(v) - 2) AS INT)"
+    at = lambda m: f"named_struct('x', v[{k(m)}].x + ({m} - {k(m)}) * (v[{k(m)} + 1].x - v[{k(m)}].x), 'y', v[{k(m)}].y + ({m} - {k(m)}) * (v[{k(m)} + 1].y - v[{k(m)}].y))"
+    ring = f"concat(array({at('m0')}), slice(v, CAST(floor(m0) AS INT) + 2, greatest(CAST(ceil(m1) AS INT) - 1 - CAST(floor(m0) AS INT), 0)), array({at('m1')}))"
+    pieces = stretches.join(parts, [lid, "part"]).select(lid, "part", "m0", "m1", F.expr(f"named_struct('kind', 'LineString', 'parts', array(array({ring})))").alias("geom"))
+    return pieces.where(G.length(F.col("geom")) > 0)
+
+
+def _gathered(pieces: DataFrame, lid: str) -> DataFrame:
+    parts = F.array_sort(F.collect_list(F.struct("part", "m0", F.expr("geom.parts[0]").alias("p"))))
+    return pieces.groupBy(lid).agg(parts.alias("s")).select(lid, F.expr("named_struct('kind', 'MultiLineString', 'parts', s.p)").alias("geom"))
+
+
+def clip_lines(lines: DataFrame, areas: DataFrame, lid: str, fid: str, cell: float) -> DataFrame:
+    """``(lid, geom)``: the parts of each line inside the areas as one MultiLineString; lines without any go."""
+    return _gathered(lines_along(lines, line_stretches(lines, areas, lid, fid, cell), lid), lid)
+
+
+def difference_lines(lines: DataFrame, areas: DataFrame, lid: str, fid: str, cell: float) -> DataFrame:
+    """``(lid, geom)``: the parts of each line outside the areas as one MultiLineString; lines wholly inside go."""
+    return _gathered(lines_along(lines, lines_outside(lines, line_stretches(lines, areas, lid, fid, cell), lid), lid), lid)
+
+
+def union_lines(lines: DataFrame, areas: DataFrame, lid: str, fid: str, cell: float) -> DataFrame:
+    """``(lid, source, geom)``: every part that the areas split a line into is a row (``split``); lines off the areas stay whole (``input``)."""
+    inside = line_stretches(lines, areas, lid, fid, cell)
+    outside = lines_outside(lines, inside, lid)
+    met = inside.select(lid).distinct()
+    split = lines_along(lines, inside.unionByName(outside.join(met, lid, "left_semi")), lid).select(lid, F.lit("split").alias("source"), "geom")
+    return split.unionByName(lines.join(met, lid, "left_anti").select(lid, F.lit("input").alias("source"), "geom"))
+
+
 def point_buffers(points: DataFrame, distance: float, srid: int, segments: int = 30) -> DataFrame:
     """Points with a polygon of ``segments`` sides a quadrant around them; a geographic CRS is refused."""
     from geoloom.operators.project import require_projected

@@ -78,8 +78,3 @@ def with_summary(records: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 def class_raster(found: DataFrame, order: str = "fid", by: tuple[str, ...] = ()) -> DataFrame:
     """``(by.., row, col, value)``: the resolved classes of all zones; a later zone's class overwrites, 0 never does."""
     return found.where("class_value <> 0").groupBy(*by, "row", "col").agg(F.max_by("class_value", order).alias("value"))
-
-
-def zonal_json(records: DataFrame) -> DataFrame:
-    """Each record as JSON text."""
-    return records.select("feature_id", "class_value", F.to_json(F.struct(*records.columns)).alias("record"))

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from geoloom.operators import matching as K
+from geoloom.operators.focal import DERIVATIVE
 from geoloom.plans.base import group, rounded
+from geoloom.plans.focal import ONE, neighbours, outer
 from geoloom.sources import fixtures as X
+from geoloom.sources.fixtures import PX
 
 QUERIES, ORACLES, query = group()
 
@@ -17,7 +20,7 @@ def _vectors(spark, sf):
     return v.where("id % 100 = 0"), v
 
 
-NEAREST = """d AS (SELECT a.vec_id AS query_id, b.vec_id AS train_id, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) ^ 2)) AS d2 FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 AND b.vec_id % 100 <> 0),
+NEAREST = """d AS (SELECT a.vec_id AS query_id, b.vec_id AS train_id, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) ^ 2)) AS d2 FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 AND b.vec_id <> a.vec_id),
 n AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY d2, train_id) AS INTEGER) AS rank FROM d)"""
 
 
@@ -40,24 +43,46 @@ def _band(spark, sf):
     return X.pixels(spark, sf, (1,))
 
 
-@query()
+# Corner response on the whole raster: beyond its edge gradients are mirrored, and those across the edge change sign.
+PRODUCTS = f"""{ONE}, gx AS MATERIALIZED ({neighbours("st", outer(DERIVATIVE[0], DERIVATIVE[1]))}), gy AS MATERIALIZED ({neighbours("st", outer(DERIVATIVE[1], DERIVATIVE[0]))}),
+g AS MATERIALIZED (SELECT gx.raster_id, gx."row", gx.col, gx.value / 2040 AS x, gy.value / 2040 AS y FROM gx JOIN gy USING (raster_id, band, "row", col)),
+sums AS MATERIALIZED (SELECT p.raster_id, p."row", p.col, sum(q.x * q.x) AS xx, sum(q.x * q.y * CASE WHEN p."row" + dy < 0 THEN -1 ELSE 1 END * CASE WHEN p.col + dx < 0 THEN -1 ELSE 1 END) AS xy, sum(q.y * q.y) AS yy
+ FROM g p CROSS JOIN (VALUES (-1, -1), (-1, 0), (0, -1), (0, 0)) k(dy, dx) JOIN g q ON q.raster_id = p.raster_id AND q."row" = abs(p."row" + dy) AND q.col = abs(p.col + dx) GROUP BY ALL)"""
+
+
+def _corners(response: str, apart: str) -> str:
+    """SQL of corners: peaks of the response, then a greedy pass in its order."""
+    return f"""WITH {PRODUCTS}, resp AS MATERIALIZED (SELECT raster_id, "row", col, {response} AS v FROM sums),
+peak AS (SELECT a.raster_id, a."row", a.col, any_value(a.v) AS v FROM resp a JOIN resp b ON b.raster_id = a.raster_id AND abs(b."row" - a."row") <= 1 AND abs(b.col - a.col) <= 1 GROUP BY a.raster_id, a."row", a.col HAVING any_value(a.v) >= max(b.v)),
+cand AS (SELECT * FROM peak JOIN (SELECT raster_id, max(v) * 0.01 AS least_ FROM resp GROUP BY raster_id) USING (raster_id) WHERE v > least_ AND "row" BETWEEN 1 AND 62 AND col BETWEEN 1 AND 62),
+{greedy('cand', 'v', apart)} SELECT raster_id, k.y AS "row", k.x AS col, round(k.v, 9) AS response FROM kept"""
+
+
+def greedy(source: str, value: str, apart: str) -> str:
+    """SQL of the points that a pass in order of ``value`` keeps: none for which ``apart`` fails with a kept one."""
+    return f"""l AS (SELECT raster_id, list([struct_pack(y := "row", x := col, v := {value})] ORDER BY {value} DESC, "row", col) AS every FROM {source} GROUP BY raster_id),
+kept AS (SELECT raster_id, unnest(list_reduce(every, lambda a, b: CASE WHEN len(list_filter(a, lambda k: {apart})) = 0 THEN a || b ELSE a END)) AS k FROM l)"""
+
+
+@query(_corners("xx * yy - xy * xy - 0.04 * (xx + yy) ^ 2", "abs(k.y - b[1].y) < 5 AND abs(k.x - b[1].x) < 5"))
 def k3_corners_harris(spark, sf):
-    return K.corners(_band(spark, sf), "harris", 500, 0.01, 5)
+    return rounded(K.corners(_band(spark, sf), "harris", 5000, 0.01, 5), "response", digits=9)
 
 
-@query()
+@query(_corners("(xx + yy) / 2 - sqrt(((xx - yy) / 2) ^ 2 + xy ^ 2)", "(k.y - b[1].y) ^ 2 + (k.x - b[1].x) ^ 2 < 25"))
 def k3_corners_shi_tomasi(spark, sf):
-    return K.corners(_band(spark, sf), "shi_tomasi", 500, 0.01, 5)
+    return rounded(K.corners(_band(spark, sf), "shi_tomasi", 5000, 0.01, 5), "response", digits=9)
 
 
-@query()
+@query(f'WITH {PX}, cand AS (SELECT * FROM px WHERE b1 > 180), {greedy("cand", "b1", "abs(k.y - b[1].y) < 4 AND abs(k.x - b[1].x) < 4")} SELECT raster_id, k.y AS "row", k.x AS col, k.v AS response FROM kept')
 def k4_suppressed(spark, sf):
+    """Candidates are the pixels of band 1 above 180."""
     return K.suppressed(X.scenes(spark, sf).where("b1 > 180").select("raster_id", "row", "col", F.col("b1").alias("response")), 4)
 
 
 @query()
 def k1_keypoints(spark, sf):
-    return K.keypoints(_band(spark, sf), 500)
+    return K.keypoints(_band(spark, sf))
 
 
 def _strip(spark, sf):
@@ -71,7 +96,7 @@ def _moved(one, dy: int, dx: int):
     return one.withColumns({"row": (F.col("row") + dy).cast("int"), "col": (F.col("col") + dx).cast("int")})
 
 
-@query()
+@query(f'WITH {PX} SELECT CAST(0 AS BIGINT) AS raster_id, 1 AS band, "row", CAST(raster_id * 64 + col AS INTEGER) AS col, b1 AS value, 2.0::DOUBLE AS dx, 3.0::DOUBLE AS dy FROM px')
 def k5_register(spark, sf):
     one, width = _strip(spark, sf)
     out, m = K.register(one, _moved(one, 3, 2), 64, width, "translation", "nearest")
@@ -88,7 +113,7 @@ def k6_ecc_register(spark, sf):
     return out.withColumns({"dx": F.lit(round(float(m[0, 2]), 2)), "dy": F.lit(round(float(m[1, 2]), 2))})
 
 
-@query()
+@query(f'WITH {PX} SELECT 1 AS band, "row", CAST(raster_id * 64 + col AS INTEGER) AS col, b1 AS value FROM px')
 def k7_stitch(spark, sf):
     one, _ = _strip(spark, sf)
     return K.stitch([one, _moved(one, 3, 2)])

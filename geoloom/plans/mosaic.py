@@ -6,11 +6,14 @@ import math
 
 from pyspark.sql import functions as F
 
+from geoloom.functions import geometry as G
 from geoloom.operators import mosaic as M
 from geoloom.operators import project as P
+from geoloom.operators.vector import BOX, rectangles
+from geoloom.operators.zonal import target_srs
 from geoloom.plans.base import group, rounded
 from geoloom.sources import fixtures as X
-from geoloom.sources.fixtures import PIX, POINTS, PX
+from geoloom.sources.fixtures import PIX, POINTS, PX, RECTS, ZONES
 
 QUERIES, ORACLES, query = group()
 GT = (0.0, 1.0, 0.0, 64.0, 0.0, -1.0)
@@ -75,6 +78,25 @@ def _lonlat(spark, sf):
     return X.points(spark, sf).select("pid", (-180 + F.col("x") * 5.6).alias("x"), (-80 + F.col("y") * 2.5).alias("y"))
 
 
+def _smooth(weight: str, low: int, high: int) -> str:
+    """SQL of an overview by a kernel of the distance ? in blocks."""
+    w = lambda d: weight.replace("?", d)
+    return f"""WITH {PIX}, v AS (SELECT *, ("row" + 0.5) / level - 0.5 AS cy, (col + 0.5) / level - 0.5 AS cx FROM pix, (VALUES (2), (8)) l(level)),
+e AS (SELECT raster_id, band, level, CAST(floor(cy) + a AS INTEGER) AS r, CAST(floor(cx) + b AS INTEGER) AS c, value, cy - (floor(cy) + a) AS dy, cx - (floor(cx) + b) AS dx FROM v, range({low}, {high}) i(a), range({low}, {high}) j(b)),
+k AS (SELECT *, CAST({w("dy")} AS DOUBLE) * CAST({w("dx")} AS DOUBLE) AS w FROM e WHERE r >= 0 AND c >= 0 AND r <= 63 // level AND c <= 63 // level)
+SELECT raster_id, band, level, r AS "row", c AS col, round(sum(w * value) / sum(w), 6) AS value FROM k WHERE w <> 0 GROUP BY ALL HAVING abs(sum(w)) > 1e-9"""
+
+
+@query(_smooth("(CASE WHEN abs(?) < 1 THEN exp(-2 * ? * ?) ELSE 0 END)", 0, 2))
+def w14_overviews_gaussian(spark, sf):
+    return rounded(M.overviews(X.pixels(spark, sf), (2, 8), "gaussian"), "value")
+
+
+@query(_smooth("(CASE WHEN abs(?) <= 1 THEN (1.5 * abs(?) - 2.5) * abs(?) * abs(?) + 1 WHEN abs(?) < 2 THEN ((-0.5 * abs(?) + 2.5) * abs(?) - 4) * abs(?) + 2 ELSE 0 END)", -1, 3))
+def w14_overviews_cubic(spark, sf):
+    return rounded(M.overviews(X.pixels(spark, sf), (2, 8), "cubic"), "value")
+
+
 @query(f"WITH {POINTS} SELECT pid, round(lon * {R * math.pi / 180!r}, 3) AS x, round(ln(tan(radians(lat) / 2 + {math.pi / 4!r})) * {R!r}, 3) AS y FROM (SELECT pid, {LONLAT} FROM points)")
 def r3_transform_mercator(spark, sf):
     return rounded(P.transform_points(_lonlat(spark, sf), "EPSG:4326", "EPSG:3857"), "x", "y", digits=3)
@@ -186,3 +208,22 @@ def r7_window_to_grid(spark, sf):
     got = P.resample(p, targets, "nearest")
     every = targets.select("raster_id", "row", "col", F.explode(F.array(*[F.lit(b) for b in (1, 2, 3, 4)])).alias("band"))
     return every.join(got, ["raster_id", "band", "row", "col"], "left").select("raster_id", "band", "row", "col", F.coalesce("value", F.lit(-1.0)).alias("value"))
+
+
+MERCATOR = "round({0} * (6378137.0 * pi() / 180), 3) AS {1}"
+NORTHING = "round(ln(tan(radians({0}) / 2 + pi() / 4)) * 6378137.0, 3) AS {1}"
+DEGREES = "(SELECT oid, 100 + xmin / 4 AS xmin, ymin / 2 AS ymin, 100 + xmax / 4 AS xmax, ymax / 2 AS ymax FROM rects)"
+
+
+@query(f"WITH {RECTS} SELECT oid, {MERCATOR.format('xmin', 'xmin')}, {NORTHING.format('ymin', 'ymin')}, {MERCATOR.format('xmax', 'xmax')}, {NORTHING.format('ymax', 'ymax')}, 5 AS vertices FROM {DEGREES}")
+def r1_reproject_features(spark, sf):
+    r = X.rects(spark, sf)
+    degrees = rectangles(r.select("oid", *[(100 + F.col(c) / 4 if c[0] == "x" else F.col(c) / 2).alias(c) for c in BOX]))
+    return rounded(P.reproject_features(degrees, 4326, 3857).select("oid", *BOX, F.size(G.vertices(F.col("geom"))).alias("vertices")), *BOX, digits=3)
+
+
+@query(f"WITH {ZONES} SELECT fid, fname, {MERCATOR.format('(100 + xmin / 8)', 'xmin')}, {NORTHING.format('(ymin / 8)', 'ymin')}, {MERCATOR.format('(100 + xmax / 8)', 'xmax')}, {NORTHING.format('(ymax / 8)', 'ymax')} FROM zones")
+def r6_zones_to_target(spark, sf):
+    z = X.zones(spark, sf)
+    degrees = rectangles(z.select("fid", "fname", *[(100 + F.col(c) / 8 if c[0] == "x" else F.col(c) / 8).alias(c) for c in BOX]))
+    return rounded(P.reproject_features(degrees, 4326, target_srs([4326, 3857])).select("fid", "fname", *BOX), *BOX, digits=3)

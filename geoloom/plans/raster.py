@@ -43,9 +43,9 @@ def a4_histogram_edges(spark, sf):
     return rounded(R.histogram_edges(X.pixels(spark, sf), bins=10), "lo", "hi")
 
 
-@query(f'WITH {PIX} SELECT raster_id, band, max(col) + 1 AS width, max("row") + 1 AS height, 0.0::DOUBLE AS xmin, 64.0::DOUBLE - (max("row") + 1) AS ymin, (max(col) + 1)::DOUBLE AS xmax, 64.0::DOUBLE AS ymax, count(*) AS n, min(value) AS min, max(value) AS max, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS stddev FROM pix GROUP BY ALL')
+@query(f"""WITH {PIX} SELECT raster_id, band, max(col) + 1 AS width, max("row") + 1 AS height, 0.0::DOUBLE AS xmin, 64.0::DOUBLE - (max("row") + 1) AS ymin, (max(col) + 1)::DOUBLE AS xmax, 64.0::DOUBLE AS ymax, 'double' AS dtype, 0.0::DOUBLE AS nodata, 1.0::DOUBLE AS value_scale, 0.0::DOUBLE AS value_offset, 3857 AS srid, count(nullif(value, 0)) AS n, min(nullif(value, 0)) AS min, max(nullif(value, 0)) AS max, round(avg(nullif(value, 0)), 6) AS mean, round(stddev_pop(nullif(value, 0)), 6) AS stddev FROM pix GROUP BY ALL""")
 def a5_raster_info(spark, sf):
-    return rounded(R.raster_info(X.pixels(spark, sf)), "mean", "stddev")
+    return rounded(R.raster_info(X.pixels(spark, sf), nodata=0, srid=3857), "mean", "stddev")
 
 
 @query(f'WITH {PX} SELECT raster_id, "row", col, round(CASE WHEN abs(b2 - 3) < 1e-15 THEN 0 ELSE (b1 + 2 * b4) / (b2 - 3) END - b3 * 0.5, 6) AS value FROM px')
@@ -174,6 +174,17 @@ def p24_assign_srs(spark, sf):
     return R.assign_srs(_catalog(spark, sf), 3857)
 
 
-@query()
+CLAHE = f"""{ENDS}, v AS (SELECT raster_id, "row", col, CAST(value AS INTEGER) AS lv FROM st WHERE band = 1),
+h AS (SELECT raster_id, "row" // 8 AS ty, col // 8 AS tx, lv, count(*) AS n FROM v GROUP BY ALL),
+x AS (SELECT raster_id, ty, tx, CAST(sum(n - least(n, 1)) AS BIGINT) AS excess FROM h GROUP BY ALL),
+b AS (SELECT x.*, CAST(l AS INTEGER) AS lv, CASE WHEN n IS NULL THEN 0 ELSE least(n, 1) END + excess // 256 + CASE WHEN excess % 256 > 0 AND l % greatest(1, 256 // greatest(excess % 256, 1)) = 0 AND l // greatest(1, 256 // greatest(excess % 256, 1)) < excess % 256 THEN 1 ELSE 0 END AS n
+ FROM x CROSS JOIN range(256) r(l) LEFT JOIN h ON h.raster_id = x.raster_id AND h.ty = x.ty AND h.tx = x.tx AND h.lv = l),
+lut AS MATERIALIZED (SELECT raster_id, ty, tx, lv, least(255.0::DOUBLE, round_even(CAST(sum(n) OVER (PARTITION BY raster_id, ty, tx ORDER BY lv) AS DOUBLE) * 255 / 64, 0)) AS o FROM b),
+q AS (SELECT raster_id, "row", col, lv, CAST(greatest(0, least(7, floor("row" / 8.0 - 0.5) + i)) AS BIGINT) AS ty, CAST(greatest(0, least(7, floor(col / 8.0 - 0.5) + j)) AS BIGINT) AS tx,
+ CASE i WHEN 1 THEN "row" / 8.0::DOUBLE - 0.5 - floor("row" / 8.0 - 0.5) ELSE 1 - "row" / 8.0::DOUBLE + 0.5 + floor("row" / 8.0 - 0.5) END * CASE j WHEN 1 THEN col / 8.0::DOUBLE - 0.5 - floor(col / 8.0 - 0.5) ELSE 1 - col / 8.0::DOUBLE + 0.5 + floor(col / 8.0 - 0.5) END AS w
+ FROM v, range(2) a(i), range(2) c(j))"""
+
+
+@query(f'WITH {CLAHE} SELECT raster_id, 1 AS band, "row", col, round(round_even(round(CAST(sum(w * o) / sum(w) AS DOUBLE), 6), 0) / 255, 6) AS value FROM q JOIN lut USING (raster_id, ty, tx, lv) GROUP BY raster_id, "row", col')
 def p15_enhance_clahe(spark, sf):
     return rounded(R.clahe(X.pixels(spark, sf, (1,))), "value")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from geoloom.functions import geometry as G
 from geoloom.operators import segment as S
+from geoloom.operators.focal import DERIVATIVE
 from geoloom.plans.base import group, rounded
+from geoloom.plans.focal import ONE, neighbours, outer
 from geoloom.plans.raster import OTSU
 from geoloom.sources import fixtures as X
 from geoloom.sources.fixtures import PX
@@ -42,12 +46,34 @@ def v2_polygonize(spark, sf):
     return S.polygonize(_classes(spark, sf), GT).select("raster_id", "band", "label", "DN", G.area(F.col("geom")).alias("area"))
 
 
-@query()
+LIGHT = f"""{OTSU}, lt AS MATERIALIZED (SELECT raster_id, "row", col, CAST(value > threshold AS INTEGER) AS light, raster_id * 4096 + "row" * 64 + col AS id FROM st JOIN o USING (raster_id, band) WHERE band = 1),
+dark AS MATERIALIZED (SELECT * FROM lt WHERE light = 0),
+outer_ AS (SELECT id, raster_id, "row", col FROM dark WHERE "row" IN (0, 63) OR col IN (0, 63) UNION SELECT d.id, d.raster_id, d."row", d.col FROM outer_ p CROSS JOIN (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)) s(dy, dx) JOIN dark d ON d.raster_id = p.raster_id AND d."row" = p."row" + dy AND d.col = p.col + dx),
+fil AS MATERIALIZED (SELECT raster_id, "row", col, id FROM lt ANTI JOIN outer_ USING (id)),
+beside AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM fil a JOIN fil b ON b.raster_id = a.raster_id AND abs(b."row" - a."row") <= 1 AND abs(b.col - a.col) <= 1 AND a.id <> b.id),
+cc(id, label) USING KEY (id) AS (SELECT id, id FROM fil UNION SELECT n.b, min(c.label) FROM cc c JOIN beside n ON n.a = c.id JOIN recurring.cc r ON r.id = n.b WHERE c.label < r.label GROUP BY n.b),
+held AS MATERIALIZED (SELECT raster_id, label, "row", col FROM fil JOIN cc USING (id)),
+quad AS (SELECT raster_id, label, y, x, count(*) AS n FROM (SELECT raster_id, label, "row" - a AS y, col - b AS x FROM held, range(2) i(a), range(2) j(b)) GROUP BY ALL),
+inside AS (SELECT label, sum(CASE n WHEN 4 THEN 1.0 WHEN 3 THEN 0.5 ELSE 0 END)::DOUBLE AS area FROM quad GROUP BY label)"""
+
+
+@query(f"""WITH RECURSIVE {LIGHT} SELECT raster_id, 1 AS band, {ID.replace('"row"', '(label // 64 % 64)').replace('col', '(label % 64)')} AS label, pixels, area FROM (SELECT raster_id, label, count(*) AS pixels FROM held GROUP BY ALL) JOIN inside USING (label) WHERE area >= 2""")
 def c2_contours(spark, sf):
     return S.contours(X.pixels(spark, sf, (1,)), 2)
 
 
-@query()
+SIDE = "max(q.value) FILTER (dy = {0} AND dx = {1})"
+AROUND = "struct_pack(" + ", ".join(f"n{i}{j} := {SIDE.format(i - 1, j - 1)}" for i in range(3) for j in range(3)) + ")"
+CANNY = f"""{ONE}, gx AS MATERIALIZED ({neighbours("st", outer(DERIVATIVE[0], DERIVATIVE[1]))}), gy AS MATERIALIZED ({neighbours("st", outer(DERIVATIVE[1], DERIVATIVE[0]))}),
+mag AS MATERIALIZED (SELECT gx.raster_id, gx.band, gx."row", gx.col, gx.value AS x, gy.value AS y, abs(gx.value) + abs(gy.value) AS value FROM gx JOIN gy USING (raster_id, band, "row", col)),
+near9 AS MATERIALIZED ({neighbours("mag", [(i, j, 1.0) for i in (-1, 0, 1) for j in (-1, 0, 1)], "reflect101", AROUND)}),
+pick AS (SELECT m.raster_id, m."row", m.col, m.value, CASE WHEN abs(y) <= {math.tan(math.pi / 8)!r} * abs(x) THEN [n.value.n10, n.value.n12] WHEN abs(x) < {math.tan(math.pi / 8)!r} * abs(y) THEN [n.value.n01, n.value.n21] WHEN x * y > 0 THEN [n.value.n00, n.value.n22] ELSE [n.value.n02, n.value.n20] END AS ab
+ FROM mag m JOIN near9 n USING (raster_id, "row", col)),
+kept AS MATERIALIZED (SELECT raster_id, "row", col, value > 150 AS strong FROM pick WHERE value > ab[1] AND value >= ab[2] AND value > 50),
+on_(raster_id, "row", col) AS (SELECT raster_id, "row", col FROM kept WHERE strong UNION SELECT k.raster_id, k."row", k.col FROM on_ p JOIN kept k ON k.raster_id = p.raster_id AND abs(k."row" - p."row") <= 1 AND abs(k.col - p.col) <= 1)"""
+
+
+@query(f'WITH RECURSIVE {CANNY} SELECT raster_id, 1 AS band, "row", col FROM on_')
 def w11_edge_canny(spark, sf):
     return S.canny(X.pixels(spark, sf, (1,)))
 
@@ -96,3 +122,12 @@ def c6_hough_circle_votes(spark, sf):
     return S.hough_circle_votes(e, 3, 6)
 
 
+@query(f"""WITH {PX}, e AS (SELECT raster_id, "row", col, b1 - 128 AS gx, b3 - 64 AS gy FROM px WHERE b2 >= 5 AND (b1 <> 128 OR b3 <> 64)),
+v AS (SELECT raster_id, CAST(floor(round("row" + r * s * gy / sqrt(gx * gx + gy * gy), 6) + 0.5) AS INTEGER) AS y, CAST(floor(round(col + r * s * gx / sqrt(gx * gx + gy * gy), 6) + 0.5) AS INTEGER) AS x, CAST(r AS INTEGER) AS radius, count(*) AS n FROM e, range(3, 7) a(r), (VALUES (-1), (1)) b(s) GROUP BY ALL),
+c AS (SELECT raster_id, y, x, arg_max(radius, (n, -radius)) AS radius, CAST(sum(n) AS BIGINT) AS votes FROM v GROUP BY raster_id, y, x HAVING sum(n) >= 3),
+l AS (SELECT raster_id, list([struct_pack(y := y, x := x, r := radius, v := votes)] ORDER BY votes DESC, y, x) AS every FROM c GROUP BY raster_id),
+g AS (SELECT raster_id, unnest(list_reduce(every, lambda a, b: CASE WHEN len(list_filter(a, lambda k: (k.y - b[1].y) ^ 2 + (k.x - b[1].x) ^ 2 < 64)) = 0 THEN a || b ELSE a END)) AS k FROM l)
+SELECT raster_id, k.y AS "row", k.x AS col, k.r AS radius, k.v AS votes FROM g""")
+def c6_hough_circles(spark, sf):
+    e = X.scenes(spark, sf).where("b2 >= 5").select("raster_id", "row", "col", (F.col("b1") - 128).alias("gx"), (F.col("b3") - 64).alias("gy"))
+    return S.hough_circles(e, 3, 6, threshold=3, min_distance=8)

@@ -118,6 +118,45 @@ def j7_union_lines(spark, sf):
     return inside.unionByName(V.outside_stretches(met, inside, "lid")).groupBy("lid").agg(F.count("*").alias("parts"))
 
 
+# Lines of three vertices against a diamond in each zone.
+BENT = """bent AS (SELECT lid, CAST(0 AS BIGINT) AS k, x0, y0, x1, y1 FROM lines UNION ALL SELECT lid, 1, x1, y1, x1 + 1.5::DOUBLE, y1 - (lid % 7)::DOUBLE / 2 FROM lines)"""
+SIDES = """sides AS (SELECT lid, k, fid, a.* FROM bent JOIN zones ON least(x0, x1) <= xmax AND greatest(x0, x1) >= xmin AND least(y0, y1) <= ymax AND greatest(y0, y1) >= ymin
+ CROSS JOIN LATERAL (SELECT 1 - s * (x0 - xmin - 5.5) / 5.5::DOUBLE - r * (y0 - ymin - 4.5) / 4.5::DOUBLE AS room, s * (x1 - x0) / 5.5::DOUBLE + r * (y1 - y0) / 4.5::DOUBLE AS slope FROM (VALUES (1, 1), (1, -1), (-1, 1), (-1, -1)) v(s, r)) a),
+inner_ AS (SELECT lid, k, fid, any_value(k) + greatest(0, max(CASE WHEN slope < 0 THEN room / slope END)) AS m0, any_value(k) + least(1, min(CASE WHEN slope > 0 THEN room / slope END)) AS m1, bool_or(slope = 0 AND room < 0) AS off FROM sides GROUP BY lid, k, fid),
+s AS (SELECT lid, k, m0, m1 FROM inner_ WHERE NOT off AND m1 - m0 > 1e-12)"""
+BENT_LENGTH = "sum(sqrt((x1 - x0) ^ 2 + (y1 - y0) ^ 2) * (m1 - m0))"
+PARTS = "p AS (SELECT lid, count(*) AS parts FROM (SELECT *, lag(m1) OVER (PARTITION BY lid ORDER BY m0) AS before FROM s) WHERE before IS NULL OR m0 > before GROUP BY lid)"
+
+
+def _bent(spark, sf):
+    """(lines, diamonds)."""
+    l = X.lines(spark, sf)
+    third = G.vertex(F.col("x1") + 1.5, F.col("y1") - (F.col("lid") % 7).cast("double") / 2)
+    geom = G.geometry("LineString", F.array(F.array(F.array(G.vertex(F.col("x0"), F.col("y0")), G.vertex(F.col("x1"), F.col("y1")), third))))
+    x, y = F.col("xmin") + 5.5, F.col("ymin") + 4.5
+    ring = F.array(G.vertex(x + 5.5, y), G.vertex(x, y + 4.5), G.vertex(x - 5.5, y), G.vertex(x, y - 4.5), G.vertex(x + 5.5, y))
+    return l.select("lid", geom.alias("geom")), G.with_box(X.zones(spark, sf).withColumn("geom", G.geometry("Polygon", F.array(F.array(ring)))))
+
+
+def _measured(df):
+    return rounded(df.select("lid", G.length(F.col("geom")).alias("length"), F.size("geom.parts").cast("long").alias("parts")), "length", digits=5)
+
+
+@query(f"WITH {LINES}, {ZONES}, {BENT}, {SIDES}, {PARTS} SELECT lid, round({BENT_LENGTH}, 5) AS length, any_value(parts) AS parts FROM s JOIN bent USING (lid, k) JOIN p USING (lid) GROUP BY lid")
+def j3_clip_bent_lines(spark, sf):
+    return _measured(V.clip_lines(*_bent(spark, sf), "lid", "fid", 4.0))
+
+
+@query(f"WITH {LINES}, {ZONES}, {BENT}, {SIDES}, i AS (SELECT lid, {BENT_LENGTH} AS inside FROM s JOIN bent USING (lid, k) GROUP BY lid), w AS (SELECT lid, sum(sqrt((x1 - x0) ^ 2 + (y1 - y0) ^ 2)) AS whole FROM bent GROUP BY lid) SELECT lid, round(whole - coalesce(inside, 0), 5) AS length FROM w LEFT JOIN i USING (lid) WHERE whole - coalesce(inside, 0) > 1e-9")
+def j5_difference_bent_lines(spark, sf):
+    return rounded(V.difference_lines(*_bent(spark, sf), "lid", "fid", 4.0).select("lid", G.length(F.col("geom")).alias("length")).where("length > 1e-9"), "length", digits=5)
+
+
+@query(f"WITH {LINES}, {ZONES}, {BENT}, {SIDES}, {PARTS}, e AS (SELECT lid, min(m0) AS a, max(m1) AS b FROM s GROUP BY lid) SELECT lid, CASE WHEN parts IS NULL THEN 'input' ELSE 'split' END AS source, CAST(CASE WHEN parts IS NULL THEN 1 ELSE 2 * parts - 1 + CAST(a > 0 AS INTEGER) + CAST(b < 2 AS INTEGER) END AS BIGINT) AS parts FROM lines LEFT JOIN p USING (lid) LEFT JOIN e USING (lid)")
+def j7_union_bent_lines(spark, sf):
+    return V.union_lines(*_bent(spark, sf), "lid", "fid", 4.0).groupBy("lid", "source").agg(F.count("*").alias("parts"))
+
+
 CELLS = """zc AS (SELECT fid, fname, CAST(r AS INTEGER) AS "row", CAST(c AS INTEGER) AS col FROM zones, range(64) t(r), range(64) u(c) WHERE c + 0.5 >= xmin AND c + 0.5 < xmax AND 64 - (r + 0.5) >= ymin AND 64 - (r + 0.5) < ymax)"""
 
 
