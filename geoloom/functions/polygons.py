@@ -221,10 +221,25 @@ def circle(distance: float, segments: int) -> np.ndarray:
     return np.stack([np.cos(t), np.sin(t)], 1) * distance
 
 
+def capsule(a: np.ndarray, b: np.ndarray, round_: np.ndarray) -> np.ndarray:
+    """The hull of a convex polygon's copies at both ends of a segment: each vertex at the end it is the outermost of, the two widest at both."""
+    d = b - a
+    edge = np.roll(round_, -1, 0) - round_
+    ahead = edge[:, 1] * d[0] - edge[:, 0] * d[1]  # how far each side's outward normal points along the segment
+    before = np.roll(ahead, 1)
+    at_a, at_b = (before < 0) | (ahead < 0), (before > 0) | (ahead > 0)
+    at_a |= ~at_b
+    both = at_a & at_b
+    k = np.repeat(np.arange(len(round_)), 1 + both)
+    second = np.concatenate([[False], k[1:] == k[:-1]])
+    to_b = np.where(both[k], (before[k] < 0) == second, at_b[k])
+    return np.where(to_b[:, None], b, a) + round_[k]
+
+
 def buffer(kind: str, parts: list[Rings], distance: float, segments: int = 30) -> Rings:
     """All within ``distance``: the hulls of circles around each segment, united with areas; a negative distance takes the border's buffer off an area."""
     round_ = circle(abs(distance), segments)
-    around = lambda pts: [hull((pts[:, None, :] + round_[None, :, :]).reshape(-1, 2))]
+    around = lambda pts: [hull((pts[:, None, :] + round_[None, :, :]).reshape(-1, 2))] if len(pts) != 2 else [capsule(*pts, round_)]
     if "Point" in kind:
         return union_all([around(r) for p in parts for r in p])
     rings = [r for p in parts for r in p]
