@@ -52,30 +52,38 @@ def meeting(lo: np.ndarray, hi: np.ndarray, step: int = 1 << 20):
 
 
 def noded(edges: np.ndarray, grid: float) -> np.ndarray:
-    """Edges cut at all crossings and touches, ends on a grid, each piece once, whole pieces only."""
+    """Edges cut at all crossings and touches, ends on a grid, each piece once, whole pieces only.
+
+    An end within two steps of the grid of another edge cuts that edge, whichever way
+    the edges run, so edges that nearly lie on each other become the same pieces.
+    """
     p, d = edges[:, :2], edges[:, 2:] - edges[:, :2]
     length = np.hypot(*d.T) + 1e-300
-    every = np.arange(len(edges))
-    at, cut = [every, every], [np.zeros(len(edges)), np.ones(len(edges))]
-    for i, j in meeting(np.minimum(edges[:, :2], edges[:, 2:]) - grid, np.maximum(edges[:, :2], edges[:, 2:]) + grid):
+    every, near = np.arange(len(edges)), 2 * grid
+    at, cut, place = [every, every], [np.zeros(len(edges)), np.ones(len(edges))], [edges[:, :2], edges[:, 2:]]
+    for i, j in meeting(np.minimum(edges[:, :2], edges[:, 2:]) - near, np.maximum(edges[:, :2], edges[:, 2:]) + near):
         w = p[j] - p[i]
         cross = d[i, 0] * d[j, 1] - d[i, 1] * d[j, 0]
         flat = np.abs(cross) <= 1e-12 * length[i] * length[j]
         some = np.where(flat, 1.0, cross)
         t, u = (w[:, 0] * d[j, 1] - w[:, 1] * d[j, 0]) / some, (w[:, 0] * d[i, 1] - w[:, 1] * d[i, 0]) / some
-        ti, ui = grid / length[i], grid / length[j]
-        hit = ~flat & (t >= -ti) & (t <= 1 + ti) & (u >= -ui) & (u <= 1 + ui)
+        hit = ~flat & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
+        point = p[i[hit]] + t[hit, None] * d[i[hit]]
         at += [i[hit], j[hit]]
         cut += [t[hit], u[hit]]
-        on = flat & (np.abs(w[:, 0] * d[i, 1] - w[:, 1] * d[i, 0]) <= grid * length[i])
-        for a, b in ((i[on], j[on]), (j[on], i[on])):
+        place += [point, point]
+        for a, b in ((i, j), (j, i)):
             for q in (edges[b, :2], edges[b, 2:]):
-                at.append(a)
-                cut.append(((q - p[a]) * d[a]).sum(1) / length[a] ** 2)
+                v = q - p[a]
+                along, off = (v * d[a]).sum(1) / length[a], np.abs(v[:, 0] * d[a, 1] - v[:, 1] * d[a, 0]) / length[a]
+                on = (off <= near) & (along >= -near) & (along <= length[a] + near)
+                at.append(a[on])
+                cut.append((along / length[a])[on])
+                place.append(q[on])
     at, cut = np.concatenate(at), np.clip(np.concatenate(cut), 0.0, 1.0)
+    place = settled(np.rint(np.concatenate(place) / grid).astype(np.int64))
     order = np.lexsort((cut, at))
-    at, cut = at[order], cut[order]
-    place = np.rint((p[at] + cut[:, None] * d[at]) / grid).astype(np.int64)
+    at, place = at[order], place[order]
     a, b = place[:-1], place[1:]
     keep = (at[:-1] == at[1:]) & (a != b).any(1)
     a, b = a[keep], b[keep]
@@ -84,6 +92,20 @@ def noded(edges: np.ndarray, grid: float) -> np.ndarray:
     return np.unique(pieces, axis=0).reshape(-1, 4).astype(float) * grid
 
 
+def settled(place: np.ndarray, reach: int = 2) -> np.ndarray:
+    """Grid places with those within ``reach`` of each other made one: a point that two edges give may be rounded either way."""
+    points, at = np.unique(place, axis=0, return_inverse=True)
+    label = np.arange(len(points))
+    pairs = [np.stack(x) for x in meeting(points.astype(float), points.astype(float) + reach)]
+    a, b = np.concatenate(pairs, axis=1) if pairs else np.empty((2, 0), np.int64)
+    while len(a) and (label[a] != label[b]).any():
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        label = label[label]
+    return points[label][at.ravel()]
+
+
 def combine(a: Rings, b: Rings, wanted: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Rings:
     """The rings of ``wanted(inside a, inside b)``; shells run counter-clockwise, holes clockwise."""
     ea, eb = edges_of(a), edges_of(b)
@@ -92,7 +114,15 @@ def combine(a: Rings, b: Rings, wanted: Callable[[np.ndarray, np.ndarray], np.nd
     if not len(both):
         return []
     size = float(np.abs(both).max() + np.ptp(both.reshape(-1, 2), axis=0).max()) or 1.0
-    grid = 2.0 ** np.ceil(np.log2(size * 1e-10))
+    for coarser in range(4):
+        rings = _arranged(ea, eb, both, 2.0 ** (np.ceil(np.log2(size * 1e-10)) + 4 * coarser), wanted)
+        if rings is not None:
+            return rings
+    raise ValueError("the rings of an overlay don't close")
+
+
+def _arranged(ea: np.ndarray, eb: np.ndarray, both: np.ndarray, grid: float, wanted: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Rings | None:
+    """:func:`combine` on a grid; None if the pieces that part wanted from unwanted don't make rings there."""
     pieces = noded(both, grid)
     if not len(pieces):
         return []
@@ -104,8 +134,8 @@ def combine(a: Rings, b: Rings, wanted: Callable[[np.ndarray, np.ndarray], np.nd
     return linked(kept)
 
 
-def linked(directed: np.ndarray) -> Rings:
-    """Rings of directed edges that have their inside on the left; at a crossing the sharpest left turn keeps rings apart that only touch."""
+def linked(directed: np.ndarray) -> Rings | None:
+    """Rings of directed edges that have their inside on the left; at a crossing the sharpest left turn keeps rings apart that only touch.  None if one does not close."""
     after: dict[tuple, list[tuple]] = {}
     for x0, y0, x1, y1 in directed.tolist():
         after.setdefault((x0, y0), []).append((x1, y1))
@@ -116,8 +146,7 @@ def linked(directed: np.ndarray) -> Rings:
         while True:
             ways = after.get(at)
             if not ways:
-                ring = []
-                break
+                return None
             k = 0
             if came is not None and len(ways) > 1:
                 turn = [np.arctan2(came[0] * (w[1] - at[1]) - came[1] * (w[0] - at[0]), came[0] * (w[0] - at[0]) + came[1] * (w[1] - at[1])) for w in ways]

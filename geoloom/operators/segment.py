@@ -185,8 +185,9 @@ def watershed(pixels: DataFrame, markers: DataFrame, tile: int = TILE) -> DataFr
     """``(raster_id, band, row, col, label)``: each pixel gets the marker it is reached from over the lowest pass.
 
     markers: ``(raster_id, band, row, col, label)`` with labels above 0.  Tiles are
-    flooded by pass height and distance from their own markers and their neighbours'
-    borders; rounds go on until no border changes.  Ties go to the smaller label.
+    flooded from their own markers and their neighbours' borders, by pass height and
+    then by distance since the pass was reached; ties go to the smaller label.  Rounds
+    go on until no border changes, so the result is that of one flood of the whole.
     """
     state = pixels.select(*KEY, "row", "col", "value").join(markers.select(*KEY, "row", "col", F.col("label").cast("long").alias("label")), [*KEY, "row", "col"], "left")
     state = checkpointed(state.withColumns({"cost": F.when(F.col("label").isNotNull(), F.col("value")).otherwise(F.lit(float("inf"))), "steps": F.lit(0.0), "label": F.coalesce("label", F.lit(0))}))
@@ -208,7 +209,7 @@ def watershed(pixels: DataFrame, markers: DataFrame, tile: int = TILE) -> DataFr
                 j = own.get((r + dr, c + dc))
                 if j is None:
                     continue
-                new = (max(h, value[j]), s + 1, lab)
+                new = (value[j], 0.0, lab) if value[j] > h else (h, s + 1, lab)
                 if not label[j] or new < (cost[j], steps[j], label[j]):
                     cost[j], steps[j], label[j] = new
                     heapq.heappush(heap, (*new, r + dr, c + dc))
