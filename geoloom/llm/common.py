@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from geoloom.operators.graph import checkpointed, shared_dir, skew_join
 
-__all__ = ["bit_table", "byte_slices", "checkpointed", "crc32_of_id", "discard", "doc_columns", "marked", "parted", "row_key", "scratch_path", "shared_dir", "skew_join", "text_bytes", "tidy"]
+__all__ = ["bit_table", "byte_slices", "checkpointed", "crc32_of_id", "discard", "doc_columns", "marked", "parted", "row_key", "scratch_path", "shared_dir", "skew_join", "small_batches", "text_bytes", "tidy"]
 
 
 def scratch_path(spark: SparkSession, what: str) -> str:
@@ -28,8 +28,17 @@ def discard(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Let an Arrow batch hold at most ``most`` bytes in this session: texts are long, and a Python task and the JVM hold a batch each way."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None)
+    if not now or not now.rstrip("b").isdigit() or not 0 < int(now.rstrip("b")) <= most:
+        spark.conf.set(name, str(most))
+
+
 def doc_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The two columns an operator needs, under fixed names; all others, clashing or not, are left out."""
+    """The two columns an operator needs, under fixed names, for tasks on small batches; all others, clashing or not, are left out."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
@@ -95,14 +104,15 @@ def row_key(id_col: str = "doc_id", hash_col: str = "text_hash") -> Column:
     return F.xxhash64(F.col(id_col).cast("long"), F.col(hash_col))
 
 
-def parted(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 26) -> tuple[DataFrame, DataFrame]:
+def parted(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_bits: int = 30) -> tuple[DataFrame, DataFrame]:
     """(rows of ``docs`` whose :func:`row_key` surely isn't among ``keys``, the other rows): both with ``_id`` and ``_hash``, id and text hash.
 
-    keys: ``(key)``.  Bitmaps of ``2 ** bits`` bits in all (8 MB as set, whatever the
-    number of keys) are broadcast and tell rows apart where they lie, so that texts
-    which nothing is known of need not move.  The other rows may hold some whose key
-    isn't listed: the fuller the bitmaps, the more.
+    keys: ``(key)``, stored.  Bitmaps with 16 bits a key, at most ``2 ** most_bits`` in
+    all (128 MB), are broadcast and tell rows apart where they lie, so that texts which
+    nothing is known of need not move.  The other rows may hold some whose key isn't
+    listed: a 16th of all, more where the bitmaps have reached their bound.
     """
+    bits = max(16, min(most_bits, (16 * keys.count()).bit_length()))
     place = lambda key: F.shiftrightunsigned(key, 64 - bits)
     maps = keys.select(place(F.col("key")).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_bits"))
     maps = checkpointed(maps)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, tidy
+from .common import byte_slices, small_batches, tidy
 
 _NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _REST = re.compile(r"[^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+)*+>")
@@ -491,6 +491,7 @@ def extracted(pages: DataFrame, html_col: str = "html") -> DataFrame:
     that grows with their length.  Existing columns of these two names are replaced;
     rows are kept one for one.
     """
+    small_batches(pages.sparkSession)
     others = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
     source = pages.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{html_col}`").cast("string").alias("_html"))
     schema = source.drop("_html").withColumns({"text": F.lit(""), "n_chars": F.lit(0).cast("long")}).schema
