@@ -9,12 +9,12 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geoloom.operators.graph import checkpointed, shared_dir, skew_join
 
-__all__ = ["bit_table", "byte_slices", "checkpointed", "crc32_of_id", "discard", "doc_columns", "marked", "parted", "row_key", "scratch_path", "shared_dir", "skew_join", "small_batches", "text_bytes", "tidy"]
+__all__ = ["bit_table", "byte_slices", "checkpointed", "crc32_of_id", "discard", "doc_columns", "in_order", "marked", "parted", "row_key", "scratch_path", "shared_dir", "skew_join", "small_batches", "text_bytes", "tidy"]
 
 
 def scratch_path(spark: SparkSession, what: str) -> str:
@@ -123,3 +123,15 @@ def parted(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: s
     listed = F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) > 0, F.lit(False))
     names = [*docs.columns, "_id", "_hash"]
     return told.where(~listed).select(*names), told.where(listed).select(*names)
+
+
+def in_order(rows: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """``rows`` with their place (from 0) in a total order: sorted by ranges, each task's rows numbered after those of the tasks before it.
+
+    The order must tell all rows apart, so that any number of equal rows is dealt to many tasks.
+    """
+    ranged = checkpointed(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    ahead = F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # over a row for each task
+    base = ranged.groupBy("_part").agg(F.count("*").alias("_rows")).select("_part", F.coalesce(ahead, F.lit(0)).alias("_before"))
+    at = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1 + F.col("_before")
+    return ranged.join(F.broadcast(base), "_part").withColumn(name, at.cast("long")).drop("_part", "_before")

@@ -77,6 +77,24 @@ def op10_prefix_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balanced_shards(_table(spark, sf_dir, "documents"), shards=24)
 
 
+def op11_shifted_hilbert_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .curve_search import nearest_vectors
+
+    return nearest_vectors(_table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .importance import resampled
+
+    return resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), percent=5, least_words=20, seed=42)
+
+
+def op13_cover_tree_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_codes import vector_codes
+
+    return vector_codes(_table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
+
+
 def queries() -> dict:
     """Every query of this subpackage."""
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}

@@ -33,13 +33,14 @@ def flat_utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def word_spans(raw: np.ndarray, offsets: np.ndarray, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(raw: np.ndarray, offsets: np.ndarray, cuts: np.ndarray | None = None, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, first): word k is ``raw[starts[k]:ends[k]]``, text d has words ``first[d]:first[d + 1]``.
 
     cuts: places where a word ends and another starts although no space lies between.
+    space: which of the 256 bytes are no part of a word.
     """
     n = len(raw)
-    inside = ~SPACE[raw]
+    inside = ~space[raw]
     breaks = np.zeros(n + 1, bool)
     breaks[offsets] = True
     if cuts is not None:

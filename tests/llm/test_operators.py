@@ -571,10 +571,11 @@ def test_no_shards(none):
 # SQL ----------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("name", ["op8_super_kmer_dedup", "op10_prefix_shards"])
+@pytest.mark.parametrize("name", ["op8_super_kmer_dedup", "op10_prefix_shards", "op12_importance_resampling", "op13_cover_tree_codes"])
 def test_same_rows_in_sql(spark, data, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
+    for table in ("documents", "benchmark", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{data}/{table}.parquet'")
     df = queries.queries()[name](spark, data)
     result = con.execute(queries.oracle_sql()[name])
     columns = [d[0] for d in result.description]
