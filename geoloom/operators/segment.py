@@ -21,9 +21,19 @@ _GEOMETRY = pa.struct([("kind", pa.string()), ("parts", pa.list_(pa.list_(pa.lis
 STEPS = {4: ((0, 1), (1, 0)), 8: ((0, 1), (1, 0), (1, 1), (1, -1))}
 
 
+#: What a pixel's number has room for: rasters, bands, rows, columns.
+ID_BITS = {"raster_id": 21, "band": 6, "row": 18, "col": 18}
+
+
 def pixel_id(raster: Column, band: Column, row: Column, col: Column) -> Column:
-    """A number for each pixel: rasters under 2^21, bands under 64, rows and columns under 262,144."""
-    return F.shiftleft(raster.cast("long"), 42) + F.shiftleft(band.cast("long"), 36) + F.shiftleft(row.cast("long"), 18) + col
+    """A number for each pixel; rasters from 2^21, bands from 64, rows or columns from 262,144 on, and numbers below 0, are an error."""
+    out, low = F.lit(0).cast("long"), 0
+    for (name, bits), c in reversed(list(zip(ID_BITS.items(), (raster, band, row, col), strict=True))):
+        c = c.cast("long")
+        refused = F.raise_error(F.concat(F.lit(f"no pixel number for {name} "), c.cast("string")))
+        out = out + F.shiftleft(F.when((c >= 0) & (c < 1 << bits), c).when(c.isNotNull(), refused.cast("long")), low)
+        low += bits
+    return out
 
 
 def tile_labels(grid: np.ndarray, connectivity: int) -> np.ndarray:
@@ -63,12 +73,11 @@ def components(pixels: DataFrame, connectivity: int = 4, tile: int = TILE) -> Da
         y, x = pdf["row"].to_numpy() - y0, pdf["col"].to_numpy() - x0
         grid = np.full((y.max() + 1, x.max() + 1), np.nan)
         grid[y, x] = pdf["value"].to_numpy()
-        first = tile_labels(grid, connectivity)[y, x]
-        base = (int(pdf["raster_id"].iat[0]) << 42) + (int(pdf["band"].iat[0]) << 36)
-        ids = base + ((first // grid.shape[1] + y0).astype(np.int64) << 18) + first % grid.shape[1] + x0
-        return pdf[["raster_id", "band", "row", "col", "value"]].assign(local=ids)
+        ids = np.zeros(grid.shape, np.int64)
+        ids[y, x] = pdf["id"].to_numpy()
+        return pdf[["raster_id", "band", "row", "col", "value"]].assign(local=ids.ravel()[tile_labels(grid, connectivity)[y, x]])
 
-    cells = pixels.where("value is not null").withColumns({"ty": F.floor(F.col("row") / tile), "tx": F.floor(F.col("col") / tile)})
+    cells = pixels.where("value is not null and not isnan(value)").withColumn("id", pixel_id(*[F.col(c) for c in ID_BITS])).withColumns({"ty": F.floor(F.col("row") / tile), "tx": F.floor(F.col("col") / tile)})
     local = checkpointed(cells.groupBy(*KEY, "ty", "tx").applyInPandas(label, "raster_id long, band int, row int, col int, value double, local long"))
     rim = local.where(((F.col("row") % tile).isin(0, tile - 1)) | ((F.col("col") % tile).isin(0, tile - 1)))
     here = rim.select(*KEY, "row", "col", "value", F.col("local").alias("a"), F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in STEPS[connectivity]])).alias("s"))

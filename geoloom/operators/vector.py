@@ -20,12 +20,13 @@ def layer(features: DataFrame, name: str | None = None) -> DataFrame:
     """The features of a named layer; an unknown name falls back to the sole layer, else it is an error."""
     if name is None or "layer" not in features.columns:
         return features
-    names = [r["layer"] for r in features.select("layer").distinct().limit(1000).collect()]
-    if name in names:
-        return features.where(F.col("layer") == name)
+    own = features.where(F.col("layer") == name)
+    if own.limit(1).count():
+        return own
+    names = [r["layer"] for r in features.select("layer").distinct().limit(20).collect()]  # for the message only
     if len(names) == 1:
         return features
-    raise ValueError(f"no layer {name!r} among {sorted(map(str, names))}")
+    raise ValueError(f"no layer {name!r} among {', '.join(sorted(map(str, names)))}{' ..' * (len(names) == 20)}")
 
 
 def filter_features(features: DataFrame, where: str | None = None, box=None) -> DataFrame:

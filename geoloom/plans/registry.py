@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-MODULES = ("raster", "focal", "mosaic", "vector", "segment", "matching", "overlay", "io")
+MODULES = ("raster", "focal", "mosaic", "vector", "predicates", "segment", "matching", "overlay", "io")
 
 
 def queries() -> dict[str, Callable]:

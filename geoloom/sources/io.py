@@ -9,12 +9,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geoloom.functions import geometry as G
 from geoloom.functions.params import one_of
-from geoloom.operators.graph import shared_dir
+from geoloom.operators.graph import shared_dir, small_join
 
 FORMATS = ("parquet", "GeoJSON", "CSV", "KML")
 _FEATURE = "struct<geometry:string,properties:string>"
@@ -153,8 +153,13 @@ def decode_tiff(content: bytes) -> np.ndarray:
 
 
 def read_geotiffs(spark: SparkSession, path: str) -> DataFrame:
-    """``(raster_id, path, band, row, col, value)`` of all TIFF files under a path: a task reads whole files, one after another."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tif*").load(path).select("path", "content", F.abs(F.xxhash64("path") % 1_000_000).alias("raster_id"))
+    """``(raster_id, path, band, row, col, value)`` of all TIFF files under a path: a task reads whole files, one after another.
+
+    Files are numbered from 0 in the order of their paths, so no two share a ``raster_id``.
+    """
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.tif*").load(path)
+    ids = found.select("path").withColumn("raster_id", F.row_number().over(Window.orderBy("path")).cast("long") - 1)  # a row for each file, without its content
+    files = small_join(found.select("path", "content"), ids, ["path"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
