@@ -1,14 +1,15 @@
 """Coverings of shapes by quadtree cells, and exact comparisons of the edges in one cell; numpy over whole batches.
 
-The grid is shifted by a fixed odd share of a cell, so that its lines don't fall on
-coordinates that people write.
+The grid is shifted by fixed shares of a cell that no whole numbers relate to each
+other or to 1, so that its lines don't fall on coordinates that people write, nor its
+corners on lines through such places.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-SHIFT = 0.38196601125010515
+SHIFT = np.array([0.38196601125010515, 0.41421356237309505])
 
 
 def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -28,7 +29,7 @@ def products(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndar
 def box_of(level: np.ndarray, cx: np.ndarray, cy: np.ndarray, cell: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(left, bottom, side) of cells."""
     side = cell * np.exp2(level)
-    return cx * side - SHIFT * cell, cy * side - SHIFT * cell, side
+    return cx * side - SHIFT[0] * cell, cy * side - SHIFT[1] * cell, side
 
 
 def meets_box(e: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray) -> np.ndarray:

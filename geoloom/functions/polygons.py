@@ -12,6 +12,8 @@ from collections.abc import Callable
 
 import numpy as np
 
+from geoloom.functions.covering import CellEdges, meets_box, rows_meet, rows_within
+
 Rings = list[np.ndarray]
 
 
@@ -106,10 +108,21 @@ def settled(place: np.ndarray, reach: int = 2) -> np.ndarray:
     return points[label][at.ravel()]
 
 
-def combine(a: Rings, b: Rings, wanted: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Rings:
-    """The rings of ``wanted(inside a, inside b)``; shells run counter-clockwise, holes clockwise."""
+def combine(a: Rings, b: Rings, wanted: Callable[[np.ndarray, np.ndarray], np.ndarray], in_a: bool = False) -> Rings:
+    """The rings of ``wanted(inside a, inside b)``; shells run counter-clockwise, holes clockwise.
+
+    in_a: nothing outside ``a`` is wanted, so only edges of ``b`` that reach its box
+    are arranged, and those at its right tell what is inside.
+    """
     ea, eb = edges_of(a), edges_of(b)
-    both = np.concatenate([ea, eb])
+    near = eb
+    if in_a and len(ea) and len(eb):
+        low, high = np.minimum(ea[:, :2], ea[:, 2:]).min(axis=0), np.maximum(ea[:, :2], ea[:, 2:]).max(axis=0)
+        room = 1e-6 * (1 + np.abs(ea).max() + np.ptp(ea.reshape(-1, 2), axis=0).max())
+        lo, hi = np.minimum(eb[:, :2], eb[:, 2:]), np.maximum(eb[:, :2], eb[:, 2:])
+        level = (lo[:, 1] <= high[1] + room) & (hi[:, 1] >= low[1] - room) & (hi[:, 0] >= low[0] - room)
+        near, eb = eb[level & (lo[:, 0] <= high[0] + room)], eb[level]
+    both = np.concatenate([ea, near])
     both = both[(both[:, :2] != both[:, 2:]).any(1)]
     if not len(both):
         return []
@@ -180,7 +193,7 @@ def intersection(a: Rings, b: Rings) -> Rings:
     """What lies in both; two convex shapes are clipped directly."""
     if len(a) == len(b) == 1 and len(a[0]) > 2 and len(b[0]) > 2 and is_simple_convex(a[0]) and is_simple_convex(b[0]):
         return clipped(a[0], b[0])
-    return combine(a, b, np.logical_and)
+    return a if within(a, b) else combine(a, b, np.logical_and, in_a=True)
 
 
 def clipped(shape: np.ndarray, window: np.ndarray) -> Rings:
@@ -206,7 +219,32 @@ def clipped(shape: np.ndarray, window: np.ndarray) -> Rings:
 
 def difference(a: Rings, b: Rings) -> Rings:
     """What lies in a alone."""
-    return combine(a, b, lambda p, q: p & ~q)
+    return combine(a, b, lambda p, q: p & ~q, in_a=True)
+
+
+def _cells(a: Rings, b: Rings) -> tuple[CellEdges, CellEdges] | None:
+    """The edges of both in one cell around ``a``; None where the boxes lie apart."""
+    ea, eb = edges_of(a), edges_of(b)
+    if not len(ea) or not len(eb):
+        return None
+    low, high = ea.reshape(-1, 2).min(axis=0), ea.reshape(-1, 2).max(axis=0)
+    side = float((high - low).max()) or 1.0
+    x, y, size = np.array([low[0] - 0.21 * side]), np.array([low[1] - 0.23 * side]), np.array([1.41 * side])
+    met = meets_box(eb, *(np.repeat(v, len(eb)) for v in (x, y, size, size)))
+    one = lambda e, corner: CellEdges(np.array([0, len(e)]), e, np.ones(1, bool), corner, x, y, size)
+    return one(ea, np.zeros(1, bool)), one(eb[met], inside(np.stack([x, y], 1), eb))
+
+
+def touches(a: Rings, b: Rings) -> bool:
+    """Whether two areas share a point, borders included."""
+    cells = _cells(a, b)
+    return bool(cells and rows_meet(*cells)[0])
+
+
+def within(a: Rings, b: Rings) -> bool:
+    """Whether no point of ``a`` lies outside ``b``."""
+    cells = _cells(a, b)
+    return bool(cells and rows_within(*cells)[0][0])
 
 
 def union(a: Rings, b: Rings) -> Rings:

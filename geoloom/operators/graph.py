@@ -36,12 +36,14 @@ def small_join(big: DataFrame, small: DataFrame, key: list[str], how: str = "inn
     return big.join(F.broadcast(small) if small.limit(most + 1).count() <= most else small, key, how)
 
 
-def skew_join(big: DataFrame, small: DataFrame, key: list[str], how: str = "inner", share: int = 1000) -> DataFrame:
+def skew_join(big: DataFrame, small: DataFrame, key: list[str], how: str = "inner", share: int = 1000, most_bytes: int = 64 << 20, salts: int = 64) -> DataFrame:
     """``big`` joined with ``small``, which has one row a key, without a task that holds a crowded key.
 
     Keys with over a thousandth of the rows of ``big``, of which there are under a
-    thousand, are counted first and joined by a broadcast of their rows of ``small``;
-    all others are shuffled.  ``big`` is read twice, so it should be stored.
+    thousand, are counted first and joined by a broadcast of their rows of ``small``,
+    if those have at most ``most_bytes`` as text; larger ones are copied ``salts``
+    times and the rows of ``big`` dealt to the copies.  All other keys are shuffled.
+    ``big`` is read twice, so it should be stored.
     """
     total = big.count()
     if total < 10 * share:
@@ -50,8 +52,12 @@ def skew_join(big: DataFrame, small: DataFrame, key: list[str], how: str = "inne
     if not hot.limit(1).count():
         return big.join(small, key, how)
     few = checkpointed(small.join(F.broadcast(hot), key, "left_semi"))
-    crowded = big.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(few), key, how)
-    return crowded.unionByName(big.join(F.broadcast(hot), key, "left_anti").join(small, key, how))
+    crowded, calm = big.join(F.broadcast(hot), key, "left_semi"), big.join(F.broadcast(hot), key, "left_anti").join(small, key, how)
+    if (few.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0) <= most_bytes:
+        return crowded.join(F.broadcast(few), key, how).unionByName(calm)
+    dealt = crowded.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    copies = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(copies, [*key, "_salt"], how).drop("_salt").unionByName(calm)
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:

@@ -18,9 +18,9 @@ from geoloom.functions import arrow_geometry as A
 from geoloom.functions import geometry as G
 from geoloom.functions import polygons as P
 from geoloom.functions.params import in_range
-from geoloom.operators.graph import checkpointed
+from geoloom.operators.graph import checkpointed, skew_join
 from geoloom.operators.project import require_projected, require_same
-from geoloom.operators.vector import BOX, grid_join, grid_pairs, overlap_ratio
+from geoloom.operators.vector import BOX, near_pairs, overlap_ratio
 
 FAN_IN = 64
 
@@ -120,21 +120,27 @@ def _merged(pieces: DataFrame, keys: list[str]) -> DataFrame:
 
 def _pieces(own: DataFrame, others: DataFrame, fid: str, oid: str, cell: float) -> DataFrame:
     """``(fid, geom)``: the part of each feature in each overlay shape, a row for each pair that has one."""
-    near = checkpointed(grid_pairs(own, others, fid, oid, cell, keep=("box_only",)))
+    near = checkpointed(near_pairs(own, others, fid, oid, cell, keep=("box_only",)))
     x0, y0, x1, y1 = (f"{'greatest' if c.endswith('min') else 'least'}(a_{c}, b_{c})" for c in BOX)
     boxes = near.where(f"a_box_only AND b_box_only AND {x1} > {x0} AND {y1} > {y0}").select(F.col("a_id").alias(fid), G.box_area(x0, y0, x1, y1).alias("geom"))
     rest = near.where("NOT (a_box_only AND b_box_only)").select(F.col("a_id").alias(fid), F.col("b_id").alias("_oid"))
-    rest = rest.join(own.select(fid, "geom"), fid).join(others.select(F.col(oid).alias("_oid"), F.col("geom").alias("_o")), "_oid")
+    rest = skew_join(rest.join(own.select(fid, "geom"), fid), others.select(F.col(oid).alias("_oid"), F.col("geom").alias("_o")), ["_oid"])
     return boxes.unionByName(_shaped(rest, [fid], ["geom", "_o"], P.intersection))
 
 
-def _overlay(overlay: DataFrame, oid: str) -> DataFrame:
-    """Overlay shapes, repaired once and kept."""
-    return checkpointed(_marked(normalized(overlay), oid))
+def _overlay(overlay: DataFrame, oid: str, merged_up_to: int = 128) -> DataFrame:
+    """Overlay shapes, repaired once and kept; up to ``merged_up_to`` of them, if they aren't all rectangles, are united first and each part of the whole is a shape."""
+    shapes = checkpointed(_marked(normalized(overlay), oid))
+    told = shapes.limit(merged_up_to + 1).agg(F.count("*").alias("n"), F.min("box_only").alias("boxes")).first()
+    if told["boxes"] or not 1 < told["n"] <= merged_up_to:
+        return shapes
+    whole = united(shapes.select(F.lit(0).alias("_all"), "geom"), ["_all"])
+    parts = whole.select(F.posexplode("geom.parts").alias(oid, "_part")).select(oid, G.geometry("Polygon", F.array("_part")).alias("geom"))
+    return checkpointed(_marked(G.with_box(parts), oid))
 
 
 def clip(features: DataFrame, overlay: DataFrame, fid: str, oid: str, cell: float, srid: int | None = None, overlay_srid: int | None = None) -> DataFrame:
-    """Features within the merged overlay: attributes stay, geometry is the common part, features off it go.
+    """Features within the merged overlay: attributes stay, geometry is the common part, features off it go, those within one shape of it keep their vertices.
 
     ``fid`` and ``oid`` number the rows of each table.  Layers of different CRS are refused.
     """
@@ -159,44 +165,21 @@ def union(features: DataFrame, overlay: DataFrame, fid: str, oid: str, cell: flo
     """``(fid, source, geom)``: each feature united with all overlay shapes whose boxes meet its own (``union``) if it touches any, else itself (``input``)."""
     require_same(srid, overlay_srid)
     names = _names(features) if keep_attributes else [fid]
-    own, others = _marked(features, fid), _overlay(overlay, oid)
-    near = checkpointed(grid_pairs(own, others, fid, oid, cell, keep=("box_only",)))
+    own, others = _marked(features, fid), _overlay(overlay, oid, 0)
+    near = checkpointed(near_pairs(own, others, fid, oid, cell, keep=("box_only",)))
     shapes = near.where("b_box_only").select(F.col("a_id").alias(fid), G.box_area(*[f"b_{c}" for c in BOX]).alias("geom"))
-    others_ = near.where("not b_box_only").select(F.col("a_id").alias(fid), F.col("b_id").alias("_oid")).join(others.select(F.col(oid).alias("_oid"), "geom"), "_oid").select(fid, "geom")
+    others_ = skew_join(near.where("not b_box_only").select(F.col("a_id").alias(fid), F.col("b_id").alias("_oid")), others.select(F.col(oid).alias("_oid"), "geom"), ["_oid"]).select(fid, "geom")
     around = united(shapes.unionByName(others_), [fid]).select(fid, F.col("geom").alias("_all"))
     sure = near.where("a_box_only and b_box_only").select(F.col("a_id").alias(fid)).distinct().withColumn("_sure", F.lit(True))
     both = features.select(*names, "geom").join(around, fid, "left").join(sure, fid, "left")
     alone = both.where("_all is null").select(*names, F.lit("input").alias("source"), "geom")
     joined = _shaped(both.where("_sure").withColumn("source", F.lit("union")), [*names, "source"], ["geom", "_all"], P.union)
     doubtful = both.where("_all is not null and _sure is null")
-    met = _shaped(doubtful.withColumn("source", F.lit("union")), [*names, "source"], ["geom", "_all"], lambda a, b: P.union(a, b) if touches(a, b) else [])
+    met = _shaped(doubtful.withColumn("source", F.lit("union")), [*names, "source"], ["geom", "_all"], lambda a, b: P.union(a, b) if P.touches(a, b) else [])
     apart = doubtful.join(met.select(F.col(fid).alias("_met")), F.col(fid) == F.col("_met"), "left_anti").select(*names, F.lit("input").alias("source"), "geom")
     return G.with_box(alone.unionByName(joined).unionByName(met).unionByName(apart))
 
 
-def touches(a: P.Rings, b: P.Rings) -> bool:
-    """Whether two areas share a point: an edge of one meets the other, or one holds a vertex of the other."""
-    ea, eb = P.edges_of(a), P.edges_of(b)
-    if P.inside(ea[:, :2], eb).any() or P.inside(eb[:, :2], ea).any():
-        return True
-    for e in ea:
-        d, w, f = e[2:] - e[:2], eb[:, :2] - e[:2], eb[:, 2:] - eb[:, :2]
-        c = d[0] * f[:, 1] - d[1] * f[:, 0]
-        side = d[0] * w[:, 1] - d[1] * w[:, 0]
-        flat = c == 0
-        with_t = (w[:, 0] * f[:, 1] - w[:, 1] * f[:, 0]) / (c + flat)
-        with_u = side / (c + flat)
-        if (~flat & (with_t >= 0) & (with_t <= 1) & (with_u >= 0) & (with_u <= 1)).any():
-            return True
-        on = flat & (side == 0)
-        if on.any():
-            at = (w[on] @ d) / (d @ d)
-            to = ((w + f)[on] @ d) / (d @ d)
-            if ((at.clip(None, None).clip(0, 1) == at) | (to.clip(0, 1) == to) | ((at < 0) != (to < 0))).any():
-                return True
-    return False
-
-
 def require_simple_overlay(overlay: DataFrame, oid: str, cell: float, least: int = 3, ratio: float = 0.25) -> None:
     """Refuse a line union over an overlay of ``least`` shapes or more of which ``ratio`` of the pairs overlap."""
     row = overlap_ratio(overlay, oid, cell).first()

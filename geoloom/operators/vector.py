@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoloom.functions import geometry as G
 from geoloom.functions.params import extent, in_range
+from geoloom.functions.rtree import PackedTree
 
 BOX = ["xmin", "ymin", "xmax", "ymax"]
 
@@ -86,10 +91,7 @@ def grid_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, c
     """
     in_range("cell", cell, 0, open_low=True)
 
-    def named(t: DataFrame, p: str, i: str) -> DataFrame:
-        return t.select(F.col(i).alias(f"{p}_id"), *[F.col(c).alias(f"{p}_{c}") for c in (*BOX, *keep)]).where(f"{p}_xmin is not null")
-
-    a, b = named(left, "a", left_id), named(right, "b", right_id)
+    a, b = _side(left, "a", left_id, keep), _side(right, "b", right_id, keep)
 
     def large(p: str) -> Column:
         n = lambda lo, hi: F.floor(F.col(f"{p}_{hi}") / cell) - F.floor(F.col(f"{p}_{lo}") / cell) + 1
@@ -109,6 +111,47 @@ def grid_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, c
     return fine.unionByName(coarse)
 
 
+def _side(t: DataFrame, p: str, i: str, keep: tuple[str, ...]) -> DataFrame:
+    return t.select(F.col(i).alias(f"{p}_id"), *[F.col(c).alias(f"{p}_{c}") for c in (*BOX, *keep)]).where(f"{p}_xmin is not null")
+
+
+def index_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The pairs of :func:`grid_pairs` for a right side of few rows: its boxes go to every task as a packed R-tree, the left side stays where it is."""
+    spark = left.sparkSession
+    a, b = _side(left, "a", left_id, keep), _side(right, "b", right_id, keep)
+    rows = b.toArrow()
+    held = spark.sparkContext.broadcast((PackedTree(np.stack([rows.column(f"b_{c}").to_numpy() for c in BOX], axis=1).astype(float)), rows))
+    names = [*a.columns, *b.columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, known = held.value
+        for whole in batches:
+            for k in range(0, whole.num_rows, 1024):
+                batch = whole.slice(k, 1024)
+                i, j = tree.meeting(np.stack([batch.column(f"a_{c}").to_numpy() for c in BOX], axis=1).astype(float))
+                for n in range(0, len(i), 1 << 16):
+                    mine, other = batch.take(pa.array(i[n : n + (1 << 16)])), known.take(pa.array(j[n : n + (1 << 16)])).combine_chunks()
+                    columns = [*mine.columns, *(c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in other.columns)]
+                    yield pa.RecordBatch.from_arrays(columns, names)
+
+    schema = ", ".join(f"`{n}` {t}" for t in (a, b) for n, t in t.dtypes)
+    return a.mapInArrow(run, schema) if rows.num_rows else a.join(b, F.lit(False))
+
+
+def near_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, cell: float, keep: tuple[str, ...] = (), most: int = 20_000, most_bytes: int = 8 << 20) -> DataFrame:
+    """``(a_id, a_xmin .. a_ymax, b_id, b_xmin .. b_ymax)`` of all features whose boxes meet.
+
+    The right side's rows and the bytes of what is kept of them are counted: up to
+    ``most`` rows of ``most_bytes`` they are broadcast (:func:`index_pairs`), and the
+    left side is not shuffled.  Larger sides meet in the grid (:func:`grid_pairs`).
+    """
+    own = _side(right, "b", right_id, keep)
+    size = own.limit(most + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("bytes")).first()
+    if size["n"] <= most and size["bytes"] <= most_bytes:
+        return index_pairs(left, right, left_id, right_id, keep)
+    return grid_pairs(left, right, left_id, right_id, cell, keep=keep)
+
+
 def overlap_ratio(features: DataFrame, fid: str, cell: float) -> DataFrame:
     """``(pairs, total, ratio)``: pairs of features whose boxes meet, over all pairs; fewer than two features give 0."""
     other = features.withColumnRenamed(fid, "_other")
@@ -121,7 +164,7 @@ def overlap_ratio(features: DataFrame, fid: str, cell: float) -> DataFrame:
 def points_in_areas(points: DataFrame, areas: DataFrame, pid: str, fid: str, cell: float) -> DataFrame:
     """``(pid, fid)`` of points inside areas: the grid join on boxes, then the crossing number."""
     boxed = points.select(pid, "x", "y", F.col("x").alias("xmin"), F.col("y").alias("ymin"), F.col("x").alias("xmax"), F.col("y").alias("ymax"))
-    pairs = grid_join(boxed, areas, pid, fid, cell)
+    pairs = near_pairs(boxed, areas, pid, fid, cell).select(F.col("a_id").alias(pid), F.col("b_id").alias(fid))
     both = pairs.join(points.select(pid, "x", "y"), pid).join(areas.select(fid, "geom"), fid)
     return both.where(G.contains_point(F.col("geom"), F.col("x"), F.col("y"))).select(pid, fid)
 
@@ -216,11 +259,11 @@ def line_stretches(lines: DataFrame, areas: DataFrame, lid: str, fid: str, cell:
     edge = ring.select("fid", "v", F.posexplode(F.expr("slice(v, 1, size(v) - 1)")).alias("k", "a")).withColumn("b", F.expr("v[k + 1]"))
     edge = edge.select("fid", F.col("a.x").alias("x0"), F.col("a.y").alias("y0"), F.col("b.x").alias("x1"), F.col("b.y").alias("y1")).withColumns(_segment_box())
     ends = ("x0", "y0", "x1", "y1")
-    met = grid_pairs(seg, edge, "sid", "fid", cell, keep=ends)
+    met = near_pairs(seg, edge, "sid", "fid", cell, keep=ends)
     met = met.selectExpr("a_id AS sid", "b_id AS fid", "a_x1 - a_x0 AS dx", "a_y1 - a_y0 AS dy", "b_x1 - b_x0 AS ex", "b_y1 - b_y0 AS ey", "b_x0 - a_x0 AS wx", "b_y0 - a_y0 AS wy").withColumn("c", F.expr("dx * ey - dy * ex"))
     crossing = F.expr("IF(c <> 0 AND (wx * dy - wy * dx) / c BETWEEN 0 AND 1, array((wx * ey - wy * ex) / c), IF(c = 0 AND wx * dy = wy * dx, array((wx * dx + wy * dy) / (dx * dx + dy * dy), ((wx + ex) * dx + (wy + ey) * dy) / (dx * dx + dy * dy)), CAST(array() AS array<double>)))")
     cuts = met.select("sid", "fid", F.explode(crossing).alias("t")).where("t > 0 and t < 1").groupBy("sid", "fid").agg(F.collect_set("t").alias("ts"))
-    near = grid_pairs(seg, areas.where(G.rank(F.col("geom")) == 2), "sid", fid, cell, keep=()).select(F.col("a_id").alias("sid"), F.col("b_id").alias("fid"))
+    near = near_pairs(seg, areas.where(G.rank(F.col("geom")) == 2), "sid", fid, cell).select(F.col("a_id").alias("sid"), F.col("b_id").alias("fid"))
     told = near.join(cuts, ["sid", "fid"], "left").withColumn("ts", F.expr("array_sort(concat(array(0D), coalesce(ts, CAST(array() AS array<double>)), array(1D)))"))
     pieces = told.select("sid", "fid", "ts", F.explode(F.expr("sequence(0, size(ts) - 2)")).alias("i")).selectExpr("sid", "fid", "ts[i] AS t0", "ts[i + 1] AS t1")
     placed = pieces.join(seg.select("sid", *ends), "sid").join(areas.select(F.col(fid).alias("fid"), "geom"), "fid")
