@@ -40,20 +40,28 @@ def meets_box(e: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.
     return near & (np.minimum.reduce(side) <= 0) & (np.maximum.reduce(side) >= 0)
 
 
-def inside_rows(px: np.ndarray, py: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """Whether points lie inside by the crossing number, from edges cut by the points' rows; as :func:`polygons.inside`."""
+def winding_rows(px: np.ndarray, py: np.ndarray, e: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
+    """How often edges run around each point, from edges cut by the points' rows: those at its right that go up, less those that go down.
+
+    weight: how often each edge counts.
+    """
     rows, at = np.unique(py, return_inverse=True)
-    lo, hi = np.minimum(e[:, 1], e[:, 3]), np.maximum(e[:, 1], e[:, 3])
-    a, b = np.searchsorted(rows, lo), np.searchsorted(rows, hi)
+    at = at.ravel()
+    a, b = np.searchsorted(rows, np.minimum(e[:, 1], e[:, 3])), np.searchsorted(rows, np.maximum(e[:, 1], e[:, 3]))
     k, r = np.repeat(np.arange(len(e)), b - a), ragged(a, b - a)
     x = e[k, 0] + (rows[r] - e[k, 1]) * (e[k, 2] - e[k, 0]) / (e[k, 3] - e[k, 1])
-    row, place, point = np.concatenate([r, at.ravel()]), np.concatenate([x, px]), np.concatenate([np.zeros(len(x), bool), np.ones(len(px), bool)])
+    worth = np.where(e[k, 3] > e[k, 1], 1, -1) * (1 if weight is None else weight[k])
+    row, place, point = np.concatenate([r, at]), np.concatenate([x, px]), np.concatenate([np.zeros(len(x), bool), np.ones(len(px), bool)])
     order = np.lexsort((point, place, row))
-    cuts = np.cumsum(~point[order])
     upto = np.empty(len(order), np.int64)
-    upto[order] = cuts
-    total = np.cumsum(np.bincount(r, minlength=len(rows))) if len(rows) else np.empty(0, np.int64)
-    return ((total[at.ravel()] - upto[len(x) :]) % 2).astype(bool)
+    upto[order] = np.cumsum(np.concatenate([worth, np.zeros(len(px), np.int64)])[order])
+    total = np.cumsum(np.bincount(r, weights=worth, minlength=len(rows))).astype(np.int64)
+    return total[at] - upto[len(x) :] if len(px) else np.empty(0, np.int64)
+
+
+def inside_rows(px: np.ndarray, py: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Whether points lie inside by the crossing number; as :func:`polygons.inside`."""
+    return winding_rows(px, py, e, np.where(e[:, 3] > e[:, 1], 1, -1)) % 2 == 1
 
 
 def cover(edges: np.ndarray, is_area: bool, cell: float, levels: int = 40):
@@ -217,3 +225,35 @@ def _pieces(p: CellEdges, q: CellEdges) -> tuple[np.ndarray, np.ndarray, np.ndar
     s = np.clip((w * d).sum(1) / np.where(dd == 0, 1.0, dd), 0, 1)
     near = np.abs(w - s[:, None] * d).max(axis=1, initial=0) <= 1e-9 * q.side[row[i]]
     return row, _some(i[near], len(row)), q.holds(row, mid[:, 0], mid[:, 1])
+
+
+def cut_at_cells(edges: np.ndarray, weight: np.ndarray, cell: float, grid: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(cx, cy, edges, weight): edges cut where they cross cells' sides, each piece with its cell; all ends on a grid.
+
+    An edge and its reverse give the same pieces: each runs from its lower end, and
+    its weight is below zero if it was turned.
+    """
+    e = np.rint(edges / grid) * grid
+    turned = (e[:, 0] > e[:, 2]) | ((e[:, 0] == e[:, 2]) & (e[:, 1] > e[:, 3]))
+    e, weight = np.where(turned[:, None], e[:, [2, 3, 0, 1]], e), np.where(turned, -weight, weight)
+    every, d = np.arange(len(e)), e[:, 2:] - e[:, :2]
+    at, share, place = [every, every], [np.zeros(len(e)), np.ones(len(e))], [e[:, :2], e[:, 2:]]
+    for k in (0, 1):
+        lo, hi = np.minimum(e[:, k], e[:, k + 2]), np.maximum(e[:, k], e[:, k + 2])
+        first, last = np.floor(lo / cell + SHIFT[k]).astype(np.int64), np.floor(hi / cell + SHIFT[k]).astype(np.int64)
+        i = np.repeat(every, last - first)
+        line = np.rint((ragged(first + 1, last - first) - SHIFT[k]) * cell / grid) * grid
+        t = np.clip((line - e[i, k]) / d[i, k], 0, 1)
+        point = e[i, :2] + t[:, None] * d[i]
+        point[:, k] = line
+        at.append(i)
+        share.append(t)
+        place.append(np.rint(point / grid) * grid)
+    at, share, place = np.concatenate(at), np.concatenate(share), np.concatenate(place)
+    order = np.lexsort((share, at))
+    at, place = at[order], place[order]
+    keep = (at[:-1] == at[1:]) & (place[:-1] != place[1:]).any(axis=1)
+    pieces, at = np.hstack([place[:-1], place[1:]])[keep], at[:-1][keep]
+    middle = (pieces[:, :2] + pieces[:, 2:]) / 2
+    cx, cy = (np.floor(middle[:, k] / cell + SHIFT[k]).astype(np.int64) for k in (0, 1))
+    return cx, cy, pieces, weight[at]

@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-from geoloom.functions.covering import CellEdges, meets_box, rows_meet, rows_within
+from geoloom.functions.covering import SHIFT, CellEdges, meets_box, rows_meet, rows_within, winding_rows
 
 Rings = list[np.ndarray]
 
@@ -53,11 +53,12 @@ def meeting(lo: np.ndarray, hi: np.ndarray, step: int = 1 << 20):
         k = m
 
 
-def noded(edges: np.ndarray, grid: float) -> np.ndarray:
+def noded(edges: np.ndarray, grid: float, fixed: np.ndarray | None = None) -> np.ndarray:
     """Edges cut at all crossings and touches, ends on a grid, each piece once, whole pieces only.
 
     An end within two steps of the grid of another edge cuts that edge, whichever way
     the edges run, so edges that nearly lie on each other become the same pieces.
+    fixed: places (n x 2) that stay where they are, on the grid.
     """
     p, d = edges[:, :2], edges[:, 2:] - edges[:, :2]
     length = np.hypot(*d.T) + 1e-300
@@ -83,7 +84,7 @@ def noded(edges: np.ndarray, grid: float) -> np.ndarray:
                 cut.append((along / length[a])[on])
                 place.append(q[on])
     at, cut = np.concatenate(at), np.clip(np.concatenate(cut), 0.0, 1.0)
-    place = settled(np.rint(np.concatenate(place) / grid).astype(np.int64))
+    place = settled(np.rint(np.concatenate(place) / grid).astype(np.int64), fixed=None if fixed is None else np.rint(fixed / grid).astype(np.int64))
     order = np.lexsort((cut, at))
     at, place = at[order], place[order]
     a, b = place[:-1], place[1:]
@@ -94,18 +95,27 @@ def noded(edges: np.ndarray, grid: float) -> np.ndarray:
     return np.unique(pieces, axis=0).reshape(-1, 4).astype(float) * grid
 
 
-def settled(place: np.ndarray, reach: int = 2) -> np.ndarray:
-    """Grid places with those within ``reach`` of each other made one: a point that two edges give may be rounded either way."""
-    points, at = np.unique(place, axis=0, return_inverse=True)
-    label = np.arange(len(points))
+def settled(place: np.ndarray, reach: int = 2, fixed: np.ndarray | None = None) -> np.ndarray:
+    """Grid places with those within ``reach`` of each other made one: a point that two edges give may be rounded either way.  ``fixed`` places stay, and others move to them."""
+    if fixed is not None and len(fixed):
+        place = np.concatenate([fixed, place])
+    points, first, at = np.unique(place, axis=0, return_index=True, return_inverse=True)
+    held = first < (0 if fixed is None else len(fixed))
+    rank = np.empty(len(points), np.int64)
+    rank[np.argsort(~held, kind="stable")] = np.arange(len(points))  # fixed ones count as the least
+    label = rank.copy()
     pairs = [np.stack(x) for x in meeting(points.astype(float), points.astype(float) + reach)]
     a, b = np.concatenate(pairs, axis=1) if pairs else np.empty((2, 0), np.int64)
+    back = np.empty(len(points), np.int64)
+    back[rank] = np.arange(len(points))
     while len(a) and (label[a] != label[b]).any():
         low = np.minimum(label[a], label[b])
-        np.minimum.at(label, label[a], low)
-        np.minimum.at(label, label[b], low)
-        label = label[label]
-    return points[label][at.ravel()]
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        label = label[back[label]]
+    label[held] = rank[held]
+    out = points[back[label]][at.ravel()]
+    return out[len(fixed) :] if fixed is not None else out
 
 
 def combine(a: Rings, b: Rings, wanted: Callable[[np.ndarray, np.ndarray], np.ndarray], in_a: bool = False) -> Rings:
@@ -139,27 +149,39 @@ def _arranged(ea: np.ndarray, eb: np.ndarray, both: np.ndarray, grid: float, wan
     pieces = noded(both, grid)
     if not len(pieces):
         return []
-    mid, way = (pieces[:, :2] + pieces[:, 2:]) / 2, pieces[:, 2:] - pieces[:, :2]
-    aside = np.stack([-way[:, 1], way[:, 0]], 1) / np.hypot(*way.T)[:, None] * np.minimum(grid * 64, np.hypot(*way.T) / 8)[:, None]
-    left = wanted(inside(mid + aside, ea), inside(mid + aside, eb))
-    right = wanted(inside(mid - aside, ea), inside(mid - aside, eb))
-    kept = np.concatenate([pieces[left & ~right], pieces[right & ~left][:, [2, 3, 0, 1]]])
-    return linked(kept)
+    left, right = (wanted(inside(p, ea), inside(p, eb)) for p in sides(pieces, grid))
+    return linked(_between(pieces, left, right))
 
 
 def linked(directed: np.ndarray) -> Rings | None:
     """Rings of directed edges that have their inside on the left; at a crossing the sharpest left turn keeps rings apart that only touch.  None if one does not close."""
+    rings, open_ = chained(directed)
+    if open_:
+        return None
+    rings = [straightened(r) for r in rings]
+    return [r for r in rings if len(r) > 2]
+
+
+def chained(directed: np.ndarray, ends: set | None = None) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """(rings, open chains) of directed edges, as in :func:`linked`; chains run from end to end, rings don't repeat their first vertex.
+
+    ends: places where every chain stops.  Chains also stop where no edge goes on.
+    """
     after: dict[tuple, list[tuple]] = {}
+    arrive: dict[tuple, int] = {}
     for x0, y0, x1, y1 in directed.tolist():
         after.setdefault((x0, y0), []).append((x1, y1))
-    rings = []
-    while after:
-        start = at = next(iter(after))
-        ring, came = [start], None
+        arrive[x1, y1] = arrive.get((x1, y1), 0) + 1
+    ends = ends or set()
+    starts = [p for p, ways in after.items() for _ in range(len(ways) if p in ends else len(ways) - arrive.get(p, 0))]
+    rings, chains = [], []
+
+    def walk(start: tuple, first: tuple | None = None) -> tuple[list, bool]:
+        line, came, at = [start], None, start
         while True:
             ways = after.get(at)
-            if not ways:
-                return None
+            if not ways or (came is not None and at in ends):
+                return line, False
             k = 0
             if came is not None and len(ways) > 1:
                 turn = [np.arctan2(came[0] * (w[1] - at[1]) - came[1] * (w[0] - at[0]), came[0] * (w[0] - at[0]) + came[1] * (w[1] - at[1])) for w in ways]
@@ -168,19 +190,27 @@ def linked(directed: np.ndarray) -> Rings | None:
             if not ways:
                 del after[at]
             came, at = (to[0] - at[0], to[1] - at[1]), to
-            if at == start:
-                break
-            ring.append(at)
-        if len(ring) > 2:
-            rings.append(straightened(np.array(ring)))
-    return [r for r in rings if len(r) > 2]
+            if at == start and start not in ends:
+                return line, True
+            line.append(at)
+
+    for start in starts:
+        if start in after:
+            line, closed = walk(start)
+            (rings if closed else chains).append(np.array(line))
+    while after:
+        line, closed = walk(next(iter(after)))
+        (rings if closed else chains).append(np.array(line))
+    return rings, chains
 
 
-def straightened(ring: np.ndarray) -> np.ndarray:
-    """The ring without vertices on a straight run."""
+def straightened(ring: np.ndarray, closed: bool = True) -> np.ndarray:
+    """The ring without vertices on a straight run; a chain that is not closed keeps its ends."""
     before, after = ring - np.roll(ring, 1, 0), np.roll(ring, -1, 0) - ring
-    turn = np.abs(before[:, 0] * after[:, 1] - before[:, 1] * after[:, 0])
-    return ring[turn > 1e-9 * np.hypot(*before.T) * np.hypot(*after.T)]
+    bent = np.abs(before[:, 0] * after[:, 1] - before[:, 1] * after[:, 0]) > 1e-9 * np.hypot(*before.T) * np.hypot(*after.T)
+    if not closed:
+        bent[[0, -1]] = True
+    return ring[bent]
 
 
 def signed_area(ring: np.ndarray) -> float:
@@ -260,11 +290,82 @@ def repaired(a: Rings) -> Rings:
 
 
 def union_all(shapes: list[Rings]) -> Rings:
-    """The union of many areas, pairwise in a balanced tree."""
+    """The union of many areas, arranged in one sweep: what edges run around, shells counter-clockwise and holes clockwise."""
     shapes = [s for s in shapes if s]
-    while len(shapes) > 1:
-        shapes = [union(*shapes[k : k + 2]) if k + 1 < len(shapes) else shapes[k] for k in range(0, len(shapes), 2)]
-    return shapes[0] if shapes else []
+    if len(shapes) < 2:
+        return shapes[0] if shapes else []
+    return run_around(edges_of([r for s in shapes for r in oriented(s)]))
+
+
+def oriented(a: Rings) -> Rings:
+    """Rings of an area with shells counter-clockwise and holes clockwise, told by how many other rings hold them."""
+    if len(a) == 1:
+        return a if signed_area(a[0]) >= 0 else [a[0][::-1]]
+    out = []
+    for k, r in enumerate(a):
+        others = edges_of([q for j, q in enumerate(a) if j != k])
+        depth = int(np.median(inside((r + np.roll(r, -1, 0)) / 2, others)))
+        out.append(r if (signed_area(r) > 0) == (depth % 2 == 0) else r[::-1])
+    return out
+
+
+def run_around(edges: np.ndarray) -> Rings:
+    """The rings around all places that directed edges run around more often counter-clockwise than clockwise."""
+    edges = edges[(edges[:, :2] != edges[:, 2:]).any(1)]
+    if not len(edges):
+        return []
+    size = float(np.abs(edges).max() + np.ptp(edges.reshape(-1, 2), axis=0).max()) or 1.0
+    for coarser in range(4):
+        grid = 2.0 ** (np.ceil(np.log2(size * 1e-10)) + 4 * coarser)
+        pieces = noded(edges, grid)
+        left, right = sides(pieces, grid)
+        kept = _between(pieces, *(winding_rows(p[:, 0], p[:, 1], edges) > 0 for p in (left, right)))
+        rings = linked(kept)
+        if rings is not None:
+            return rings
+    raise ValueError("the rings of a union don't close")
+
+
+def outline_in_cell(edges: np.ndarray, weight: np.ndarray, base: int, cx: int, cy: int, cell: float, grid: float) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """(rings, open chains) of the border, in one cell, of all that edges run around; edges end at the cell's sides.
+
+    base: how often the cell's lower left corner is run around.
+    """
+    low = np.rint((np.array([cx, cy]) - SHIFT) * cell / grid) * grid
+    high = np.rint((np.array([cx + 1, cy + 1]) - SHIFT) * cell / grid) * grid
+    ends = edges.reshape(-1, 2)
+    rim = np.unique(ends[((ends == low) | (ends == high)).any(axis=1)], axis=0)
+    pieces = noded(edges, grid, rim)
+    if not len(pieces):
+        return [], []
+    # runs around a place: those around the corner, and what changes on the way up and then right
+    turns = lambda p: base + _path_winding(p, edges, weight, low)
+    left, right = (turns(p) > 0 for p in sides(pieces, grid))
+    return chained(_between(pieces, left, right), {tuple(p) for p in rim.tolist()})
+
+
+def _path_winding(points: np.ndarray, e: np.ndarray, weight: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """How the winding number changes from the corner up to each point's height and then right to it."""
+    px, py = points.T
+    across = winding_rows(np.full(len(px), low[0]), py, e, weight) - winding_rows(px, py, e, weight)
+    # going up, along the left side: edges are turned so that up becomes right
+    upright = e[:, [1, 0, 3, 2]]
+    at = np.full(len(px), low[0])
+    rise = winding_rows(np.full(len(px), low[1]), at, upright, weight) - winding_rows(py, at, upright, weight)
+    return rise - across
+
+
+def sides(pieces: np.ndarray, grid: float) -> tuple[np.ndarray, np.ndarray]:
+    """A point close to the middle of each piece on its left, and one on its right."""
+    mid, way = (pieces[:, :2] + pieces[:, 2:]) / 2, pieces[:, 2:] - pieces[:, :2]
+    length = np.hypot(*way.T)
+    aside = np.stack([-way[:, 1], way[:, 0]], 1) / length[:, None] * np.minimum(grid * 64, length / 8)[:, None]
+    return mid + aside, mid - aside
+
+
+def _between(pieces: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Pieces with what is wanted on one side alone, so directed that it is on the left."""
+    return np.concatenate([pieces[left & ~right], pieces[right & ~left][:, [2, 3, 0, 1]]])
 
 
 def hull(points: np.ndarray) -> np.ndarray:
@@ -337,6 +438,8 @@ def nested(rings: Rings) -> list[Rings]:
     """Parts of a MultiPolygon: each shell with the holes it is the smallest to hold."""
     shells = sorted((r for r in rings if signed_area(r) > 0), key=signed_area)
     parts = [[s] for s in shells]
+    if len(parts) == 1:
+        return [[*parts[0], *(r for r in rings if signed_area(r) < 0)]]
     for hole in (r for r in rings if signed_area(r) < 0):
         probe = ((hole[:1] + hole[1:2]) / 2).repeat(1, 0)
         home = next((k for k, s in enumerate(shells) if inside(probe, edges_of([s]))[0] and signed_area(s) > -signed_area(hole)), None)

@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 from geoloom.functions import arrow_geometry as A
 from geoloom.functions import geometry as G
 from geoloom.functions import polygons as P
+from geoloom.functions.covering import cover, cut_at_cells
 from geoloom.functions.params import in_range
 from geoloom.operators.graph import checkpointed, skew_join
 from geoloom.operators.project import require_projected, require_same
+from geoloom.operators.rings import CHAIN, chain_rows, rings_of_chains
 from geoloom.operators.vector import BOX, near_pairs, overlap_ratio
 
 FAN_IN = 64
@@ -187,35 +189,94 @@ def require_simple_overlay(overlay: DataFrame, oid: str, cell: float, least: int
         raise ValueError(f"overlay shapes overlap too much for a line union: {row['ratio']:.2f}")
 
 
-def dissolve(features: DataFrame, field: str | None = None, cell: float = 16.0, fan_in: int = FAN_IN, srid: int | None = None) -> DataFrame:
+def dissolve(features: DataFrame, field: str | None = None, cell: float = 16.0, fan_in: int = FAN_IN, srid: int | None = None, most: int = 1 << 20) -> DataFrame:
     """``(field, geom)``: the union of each group as a MultiPolygon, null keys as an empty text; without a field, of all.
 
-    In rounds over a grid of cells of a key, where a piece lies in the cell of its
-    lower left corner.  The cells start so small that the most crowded ``cell`` would
-    hold about ``fan_in`` features in each, if they were spread evenly.  A round unites
-    the pieces of each cell (:func:`united`); then four by four cells become one, until
-    each key has one piece.  Equal geometries of a key count once.  A geographic CRS is
-    refused.
+    Shapes are dealt to cells, so small that the most crowded ``cell`` would have about
+    ``fan_in`` features in each if they were spread evenly.  A cell that lies inside
+    one shape has no border and is left out.  In others edges are cut at the cell's
+    sides, and equal edges of a key added up before they move: copies are one, and
+    edges that two shapes share in opposite directions cancel.  A task arranges the
+    edges left in a cell and keeps those with the union on one side alone, as chains;
+    chains of all cells are then linked to rings (:func:`rings_of_chains`).  So only
+    the outline itself comes together, a ring in a row, and those of a key in one.
+    A geographic CRS is refused.
     """
     if srid is not None:
         require_projected(srid)
     if field is not None and field not in features.columns:
         raise ValueError(f"no field {field!r}")
     in_range("cell", cell, 0, open_low=True)
-    key = F.coalesce(F.col(field).cast("string"), F.lit("")) if field else F.lit("")
     name = field or "group"
-    own = [name, "_cx", "_cy"]
-    v = normalized(features.withColumn("_k", key).select(F.col("_k").alias(name), "geom")).dropDuplicates([name, "geom"])
-    v = checkpointed(v)
-    most = v.groupBy(name, F.floor(F.col("xmin") / cell), F.floor(F.col("ymin") / cell)).count().agg(F.max("count")).first()[0] or 0
-    fine = cell / 2 ** min(10, max(0, math.ceil(math.log(max(1, most) / fan_in, 4))))
-    low = v.agg(F.min(F.floor(F.col("xmin") / fine)).alias("x"), F.min(F.floor(F.col("ymin") / fine)).alias("y")).first()
-    pieces = v.select(name, "geom", *[(F.floor(F.col(c) / fine) - F.lit(low[k])).alias(f"_c{k}") for c, k in (("xmin", "x"), ("ymin", "y"))])
-    while True:
-        pieces = checkpointed(united(pieces, own, fan_in))
-        if (pieces.groupBy(name).count().agg(F.max("count")).first()[0] or 1) == 1:
-            return G.with_box(pieces.select(name, "geom"))
-        pieces = pieces.withColumns({c: F.floor(F.col(c) / 4) for c in own[1:]})
+    key = F.coalesce(F.col(field).cast("string"), F.lit("")) if field else F.lit("")
+    v = checkpointed(normalized(features.withColumn("_k", key).select(F.col("_k").alias(name), "geom")))
+    crowd = v.groupBy(name, F.floor(F.col("xmin") / cell), F.floor(F.col("ymin") / cell)).count().agg(F.max("count")).first()[0] or 0
+    fine = cell / 2 ** min(10, max(0, math.ceil(math.log(max(1, crowd) / fan_in, 4))))
+    span = v.agg(*[F.max(F.abs(c)).alias(c) for c in BOX]).first()
+    grid = 2.0 ** math.ceil(math.log2(2 * max([span[c] or 0 for c in BOX] + [fine]) * 1e-10))
+    pieces = checkpointed(_cell_pieces(v, name, fine, grid))
+    inner = pieces.where("level is not null").select(name, "level", "cx", "cy").distinct()
+    edges = pieces.where("level is null").groupBy(name, "cx", "cy", "x0", "y0", "x1", "y1").agg(F.sum("w").alias("w")).where("w <> 0")
+    levels = sorted(r[0] for r in inner.select("level").distinct().collect())  # a row for each level, under 50
+    for level in levels:
+        above = inner.where(F.col("level") == level).select(F.col(name).alias("_k"), F.col("cx").alias("_x"), F.col("cy").alias("_y"))
+        edges = edges.join(above, (F.col(name) == F.col("_k")) & (F.expr(f"shiftright(cx, {level})") == F.col("_x")) & (F.expr(f"shiftright(cy, {level})") == F.col("_y")), "left_anti")
+
+    def arrange(table: pa.Table) -> pa.Table:
+        e, w = np.stack([table.column(c).to_numpy() for c in ("x0", "y0", "x1", "y1")], axis=1), table.column("w").to_numpy()
+        lone = np.isnan(e[:, 0])
+        cx, cy = table.column("cx")[0].as_py(), table.column("cy")[0].as_py()
+        rings, chains = P.outline_in_cell(e[~lone], w[~lone], int(w[lone].sum()), cx, cy, fine, grid)
+        xs, ys, closed = chain_rows(rings, chains)
+        return pa.table({name: table.column(name).take(pa.array(np.zeros(len(closed), np.int64))), "xs": xs, "ys": ys, "closed": closed})
+
+    chains = edges.groupBy(name, "cx", "cy").applyInArrow(arrange, f"`{name}` string, {CHAIN}")
+    rings = rings_of_chains(chains, [name], most)
+    return G.with_box(_polygons(rings, [name], "MultiPolygon"))
+
+
+def _cell_pieces(v: DataFrame, name: str, cell: float, grid: float) -> DataFrame:
+    """``(name, level, cx, cy, x0, y0, x1, y1, w)``: cells inside a shape (with a level), and edges cut at cells' sides with their weights; NaN edges count the shapes that hold a cell's lower left corner."""
+    names = [name, "level", "cx", "cy", "x0", "y0", "x1", "y1", "w"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row, parts in enumerate(A.parts_of(b.column("geom"))):
+                edges = np.rint(P.edges_of(P.oriented(rings_of(parts))) / grid) * grid
+                edges = edges[(edges[:, :2] != edges[:, 2:]).any(axis=1)]
+                if not len(edges):
+                    continue
+                level, cx, cy, inside, corner, _, _ = cover(edges, True, cell)
+                ex, ey, e, w = cut_at_cells(edges, np.ones(len(edges), np.int64), cell, grid)
+                held = ~inside & corner
+                n, m, k = int(inside.sum()), int(held.sum()), len(e)
+                none = np.full((n + m, 4), np.nan)
+                xy = np.concatenate([none, e])
+                columns = [np.concatenate([cx[inside], cx[held], ex]), np.concatenate([cy[inside], cy[held], ey]), *xy.T, np.concatenate([np.ones(n + m, np.int64), w])]
+                levels = pa.array(np.concatenate([level[inside], np.zeros(m + k, np.int64)]).astype(np.int32), mask=np.concatenate([np.zeros(n, bool), np.ones(m + k, bool)]))
+                yield pa.RecordBatch.from_arrays([b.column(name).take(pa.array(np.full(n + m + k, row))), levels, *map(pa.array, columns)], names)
+
+    return v.select(name, "geom").mapInArrow(run, f"`{name}` string, level int, cx long, cy long, x0 double, y0 double, x1 double, y1 double, w long")
+
+
+def _polygons(rings: DataFrame, keys: list[str], kind: str) -> DataFrame:
+    """``(keys.., geom)`` of the rings ``xs``, ``ys`` of each key: shells with their holes, without vertices on straight runs."""
+    types = dict(rings.dtypes)
+    gathered = rings.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("xs", "ys"))).alias("rings"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for given in b.column("rings"):
+                xs, ys = given.values.flatten()
+                at = xs.offsets.to_numpy()
+                xy = np.stack([c.values.to_numpy() for c in (xs, ys)], axis=1)
+                shape = [P.straightened(xy[i:j]) for i, j in zip(at, at[1:], strict=False)]
+                out.append(parts_of([r for r in shape if len(r) > 2]))
+            keep = [k for k, parts in enumerate(out) if parts]
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(keep, pa.int64())) for c in keys), A.geometries(kind, [out[k] for k in keep])], [*keys, "geom"])
+
+    return gathered.mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in keys), f"geom {G.TYPE}"]))
 
 
 def buffer(features: DataFrame, distance: float, srid: int, segments: int = 30) -> DataFrame:

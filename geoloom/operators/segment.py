@@ -12,12 +12,14 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geoloom.functions import geometry as G
 from geoloom.functions.params import in_range, one_of
+from geoloom.functions.polygons import chained, straightened
 from geoloom.operators.focal import DERIVATIVE, TILE, separable, tile_apply, tiles
 from geoloom.operators.graph import checkpointed, connected_components, small_join
 from geoloom.operators.raster import KEY, by_band, otsu, stretched
+from geoloom.operators.rings import CHAIN, chain_rows, rings_of_chains
 
-_GEOMETRY = pa.struct([("kind", pa.string()), ("parts", pa.list_(pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))))])
 STEPS = {4: ((0, 1), (1, 0)), 8: ((0, 1), (1, 0), (1, 1), (1, -1))}
 
 
@@ -97,54 +99,70 @@ def region_table(labelled: DataFrame, cell_area: float = 1.0) -> DataFrame:
     return size.join(inner, [*KEY, "label"], "left").select(*KEY, "label", "dn", "pixels", (F.col("pixels") * cell_area).alias("area"), (F.col("pixels") * 4 - F.coalesce("inner", F.lit(0))).alias("perimeter"))
 
 
-def polygonize(pixels: DataFrame, gt: tuple[float, ...], connectivity: int = 4) -> DataFrame:
+def polygonize(pixels: DataFrame, gt: tuple[float, ...], connectivity: int = 4, tile: int = TILE, most: int = 1 << 20) -> DataFrame:
     """``(raster_id, band, label, DN, geom)``: a polygon for each region of equal whole values, zero included.
 
-    Pixel sides between two labels are found by a join with the neighbours; each
-    region's sides are then walked into rings, its shell first.
+    Each tile walks the pixel sides between its labels into chains, whole rings among
+    them, without the vertices on straight runs.  Chains end where they reach the
+    tile's edge, and those of all tiles are linked to rings
+    (:func:`geoloom.operators.rings.rings_of_chains`), so a region over many tiles comes
+    together as its outline only.  Regions that hang together at corners alone
+    (``connectivity`` 8) have a part for each.
     """
-    v = components(pixels.withColumn("value", F.floor("value").cast("double")), connectivity)
-    sides = [((0, -1), (0, 0), (1, 0)), ((1, 0), (1, 0), (1, 1)), ((0, 1), (1, 1), (0, 1)), ((-1, 0), (0, 1), (0, 0))]  # neighbour, and the side's ends, pixel on the left
-    every = F.explode(F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(("dy", "dx", "ay", "ax", "by", "bx"), (*d, *a, *b), strict=True)]) for d, a, b in sides])).alias("s")
-    cells = v.select(*KEY, "label", "value", F.col("row").alias("r"), F.col("col").alias("c"), every).withColumns({"row": F.col("r") + F.col("s.dy"), "col": F.col("c") + F.col("s.dx")})
-    rim = cells.join(v.select(*KEY, "row", "col", F.col("label").alias("_l")), [*KEY, "row", "col"], "left").where("_l is null or _l <> label")
-    edges = rim.select(*KEY, "label", F.col("value").cast("int").alias("DN"), (F.col("r") + F.col("s.ay")).alias("ay"), (F.col("c") + F.col("s.ax")).alias("ax"), (F.col("r") + F.col("s.by")).alias("by"), (F.col("c") + F.col("s.bx")).alias("bx"))
+    from geoloom.operators.overlay import _polygons
+
+    v = checkpointed(components(pixels.withColumn("value", F.floor("value").cast("double")), connectivity))
+    span = lambda c: F.explode(F.array_distinct(F.array(*[F.floor((F.col(c) + d) / tile) for d in (-1, 0, 1)])))
+    dealt = v.select(*KEY, "row", "col", "label", F.col("value").cast("int").alias("DN")).withColumn("ty", span("row")).withColumn("tx", span("col"))
+
+    def walk(table: pa.Table) -> pa.Table:
+        row, col, label, dn = (table.column(c).to_numpy() for c in ("row", "col", "label", "DN"))
+        y0, x0 = table.column("ty")[0].as_py() * tile, table.column("tx")[0].as_py() * tile
+        names, at = np.unique(label, return_inverse=True)
+        grid = np.full((tile + 2, tile + 2), -1)
+        grid[row - y0 + 1, col - x0 + 1] = at.ravel()
+        value = np.zeros(len(names), np.int64)
+        value[at.ravel()] = dn
+        own, rings, chains = [], [], []
+        for k, sides in _label_sides(grid, y0, x0):
+            closed, open_ = chained(sides, _on_rim(sides, y0, x0, tile))
+            rings += [(k, straightened(r)) for r in closed]
+            chains += [(k, straightened(r, closed=False)) for r in open_]
+        own = np.array([k for k, _ in rings + chains], np.int64)
+        xs, ys, whole = chain_rows([r for _, r in rings], [r for _, r in chains])
+        one = lambda c: table.column(c).take(pa.array(np.zeros(len(own), np.int64)))
+        return pa.table({"raster_id": one("raster_id"), "band": one("band"), "label": pa.array(names[own] if len(own) else own), "DN": pa.array(value[own].astype(np.int32) if len(own) else own.astype(np.int32)), "xs": xs, "ys": ys, "closed": whole})
+
+    keys = [*KEY, "label", "DN"]
+    chains = dealt.groupBy(*KEY, "ty", "tx").applyInArrow(walk, f"raster_id long, band int, label long, DN int, {CHAIN}")
+    rings = rings_of_chains(chains, keys, most)
     ox, px, _, oy, _, py = gt
-
-    def rings(sides) -> list[list[dict]]:
-        after: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for e in sides:
-            after.setdefault((e["ay"], e["ax"]), []).append((e["by"], e["bx"]))
-        found = []
-        while after:
-            start = at = min(after)
-            ring, came = [start], None
-            while True:
-                ways = after[at]
-                k = 0
-                if len(ways) > 1 and came is not None:  # at a crossing stay with the region's own corner: turn left
-                    k = max(range(len(ways)), key=lambda i: came[0] * (ways[i][1] - at[1]) - came[1] * (ways[i][0] - at[0]))
-                to = ways.pop(k)
-                if not ways:
-                    del after[at]
-                came, at = (to[0] - at[0], to[1] - at[1]), to
-                if at == start:
-                    break
-                ring.append(at)
-            n = len(ring)
-            ring = [p for k, p in enumerate(ring) if (p[0] - ring[k - 1][0], p[1] - ring[k - 1][1]) != (ring[(k + 1) % n][0] - p[0], ring[(k + 1) % n][1] - p[1])]
-            found.append([{"x": ox + x * px, "y": oy + y * py} for y, x in [*ring, ring[0]]])
-        size = lambda r: abs(sum(a["x"] * b["y"] - b["x"] * a["y"] for a, b in zip(r, r[1:], strict=False)))
-        return sorted(found, key=size, reverse=True)
-
-    def walk(batches):
-        for b in batches:
-            geoms = [{"kind": "Polygon", "parts": [rings(x)]} for x in b.column("sides").to_pylist()]
-            names = ["raster_id", "band", "label", "DN"]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(geoms, _GEOMETRY)], [*names, "geom"])
-
-    grouped = edges.groupBy(*KEY, "label", "DN").agg(F.collect_list(F.struct("ay", "ax", "by", "bx")).alias("sides"))
-    return grouped.mapInArrow(walk, "raster_id long, band int, label long, DN int, geom struct<kind:string,parts:array<array<array<struct<x:double,y:double>>>>>")
+    shapes = _polygons(rings, keys, "Polygon" if connectivity == 4 else "MultiPolygon")
+    return shapes.withColumn("geom", G.map_vertices(F.col("geom"), lambda x, y: (ox + x * px, oy - y * py)))
+
+
+def _label_sides(grid: np.ndarray, y0: int, x0: int):
+    """(label, directed sides) of the pixels of a tile with one more cell around it: x is the column, y the row below zero, the pixel on the left."""
+    core = grid[1:-1, 1:-1]
+    found = []
+    # neighbour, and the side's ends from the pixel's upper left corner
+    for (dy, dx), a, b in (((1, 0), (0, -1), (1, -1)), ((0, 1), (1, -1), (1, 0)), ((-1, 0), (1, 0), (0, 0)), ((0, -1), (0, 0), (0, -1))):
+        other = grid[1 + dy : grid.shape[0] - 1 + dy, 1 + dx : grid.shape[1] - 1 + dx]
+        r, c = np.nonzero((core >= 0) & (core != other))
+        x, y = c + x0, -(r + y0)
+        found.append(np.stack([core[r, c], x + a[0], y + a[1], x + b[0], y + b[1]], axis=1))
+    sides = np.concatenate(found)
+    sides = sides[np.argsort(sides[:, 0], kind="stable")]
+    cuts = np.flatnonzero(np.diff(sides[:, 0])) + 1
+    for part in np.split(sides, cuts) if len(sides) else []:
+        yield int(part[0, 0]), part[:, 1:].astype(float)
+
+
+def _on_rim(sides: np.ndarray, y0: int, x0: int, tile: int) -> set:
+    """Ends of sides on the tile's edge, where sides of other tiles may go on."""
+    at = np.unique(sides.reshape(-1, 2), axis=0)
+    rim = np.isin(at[:, 0], (x0, x0 + tile)) | np.isin(at[:, 1], (-y0, -y0 - tile))
+    return {tuple(p) for p in at[rim].tolist()}
 
 
 def contours(pixels: DataFrame, min_area: float = 100) -> DataFrame:

@@ -83,11 +83,15 @@ def j6_union(spark, sf):
 s AS (SELECT x.kind, a, b, ymin, ymax FROM x JOIN rects r ON r.kind = x.kind AND r.xmin <= a AND r.xmax >= b WHERE b IS NOT NULL),
 m AS (SELECT *, max(ymax) OVER (PARTITION BY kind, a ORDER BY ymin, ymax ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s),
 d AS (SELECT kind, round(sum((b - a) * greatest(0, ymax - greatest(ymin, coalesce(before, ymin)))), 4) AS area FROM m GROUP BY kind),
-p AS (SELECT kind, string_agg(CASE WHEN hit THEN '1' ELSE '0' END, '' ORDER BY j, i) AS inside FROM (SELECT k.kind, i, j, EXISTS (SELECT 1 FROM rects z WHERE z.kind = k.kind AND i * 4 + 0.4321 >= z.xmin AND i * 4 + 0.4321 < z.xmax AND j * 4 + 0.4321 >= z.ymin AND j * 4 + 0.4321 < z.ymax) AS hit FROM (SELECT DISTINCT kind FROM rects) k, {probes(16)}) GROUP BY kind)
-SELECT * FROM d JOIN p USING (kind)""")
+p AS (SELECT kind, string_agg(CASE WHEN hit THEN '1' ELSE '0' END, '' ORDER BY j, i) AS inside FROM (SELECT k.kind, i, j, EXISTS (SELECT 1 FROM rects z WHERE z.kind = k.kind AND i * 4 + 0.4321 >= z.xmin AND i * 4 + 0.4321 < z.xmax AND j * 4 + 0.4321 >= z.ymin AND j * 4 + 0.4321 < z.ymax) AS hit FROM (SELECT DISTINCT kind FROM rects) k, {probes(16)}) GROUP BY kind),
+y AS (SELECT kind, v AS a, lead(v) OVER (PARTITION BY kind ORDER BY v) AS b FROM (SELECT DISTINCT kind, unnest([ymin, ymax]) AS v FROM rects)),
+slabs AS (SELECT kind, a, b - a AS w, ymin AS lo, ymax AS hi, 'x' AS way FROM s UNION ALL SELECT y.kind, a, b - a, xmin, xmax, 'y' FROM y JOIN rects r ON r.kind = y.kind AND r.ymin <= a AND r.ymax >= b WHERE b IS NOT NULL),
+apart AS (SELECT *, max(hi) OVER (PARTITION BY kind, way, a ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM slabs),
+e AS (SELECT kind, round(2 * sum(w) FILTER (before IS NULL OR lo > before), 4) AS length FROM apart GROUP BY kind)
+SELECT * FROM d JOIN p USING (kind) JOIN e USING (kind)""")
 def a1_dissolve(spark, sf):
     out = _with_probes(O.dissolve(V.rectangles(X.rects(spark, sf)), "kind"), 16, lambda k: k * 4 + 0.4321, lambda k: k * 4 + 0.4321)
-    return rounded(out.select("kind", G.area(F.col("geom")).alias("area"), "inside"), "area", digits=4)
+    return rounded(out.select("kind", G.area(F.col("geom")).alias("area"), G.length(F.col("geom")).alias("length"), "inside"), "area", "length", digits=4)
 
 
 @query(f"WITH {RECTS} SELECT oid, round((xmax - xmin) * (ymax - ymin) + 2 * (xmax - xmin + ymax - ymin) * 0.5 + 60 * 0.25 * sin(2 * pi() / 120), 4) AS area FROM rects")

@@ -35,15 +35,14 @@ def c1_components(spark, sf):
     return S.components(_classes(spark, sf), 4, tile=16)
 
 
-@query(f"""WITH RECURSIVE {PX}, {REACH} SELECT raster_id, 1 AS band, label, CAST(any_value(value) AS INTEGER) AS dn, count(*) AS pixels, count(*)::DOUBLE AS area,
- 4 * count(*) - CAST(sum((SELECT count(*) FROM near WHERE a = cls.id)) AS BIGINT) AS perimeter FROM cls JOIN lab USING (id) GROUP BY raster_id, label""")
-def v2_regions(spark, sf):
-    return S.region_table(S.components(_classes(spark, sf), 4))
+CORNERS = """turns AS (SELECT label, sum(CASE WHEN n IN (1, 3) THEN 1 WHEN held IN (6, 9) THEN 2 ELSE 0 END) AS vertices FROM (SELECT label, count(*) AS n, sum(1 << (2 * a + b)) AS held FROM (SELECT label, "row" + a AS y, col + b AS x, a, b FROM cls JOIN lab USING (id), range(2) i(a), range(2) j(b)) GROUP BY label, y, x) GROUP BY label)"""
 
 
-@query(f"""WITH RECURSIVE {PX}, {REACH} SELECT raster_id, 1 AS band, label, CAST(any_value(value) AS INTEGER) AS "DN", count(*)::DOUBLE AS area FROM cls JOIN lab USING (id) GROUP BY raster_id, label""")
+@query(f"""WITH RECURSIVE {PX}, {REACH}, {CORNERS} SELECT raster_id, 1 AS band, label, CAST(any_value(value) AS INTEGER) AS "DN", count(*)::DOUBLE AS area, CAST(any_value(vertices) AS BIGINT) AS vertices, min(col)::DOUBLE AS xmin, (63 - max("row"))::DOUBLE AS ymin, (max(col) + 1)::DOUBLE AS xmax, (64 - min("row"))::DOUBLE AS ymax FROM cls JOIN lab USING (id) JOIN turns USING (label) GROUP BY raster_id, label""")
 def v2_polygonize(spark, sf):
-    return S.polygonize(_classes(spark, sf), GT).select("raster_id", "band", "label", "DN", G.area(F.col("geom")).alias("area"))
+    out = G.with_box(S.polygonize(_classes(spark, sf), GT))
+    own = F.aggregate(F.flatten("geom.parts"), F.lit(0).cast("long"), lambda n, r: n + F.size(r) - 1)
+    return out.select("raster_id", "band", "label", "DN", G.area(F.col("geom")).alias("area"), own.alias("vertices"), "xmin", "ymin", "xmax", "ymax")
 
 
 LIGHT = f"""{OTSU}, lt AS MATERIALIZED (SELECT raster_id, "row", col, CAST(value > threshold AS INTEGER) AS light, raster_id * 4096 + "row" * 64 + col AS id FROM st JOIN o USING (raster_id, band) WHERE band = 1),
