@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from geoloom.llm import automata, queries, simple8b, substring_dedup
+from geoloom.llm import automata, decontaminate, queries, simple8b, substring_dedup
 from geoloom.llm.common import scratch_path
 from geoloom.llm.components import connected_components
 from geoloom.llm.decontaminate import contaminated, decontaminated
@@ -268,6 +268,54 @@ def test_contaminated_short_and_repeated(spark):
     assert {(r["doc_id"], r["text"]) for r in decontaminated(d, i.where("item_id < 3")).collect()} == {(3, docs[3][1]), docs[1]}
 
 
+def test_items_that_share_most_words(spark):
+    """Words of a template weigh little: windows without it hold most of an item's weight, also where the own words of several items follow each other."""
+    template = " ".join(f"t{k}" for k in range(60))
+    own = {i: " ".join(f"own{i}x{k}" for k in range(30)) for i in range(60)}
+    items = [(i, f"{template} {t}") for i, t in own.items()]
+    docs = [(i, f"some words before {t} and some after it " + " ".join(f"d{i}y{k}" for k in range(80))) for i, t in own.items()]
+    docs += [(100 + i, " ".join(own[(i + j) % 60] for j in range(4))) for i in range(60)] + [(200, template), (201, f"{template} {own[3][:40]}")]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (round(r["similarity"], 6), r["start"], r["words"]) for r in contaminated(d, i).collect()}
+    assert got == brute_contaminated(docs, items) and len(got) == 300
+
+
+def test_an_item_of_5000_words(spark):
+    rng = np.random.default_rng(6)
+    item = [f"w{k}" for k in rng.integers(0, 900, 5000)]
+    docs = [(1, " ".join(["x"] * 300 + item[:4600] + ["y"] * 900)), (2, " ".join(item[900:])), (3, " ".join(item[:3000])), (4, " ".join(item * 3))]
+    items = [(1, " ".join(item)), (2, " ".join(item[100:160])), (3, "w1 w2"), *((k, " ".join(item[k : k + k])) for k in range(10, 60, 7))]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): round(r["similarity"], 6) for r in contaminated(d, i, filter_bits=18).collect()}
+    n = 5000 - 4
+    grams = lambda w, k: [tuple(w[j : j + k]) for j in range(len(w) - k + 1)]
+    weight = collections.Counter(g for _, t in items for g in set(grams(t.split(), 5)))
+    whole = collections.Counter(grams(item, 5))
+    total = sum(c / weight[g] for g, c in whole.items())
+    for doc, text in docs[:3]:  # the best window of the long item
+        own, best = grams(text.split(), 5), 0
+        for start in range(0, max(1, len(own) - n + 1)):
+            held = collections.Counter(own[start : start + n])
+            best = max(best, sum(min(c, held[g]) / weight[g] for g, c in whole.items()) / total)
+        assert got.get((doc, 1)) == (round(best, 6) if best >= 0.8 else None)
+    assert got[4, 1] == 1.0 and all(got[4, k] == 1.0 for k, _ in items if k != 3)
+
+
+def test_weights_of_all_windows():
+    rng = np.random.default_rng(7)
+    for _ in range(50):
+        region, span = rng.integers(0, 12, rng.integers(5, 40)), int(rng.integers(1, 6))
+        keys = np.unique(rng.integers(0, 12, 6))
+        counts, weights = rng.integers(1, 4, len(keys)), rng.random(len(keys))
+        want = [sum(w * min(c, int((region[a : a + span] == k).sum())) for k, c, w in zip(keys, counts, weights, strict=True)) for a in range(len(region) - span + 1)]
+        assert np.allclose(decontaminate.window_weights(region, span, keys, counts, weights), want)
+        hits = np.flatnonzero(rng.random(len(region)) < 0.5)
+        heads = hits[rng.random(len(hits)) < 0.4]
+        held = [a for a in range(len(region) - span + 1) if ((hits >= a) & (hits < a + span)).sum() >= 2 and ((heads >= a) & (heads < a + span)).any()]
+        a, b = decontaminate.window_starts(hits, 2, heads, span, len(region) - span)
+        assert [k for x, y in zip(a, b, strict=True) for k in range(x, y)] == held and (a[1:] > b[:-1]).all()
+
+
 def test_contaminated_edges(spark, odd, none):
     items = [(1, "X Y z"), (2, "c d e f g h i j k l"), (3, ""), (4, None), (5, "x x x x x x x"), (5, "x x x x x x x"), (None, "a b a b a b"), (6, "a b a b a b a c")]
     table = spark.createDataFrame(items, "item_id long, text string")
