@@ -47,6 +47,9 @@ BOILERPLATE = frozenset(
     "widget widgets toolbar pagination pager skip outbrain taboola".split()
 )
 COMMENTS = frozenset("comment comments commentlist disqus reply replies respond related recommended recommendations".split())
+# of these some also name what an article is about; inside one they count only if the text agrees
+TOPICS = frozenset("side foot notice notices alert overlay social share sharing subscription subscribe advertising promotion banner menu navigation skip widget widgets login toolbar related recommended recommendations colophon masthead".split())
+GENERAL = frozenset("site page main global post posts article articles in mid inline my the".split())
 HEADS = frozenset("header head".split())
 BEFORE = (BOILERPLATE | COMMENTS) - frozenset("side foot notice notices alert overlay login respond toolbar".split())
 STATES = frozenset("has is no not with without show hide js open opened closed enabled disabled on off active visible hidden page template layout ready loaded".split())
@@ -262,7 +265,8 @@ class _Parser:
         if tag in VOID:
             return pos
         up = self.elements[self.stack[-1]]
-        names, drop, linked = _judged(tag, attrs, up)
+        in_text = tag == "label" and not self.open["form"] and not self.open["fieldset"] and self.elements[self.stack[self.blocks[-1]]].tag in PARAGRAPH
+        names, drop, linked = _judged(tag, attrs, up, in_text)
         self.elements.append(Element(tag, self.stack[-1], names, drop, empty, tag if tag in ("article", "main") else up.inside))
         if empty and (tag not in BLOCK or drop):
             return pos
@@ -285,18 +289,19 @@ def parse(source: str) -> Page:
 
 
 @lru_cache(maxsize=8192)
-def judged_name(name: str) -> tuple[frozenset, str]:
-    """(words of a class or id name, what it says of its element: "", "page" for boilerplate, "readers", "head").
+def judged_name(name: str) -> tuple[frozenset, str, bool, bool]:
+    """(words of a class or id name, what it says of its element: "", "page" for boilerplate, "readers", "head"; whether all its words are known; whether it may name a topic).
 
     The name's last word says what the element is, less words such as box or list;
-    a first word counts if it is one that qualifies little else.  Names with a word
-    of a state or a layout (has-sidebar, comments-open) say nothing of this kind.
+    a first word counts if it is one that qualifies little else, and with an unknown
+    last word (related-work) it may be a topic.  Names with a word of a state or a
+    layout (has-sidebar, comments-open) say nothing of this kind.
     """
     words = [w.lower() for w in _WORDS.findall(name)]
     own = list(words)
     while len(own) > 1 and own[-1] in HOLDERS:
         own.pop()
-    kind = ""
+    kind, topic = "", False
     if own and not STATES & set(words):
         said = {own[-1]} | ({own[0]} & BEFORE)
         if said & COMMENTS:
@@ -305,31 +310,44 @@ def judged_name(name: str) -> tuple[frozenset, str]:
             kind = "page"
         elif own[-1] in HEADS and not OF_TEXT & set(words):
             kind = "head"
-    return frozenset(words), kind
+        listed = BOILERPLATE | COMMENTS | HEADS
+        topic = own[-1] not in listed | GENERAL or not (said & listed) - TOPICS
+    return frozenset(words), kind, set(words) <= BOILERPLATE | COMMENTS | HEADS | HOLDERS | GENERAL, topic
 
 
-def _judged(tag: str, attrs: str, up: Element) -> tuple[frozenset, int, bool]:
-    """(names of class and id and their words, how sure the element is to be dropped, whether it is a link)."""
+def _judged(tag: str, attrs: str, up: Element, in_text: bool = False) -> tuple[frozenset, int, bool]:
+    """(names of class and id and their words, how sure the element is to be dropped, whether it is a link).
+
+    0 not, 1 unless most text lies in it, 2 surely, 3 as readers' words, 4 if its text
+    agrees.  Names never drop headings.  Inside ``article`` or ``main`` a name counts if
+    all its words are known, and an id, which may be made of a heading, or a name that
+    may be a topic only if the text agrees; so does any name of an unknown last word.
+    in_text: the element stands in a paragraph outside forms, where a label is a word like others.
+    """
     names: set[str] = set()
     drop, linked = 0, False
     if tag in REGIONS:
         drop = 2
     elif tag in WRAPPERS or (tag == "header" and not up.inside):
         drop = 1
-    elif tag in CONTROLS:
+    elif tag in CONTROLS and not (in_text and tag == "label"):
         drop = 2
     if attrs and _TOLD.search(attrs):
         for key, a, b, c in _ATTR.findall(attrs):
             key, value = key.lower(), a or b or c
             if key in ("class", "id"):
                 for name in value.split():
-                    words, kind = judged_name(name)
+                    words, kind, known, topic = judged_name(name)
                     names |= words
                     names.add(name.lower())
-                    if kind == "readers":
+                    if not kind or tag in HEADING or (up.inside and not known):
+                        continue
+                    if (up.inside and (topic or (key == "id" and kind == "page"))) or (topic and not known):
+                        drop = drop or 4
+                    elif kind == "readers":
                         drop = max(drop, 1) if drop == 2 else 3
-                    elif kind == "page" or (kind == "head" and not up.inside and tag not in HEADING):
-                        drop = drop or 1
+                    elif kind == "page" or (kind == "head" and not up.inside):
+                        drop = 1 if drop in (0, 4) else drop
             elif key == "role":
                 if value.strip().lower() in ROLES:
                     drop = drop or 1
@@ -338,7 +356,7 @@ def _judged(tag: str, attrs: str, up: Element) -> tuple[frozenset, int, bool]:
             elif key == "hidden":
                 drop = 2
             elif (key == "aria-hidden" and value.lower() == "true") or (key == "style" and _UNSEEN.search(value)):
-                drop = drop or 1
+                drop = 1 if drop in (0, 4) else drop
             elif key == "href":
                 linked = tag == "a"
     if tag in ("html", "body", "article", "main"):
@@ -351,6 +369,34 @@ def points(text: str) -> float:
     return 1 + text.count(",") + len(text) / 100
 
 
+def _agree(page: Page) -> None:
+    """Elements to be dropped if their text agrees: it does where it has no prose of its own, or over a third of it is links."""
+    asked = {k for k, e in enumerate(page.elements) if e.drop == 4}
+    if not asked:
+        return
+    around = [-1] * len(page.elements)  # the innermost of them around each element
+    for k, e in enumerate(page.elements):
+        around[k] = k if k in asked else (around[e.parent] if k else -1)
+    chars, links, prose = Counter(), Counter(), Counter()
+    for at, pieces in page.blocks:
+        own: dict[int, list[int]] = {}
+        for k, text, link in pieces:
+            n = len(" ".join(text.split()))
+            total = own.setdefault(around[k], [0, 0])
+            total[0] += n
+            total[1] += n if link else 0
+        for k, (n, linked) in own.items():
+            chars[k] += n
+            links[k] += linked
+            prose[k] += n >= 80 and 3 * linked < n
+    for k in sorted(asked, reverse=True):  # children come after parents
+        text = prose[k] > 0 or (page.elements[k].tag in PARAGRAPH and chars[k] >= 40)
+        page.elements[k].drop = 0 if text and 3 * links[k] < chars[k] else 1
+        up = around[page.elements[k].parent] if k else -1
+        if up >= 0:
+            chars[up], links[up], prose[up] = chars[up] + chars[k], links[up] + links[k], prose[up] + prose[k]
+
+
 def settle(page: Page, least: float = 2.0, times: float = 10.0) -> None:
     """Decide which elements are dropped.
 
@@ -360,6 +406,7 @@ def settle(page: Page, least: float = 2.0, times: float = 10.0) -> None:
     article.  What readers write is never that; an element that holds ``main`` or the page's sole ``article`` always is.
     """
     elements = page.elements
+    _agree(page)
     doubt = [0] * len(elements)
     sole = sum(e.tag == "article" and e.drop != 3 for e in elements) == 1
     for k, e in enumerate(elements):

@@ -106,6 +106,42 @@ def test_nothing_of_the_article_is_lost(page):
     assert main_text(page) == f"{LONG}\n\nend"
 
 
+SLUGS = ["advertising", "share", "subscribe", "related-work", "social-theory", "navigation", "comments-on-method", "menu", "sponsored-research", "footer", "newsletter"]
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_names_never_drop_what_an_article_says(seed):
+    """Ids made of headings, topics as names of sections and paragraphs, and labels in sentences; true adverts and link lists go."""
+    rng = random.Random(seed)
+    out, want = [], []
+    tag = rng.choice(["article", "main"])
+    for _ in range(rng.randint(3, 8)):
+        slug, title, text = rng.choice(SLUGS), paragraph(rng, 3), paragraph(rng, rng.randint(30, 60))
+        head = f"<h{rng.randint(2, 4)} id='{slug}'>{title}</h2>".replace("</h2>", "")
+        head += f"</{head[1:3]}>"
+        kind = rng.random()
+        if kind < 0.3:
+            out.append(f"{head}<p>{text}</p>")
+        elif kind < 0.5:
+            out.append(f"<section id='{slug}'><h2 id='{slug}-2'>{title}</h2><p>{text}</p></section>")
+        elif kind < 0.7:
+            out.append(f"<section class='{rng.choice(['related-work', 'social', 'share', 'notice', 'banner'])}'><h3>{title}</h3><p>{text}</p></section>")
+        elif kind < 0.85:
+            out.append(f"{head}<p class='{rng.choice(['notice', 'menu', 'related-work', 'side'])}' id='{slug}'>{text}</p>")
+        else:
+            text = "Press the Enter key, " + text
+            out.append(f"{head}<p>{text.replace('Enter', '<label>Enter</label>')}</p>")
+        want += [title, text]
+        out.append(rng.choice(["", f"<div class='ad'><p>{paragraph(rng)}</p></div>", "<div class='share-buttons'><a href=x>Tweet</a> <a href=y>Mail</a></div>", "<div id='newsletter'><label>Mail</label> Sign up</div>", "<div class='related-posts'><ul><li><a href=x>One more, and another</a></ul></div>", f"<section class='comments'><p>{paragraph(rng)}</p></section>"]))
+    page = f"<body><nav id=menu><a href=/>Home</a></nav><{tag}>{''.join(out)}</{tag}><div id='sidebar'><p>{paragraph(rng)}</p></div><footer>{paragraph(rng)}</footer>"
+    assert main_text(page).split("\n\n") == want
+
+
+def test_ids_outside_article_elements():
+    assert main_text(f"<div class=post><h2 id='advertising'>Advertising in 1920</h2><p>{LONG}</p><section id='related-work'><p>{LONG}</p></section></div>") == f"Advertising in 1920\n\n{LONG}\n\n{LONG}"
+    assert main_text(f"<div class=post><p>{LONG}</p></div><div id='related-links'><a href=x>{LONG}</a></div><form><p>Say <label>this</label> or that, if you like</p></form>") == LONG
+
+
 def test_readers_comments_never_are_the_article():
     talk = "".join(f"<div class='comment'><p>{LONG}</p></div>" for _ in range(50))
     assert main_text(f"<div class=post><p>Short, but it is all.</p></div><div class='comments'>{talk}</div>") == "Short, but it is all."
