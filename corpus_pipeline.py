@@ -38,10 +38,10 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of 4096 tokens."""
+    """Pieces of all documents in sequences of 4096 tokens, with their token ids."""
     import public_tokenizers
 
-    return packed(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, size=4096)
+    return packed(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, size=4096, with_ids=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

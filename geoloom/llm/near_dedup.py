@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, parted, row_key
-from .components import connected_components
+from geoloom.operators.graph import connected_components
+
+from .common import checkpointed, parted, row_key, skew_join
 from .jaccard import verified_links
 from .simhash import fingerprints
 from .vptree import near_links
@@ -23,7 +24,7 @@ def _joined(groups: DataFrame, links: DataFrame, same: list[str]) -> DataFrame:
     found = connected_components(links)
     held = groups.join(found, groups["gid"] == found["node"], "left").withColumn("c", F.coalesce("component", "gid"))
     held = checkpointed(held.select(*same, "c", "first"))
-    return held.drop("first").join(held.groupBy("c").agg(F.min("first").alias("first")), "c").select(*same, "first")
+    return skew_join(held.drop("first"), held.groupBy("c").agg(F.min("first").alias("first")), ["c"]).select(*same, "first")
 
 
 def _near_rows(docs: DataFrame, shingle: int = 3, bits: int = 64, radius: int = 3, n_blocks: int = 2, block_radius: int = 1, distinct: bool = False, sample: int = 16384, leaf_rows: int = 2048, hot_leaf: int = 16384, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -31,7 +32,7 @@ def _near_rows(docs: DataFrame, shingle: int = 3, bits: int = 64, radius: int =
     fps = checkpointed(fingerprints(docs, shingle, bits, distinct, id_col, text_col))
     groups = _grouped(fps, ["fp"])
     links = near_links(groups.select("fp", F.col("gid").alias("rep")), bits, radius, n_blocks, block_radius, sample, leaf_rows, hot_leaf)
-    return fps.join(_joined(groups, links, ["fp"]), "fp").select("doc_id", "text_hash", "fp", "first")
+    return skew_join(fps, checkpointed(_joined(groups, links, ["fp"])), ["fp"]).select("doc_id", "text_hash", "fp", "first")
 
 
 def _similar_rows(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bits: int = 256, radius: int = 64, n_blocks: int = 16, block_radius: int = 1, sample: int = 16384, leaf_rows: int = 4096, hot_leaf: int = 16384, part_bytes: int = 1 << 22, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -42,7 +43,7 @@ def _similar_rows(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bi
     loose = connected_components(near_links(groups.select("fp", F.col("gid").alias("rep")), bits, radius, n_blocks, block_radius, sample, leaf_rows, hot_leaf))
     candidates = checkpointed(groups.join(loose, groups["gid"] == loose["node"]).select("node", "component", "n", F.col("first.id").alias("doc_id"), F.col("first.hash").alias("text_hash")))
     links = verified_links(docs, candidates, shingle, similarity, part_bytes, id_col=id_col, text_col=text_col)
-    return fps.join(_joined(groups, links, same), same).select("doc_id", "text_hash", "first")
+    return skew_join(fps, checkpointed(_joined(groups, links, same)), same).select("doc_id", "text_hash", "first")
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import byte_slices, doc_columns, scratch_path, tidy
 from .tokens import encoder_for, tokenizer_text
@@ -74,14 +75,15 @@ def cut_tail(lengths: list[int], size: int) -> Iterator[tuple[int, int, int, int
                 part, offset = part + 1, 0
 
 
-def packed(docs: DataFrame, tokenizer_path: str, end_id: int = 2, size: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def packed(docs: DataFrame, tokenizer_path: str, end_id: int = 2, size: int = 4096, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Pieces of all documents in sequences of at most ``size`` tokens, neighbours along the curve together.
 
     Token ids are written once to the shared folder; then only they move, sorted by
-    Hilbert key and id, which also parts copies of one text over the tasks.  Each
+    Hilbert key, id and a row number, which also parts copies of one text over the tasks.  Each
     task fills sequences without a gap and cuts what is left at the end at powers of
     two, so no sequence needs padding.  ``sequence_id`` is the task's number times
-    2^32 plus a count.
+    2^32 plus a count.  with_ids: each piece has its token ids in a column ``ids``, so
+    that a sequence is its pieces' ids in the order of their offsets.
 
     Null and empty texts are the end token alone.  Null and repeated ids are kept as
     rows of their own.  An empty table gives no rows.
@@ -112,7 +114,8 @@ def packed(docs: DataFrame, tokenizer_path: str, end_id: int = 2, size: int = 40
 
         def row(doc, start: int, length: int, sequence: int, offset: int) -> tuple:
             doc_id, raw, n = doc
-            return doc_id, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)]), n, base + sequence, offset
+            piece = raw[4 * start : 4 * (start + length)]
+            return doc_id, start, length, zlib.crc32(piece), n, base + sequence, offset, piece
 
         for b in batches:
             for doc_id, n, ids in zip(b.column("doc_id").to_pylist(), b.column("n").to_pylist(), b.column("ids").to_pylist(), strict=True):
@@ -129,16 +132,23 @@ def packed(docs: DataFrame, tokenizer_path: str, end_id: int = 2, size: int = 40
                             at += k
                         full, fill, tail = full + 1, 0, []
             if rows:
-                yield _batch(rows)
+                yield _batch(rows, with_ids)
                 rows = []
         if tail:
             cut = cut_tail([length for _, _, length in tail], size)
-            yield _batch([row(tail[k][0], tail[k][1] + at, take, full + part, offset) for k, at, take, part, offset in cut])
+            yield _batch([row(tail[k][0], tail[k][1] + at, take, full + part, offset) for k, at, take, part, offset in cut], with_ids)
 
-    stored = spark.read.parquet(path)
-    return stored.repartitionByRange("curve", "doc_id").sortWithinPartitions("curve", "doc_id").mapInArrow(pack, PIECES)
+    stored = spark.read.parquet(path).withColumn("_tie", F.monotonically_increasing_id())
+    order = ["curve", "doc_id", "_tie"]
+    return stored.repartitionByRange(*order).sortWithinPartitions(*order).drop("_tie").mapInArrow(pack, PIECES + (", ids array<int>" if with_ids else ""))
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
+def _batch(rows: list[tuple], with_ids: bool) -> pa.RecordBatch:
     names = [x.split()[0] for x in PIECES.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
+    *columns, pieces = zip(*rows, strict=True)
+    arrays = [pa.array(c, pa.int64()) for c in columns]
+    if with_ids:
+        at = np.concatenate([[0], np.cumsum(columns[2])]).astype(np.int32)
+        arrays.append(pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(pieces), "<i4"))))
+        names.append("ids")
+    return pa.RecordBatch.from_arrays(arrays, names)

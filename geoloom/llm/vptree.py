@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 
 @dataclass
 class Node:
@@ -171,6 +173,8 @@ def near_links(groups: DataFrame, bits: int, radius: int, n_blocks: int, block_r
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), i, np.int32)), pa.array(leaves), rep.take(at), fp.take(at)], ["tree", "leaf", "rep", "fp"])
 
     sent = groups.select("fp", "rep").mapInArrow(send, routed)
+    if total > hot_leaf:
+        sent = checkpointed(sent)  # counted and then dealt: routed once
     crowded = sent.groupBy("tree", "leaf").agg(F.count("*").alias("n")).where(F.col("n") > hot_leaf).collect() if total > hot_leaf else []
     if crowded:
         parts = spark.createDataFrame([(r["tree"], r["leaf"], -(-r["n"] // hot_leaf) * 2) for r in crowded], "tree int, leaf long, m int")
