@@ -53,12 +53,14 @@ def meeting(lo: np.ndarray, hi: np.ndarray, step: int = 1 << 20):
         k = m
 
 
-def noded(edges: np.ndarray, grid: float, fixed: np.ndarray | None = None) -> np.ndarray:
+def noded(edges: np.ndarray, grid: float, fixed: np.ndarray | None = None, weight: np.ndarray | None = None):
     """Edges cut at all crossings and touches, ends on a grid, each piece once, whole pieces only.
 
     An end within two steps of the grid of another edge cuts that edge, whichever way
     the edges run, so edges that nearly lie on each other become the same pieces.
-    fixed: places (n x 2) that stay where they are, on the grid.
+    fixed: places (n x 2) that stay where they are, on the grid.  With a weight for
+    each edge, gives (pieces, weights): how often edges run along each piece from its
+    first end, less how often the other way; pieces of weight 0 go.
     """
     p, d = edges[:, :2], edges[:, 2:] - edges[:, :2]
     length = np.hypot(*d.T) + 1e-300
@@ -92,7 +94,26 @@ def noded(edges: np.ndarray, grid: float, fixed: np.ndarray | None = None) -> np
     a, b = a[keep], b[keep]
     swap = (a[:, 0] > b[:, 0]) | ((a[:, 0] == b[:, 0]) & (a[:, 1] > b[:, 1]))
     pieces = np.where(swap[:, None], np.hstack([b, a]), np.hstack([a, b]))
-    return np.unique(pieces, axis=0).reshape(-1, 4).astype(float) * grid
+    pieces, same = np.unique(pieces, axis=0, return_inverse=True)
+    pieces = pieces.reshape(-1, 4).astype(float) * grid
+    if weight is None:
+        return pieces
+    total = np.zeros(len(pieces), np.int64)
+    np.add.at(total, same.ravel(), np.where(swap, -1, 1) * weight[at[:-1][keep]])
+    return pieces[total != 0], total[total != 0]
+
+
+def arranged(edges: np.ndarray, weight: np.ndarray, grid: float, fixed: np.ndarray | None = None, most: int = 6) -> tuple[np.ndarray, np.ndarray]:
+    """(pieces, weights) of :func:`noded`, noded again until nothing changes, as pieces that are moved to the grid may cross others."""
+    pieces, weight = noded(edges, grid, fixed, weight)
+    for _ in range(most):
+        if not len(pieces):
+            break
+        again, total = noded(pieces, grid, fixed, weight)
+        if again.shape == pieces.shape and (again == pieces).all() and (total == weight).all():
+            break
+        pieces, weight = again, total
+    return pieces, weight
 
 
 def settled(place: np.ndarray, reach: int = 2, fixed: np.ndarray | None = None) -> np.ndarray:
@@ -317,10 +338,12 @@ def run_around(edges: np.ndarray) -> Rings:
     size = float(np.abs(edges).max() + np.ptp(edges.reshape(-1, 2), axis=0).max()) or 1.0
     for coarser in range(4):
         grid = 2.0 ** (np.ceil(np.log2(size * 1e-10)) + 4 * coarser)
-        pieces = noded(edges, grid)
-        left, right = sides(pieces, grid)
-        kept = _between(pieces, *(winding_rows(p[:, 0], p[:, 1], edges) > 0 for p in (left, right)))
-        rings = linked(kept)
+        pieces, weight = arranged(edges, np.ones(len(edges), np.int64), grid)
+        if not len(pieces):
+            return []
+        _, right = sides(pieces, grid, 1 / 16)
+        right = winding(right, pieces, weight)
+        rings = linked(_between(pieces, right + weight > 0, right > 0))
         if rings is not None:
             return rings
     raise ValueError("the rings of a union don't close")
@@ -335,13 +358,12 @@ def outline_in_cell(edges: np.ndarray, weight: np.ndarray, base: int, cx: int, c
     high = np.rint((np.array([cx + 1, cy + 1]) - SHIFT) * cell / grid) * grid
     ends = edges.reshape(-1, 2)
     rim = np.unique(ends[((ends == low) | (ends == high)).any(axis=1)], axis=0)
-    pieces = noded(edges, grid, rim)
+    pieces, weight = arranged(edges, weight, grid, rim)
     if not len(pieces):
         return [], []
     # runs around a place: those around the corner, and what changes on the way up and then right
-    turns = lambda p: base + _path_winding(p, edges, weight, low)
-    left, right = (turns(p) > 0 for p in sides(pieces, grid))
-    return chained(_between(pieces, left, right), {tuple(p) for p in rim.tolist()})
+    right = base + _path_winding(sides(pieces, grid, 1 / 16)[1], pieces, weight, low)
+    return chained(_between(pieces, right + weight > 0, right > 0), {tuple(p) for p in rim.tolist()})
 
 
 def _path_winding(points: np.ndarray, e: np.ndarray, weight: np.ndarray, low: np.ndarray) -> np.ndarray:
@@ -355,11 +377,19 @@ def _path_winding(points: np.ndarray, e: np.ndarray, weight: np.ndarray, low: np
     return rise - across
 
 
-def sides(pieces: np.ndarray, grid: float) -> tuple[np.ndarray, np.ndarray]:
-    """A point close to the middle of each piece on its left, and one on its right."""
+def winding(points: np.ndarray, e: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """How often edges run around points that lie on none of them, by rays along the axis that fewer edges stand across."""
+    crossed = [int((np.searchsorted(at, np.maximum(e[:, k], e[:, k + 2])) - np.searchsorted(at, np.minimum(e[:, k], e[:, k + 2]))).sum()) for k in (0, 1) for at in (np.sort(points[:, k]),)]
+    if crossed[0] < crossed[1]:
+        return -winding_rows(points[:, 1], points[:, 0], e[:, [1, 0, 3, 2]], weight)
+    return winding_rows(points[:, 0], points[:, 1], e, weight)
+
+
+def sides(pieces: np.ndarray, grid: float, steps: float = 64) -> tuple[np.ndarray, np.ndarray]:
+    """A point close to the middle of each piece on its left, and one on its right, ``steps`` of the grid away at most."""
     mid, way = (pieces[:, :2] + pieces[:, 2:]) / 2, pieces[:, 2:] - pieces[:, :2]
     length = np.hypot(*way.T)
-    aside = np.stack([-way[:, 1], way[:, 0]], 1) / length[:, None] * np.minimum(grid * 64, length / 8)[:, None]
+    aside = np.stack([-way[:, 1], way[:, 0]], 1) / length[:, None] * np.minimum(grid * steps, length / 8)[:, None]
     return mid + aside, mid - aside
 
 
@@ -389,35 +419,51 @@ def circle(distance: float, segments: int) -> np.ndarray:
     return np.stack([np.cos(t), np.sin(t)], 1) * distance
 
 
-def capsule(a: np.ndarray, b: np.ndarray, round_: np.ndarray) -> np.ndarray:
-    """The hull of a convex polygon's copies at both ends of a segment: each vertex at the end it is the outermost of, the two widest at both."""
-    d = b - a
-    edge = np.roll(round_, -1, 0) - round_
-    ahead = edge[:, 1] * d[0] - edge[:, 0] * d[1]  # how far each side's outward normal points along the segment
-    before = np.roll(ahead, 1)
-    at_a, at_b = (before < 0) | (ahead < 0), (before > 0) | (ahead > 0)
-    at_a |= ~at_b
-    both = at_a & at_b
-    k = np.repeat(np.arange(len(round_)), 1 + both)
-    second = np.concatenate([[False], k[1:] == k[:-1]])
-    to_b = np.where(both[k], (before[k] < 0) == second, at_b[k])
-    return np.where(to_b[:, None], b, a) + round_[k]
+def offset_curve(path: np.ndarray, round_: np.ndarray) -> np.ndarray:
+    """Directed edges of the curve that a closed path draws at its right, its Minkowski sum with a convex polygon.
+
+    Each edge is moved by the polygon's vertex that is outermost on its right.  Where
+    the path turns left, or back, the polygon's vertices between two edges follow;
+    where it turns right the curve goes through the path's vertex.  What the curve
+    runs around counter-clockwise, over all paths of a shape, is the widened shape.
+    """
+    moving = (path != np.roll(path, 1, 0)).any(1)
+    if not moving.any():
+        return np.hstack([path[0] + round_, path[0] + np.roll(round_, -1, 0)])
+    path = path[moving]
+    way = np.roll(path, -1, 0) - path
+    k = (np.stack([way[:, 1], -way[:, 0]], 1) @ round_.T).argmax(axis=1)
+    after, to = np.roll(way, -1, 0), np.roll(k, -1)
+    cross, dot = way[:, 0] * after[:, 1] - way[:, 1] * after[:, 0], (way * after).sum(1)
+    left = (cross > 0) | ((cross == 0) & (dot < 0))
+    steps = np.where(left, (to - k) % len(round_), 0)
+    # for each edge: its two ends, then the polygon's vertices, or the path's vertex
+    through = ~left & (to != k)
+    n = 2 + steps + through
+    edge = np.repeat(np.arange(len(path)), n)
+    j = np.arange(len(edge)) - np.repeat(np.cumsum(n) - n, n)
+    corner = np.where(j == 0, edge, (edge + 1) % len(path))
+    turn = (k[edge] + np.maximum(j - 1, 0)) % len(round_)
+    points = path[corner] + np.where((through[edge] & (j == 2))[:, None], 0.0, round_[turn])
+    return np.hstack([points, np.roll(points, -1, 0)])
 
 
 def buffer(kind: str, parts: list[Rings], distance: float, segments: int = 30) -> Rings:
-    """All within ``distance``: the hulls of circles around each segment, united with areas; a negative distance takes the border's buffer off an area."""
+    """All within ``distance``, a circle having ``segments`` sides a quadrant: what the offset curves of all parts run around, arranged in one sweep.  A negative distance takes the border's buffer off an area."""
     round_ = circle(abs(distance), segments)
-    around = lambda pts: [hull((pts[:, None, :] + round_[None, :, :]).reshape(-1, 2))] if len(pts) != 2 else [capsule(*pts, round_)]
+    rings = [r for p in parts for r in p if len(r)]
     if "Point" in kind:
-        return union_all([around(r) for p in parts for r in p])
-    rings = [r for p in parts for r in p]
-    if "Polygon" in kind:
-        own = repaired(rings)
-        if distance > 0 and len(own) == 1 and is_simple_convex(own[0]):
-            return around(own[0])
-        capsules = union_all([around(np.stack([a, b])) for r in rings for a, b in zip(r, np.roll(r, -1, 0), strict=True) if (a != b).any()])
-        return union(own, capsules) if distance > 0 else difference(own, capsules)
-    return union_all([around(np.stack([a, b])) for r in rings for a, b in zip(r, r[1:], strict=False)])
+        return run_around(np.concatenate([offset_curve(p[None, :], round_) for r in rings for p in np.unique(r, axis=0)])) if rings else []
+    if "Polygon" not in kind:
+        return run_around(np.concatenate([offset_curve(np.concatenate([r, r[-2:0:-1]]), round_) for r in rings])) if rings else []
+    own = oriented(repaired(rings))
+    if not own:
+        return []
+    outer = [offset_curve(r, round_) for r in own]
+    if distance > 0:
+        return run_around(np.concatenate(outer))
+    border = run_around(np.concatenate(outer + [offset_curve(r[::-1], round_) for r in own]))
+    return difference(own, border)
 
 
 def is_convex(ring: np.ndarray) -> bool:

@@ -112,3 +112,39 @@ def test_polygons_of_regions_that_meet_at_corners(spark):
     grid = np.eye(6)
     got = segment.polygonize(image(spark, grid), (0.0, 1.0, 0.0, 6.0, 0.0, -1.0), connectivity=8, tile=4).where("DN = 1").first()
     assert got["geom"]["kind"] == "MultiPolygon" and len(got["geom"]["parts"]) == 6 and area_of(got["geom"]) == 6
+
+
+def within_reach(points, path, distance, corners):
+    """Whether points lie in the sum of a path and a circle's polygon, segment by segment."""
+    out = np.zeros(len(points), bool)
+    for a, b in zip(path, path[1:], strict=False):
+        ring = polygons.hull(np.concatenate([a + corners, b + corners]))
+        out |= polygons.inside(points, polygons.edges_of([ring]))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_offset_curves(seed):
+    rng = np.random.default_rng(seed)
+    points, far = rng.uniform(-12, 12, (1500, 2)), float(rng.uniform(0.2, 2))
+    corners = polygons.circle(far, 8)
+    lines = [rng.uniform(-8, 8, (rng.integers(2, 9), 2)) for _ in range(2)]
+    got = polygons.buffer("MultiLineString", [[r] for r in lines], far, 8)
+    assert (polygons.inside(points, polygons.edges_of(got)) == np.any([within_reach(points, r, far, corners) for r in lines], axis=0)).all()
+    ring = star(rng, *rng.uniform(-3, 3, 2), 6, rng.integers(3, 12))
+    area = [ring, (ring - ring.mean(0)) * 0.5 + ring.mean(0)]
+    held = polygons.inside(points, polygons.edges_of(area))
+    rim = np.any([within_reach(points, np.concatenate([r, r[:1]]), far, corners) for r in area], axis=0)
+    for distance, want in ((far, held | rim), (-far, held & ~rim)):
+        assert (polygons.inside(points, polygons.edges_of(polygons.buffer("Polygon", [area], distance, 8))) == want).all()
+    dots = rng.uniform(-8, 8, (5, 2))
+    got = polygons.buffer("MultiPoint", [[p[None]] for p in dots], far, 8)
+    assert (polygons.inside(points, polygons.edges_of(got)) == np.any([polygons.inside(points, polygons.edges_of([p + corners])) for p in dots], axis=0)).all()
+
+
+def test_a_line_of_many_vertices():
+    t = np.linspace(0, 40, 10_000)
+    line = np.stack([t * 20, 30 * np.sin(t * 3)], 1)
+    got = polygons.buffer("LineString", [[line]], 1.0, 30)
+    length = np.hypot(*np.diff(line, axis=0).T).sum()
+    assert len(got) == 1 and polygons.signed_area(got[0]) == pytest.approx(2 * length + np.pi, rel=2e-3)
