@@ -222,12 +222,40 @@ def change(before: DataFrame, after: DataFrame, method: str = "differencing") ->
 def change_summary(changes: DataFrame, threshold_value: float | None = None) -> DataFrame:
     """``(raster_id, threshold, changed, total, ratio)``: without a threshold, mean plus population deviation."""
     auto = changes.groupBy("raster_id").agg((F.avg("value") + F.stddev_pop("value")).alias("threshold")) if threshold_value is None else None
-    v = changes.join(auto, "raster_id") if auto is not None else changes.withColumn("threshold", F.lit(float(threshold_value)))
+    v = small_join(changes, auto, ["raster_id"]) if auto is not None else changes.withColumn("threshold", F.lit(float(threshold_value)))
     return v.groupBy("raster_id").agg(F.first("threshold").alias("threshold"), F.sum((F.col("value") > F.col("threshold")).cast("long")).alias("changed"), F.count("*").alias("total")).withColumn("ratio", F.col("changed") / F.col("total"))
 
 
+def _cubic(t: Column) -> Column:
+    """The cubic kernel of a scaled image, with the fixed slope -0.75 at one pixel."""
+    t = F.abs(t)
+    near, far = 1.25 * t * t * t - 2.25 * t * t + 1, -0.75 * t * t * t + 3.75 * t * t - 6 * t + 3
+    return F.when(t < 1, near).when(t < 2, far).otherwise(0.0)
+
+
+def onto_grid(pixels: DataFrame, grid: DataFrame) -> DataFrame:
+    """Pixels scaled to the size of each raster's ``grid`` pixels: as they are where the sizes agree, else by a cubic kernel, the edge's pixels standing for those beyond it.
+
+    Only rasters whose sizes differ are resampled, each target pixel from its 16
+    neighbours.
+    """
+    size = lambda t, h, w: t.groupBy("raster_id").agg((F.max("row") + 1).alias(h), (F.max("col") + 1).alias(w))
+    sizes = size(pixels, "_h", "_w").join(size(grid, "_gh", "_gw"), "raster_id").withColumn("_same", (F.col("_h") == F.col("_gh")) & (F.col("_w") == F.col("_gw")))
+    told = small_join(pixels, sizes, ["raster_id"])
+    same = told.where("_same").select(*PLACE, "value")
+    at = small_join(grid.select("raster_id", "row", "col").distinct(), sizes.where("not _same"), ["raster_id"])
+    at = at.withColumns({"_y": (F.col("row") + 0.5) * F.col("_h") / F.col("_gh") - 0.5, "_x": (F.col("col") + 0.5) * F.col("_w") / F.col("_gw") - 0.5})
+    steps = F.explode(F.sequence(F.lit(-1), F.lit(2)))
+    at = at.withColumn("_dy", steps).withColumn("_dx", steps).withColumns({"_ny": F.floor("_y") + F.col("_dy"), "_nx": F.floor("_x") + F.col("_dx")})
+    held = lambda n, most: F.greatest(F.lit(0), F.least(F.col(n), F.col(most) - 1)).cast("int")
+    at = at.select("raster_id", "row", "col", held("_ny", "_h").alias("_r"), held("_nx", "_w").alias("_c"), (_cubic(F.col("_y") - F.col("_ny")) * _cubic(F.col("_x") - F.col("_nx"))).alias("_k"))
+    source = told.where("not _same").select("raster_id", "band", F.col("row").alias("_r"), F.col("col").alias("_c"), "value")
+    scaled = at.join(source, ["raster_id", "_r", "_c"]).groupBy(*PLACE).agg(F.sum(F.col("_k") * F.col("value")).alias("value"))
+    return same.unionByName(scaled.select(*PLACE, "value"))
+
+
 def pansharpen(multi: DataFrame, pan: DataFrame, bands: list[int], method: str = "brovey") -> DataFrame:
-    """``(raster_id, band, row, col, value)`` of the multi-band pixels sharpened by ``pan`` on the same grid.
+    """``(raster_id, band, row, col, value)`` of the multi-band pixels sharpened by ``pan``, on its grid (:func:`onto_grid`).
 
     ``brovey``: band over the bands' mean times pan; ``simple_mean``: mean with pan;
     ``ihs``: the first three bands' value channel is replaced by pan stretched to
@@ -236,6 +264,7 @@ def pansharpen(multi: DataFrame, pan: DataFrame, bands: list[int], method: str =
     one_of("method", method, ("brovey", "simple_mean", "ihs"))
     if len(bands) < (3 if method == "ihs" else 2 if method == "brovey" else 1):
         raise ValueError(f"{method} needs more bands")
+    multi = onto_grid(multi.where(F.col("band").isin(bands)), pan)
     wide = by_band(multi, bands)
     p = stretched(pan.withColumn("band", F.lit(1))).select("raster_id", "row", "col", F.col("value").alias("pan")) if method == "ihs" else pan.select("raster_id", "row", "col", F.col("value").alias("pan"))
     both = wide.join(p, ["raster_id", "row", "col"])
@@ -252,15 +281,24 @@ def pansharpen(multi: DataFrame, pan: DataFrame, bands: list[int], method: str =
     return both.select("raster_id", "row", "col", every).select("raster_id", "p.band", "row", "col", "p.value")
 
 
-def raster_info(pixels: DataFrame, nodata: float | None = None, gt: tuple[float, ...] = (0.0, 1.0, 0.0, 64.0, 0.0, -1.0), srid: int | None = None, scale: float = 1.0, offset: float = 0.0) -> DataFrame:
-    """One row for each band: size, origin, extent, sample type, NoData, scale, offset, CRS and statistics."""
+def raster_info(pixels: DataFrame, nodata: float | None = None, gt: tuple[float, ...] = (0.0, 1.0, 0.0, 64.0, 0.0, -1.0), srid: int | None = None, scale: float = 1.0, offset: float = 0.0, band_types: dict[int, str] | None = None, colors: dict[int, str] | None = None, overviews: DataFrame | None = None) -> DataFrame:
+    """One row for each band: size, origin, extent, sample type, colour, number of overviews, NoData, scale, offset, CRS and statistics.
+
+    band_types and colors: those of bands that are not stored as the value column is
+    (``{1: "Byte"}``), or that have a colour (``{1: "Red"}``; others are Undefined).
+    overviews: pixels of overviews, told apart by a column ``level``.
+    """
     size = pixels.groupBy(*KEY).agg((F.max("col") + 1).cast("int").alias("width"), (F.max("row") + 1).cast("int").alias("height"))
     ox, px, _, oy, _, py = gt
     out = size.join(band_stats(pixels, nodata), KEY)
-    told = {"dtype": dict(pixels.dtypes)["value"], "nodata": None if nodata is None else float(nodata), "value_scale": float(scale), "value_offset": float(offset), "srid": srid}
-    types = {"dtype": "string", "nodata": "double", "value_scale": "double", "value_offset": "double", "srid": "int"}
+    counted = overviews.groupBy(*KEY).agg(F.count_distinct("level").cast("int").alias("overviews")) if overviews is not None else None
+    out = out.join(counted, KEY, "left") if counted is not None else out.withColumn("overviews", F.lit(0))
+    own = lambda named, other: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in named.items() for x in kv]), F.col("band").cast("int")), F.lit(other)) if named else F.lit(other)
+    told = {"nodata": None if nodata is None else float(nodata), "value_scale": float(scale), "value_offset": float(offset), "srid": srid}
+    types = {"nodata": "double", "value_scale": "double", "value_offset": "double", "srid": "int"}
     return out.select(
         *KEY, "width", "height", F.lit(ox).alias("xmin"), (F.lit(oy) + F.col("height") * py).alias("ymin"), (F.lit(ox) + F.col("width") * px).alias("xmax"), F.lit(oy).alias("ymax"),
+        own(band_types, dict(pixels.dtypes)["value"]).alias("dtype"), own(colors, "Undefined").alias("color"), F.coalesce("overviews", F.lit(0)).alias("overviews"),
         *[F.lit(v).cast(types[n]).alias(n) for n, v in told.items()], "n", "min", "max", "mean", "stddev",
     )
 
@@ -286,7 +324,7 @@ def clahe(pixels: DataFrame, clip_limit: float = 2.0, grid: int = 8) -> DataFram
     in_range("clip_limit", clip_limit, 0, open_low=True)
     in_range("grid", grid, 1)
     size = pixels.groupBy(*KEY).agg(F.ceil((F.max("row") + 1) / grid).cast("int").alias("th"), F.ceil((F.max("col") + 1) / grid).cast("int").alias("tw"))
-    v = stretched(pixels).join(size, KEY).withColumn("level", F.col("value").cast("int"))
+    v = small_join(stretched(pixels), size, KEY).withColumn("level", F.col("value").cast("int"))
     tile = [*KEY, "ty", "tx"]
     hist = v.groupBy(*KEY, F.floor(F.col("row") / F.col("th")).cast("int").alias("ty"), F.floor(F.col("col") / F.col("tw")).cast("int").alias("tx"), "level").agg(F.count("*").alias("n"))
     whole = Window.partitionBy(*tile)

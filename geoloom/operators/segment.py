@@ -252,6 +252,32 @@ def watershed(pixels: DataFrame, markers: DataFrame, tile: int = TILE) -> DataFr
             return state.select(*KEY, "row", "col", "label")
 
 
+def with_boundaries(labels: DataFrame, markers: DataFrame | None = None, frame: bool = True) -> DataFrame:
+    """``(raster_id, band, row, col, label)`` with -1 where segments meet: on the pixel of the two whose label is larger, and, with ``frame``, on the raster's outermost pixels.
+
+    labels: those of :func:`watershed`, 0 being none.  Pixels of ``markers`` keep theirs,
+    but for the frame.  Labels move to their four neighbours, one shuffle.
+    """
+    own = labels.select(*KEY, "row", "col", "label")
+    sides = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 0), (0, 1), (1, 0), (0, -1), (-1, 0))])).alias("s")
+    here = (F.col("s.dy") == 0) & (F.col("s.dx") == 0)
+    sent = own.select("*", sides).select(*KEY, (F.col("row") + F.col("s.dy")).alias("row"), (F.col("col") + F.col("s.dx")).alias("col"), "label", here.alias("here"))
+    met = sent.groupBy(*KEY, "row", "col").agg(F.max(F.when(F.col("here"), F.col("label"))).alias("label"), F.min(F.when(~F.col("here") & (F.col("label") > 0), F.col("label"))).alias("least")).where("label is not null")
+    line = (F.col("label") > 0) & (F.col("least") < F.col("label"))
+    if markers is not None:
+        met = met.join(markers.where("label > 0").select(*KEY, "row", "col", F.lit(True).alias("_marked")), [*KEY, "row", "col"], "left")
+        line &= F.col("_marked").isNull()
+    if frame:
+        met = small_join(met, own.groupBy(*KEY).agg(F.max("row").alias("_h"), F.max("col").alias("_w")), KEY)
+        line |= (F.col("row") == 0) | (F.col("col") == 0) | (F.col("row") == F.col("_h")) | (F.col("col") == F.col("_w"))
+    return met.select(*KEY, "row", "col", F.when(line, F.lit(-1).cast("long")).otherwise(F.col("label")).alias("label"))
+
+
+def segment_count(labels: DataFrame) -> DataFrame:
+    """``(raster_id, band, segment_count)``: the largest label of each band, 0 without any."""
+    return labels.groupBy(*KEY).agg(F.greatest(F.max("label"), F.lit(0)).cast("long").alias("segment_count"))
+
+
 # Fixed: steps of a 5 x 5 chamfer distance and their lengths.
 CHAMFER = {(0, 1): 1.0, (1, 1): 1.4, (1, 2): 2.1969}
 
@@ -306,15 +332,16 @@ def auto_markers(pixels: DataFrame, share: float = 0.5, tile: int = TILE) -> Dat
     return components(core, 8, tile).select(*KEY, "row", "col", (F.col("label") + 1).alias("label"))
 
 
-def kmeans(pixels: DataFrame, bands: list[int], k: int = 5, max_iter: int = 100, epsilon: float = 0.001, seed: int = 1) -> tuple[DataFrame, float]:
-    """(``(raster_id, row, col, label)``, compactness): k-means over all bands of each pixel by Spark ML."""
+def kmeans(pixels: DataFrame, bands: list[int], k: int = 5, max_iter: int = 100, epsilon: float = 0.001, seed: int = 1, starts: int = 3) -> tuple[DataFrame, float]:
+    """(``(raster_id, row, col, label)``, compactness): k-means over all bands of each pixel by Spark ML, the most compact of ``starts`` runs."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
     in_range("k", k, 1)
-    wide = by_band(pixels, bands)
-    table = VectorAssembler(inputCols=[f"b{b}" for b in bands], outputCol="features").transform(wide)
-    model = KMeans(k=k, maxIter=max_iter, tol=epsilon, seed=seed).fit(table)
+    in_range("starts", starts, 1)
+    table = checkpointed(VectorAssembler(inputCols=[f"b{b}" for b in bands], outputCol="features").transform(by_band(pixels, bands)).select("raster_id", "row", "col", "features"))
+    models = [KMeans(k=k, maxIter=max_iter, tol=epsilon, seed=seed + i).fit(table) for i in range(starts)]
+    model = min(models, key=lambda m: m.summary.trainingCost)
     return model.transform(table).select("raster_id", "row", "col", F.col("prediction").alias("label")), model.summary.trainingCost
 
 

@@ -313,8 +313,15 @@ def difference_lines(lines: DataFrame, areas: DataFrame, lid: str, fid: str, cel
     return _gathered(lines_along(lines, lines_outside(lines, line_stretches(lines, areas, lid, fid, cell), lid), lid), lid)
 
 
-def union_lines(lines: DataFrame, areas: DataFrame, lid: str, fid: str, cell: float) -> DataFrame:
-    """``(lid, source, geom)``: every part that the areas split a line into is a row (``split``); lines off the areas stay whole (``input``)."""
+def union_lines(lines: DataFrame, areas: DataFrame, lid: str, fid: str, cell: float, refuse_crowded: bool = True) -> DataFrame:
+    """``(lid, source, geom)``: every part that the areas split a line into is a row (``split``); lines off the areas stay whole (``input``).
+
+    Areas of which over a quarter of the pairs overlap are refused, unless ``refuse_crowded`` is off.
+    """
+    if refuse_crowded:
+        from geoloom.operators.overlay import require_simple_overlay
+
+        require_simple_overlay(areas, fid, cell)
     inside = line_stretches(lines, areas, lid, fid, cell)
     outside = lines_outside(lines, inside, lid)
     met = inside.select(lid).distinct()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from geoloom.operators.graph import small_join
 from geoloom.operators.project import is_geographic
 
 
@@ -38,12 +39,13 @@ def target_srs(srids: list[int], target: int | None = None) -> int:
 def resolved(cells: DataFrame, pixels: DataFrame, classes: DataFrame, by: list[str]) -> DataFrame:
     """``(by.., row, col, class_value, class_name)``: for each zone pixel the first raster's value that is neither NoData nor unmapped.
 
-    cells: zone pixels ``(by.., row, col)``; pixels: ``(row, col, priority, value, nodata)``,
-    with those columns of ``by`` that both have.  One join and one pre-aggregated ``min_by``.
+    cells: zone pixels ``(row, col)`` and pixels: ``(row, col, priority, value, nodata)``, with
+    the columns of ``by`` that each has.  One join, in which pixels don't move if the
+    cells are few, and one pre-aggregated ``min_by``.
     """
-    shared = [c for c in by if c in pixels.columns]
+    shared = [c for c in by if c in pixels.columns and c in cells.columns]
     mapped = pixels.where("value is not null and (nodata is null or value <> nodata)").withColumn("class_value", F.rint("value").cast("int")).join(F.broadcast(classes) if _small(classes) else classes, "class_value")
-    both = cells.join(mapped, [*shared, "row", "col"])
+    both = small_join(mapped, cells.select(*[c for c in by if c in cells.columns], "row", "col"), [*shared, "row", "col"])
     best = both.groupBy(*by, "row", "col").agg(F.min_by(F.struct("class_value", "class_name"), "priority").alias("m"))
     return best.select(*by, "row", "col", "m.class_value", "m.class_name")
 

@@ -43,9 +43,11 @@ def a4_histogram_edges(spark, sf):
     return rounded(R.histogram_edges(X.pixels(spark, sf), bins=10), "lo", "hi")
 
 
-@query(f"""WITH {PIX} SELECT raster_id, band, max(col) + 1 AS width, max("row") + 1 AS height, 0.0::DOUBLE AS xmin, 64.0::DOUBLE - (max("row") + 1) AS ymin, (max(col) + 1)::DOUBLE AS xmax, 64.0::DOUBLE AS ymax, 'double' AS dtype, 0.0::DOUBLE AS nodata, 1.0::DOUBLE AS value_scale, 0.0::DOUBLE AS value_offset, 3857 AS srid, count(nullif(value, 0)) AS n, min(nullif(value, 0)) AS min, max(nullif(value, 0)) AS max, round(avg(nullif(value, 0)), 6) AS mean, round(stddev_pop(nullif(value, 0)), 6) AS stddev FROM pix GROUP BY ALL""")
+@query(f"""WITH {PIX} SELECT raster_id, band, max(col) + 1 AS width, max("row") + 1 AS height, 0.0::DOUBLE AS xmin, 64.0::DOUBLE - (max("row") + 1) AS ymin, (max(col) + 1)::DOUBLE AS xmax, 64.0::DOUBLE AS ymax, CASE WHEN band = 2 THEN 'UInt16' ELSE 'double' END AS dtype, CASE band WHEN 1 THEN 'Red' ELSE 'Undefined' END AS color, 2 AS overviews, 0.0::DOUBLE AS nodata, 1.0::DOUBLE AS value_scale, 0.0::DOUBLE AS value_offset, 3857 AS srid, count(nullif(value, 0)) AS n, min(nullif(value, 0)) AS min, max(nullif(value, 0)) AS max, round(avg(nullif(value, 0)), 6) AS mean, round(stddev_pop(nullif(value, 0)), 6) AS stddev FROM pix GROUP BY ALL""")
 def a5_raster_info(spark, sf):
-    return rounded(R.raster_info(X.pixels(spark, sf), nodata=0, srid=3857), "mean", "stddev")
+    p = X.pixels(spark, sf)
+    smaller = p.where("row % 2 = 0 and col % 2 = 0").select("raster_id", "band", F.explode(F.array(F.lit(2), F.lit(4))).alias("level"))
+    return rounded(R.raster_info(p, nodata=0, srid=3857, band_types={2: "UInt16"}, colors={1: "Red"}, overviews=smaller), "mean", "stddev")
 
 
 @query(f'WITH {PX} SELECT raster_id, "row", col, round(CASE WHEN abs(b2 - 3) < 1e-15 THEN 0 ELSE (b1 + 2 * b4) / (b2 - 3) END - b3 * 0.5, 6) AS value FROM px')
@@ -160,6 +162,30 @@ def p22_pansharpen_ihs(spark, sf):
     return _sharpen(spark, sf, "ihs")
 
 
+KERNEL = "CASE WHEN abs({0}) < 1 THEN 1.25 * abs({0}) ^ 3 - 2.25 * {0} ^ 2 + 1 WHEN abs({0}) < 2 THEN -0.75 * abs({0}) ^ 3 + 3.75 * {0} ^ 2 - 6 * abs({0}) + 3 ELSE 0 END"
+SCALED = f"""ms AS MATERIALIZED (SELECT raster_id, "row" // 2 AS r, col // 2 AS c, b1, b2, b3 FROM px WHERE "row" % 2 = 0 AND col % 2 = 0),
+way AS (SELECT t, least(31, greatest(0, floor((t + 0.5) / 2 - 0.5)::INTEGER + d)) AS k, sum({KERNEL.format('((t + 0.5) / 2 - 0.5 - floor((t + 0.5) / 2 - 0.5) - d)')}) AS w FROM range(64) i(t), range(-1, 3) j(d) GROUP BY t, k),
+up AS (SELECT ms.raster_id, y.t AS "row", x.t AS col, sum(y.w * x.w * b1) AS b1, sum(y.w * x.w * b2) AS b2, sum(y.w * x.w * b3) AS b3 FROM ms JOIN way y ON y.k = r JOIN way x ON x.k = c GROUP BY ALL),
+u AS (SELECT up.raster_id, CAST(up."row" AS INTEGER) AS "row", CAST(up.col AS INTEGER) AS col, up.b1, up.b2, up.b3, px.b4 FROM up JOIN px ON px.raster_id = up.raster_id AND px."row" = up."row" AND px.col = up.col)"""
+
+
+def _sharpen_scaled(spark, sf, method: str):
+    """Bands of half the size of the panchromatic pixels."""
+    pan = X.scenes(spark, sf).select("raster_id", "row", "col", F.col("b4").alias("value"))
+    half = X.pixels(spark, sf, (1, 2, 3)).where("row % 2 = 0 and col % 2 = 0").withColumns({c: F.floor(F.col(c) / 2).cast("int") for c in ("row", "col")})
+    return rounded(R.pansharpen(half, pan, [1, 2, 3], method), "value", digits=5)
+
+
+@query(f"WITH {PX}, {SCALED}, s AS (SELECT * FROM u) {_bands('(b1 + b4) / 2', '(b2 + b4) / 2', '(b3 + b4) / 2').replace(', 6)', ', 5)')}")
+def p21_pansharpen_mean_two_grids(spark, sf):
+    return _sharpen_scaled(spark, sf, "simple_mean")
+
+
+@query(f"WITH {PX}, {SCALED}, e AS (SELECT raster_id, min(b4) AS lo, max(b4) AS hi FROM px GROUP BY ALL), s AS (SELECT u.*, greatest(b1, b2, b3) AS v, CASE WHEN e.hi - e.lo < 1e-10 THEN 0 ELSE round_even((b4 - e.lo) * 255 / (e.hi - e.lo), 0) END AS pan FROM u JOIN e USING (raster_id)) " + _bands(*(f"CASE WHEN v > 1e-9 THEN b{k} * (pan / v) ELSE pan END" for k in (1, 2, 3))).replace(', 6)', ', 5)'))
+def p22_pansharpen_ihs_two_grids(spark, sf):
+    return _sharpen_scaled(spark, sf, "ihs")
+
+
 def _catalog(spark, sf):
     return X.pixels(spark, sf).groupBy("raster_id", "band").agg(F.count("*").alias("pixels")).select("raster_id", "band", "pixels", F.lit(4326).alias("srid"), F.lit(None).cast("double").alias("nodata"))
 

@@ -83,6 +83,27 @@ def c3_watershed(spark, sf):
     return S.watershed(p, S.auto_markers(p), tile=32)
 
 
+NAMED = f"""{PX}, l AS (SELECT raster_id, "row", col, CAST(b3 AS BIGINT) % 4 AS label FROM px), m AS (SELECT raster_id, "row", col FROM px WHERE b1 % 7 = 0),
+b AS (SELECT a.*, (SELECT min(n.label) FROM l n WHERE n.raster_id = a.raster_id AND abs(n."row" - a."row") + abs(n.col - a.col) = 1 AND n.label > 0) AS least, m."row" IS NOT NULL AS marked FROM l a LEFT JOIN m USING (raster_id, "row", col)),
+cut AS (SELECT raster_id, 1 AS band, "row", col, CASE WHEN "row" IN (0, 63) OR col IN (0, 63) OR (label > 0 AND least < label AND NOT marked) THEN -1 ELSE label END AS label FROM b)"""
+
+
+def _cut(spark, sf):
+    s = X.scenes(spark, sf)
+    labels = s.select("raster_id", F.lit(1).alias("band"), "row", "col", (F.col("b3").cast("long") % 4).alias("label"))
+    return S.with_boundaries(labels, s.where("b1 % 7 = 0").select("raster_id", F.lit(1).alias("band"), "row", "col", F.lit(1).alias("label")))
+
+
+@query(f"WITH {NAMED} SELECT * FROM cut")
+def c3_boundaries(spark, sf):
+    return _cut(spark, sf)
+
+
+@query(f"WITH {NAMED} SELECT raster_id, 1 AS band, CAST(max(label) AS BIGINT) AS segment_count FROM cut GROUP BY raster_id")
+def c3_segment_count(spark, sf):
+    return S.segment_count(_cut(spark, sf))
+
+
 @query()
 def c4_kmeans(spark, sf):
     labels, cost = S.kmeans(X.pixels(spark, sf), [1, 2, 3, 4], k=5)

@@ -190,9 +190,9 @@ def _found(spark, sf):
     s = X.scenes(spark, sf)
     layers = F.explode(F.array(F.struct(F.lit(0).alias("priority"), F.col("hi").alias("value")), F.struct(F.lit(1).alias("priority"), F.col("lo").alias("value")))).alias("p")
     pixels = s.select("raster_id", "row", "col", layers).select("raster_id", "row", "col", "p.priority", "p.value", F.lit(0.0).alias("nodata"))
-    zones = X.raster_ids(spark, sf).crossJoin(F.broadcast(X.zones(spark, sf)))  # the 25 zones of each raster
+    zones = X.raster_ids(spark, sf).crossJoin(X.zones(spark, sf))  # a record for each zone of each raster is the result
     cells = V.rasterize(V.rectangles(X.zones(spark, sf)), GT).select("fid", "row", "col")
-    return zones, Z.resolved(X.raster_ids(spark, sf).crossJoin(F.broadcast(cells)), pixels, Z.parse_class_map(spark, CLASSES), ["raster_id", "fid"])
+    return zones, Z.resolved(cells, pixels, Z.parse_class_map(spark, CLASSES), ["raster_id", "fid"])
 
 
 COLUMNS = ("raster_id", "feature_id", "feature_name", "class_value", "class_name", "pixel_count", "area", "ratio", "actual_srs", "area_unit")
