@@ -66,6 +66,112 @@ def two_nearest(queries: DataFrame, train: DataFrame, metric: str = "l2", block:
     return _best_two(found)
 
 
+def _centres(x: np.ndarray, lists: int, rounds: int = 8, seed: int = 1) -> np.ndarray:
+    """Centres of a sample by Lloyd's rounds; those that lose all rows stay where they are."""
+    rng = np.random.default_rng(seed)
+    centres = x[rng.choice(len(x), min(lists, len(x)), replace=False)]
+    for _ in range(rounds):
+        own = _apart(x, centres).argmin(axis=1)
+        n = np.bincount(own, minlength=len(centres))
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, x)
+        centres = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres)
+    return centres
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances of all rows of x to all rows of y."""
+    return np.sqrt(np.maximum((x * x).sum(1)[:, None] - 2 * (x @ y.T) + (y * y).sum(1)[None, :], 0.0))
+
+
+def pruned_nearest(queries: DataFrame, train: DataFrame, lists: int | None = None, sample: int = 8192, part: int = 4096, skip_own: bool = False, seed: int = 1, compared: bool = False) -> DataFrame:
+    """As :func:`two_nearest` (L2), exactly, by an inverted file whose lists and rows are passed over by the triangle inequality.
+
+    Centres are fitted on ``sample`` rows; every row of ``train`` joins the list of its
+    nearest centre and keeps its distance r to it.  A query first searches its nearest
+    list, which bounds its second neighbour by t.  Another list can hold a nearer row
+    only if its distance to the query less its radius is t or less, and of its rows
+    only those whose r differs from the query's distance to the centre by t or less
+    are compared.  Lists are dealt in parts of about ``part`` rows and as many queries.
+    On vectors without clusters nothing can be passed over, and all pairs are compared.
+
+    compared: gives ``(query_id, pairs)`` instead, the rows that each query was compared with.
+    """
+    n = train.count()
+    if not n:
+        return two_nearest(queries, train, skip_own=skip_own)
+    lists = lists or max(1, min(1024, round(math.sqrt(n))))
+    centres = _centres(np.array([r["vec"] for r in train.orderBy(F.xxhash64("id")).select("vec").limit(sample).collect()], float), lists, seed=seed)
+
+    def listed(batches):
+        for pdf in batches:
+            if len(pdf):
+                x = np.stack(pdf["vec"].to_numpy()).astype(float)
+                far = _apart(x, centres)
+                own = far.argmin(axis=1)
+                yield pdf.assign(list=own, r=np.sqrt(((x - centres[own]) ** 2).sum(1)))
+
+    rows = checkpointed(train.select("id", "vec").mapInPandas(listed, "id long, vec array<double>, list int, r double"))
+    told = {r["list"]: r for r in rows.groupBy("list").agg(F.min("r").alias("low"), F.max("r").alias("high"), F.count("*").alias("n")).collect()}  # a row for each list
+    held = np.array(sorted(told))
+    low, high = (np.array([told[k][c] for k in held.tolist()]) for c in ("low", "high"))
+
+    def nearest_list(batches):
+        for pdf in batches:
+            if len(pdf):
+                far = _apart(np.stack(pdf["vec"].to_numpy()).astype(float), centres[held])
+                own = far.argmin(axis=1)
+                yield pdf.assign(list=held[own], r=far[np.arange(len(own)), own], t=np.inf)
+
+    def other_lists(batches):
+        for pdf in batches:
+            if len(pdf):
+                far = _apart(np.stack(pdf["vec"].to_numpy()).astype(float), centres[held])
+                t = pdf["t"].to_numpy()[:, None] * (1 + 1e-9) + 1e-9
+                open_ = (far - high <= t) & (low - far <= t)
+                open_[np.arange(len(far)), far.argmin(axis=1)] = False
+                i, k = np.nonzero(open_)
+                yield pd.DataFrame({"id": pdf["id"].to_numpy()[i], "vec": pdf["vec"].to_numpy()[i], "list": held[k], "r": far[i, k], "t": t[i, 0]})
+
+    asked = "id long, vec array<double>, list int, r double, t double"
+    first = checkpointed(queries.select("id", "vec").mapInPandas(nearest_list, asked))
+    one = checkpointed(_in_lists(rows, first, part, skip_own))
+    bound = one.groupBy("query_id").agg(F.when(F.count("train_id") >= 2, F.max("distance")).otherwise(float("inf")).alias("t"))
+    more = queries.select("id", "vec").join(bound, F.col("id") == F.col("query_id"), "left").select("id", "vec", F.coalesce("t", F.lit(float("inf"))).alias("t"))
+    two = _in_lists(rows, checkpointed(more.mapInPandas(other_lists, asked)), part, skip_own)
+    found = one.unionByName(two)
+    if compared:
+        return found.groupBy("query_id").agg(F.sum("pairs").alias("pairs"))
+    return _best_two(found.where("train_id is not null").select("query_id", "train_id", "distance"))
+
+
+def _in_lists(rows: DataFrame, asked: DataFrame, part: int, skip_own: bool) -> DataFrame:
+    """``(query_id, train_id, distance, pairs)``: the two nearest of the rows of each list whose r is within t of the query's; pairs, of a query and part, on its first row."""
+
+    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(right):
+            left = left.sort_values(["r", "id"])
+            ids, r, y = left["id"].to_numpy(), left["r"].to_numpy(), np.stack(left["vec"].to_numpy()).astype(float)
+            for q, vec, far, t in zip(right["_id"], right["_vec"], right["_r"], right["_t"], strict=True):
+                a, b = np.searchsorted(r, far - t - 1e-9), np.searchsorted(r, far + t + 1e-9, "right")
+                d = np.sqrt(((y[a:b] - np.asarray(vec, float)) ** 2).sum(1))
+                if skip_own:
+                    d[ids[a:b] == q] = np.inf
+                near = np.lexsort((ids[a:b], d))[:2]
+                near = near[np.isfinite(d[near])]
+                out += [(q, int(ids[a + k]), float(d[k]), int(b - a) if not i else 0) for i, k in enumerate(near)] or [(q, None, None, int(b - a))]
+        return pd.DataFrame(out, columns=["query_id", "train_id", "distance", "pairs"]).astype({"train_id": "Int64"})
+
+    size = rows.groupBy("list").agg(F.ceil(F.count("*") / part).cast("int").alias("m"))
+    want = asked.groupBy("list").agg(F.ceil(F.count("*") / part).cast("int").alias("c"))
+    both = checkpointed(size.join(want, "list"))  # a row for each list
+    dealt = lambda t: t.join(F.broadcast(both), "list")
+    here = dealt(rows).select("list", "id", "vec", "r", F.pmod(F.xxhash64("id"), F.col("m")).cast("int").alias("p"), F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("q"))
+    there = dealt(asked).select(F.col("list").alias("_list"), F.col("id").alias("_id"), F.col("vec").alias("_vec"), F.col("r").alias("_r"), F.col("t").alias("_t"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("_p"), F.pmod(F.xxhash64("id"), F.col("c")).cast("int").alias("_q"))
+    return here.groupBy("list", "p", "q").cogroup(there.groupBy("_list", "_p", "_q")).applyInPandas(search, "query_id long, train_id long, distance double, pairs long")
+
+
 def ratio_matches(nearest: DataFrame, ratio: float = 0.75) -> DataFrame:
     """``(idx1, idx2, distance)`` of queries whose nearest is nearer than ``ratio`` times the second (Lowe's test); a query without a second has no match."""
     in_range("ratio", ratio, 0, 1, open_low=True)

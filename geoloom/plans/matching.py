@@ -34,9 +34,15 @@ def k2_match(spark, sf):
     return rounded(K.ratio_matches(K.two_nearest(*_vectors(spark, sf), skip_own=True), 0.95), "distance", digits=5)
 
 
-@query()
+@query(f"WITH {NEAREST}, p AS (SELECT query_id, min(d2) FILTER (rank = 1) AS a, min(d2) FILTER (rank = 2) AS b, min(train_id) FILTER (rank = 1) AS t FROM n WHERE rank <= 2 GROUP BY ALL) SELECT query_id AS idx1, t AS idx2, round(sqrt(a), 5) AS distance FROM p WHERE sqrt(a) < 0.95 * sqrt(b)")
 def k2_match_lsh(spark, sf):
-    return K.lsh_matches(*_vectors(spark, sf), ratio=0.95, skip_own=True)
+    """By an inverted file, whose answers are exact."""
+    return rounded(K.ratio_matches(K.pruned_nearest(*_vectors(spark, sf), skip_own=True), 0.95), "distance", digits=5)
+
+
+@query(f"WITH {NEAREST} SELECT query_id, train_id, round(sqrt(d2), 5) AS distance, rank FROM n WHERE rank <= 2")
+def k2_pruned_nearest(spark, sf):
+    return rounded(K.pruned_nearest(*_vectors(spark, sf), skip_own=True), "distance", digits=5)
 
 
 def _band(spark, sf):

@@ -247,6 +247,22 @@ def test_lsh_recall_and_lone_queries(spark):
     assert (100, 3000) in {(r["idx1"], r["idx2"]) for r in matching.lsh_matches(q, t).collect()}
 
 
+def test_inverted_file_is_exact(spark):
+    rng = np.random.default_rng(11)
+    centres = rng.normal(0, 10, (30, 8))
+    vectors = [(k, (centres[k % 30] + rng.normal(0, 0.4, 8)).tolist()) for k in range(3000)] + [(3000 + k, centres[3].tolist()) for k in range(300)]
+    t = spark.createDataFrame(vectors, "id long, vec array<double>")
+    q = t.where("id % 50 = 0")
+    want = sorted(map(tuple, matching.two_nearest(q, t, skip_own=True).select("query_id", "rank", "train_id", F.round("distance", 9)).collect()))
+    for lists, part in ((None, 4096), (20, 64), (1, 500)):
+        got = matching.pruned_nearest(q, t, lists, part=part, skip_own=True)
+        assert sorted(map(tuple, got.select("query_id", "rank", "train_id", F.round("distance", 9)).collect())) == want
+    pairs = matching.pruned_nearest(q, t, skip_own=True, compared=True).agg(F.sum("pairs")).first()[0]
+    assert pairs < 0.1 * q.count() * t.count()
+    few = matching.pruned_nearest(q.limit(2), t.limit(1))
+    assert [r["rank"] for r in few.collect()] == [1, 1] and matching.pruned_nearest(q, t.limit(0)).count() == 0
+
+
 def test_dissolve_of_many_rectangles(spark):
     rng = np.random.default_rng(8)
     at = rng.integers(-20, 20, (600, 2))
