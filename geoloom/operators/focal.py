@@ -159,13 +159,29 @@ def edges(pixels: DataFrame, method: str = "sobel", dx: int = 1, dy: int = 1, ti
     return tile_apply(stretched(pixels, sized=True), lambda g: np.minimum(np.abs(work(g)), 255) / 255, 1, tile=tile)
 
 
+def window_sums(g: np.ndarray, h: int, w: int) -> np.ndarray:
+    """The sum of each h x w window of a grid, from its integral image."""
+    total = np.zeros((g.shape[0] + 1, g.shape[1] + 1))
+    np.cumsum(np.cumsum(g, axis=0), axis=1, out=total[1:, 1:])
+    return total[h:, w:] - total[:-h, w:] - total[h:, :-w] + total[:-h, :-w]
+
+
+def correlated(g: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """The sum of products of a template with each window of a grid, by one transform of both; whole numbers stay whole."""
+    size = g.shape
+    out = np.fft.irfft2(np.fft.rfft2(g) * np.conj(np.fft.rfft2(t, size)), size)[: size[0] - t.shape[0] + 1, : size[1] - t.shape[1] + 1]
+    return np.rint(out) if (g == np.rint(g)).all() and (t == np.rint(t)).all() else out
+
+
 def template_scores(pixels: DataFrame, template: np.ndarray, method: str = "ccoeff_normed", tile: int = TILE) -> DataFrame:
     """Match score of a stretched template at every place it fits, named by its top left pixel.
 
-    The template is a driver-side array of at most 65,536 cells; larger images are an error where they are read.
+    The template is a driver-side array of any size.  Tiles overlap by it and are at
+    least twice as wide; within each, products come from one Fourier transform and
+    sums from integral images, so the work hardly grows with the template.
     """
     one_of("method", method, ("sqdiff", "sqdiff_normed", "ccorr", "ccorr_normed", "ccoeff", "ccoeff_normed"))
-    in_range("template cells", template.size, 1, 65536)
+    in_range("template cells", template.size, 1)
     t = template.astype(float)
     t = np.zeros_like(t) if np.ptp(t) < 1e-10 else np.rint((t - t.min()) * 255 / np.ptp(t))
     th, tw = t.shape
@@ -173,9 +189,14 @@ def template_scores(pixels: DataFrame, template: np.ndarray, method: str = "ccoe
     n = t.size
 
     def work(g: np.ndarray) -> np.ndarray:
-        h, w = g.shape[0] - 2 * halo, g.shape[1] - 2 * halo
-        win = sliding_window_view(np.where(np.isinf(g), np.nan, g), (th, tw))[halo : halo + h, halo : halo + w]
-        cross, sums, squares = np.einsum("ijkl,kl->ij", win, t), win.sum((2, 3)), (win**2).sum((2, 3))
+        g = g[halo:, halo:]  # a window begins at its pixel
+        h, w = g.shape[0] - halo, g.shape[1] - halo
+        g = g[: h + th - 1, : w + tw - 1]
+        off = ~np.isfinite(g)
+        g = np.where(off, 0.0, g)
+        cross, sums, squares = correlated(g, t), window_sums(g, th, tw), window_sums(g * g, th, tw)
+        if off.any():
+            cross = np.where(window_sums(off.astype(float), th, tw) > 0.5, np.nan, cross)
         if method.startswith("sqdiff"):
             out = squares - 2 * cross + (t**2).sum()
         elif method.startswith("ccorr"):
@@ -187,10 +208,10 @@ def template_scores(pixels: DataFrame, template: np.ndarray, method: str = "ccoe
             tt = ((t - t.mean()) ** 2).sum() if method.startswith("ccoeff") else (t**2).sum()
             norm = np.sqrt(np.maximum(squares, 0) * tt)
             flat = 1.0 if method.startswith("sqdiff") else 0.0
-            out = np.where(norm > 1e-9, out / np.where(norm > 1e-9, norm, 1), np.where(np.isnan(norm), np.nan, flat))
+            out = np.where(np.isnan(cross), np.nan, np.where(norm > 1e-9, out / np.where(norm > 1e-9, norm, 1), flat))
         return out
 
-    return tile_apply(stretched(pixels, sized=True), work, halo, "high", tile)
+    return tile_apply(stretched(pixels, sized=True), work, halo, "high", max(tile, 2 * halo))
 
 
 def best_match(scores: DataFrame, method: str) -> DataFrame:

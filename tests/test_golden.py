@@ -247,6 +247,32 @@ def test_lsh_recall_and_lone_queries(spark):
     assert (100, 3000) in {(r["idx1"], r["idx2"]) for r in matching.lsh_matches(q, t).collect()}
 
 
+def test_large_templates(spark):
+    rng = np.random.default_rng(12)
+    grid = rng.integers(0, 256, (90, 75)).astype(float)
+    grid[0, 0], grid[0, 1] = 0, 255  # so that stretching changes nothing
+    part = grid[21:73, 13:54].copy()
+    part[0, 0], part[0, 1] = 0, 255
+    win = np.lib.stride_tricks.sliding_window_view(grid, part.shape)
+    cross, mean = np.einsum("ijkl,kl->ij", win, part), part - part.mean()
+    want = {"sqdiff": ((win - part) ** 2).sum((2, 3)), "ccorr": cross, "ccoeff_normed": (win * mean).sum((2, 3)) / np.sqrt((mean**2).sum() * ((win - win.mean((2, 3), keepdims=True)) ** 2).sum((2, 3)))}
+    for method, scores in want.items():
+        found = focal.template_scores(image(spark, grid), part, method, tile=16)
+        assert np.allclose(grid_of(found, *scores.shape), scores)
+        top = focal.best_match(found, method).first()
+        assert (top["row"], top["col"]) == (21, 13) or method == "ccorr"
+
+
+def test_a_template_of_512_by_512(spark):
+    rng = np.random.default_rng(13)
+    grid = np.kron(rng.integers(0, 256, (66, 66)), np.ones((8, 8)))
+    grid[0, 0], grid[0, 1] = 0, 255
+    part = grid[7 : 7 + 512, 11 : 11 + 512].copy()
+    part[0, 0], part[0, 1] = 0, 255
+    top = focal.best_match(focal.template_scores(image(spark, grid), part, "ccoeff_normed"), "ccoeff_normed").first()
+    assert (top["row"], top["col"]) == (7, 11) and top["value"] == pytest.approx(1, abs=1e-3)
+
+
 def test_inverted_file_is_exact(spark):
     rng = np.random.default_rng(11)
     centres = rng.normal(0, 10, (30, 8))
