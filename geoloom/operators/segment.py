@@ -215,6 +215,7 @@ def watershed(pixels: DataFrame, markers: DataFrame, tile: int = TILE) -> DataFr
     flooded from their own markers and their neighbours' borders, by pass height and
     then by distance since the pass was reached; ties go to the smaller label.  Rounds
     go on until no border changes, so the result is that of one flood of the whole.
+    Only tiles with or beside a pixel that the round before changed are flooded again.
     """
     state = pixels.select(*KEY, "row", "col", "value").join(markers.select(*KEY, "row", "col", F.col("label").cast("long").alias("label")), [*KEY, "row", "col"], "left")
     state = checkpointed(state.withColumns({"cost": F.when(F.col("label").isNotNull(), F.col("value")).otherwise(F.lit(float("inf"))), "steps": F.lit(0.0), "label": F.coalesce("label", F.lit(0))}))
@@ -243,13 +244,20 @@ def watershed(pixels: DataFrame, markers: DataFrame, tile: int = TILE) -> DataFr
         changed = [b != a for a, b in zip(before, zip(cost, steps, label, strict=True), strict=True)]
         return pdf.assign(label=label, cost=cost, steps=steps, changed=changed)[core][[x.split()[0] for x in schema.split(", ")]]
 
+    span = lambda c: F.explode(F.array_distinct(F.array(*[F.floor((F.col(c) + d) / tile) for d in (-1, 0, 1)])))
+    own = lambda c: F.floor(F.col(c) / tile)
+    place = [*KEY, "ty", "tx"]
+    state = state.withColumn("changed", F.col("label") > 0)
     while True:
-        span = lambda c: F.explode(F.array_distinct(F.array(*[F.floor((F.col(c) + d) / tile) for d in (-1, 0, 1)])))
-        dealt = state.select(*KEY, "row", "col", "value", "label", "cost", "steps").withColumn("ty", span("row")).withColumn("tx", span("col"))
-        dealt = dealt.withColumn("core", (F.floor(F.col("row") / tile) == F.col("ty")) & (F.floor(F.col("col") / tile) == F.col("tx")))
-        state = checkpointed(dealt.groupBy(*KEY, "ty", "tx").applyInPandas(flood, schema))
-        if not state.where("changed").limit(1).count():  # costs only fall, so this comes
+        dealt = state.withColumn("ty", span("row")).withColumn("tx", span("col"))
+        woken = checkpointed(dealt.where("changed").select(*place).distinct())
+        if not woken.limit(1).count():  # costs only fall, so this comes
             return state.select(*KEY, "row", "col", "label")
+        dealt = small_join(dealt.drop("changed"), woken, place).withColumn("core", (own("row") == F.col("ty")) & (own("col") == F.col("tx")))
+        flooded = dealt.groupBy(*place).applyInPandas(flood, schema)
+        names = [x.split()[0] for x in schema.split(", ")]
+        calm = small_join(state.withColumns({"ty": own("row"), "tx": own("col")}), woken, place, "left_anti").withColumn("changed", F.lit(False))
+        state = checkpointed(flooded.unionByName(calm.select(*names)))
 
 
 def with_boundaries(labels: DataFrame, markers: DataFrame | None = None, frame: bool = True) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoloom.operators.graph import small_join
-from geoloom.operators.project import is_geographic
+from geoloom.operators.project import is_geographic, reproject_features, transform
+from geoloom.operators.vector import rasterize
 
 
 def parse_class_map(spark, text: str) -> DataFrame:
@@ -80,3 +81,65 @@ def with_summary(records: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 def class_raster(found: DataFrame, order: str = "fid", by: tuple[str, ...] = ()) -> DataFrame:
     """``(by.., row, col, value)``: the resolved classes of all zones; a later zone's class overwrites, 0 never does."""
     return found.where("class_value <> 0").groupBy(*by, "row", "col").agg(F.max_by("class_value", order).alias("value"))
+
+
+GRID = ("ox", "px", "oy", "py", "width", "height")
+
+
+def grids_in(catalog: DataFrame, target: int) -> list[dict]:
+    """The rasters of a catalog in the order of their priority, each with the bounds and the pixel size it would have in the target CRS.
+
+    A raster in another CRS keeps the number of pixels along its diagonal, as its
+    corners and the middles of its sides are transformed.
+    """
+    rows = None
+    places = [(a / 2, b / 2) for a in (0, 1, 2) for b in (0, 1, 2)]
+    for srid in sorted(r[0] for r in catalog.select("srid").distinct().collect()):
+        own = catalog.where(F.col("srid") == srid)
+        at = [transform(F.col("ox") + F.col("px") * F.col("width") * a, F.col("oy") + F.col("py") * F.col("height") * b, srid, target) for a, b in places]
+        xs, ys = ([p[k] for p in at] for k in (0, 1))
+        own = own.withColumns({"xmin": F.least(*xs), "xmax": F.greatest(*xs), "ymin": F.least(*ys), "ymax": F.greatest(*ys)})
+        across = F.hypot(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")) / F.hypot(F.col("width").cast("double"), F.col("height").cast("double"))
+        same = F.lit(srid == target)
+        own = own.withColumns({"pixel_width": F.when(same, F.abs("px")).otherwise(across), "pixel_height": F.when(same, F.abs("py")).otherwise(across)})
+        rows = own if rows is None else rows.unionByName(own)
+    return [r.asDict() for r in rows.orderBy("priority", "raster_id").collect()]
+
+
+def stats_over_rasters(zones: DataFrame, zone_srid: int, catalog: DataFrame, pixels: DataFrame, classes: DataFrame, target: int | None = None, most: int = 10_000) -> DataFrame:
+    """Records of :func:`feature_stats`, with their summary, over prioritised rasters of any grid and CRS.
+
+    zones: ``(fid, fname, geom)``; catalog: ``(raster_id, ox, px, oy, py, width, height,
+    srid, priority, nodata)``, a row for each raster and at most ``most`` of them;
+    pixels: ``(raster_id, row, col, value)``.  All is brought to one CRS
+    (:func:`target_srs`) and the grid of the raster with the smallest pixels there, ties
+    to the first priority.  Zones become cells of that grid; each cell's centre is
+    looked up in every raster that holds it, by the nearest pixel, and the first
+    raster whose value is mapped decides.  Cells, not rasters, move.
+    """
+    if catalog.limit(most + 1).count() > most:
+        raise ValueError(f"over {most} rasters in one catalog")
+    srids = sorted(r[0] for r in catalog.select("srid").distinct().collect())
+    target = target_srs(srids, target)
+    rasters = grids_in(catalog, target)
+    best = min(rasters, key=lambda r: (r["pixel_width"] * r["pixel_height"], r["priority"]))
+    gt = (best["xmin"], best["pixel_width"], 0.0, best["ymax"], 0.0, -best["pixel_height"])
+    shapes = reproject_features(zones, zone_srid, target)
+    cells = rasterize(shapes, gt).select("fid", "row", "col")
+    cells = cells.withColumns({"_x": F.lit(gt[0]) + (F.col("col") + 0.5) * gt[1], "_y": F.lit(gt[3]) + (F.col("row") + 0.5) * gt[5]})
+    found = None
+    for srid in srids:
+        own = F.array(*[F.struct(*[F.lit(float(r[c])).alias(c) for c in GRID], F.lit(r["raster_id"]).cast("long").alias("raster_id"), F.lit(r["priority"]).cast("long").alias("priority"), F.lit(r["nodata"]).cast("double").alias("nodata")) for r in rasters if r["srid"] == srid])
+        x, y = transform(F.col("_x"), F.col("_y"), target, srid)
+        placed = cells.withColumns({"_u": x, "_v": y})
+        at = lambda v, o, p, r: F.floor((F.col(v) - r[o]) / r[p])
+        held = lambda r: (at("_u", "ox", "px", r) >= 0) & (at("_u", "ox", "px", r) < r["width"]) & (at("_v", "oy", "py", r) >= 0) & (at("_v", "oy", "py", r) < r["height"])  # noqa: B023, E731
+        one = placed.withColumn("r", F.explode(F.filter(own, held)))
+        one = one.select("fid", "row", "col", "r.raster_id", "r.priority", "r.nodata", at("_v", "oy", "py", F.col("r")).cast("int").alias("_r"), at("_u", "ox", "px", F.col("r")).cast("int").alias("_c"))
+        found = one if found is None else found.unionByName(one)
+    source = pixels.select("raster_id", F.col("row").alias("_r"), F.col("col").alias("_c"), "value")
+    read = small_join(source, found, ["raster_id", "_r", "_c"])
+    mapped = small_join(read.where("value is not null and (nodata is null or value <> nodata)").withColumn("class_value", F.rint("value").cast("int")), classes, ["class_value"])
+    first = mapped.groupBy("fid", "row", "col").agg(F.min_by(F.struct("class_value", "class_name"), F.struct("priority", "raster_id")).alias("m"))
+    records = feature_stats(shapes, first.select("fid", "row", "col", "m.class_value", "m.class_name"), abs(gt[1] * gt[5]), f"EPSG:{target}")
+    return with_summary(records)

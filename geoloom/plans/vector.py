@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from geoloom.functions import geometry as G
+from geoloom.operators import project as R
 from geoloom.operators import vector as V
 from geoloom.operators import zonal as Z
 from geoloom.plans.base import group, rounded
@@ -224,3 +225,27 @@ def a13_class_raster(spark, sf):
     return Z.class_raster(_found(spark, sf)[1], by=("raster_id",))
 
 
+DEGREE = 6378137.0 * 3.141592653589793 / 180  # metres of a degree at the equator
+LOW_TOP = 64 / DEGREE  # so near the equator degrees north are the same to twelve digits
+
+STACK = f"""{PX}, {ZONES}, {CELLS}, classes AS (SELECT * FROM (VALUES (1, 'water'), (2, 'forest'), (3, 'urban')) t(class_value, class_name)),
+coarse AS (SELECT raster_id, "row" // 2 AS r, col // 2 AS c, lo FROM px WHERE "row" % 2 = 0 AND col % 2 = 0),
+cand AS (SELECT fid, zc."row", zc.col, CAST(hi AS INTEGER) AS class_value, raster_id * 2 AS priority FROM zc JOIN px ON px."row" = zc."row" AND px.col = zc.col WHERE hi <> 0
+ UNION ALL SELECT fid, zc."row", zc.col, CAST(lo AS INTEGER), raster_id * 2 + 1 FROM zc JOIN coarse ON r = zc."row" // 2 AND c = zc.col // 2 WHERE lo <> 0),
+found AS (SELECT fid, "row", col, arg_min(class_value, priority) AS class_value FROM cand JOIN classes USING (class_value) GROUP BY ALL),
+counted AS (SELECT fid, class_value, count(*) AS n FROM found GROUP BY ALL),
+recs AS (SELECT CAST(z.fid AS VARCHAR) AS feature_id, z.fname AS feature_name, coalesce(c.class_value, 0) AS class_value, coalesce(class_name, '') AS class_name, coalesce(n, 0) AS pixel_count, coalesce(n, 0)::DOUBLE AS area, coalesce(n / sum(n) OVER (PARTITION BY z.fid), 0) AS ratio FROM zones z LEFT JOIN counted c USING (fid) LEFT JOIN classes k ON k.class_value = c.class_value)"""
+
+
+@query(f"WITH {STACK} SELECT feature_id, feature_name, class_value, class_name, pixel_count, area, round(ratio, 9) AS ratio, 'EPSG:3857' AS actual_srs FROM recs UNION ALL SELECT '__summary__', '__summary__', class_value, class_name, CAST(sum(pixel_count) AS BIGINT), sum(area), round(sum(area) / sum(sum(area)) OVER (), 9), 'EPSG:3857' FROM recs GROUP BY class_value, class_name")
+def a8_stats_over_rasters(spark, sf):
+    """A fine raster in Mercator and a coarse one in degrees for each scene, zones in degrees."""
+    s = X.scenes(spark, sf)
+    fine = s.select((F.col("raster_id") * 2).alias("raster_id"), "row", "col", F.col("hi").alias("value"))
+    half = s.where("row % 2 = 0 and col % 2 = 0").select((F.col("raster_id") * 2 + 1).alias("raster_id"), F.floor(F.col("row") / 2).cast("int").alias("row"), F.floor(F.col("col") / 2).cast("int").alias("col"), F.col("lo").alias("value"))
+    grid = lambda side, px, top, srid: [F.lit(0.0).alias("ox"), F.lit(px).alias("px"), F.lit(top).alias("oy"), F.lit(-px).alias("py"), F.lit(side).alias("width"), F.lit(side).alias("height"), F.lit(srid).alias("srid"), F.lit(0.0).alias("nodata")]
+    ids = X.raster_ids(spark, sf)
+    catalog = ids.select((F.col("raster_id") * 2).alias("raster_id"), (F.col("raster_id") * 2).alias("priority"), *grid(64, 1.0, 64.0, 3857)).unionByName(ids.select((F.col("raster_id") * 2 + 1).alias("raster_id"), (F.col("raster_id") * 2 + 1).alias("priority"), *grid(32, 2 / DEGREE, LOW_TOP, 4326)))
+    zones = R.reproject_features(V.rectangles(X.zones(spark, sf)), 3857, 4326)
+    out = Z.stats_over_rasters(zones, 4326, catalog, fine.unionByName(half), Z.parse_class_map(spark, CLASSES))
+    return rounded(rounded(out.drop("area_unit"), "ratio", digits=9), "area")
