@@ -500,25 +500,78 @@ def ecc_register(reference: DataFrame, moving: DataFrame, height: int, width: in
     return warp(moving, height, width, tuple(float(v) for v in m.ravel()), "bilinear"), m
 
 
-def stitch(images: list[DataFrame], model: str = "translation", method: str = "nearest") -> DataFrame:
-    """``(band, row, col, value)``: images in a chain, each registered to the one before it, on one canvas; a later one overwrites.
+def match_graph(images: list[DataFrame], model: str = "translation", tolerance: float = 3.0) -> list[tuple[float, int, int, np.ndarray]]:
+    """(confidence, i, j, matrix from places of i to those of j) of each pair of images that match: inliers / (8 + 0.3 matches), as panorama work has it, the surest first.
 
-    The canvas holds every image whole: its corners are taken to the first image's
-    places, and each image is warped to the box they span.  Rows and columns count
-    from the canvas's upper left corner.
+    Keypoints are found once for each image; a pair without matches enough for the
+    model is left out.
+    """
+    points = [checkpointed(keypoints(image)) for image in images]
+    pairs = []
+    for i in range(len(images)):
+        for j in range(i + 1, len(images)):
+            matches = checkpointed(match_keypoints(points[i], points[j]))
+            try:
+                m = fit_transform(matches, model, tolerance=tolerance)
+            except ValueError:
+                continue  # too few matches, or none that fix the model
+            n = matches.agg(F.count("*").alias("n"), F.count_if(_moved_within(m, tolerance)).alias("inside")).first()
+            pairs.append((n["inside"] / (8 + 0.3 * n["n"]), i, j, m))
+    return sorted(pairs, key=lambda p: (-p[0], p[1], p[2]))
+
+
+def _moved_within(m: np.ndarray, tolerance: float) -> Column:
+    """Whether a match lies within ``tolerance`` of where a matrix takes it."""
+    row = lambda k: float(m[k, 0]) * F.col("x1") + float(m[k, 1]) * F.col("y1") + float(m[k, 2])
+    dx, dy = row(0) / row(2) - F.col("x2"), row(1) / row(2) - F.col("y2")
+    return dx * dx + dy * dy <= tolerance * tolerance
+
+
+def spanning_tree(n: int, pairs: list[tuple[float, int, int, np.ndarray]], least: float) -> dict[int, np.ndarray]:
+    """The matrix from the first image's places to each image's, over the surest pairs that join the images: a maximum spanning tree of the largest group that pairs of ``least`` confidence or more hold together."""
+    group, kept = list(range(n)), []
+    for sure, i, j, m in pairs:
+        if sure >= least and group[i] != group[j]:
+            kept.append((i, j, m))
+            old, new = group[j], group[i]
+            group = [new if g == old else g for g in group]
+    largest = max(set(group), key=lambda g: (group.count(g), -group.index(g)))
+    root = group.index(largest)
+    placed, open_ = {root: np.eye(3)}, [root]
+    while open_:
+        at = open_.pop()
+        for i, j, m in kept:
+            for a, b, way in ((i, j, m), (j, i, np.linalg.inv(m))):
+                if a == at and b not in placed:
+                    placed[b] = way @ placed[at]
+                    open_.append(b)
+    return placed
+
+
+def stitch(images: list[DataFrame], model: str = "translation", method: str = "nearest", stitch_confidence: float = 0.5) -> DataFrame:
+    """``(band, row, col, value)``: images in any order on one canvas; a later one overwrites.
+
+    All pairs are matched (:func:`match_graph`), and the surest place the images, over a
+    maximum spanning tree.  Images that no pair of ``stitch_confidence`` or more joins
+    with the largest group are left out; if fewer than two are left that is an error.
+    The canvas holds every image whole: its corners are taken to the places of the
+    first of the group, and each image is warped to the box they span.  Rows and
+    columns count from the canvas's upper left corner.
     """
     in_range("images", len(images), 2)
+    in_range("stitch_confidence", stitch_confidence, 0)
     from geoloom.operators.mosaic import mosaic
 
-    placed, to_image = [], np.eye(3)
-    for k, image in enumerate(images):
-        if k:
-            to_image = registration(images[k - 1], image, model) @ to_image
-        box = image.agg(F.min("col"), F.min("row"), F.max("col") + 1, F.max("row") + 1).first()
+    tree = spanning_tree(len(images), match_graph(images, model), stitch_confidence)
+    if len(tree) < 2:
+        raise ValueError("no two images match well enough to be stitched")
+    placed = []
+    for k, to_image in sorted(tree.items()):
+        box = images[k].agg(F.min("col"), F.min("row"), F.max("col") + 1, F.max("row") + 1).first()
         corners_ = np.linalg.inv(to_image) @ np.array([[box[a], box[b], 1] for a in (0, 2) for b in (1, 3)], float).T
         at = np.round(corners_[:2] / corners_[2], 6)
         (x0, y0), (x1, y1) = np.floor(at.min(1)), np.ceil(at.max(1))
         shift = np.array([[1, 0, x0], [0, 1, y0], [0, 0, 1]])
-        seen = warp(image, int(y1 - y0), int(x1 - x0), tuple(float(v) for v in (to_image @ shift).ravel()), method)
+        seen = warp(images[k], int(y1 - y0), int(x1 - x0), tuple(float(v) for v in (to_image @ shift).ravel()), method)
         placed.append((seen, (float(x0), 1.0, 0.0, -float(y0), 0.0, -1.0)))
     return mosaic(placed)

@@ -123,3 +123,10 @@ def k6_ecc_register(spark, sf):
 def k7_stitch(spark, sf):
     one, _ = _strip(spark, sf)
     return K.stitch([one, _moved(one, 3, 2)])
+
+
+@query(f'WITH {PX} SELECT 1 AS band, "row", CAST(raster_id * 64 + col AS INTEGER) AS col, b1 AS value FROM px')
+def k7_stitch_any_order(spark, sf):
+    """Three images of the strip whose places are counted from different corners, matched pair by pair."""
+    one, _ = _strip(spark, sf)
+    return K.stitch([_moved(one, 6, 5), _moved(one, 3, 2), one], stitch_confidence=0.3)

@@ -160,6 +160,25 @@ def test_stitched_canvas_holds_both_images(spark):
     assert np.allclose(got, want, equal_nan=True)
 
 
+def test_shuffled_pieces_are_stitched(spark):
+    rng = np.random.default_rng(22)
+    scene = np.kron(rng.integers(0, 255, (40, 44)), np.ones((4, 4)))[:150, :170] + rng.integers(0, 20, (150, 170))
+    pieces = [scene[25:, 40:], scene[:120, :135], scene[30:, :140], scene[:115, 45:]]
+    stray = np.kron(rng.integers(0, 255, (20, 20)), np.ones((4, 4)))
+    got = grid_of(matching.stitch([image(spark, p) for p in [*pieces, stray]]), 150, 170)
+    assert np.allclose(got, scene)
+    with pytest.raises(ValueError, match="well enough"):
+        matching.stitch([image(spark, pieces[0]), image(spark, stray)])
+
+
+def test_surest_pairs_place_the_images():
+    step = lambda x, y: np.array([[1, 0, x], [0, 1, y], [0, 0, 1.0]])
+    pairs = [(3.0, 1, 2, step(5, 0)), (2.0, 0, 2, step(9, 1)), (1.0, 0, 1, step(100, 100)), (0.4, 2, 3, step(1, 1))]
+    tree = matching.spanning_tree(4, pairs, 0.5)
+    assert sorted(tree) == [0, 1, 2] and (tree[2] == step(9, 1)).all() and (tree[1] == step(4, 1)).all()
+    assert len(matching.spanning_tree(3, [], 0.5)) == 1
+
+
 def test_intensity_registration_and_clusters(spark):
     y, x = np.mgrid[0:48, 0:60]
     wave = lambda dy, dx: 100 + 60 * np.sin((x + dx) / 7) * np.cos((y + dy) / 5) + 30 * np.sin((x + dx + y + dy) / 11)
