@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from geoloom.functions.params import in_range, one_of
 from geoloom.operators.focal import corner_response, gaussian_weights, separable, tile_apply, tiles
-from geoloom.operators.graph import checkpointed
+from geoloom.operators.graph import checkpointed, small_join
 from geoloom.operators.project import warp
 from geoloom.operators.raster import stretched
 
@@ -305,8 +305,48 @@ PATCH = 8
 _PAIRS = np.random.default_rng(11).integers(-PATCH, PATCH + 1, (256, 4))
 
 
-def keypoints(pixels: DataFrame, max_points: int = 5000) -> DataFrame:
-    """``(raster_id, row, col, response, angle, descriptor)``: corners with a steered 256-bit comparison descriptor (four 64-bit numbers).
+def halved(pixels: DataFrame) -> DataFrame:
+    """The raster at half its size, each pixel the mean of the four below it; an odd last row or column goes."""
+    size = pixels.groupBy("raster_id", "band").agg((F.floor((F.max("row") + 1) / 2)).alias("_h"), (F.floor((F.max("col") + 1) / 2)).alias("_w"))
+    small = small_join(pixels, size, ["raster_id", "band"]).withColumns({c: F.floor(F.col(c) / 2).cast("int") for c in ("row", "col")})
+    return small.where("row < _h and col < _w").groupBy("raster_id", "band", "row", "col").agg(F.avg("value").alias("value"))
+
+
+def keypoints(pixels: DataFrame, max_points: int = 5000, octaves: int = 1) -> DataFrame:
+    """``(raster_id, row, col, size, response, angle, descriptor)``: corners with a steered 256-bit comparison descriptor (four 64-bit numbers).
+
+    octaves: how often the raster is also searched at half its size.  A point's place
+    is in the raster's own pixels, and its size, the width of what its descriptor
+    sees, doubles with each octave.  Of points of neighbouring octaves that lie within
+    a pixel of the smaller raster, the one with the stronger response stays, the finer
+    of equals.
+    """
+    in_range("octaves", octaves, 1)
+    found, level = None, pixels
+    for octave in range(octaves):
+        if octave:
+            level = checkpointed(halved(level))
+        scale = 2**octave
+        one = _keypoints(level, max_points).withColumns({"octave": F.lit(octave), **{c: (F.col(c) * scale + (scale - 1) // 2).cast("int") for c in ("row", "col")}, "size": F.lit(float((2 * PATCH + 1) * scale))})
+        found = one if found is None else found.unionByName(one)
+    names = ["raster_id", "row", "col", "size", "response", "angle", "descriptor"]
+    if octaves == 1:
+        return found.select(*names)
+    found = checkpointed(found.withColumn("id", F.monotonically_increasing_id()))
+    # a point and one of the octave above it meet in cells as wide as a pixel of that octave
+    cell = lambda c, o, d: F.floor((F.col(c)) / F.pow(F.lit(2.0), F.lit(o) if isinstance(o, int) else o)) + d
+    near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("d")
+    up = found.select("raster_id", (F.col("octave") + 1).alias("octave"), "id", "response", "row", "col", near)
+    up = up.select("raster_id", "octave", F.col("id").alias("fine"), F.col("response").alias("fine_response"), F.col("row").alias("_r"), F.col("col").alias("_c"), cell("row", F.col("octave"), F.col("d.i")).alias("y"), cell("col", F.col("octave"), F.col("d.j")).alias("x"))
+    coarse = found.select("raster_id", "octave", "id", "response", "row", "col", cell("row", F.col("octave"), 0).alias("y"), cell("col", F.col("octave"), 0).alias("x"))
+    width = F.pow(F.lit(2.0), F.col("octave"))
+    pairs = up.join(coarse, ["raster_id", "octave", "y", "x"]).where((F.abs(F.col("_r") - F.col("row")) < width) & (F.abs(F.col("_c") - F.col("col")) < width))
+    beaten = pairs.select(F.when(F.col("response") > F.col("fine_response"), F.col("fine")).otherwise(F.col("id")).alias("id")).distinct()
+    return found.join(beaten, "id", "left_anti").select(*names)
+
+
+def _keypoints(pixels: DataFrame, max_points: int) -> DataFrame:
+    """``(raster_id, row, col, response, angle, descriptor)`` of one octave.
 
     The patch's centroid gives the angle; comparison places turn with it.  Points whose
     patch leaves the raster have no descriptor and are left out.

@@ -373,12 +373,35 @@ def hough_votes(edges: DataFrame, thetas: int = 180) -> DataFrame:
     return edges.select("raster_id", "row", "col").mapInPandas(vote, "raster_id long, rho int, theta int, votes long").groupBy("raster_id", "rho", "theta").agg(F.sum("votes").alias("votes"))
 
 
-def hough_lines(edges: DataFrame, threshold: int = 50, min_length: float = 50, max_gap: float = 10, thetas: int = 180) -> DataFrame:
+def hough_lines(edges: DataFrame, threshold: int = 50, min_length: float = 50, max_gap: float = 10, thetas: int = 180, most: int = 200_000) -> DataFrame:
     """``(raster_id, rho, theta, start, stop)``: along each line with votes enough, stretches of pixels no further apart than ``max_gap`` and at least ``min_length`` long."""
-    lines = hough_votes(edges, thetas).where(F.col("votes") >= threshold).select("raster_id", "rho", "theta")
+    lines = checkpointed(hough_votes(edges, thetas).where(F.col("votes") >= threshold).select("raster_id", "rho", "theta"))
     t = F.radians(F.col("theta") * (180.0 / thetas))
-    every = edges.select("raster_id", "row", "col", F.explode(F.sequence(F.lit(0), F.lit(thetas - 1))).alias("theta"))
-    on = every.withColumn("rho", F.floor(F.round(F.col("col") * F.cos(t) + F.col("row") * F.sin(t), 6) + 0.5).cast("int")).join(lines, ["raster_id", "rho", "theta"])
+    few = lines.limit(most + 1).collect()
+    if len(few) <= most:  # edge pixels are tested against the kept lines where they are
+        known = {}
+        for r in few:
+            known.setdefault(r["raster_id"], []).append((r["rho"], r["theta"]))
+        held = edges.sparkSession.sparkContext.broadcast({k: np.array(v) for k, v in known.items()})
+        angle = np.radians(np.arange(thetas) * (180.0 / thetas))
+
+        def near(batches):
+            for pdf in batches:
+                for rid, part in pdf.groupby("raster_id"):
+                    own = held.value.get(rid)
+                    if own is None:
+                        continue
+                    row, col = part["row"].to_numpy(), part["col"].to_numpy()
+                    for k in range(0, len(own), 4096):
+                        rho, theta = own[k : k + 4096].T
+                        at = np.floor(np.round(col[:, None] * np.cos(angle[theta]) + row[:, None] * np.sin(angle[theta]), 6) + 0.5)
+                        i, j = np.nonzero(at == rho)
+                        yield pd.DataFrame({"raster_id": rid, "row": row[i], "col": col[i], "theta": theta[j], "rho": rho[j]})
+
+        on = edges.select("raster_id", "row", "col").mapInPandas(near, "raster_id long, row int, col int, theta int, rho int")
+    else:
+        every = edges.select("raster_id", "row", "col", F.explode(F.sequence(F.lit(0), F.lit(thetas - 1))).alias("theta"))
+        on = every.withColumn("rho", F.floor(F.round(F.col("col") * F.cos(t) + F.col("row") * F.sin(t), 6) + 0.5).cast("int")).join(lines, ["raster_id", "rho", "theta"])
     on = on.withColumn("at", F.col("row") * F.cos(t) - F.col("col") * F.sin(t))
     w = Window.partitionBy("raster_id", "rho", "theta").orderBy("at")
     new = F.coalesce((F.col("at") - F.lag("at").over(w) > max_gap).cast("int"), F.lit(1))

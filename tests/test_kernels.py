@@ -1,5 +1,6 @@
 """Operators against brute force on small inputs, with tiles and groups small enough to be crossed."""
 
+import collections
 import heapq
 
 import numpy as np
@@ -200,6 +201,31 @@ def test_keypoints_move_with_the_image(spark):
     assert len(both) > 10 and sum(a[p] == b[p] for p in both) > 0.9 * len(both)
 
 
+def test_keypoints_recover_a_scale(spark):
+    rng = np.random.default_rng(31)
+    scene = np.kron(rng.integers(0, 255, (24, 24)), np.ones((8, 8))) + rng.integers(0, 8, (192, 192))
+    whole = image(spark, scene)
+    small = matching.halved(whole)
+    a, b = matching.keypoints(whole, octaves=3), matching.keypoints(small)
+    sizes = {r["size"] for r in a.collect()}
+    assert len(sizes) >= 2 and min(sizes) * 2 in sizes
+    one = {tuple(r["descriptor"]): (r["row"], r["col"], r["size"]) for r in b.collect()}
+    same = [(r, one[tuple(r["descriptor"])]) for r in a.collect() if tuple(r["descriptor"]) in one]
+    assert len(same) > 5
+    for r, (row, col, size) in same:
+        assert r["size"] == 2 * size and abs(r["row"] - 2 * row) <= 1 and abs(r["col"] - 2 * col) <= 1
+    places = collections.Counter((r["row"] // 2, r["col"] // 2) for r in a.collect() if r["size"] <= 2 * min(sizes))
+    assert max(places.values()) <= 2
+
+
+def test_kept_lines_by_broadcast_and_by_join(spark):
+    rng = np.random.default_rng(32)
+    at = {(int(y), int(x)) for y, x in rng.integers(0, 60, (200, 2))} | {(20, x) for x in range(60)} | {(k, k) for k in range(60)}
+    edges = spark.createDataFrame([(i, y, x) for i in (0, 1) for y, x in at], "raster_id long, row int, col int")
+    one, two = (sorted(map(tuple, segment.hough_lines(edges, 40, 30, 3, most=m).select("raster_id", "rho", "theta", F.round("start", 6), F.round("stop", 6)).collect())) for m in (200_000, 0))
+    assert one == two and len(one) >= 4
+
+
 def test_hubs_and_crowded_keys(spark):
     star = spark.range(1, 12_001).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
     chain = spark.range(20_000, 20_040).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
