@@ -9,10 +9,10 @@ from geoloom.operators import raster as R
 from geoloom.operators import vector as V
 from geoloom.plans.base import group, rounded
 from geoloom.plans.vector import ORACLES as VECTOR_SQL
-from geoloom.plans.vector import a8_feature_stats
+from geoloom.plans.vector import CELLS, GT, a8_feature_stats
 from geoloom.sources import fixtures as X
 from geoloom.sources import io
-from geoloom.sources.fixtures import PIX, RECTS
+from geoloom.sources.fixtures import PIX, RECTS, ZONES
 
 QUERIES, ORACLES, query = group()
 SCHEMA = "oid long, kind string"
@@ -70,3 +70,12 @@ def s11_json_sink(spark, sf):
     path, records = io.scratch(spark, "stats"), R.band_stats(X.pixels(spark, sf)).select("raster_id", "band", "n", "min", "max")
     io.write_records(records, path, "json")
     return spark.read.schema(records.schema).json(path)
+
+
+@query(f'WITH {PIX}, {ZONES}, {CELLS}, t AS (SELECT DISTINCT "row" // 8 AS ty, col // 8 AS tx FROM zc WHERE ("row" + col) % 64 < 9) SELECT raster_id, band, count(*) AS n, sum(value) AS total FROM pix JOIN t ON ty = "row" // 8 AND tx = col // 8 GROUP BY ALL')
+def s5_tile_store(spark, sf):
+    """Bands stored by tiles; only those are read that hold a zone's cell near one of two diagonals."""
+    path = io.scratch(spark, "tiles")
+    io.write_tiles(X.pixels(spark, sf), path, 8)
+    cells = V.rasterize(V.rectangles(X.zones(spark, sf)), GT).where("(row + col) % 64 < 9")
+    return io.read_tiles(spark, path, cells.select("row", "col"), 8).groupBy("raster_id", "band").agg(F.count("*").alias("n"), F.sum("value").alias("total"))

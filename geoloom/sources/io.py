@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geoloom.functions import geometry as G
-from geoloom.functions.params import one_of
-from geoloom.operators.graph import shared_dir, small_join
+from geoloom.functions.params import in_range, one_of
+from geoloom.operators.graph import checkpointed, shared_dir, small_join
 
 FORMATS = ("parquet", "GeoJSON", "CSV", "KML")
 _FEATURE = "struct<geometry:string,properties:string>"
@@ -103,6 +103,36 @@ def write_pixels(pixels: DataFrame, path: str) -> None:
     pixels.write.mode("overwrite").partitionBy("raster_id").parquet(path)
 
 
+def write_tiles(pixels: DataFrame, path: str, tile: int = 256) -> None:
+    """A pixel table in a folder for each raster and tile (``ty``, ``tx``), each written by one task, so that readers of a few places open only their tiles."""
+    in_range("tile", tile, 1)
+    placed = pixels.withColumns({"ty": F.floor(F.col("row") / tile).cast("int"), "tx": F.floor(F.col("col") / tile).cast("int")})
+    parts = ["raster_id", "ty", "tx"]
+    placed.repartition(*parts).sortWithinPartitions(*parts, "band", "row", "col").write.mode("overwrite").partitionBy(*parts).parquet(path)
+
+
+def read_tiles(spark: SparkSession, path: str, cells: DataFrame | None = None, tile: int = 256, most: int = 1000) -> DataFrame:
+    """The pixels of a store of :func:`write_tiles`; with ``cells`` (rows with ``row`` and ``col``, and ``raster_id`` if they have one) only those of tiles that hold a cell.
+
+    The tiles are found first.  Their rasters, rows and columns of tiles, up to ``most``
+    of each and the range of more, go to the scan as filters on its folders, and a
+    join then keeps the very tiles.
+    """
+    store = spark.read.schema("band int, row int, col int, value double, raster_id long, ty int, tx int").parquet(path)
+    if cells is None:
+        return store.drop("ty", "tx")
+    names = ["raster_id"] * ("raster_id" in cells.columns) + ["ty", "tx"]
+    wanted = checkpointed(cells.withColumns({"ty": F.floor(F.col("row") / tile).cast("int"), "tx": F.floor(F.col("col") / tile).cast("int")}).select(*names).distinct())
+    for name in names:
+        own = [r[0] for r in wanted.select(name).where(F.col(name).isNotNull()).distinct().limit(most + 1).collect()]
+        if len(own) <= most:
+            store = store.where(F.col(name).isin(own))
+        else:
+            span = wanted.agg(F.min(name).alias("a"), F.max(name).alias("b")).first()
+            store = store.where(F.col(name).between(span["a"], span["b"]))
+    return small_join(store, wanted, names, "left_semi").drop("ty", "tx")
+
+
 def write_records(records: DataFrame, path: str, fmt: str = "csv") -> None:
     """Records (zonal statistics, histograms, keypoints) as quoted CSV or JSON lines."""
     one_of("format", fmt, ("csv", "json"))

@@ -201,6 +201,20 @@ def test_tiff_and_parameters(spark, tmp_path):
             bad()
 
 
+def test_tiles_are_pruned(spark, tmp_path):
+    grid = np.arange(40 * 40).reshape(40, 40)
+    path = f"file://{tmp_path}/tiles"
+    io.write_tiles(image(spark, grid).union(image(spark, grid, rid=7)), path, 8)
+    cells = spark.createDataFrame([(7, 3, 5), (7, 4, 6), (0, 30, 39)], "raster_id long, row int, col int")
+    got = io.read_tiles(spark, path, cells, 8)
+    assert {(r["raster_id"], r["row"] // 8, r["col"] // 8) for r in got.collect()} == {(7, 0, 0), (0, 3, 4)} and got.count() == 128
+    assert all(r["value"] == r["row"] * 40 + r["col"] for r in got.collect())
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "ty#" in plan.split("PartitionFilters: [")[1]
+    assert io.read_tiles(spark, path).count() == 3200 and io.read_tiles(spark, path, cells.select("row", "col"), 8, most=0).count() == 256
+    assert io.read_tiles(spark, path, cells.limit(0), 8).count() == 0
+
+
 def test_layers_and_bad_filters(spark):
     two = square(spark, 0, 0, 1, 1, layer="a").union(square(spark, 0, 0, 1, 1, 2, layer="b"))
     assert vector.layer(two, "a").count() == 1
