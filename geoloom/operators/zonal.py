@@ -106,7 +106,7 @@ def grids_in(catalog: DataFrame, target: int) -> list[dict]:
     return [r.asDict() for r in rows.orderBy("priority", "raster_id").collect()]
 
 
-def stats_over_rasters(zones: DataFrame, zone_srid: int, catalog: DataFrame, pixels: DataFrame, classes: DataFrame, target: int | None = None, most: int = 10_000) -> DataFrame:
+def stats_over_rasters(zones: DataFrame, zone_srid: int, catalog: DataFrame, pixels: DataFrame, classes: DataFrame, target: int | None = None, most: int = 1000) -> DataFrame:
     """Records of :func:`feature_stats`, with their summary, over prioritised rasters of any grid and CRS.
 
     zones: ``(fid, fname, geom)``; catalog: ``(raster_id, ox, px, oy, py, width, height,

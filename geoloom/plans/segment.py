@@ -110,6 +110,18 @@ def c4_kmeans(spark, sf):
     return labels.withColumn("compactness", F.lit(cost))
 
 
+@query(f"WITH {PX} SELECT raster_id, count(*) AS pixels, count(*) AS settled FROM px GROUP BY raster_id")
+def c4_kmeans_settled(spark, sf):
+    """How many pixels of each raster are, but for the last step's movement, nearest to the mean of their own label."""
+    bands = ["b1", "b2", "b3", "b4"]
+    labels, _ = S.kmeans(X.pixels(spark, sf), [1, 2, 3, 4], k=5)
+    v = labels.join(X.scenes(spark, sf).select("raster_id", "row", "col", *bands), ["raster_id", "row", "col"])
+    means = v.groupBy("label").agg(*[F.avg(b).alias(b) for b in bands]).collect()  # a row for each label
+    apart = {m["label"]: F.sqrt(sum(((F.col(b) - m[b]) ** 2 for b in bands), F.lit(0.0))) for m in means}
+    own = F.coalesce(*[F.when(F.col("label") == k, d) for k, d in apart.items()])
+    return v.groupBy("raster_id").agg(F.count("*").alias("pixels"), F.count_if(own - F.least(*apart.values()) < 0.05).alias("settled"))
+
+
 EDGE = 'SELECT raster_id, "row", col FROM st JOIN o USING (raster_id, band) WHERE band = 1 AND value > threshold'
 
 

@@ -238,6 +238,14 @@ def test_hubs_and_crowded_keys(spark):
         assert a.columns == b.columns and a.exceptAll(b).count() == 0 and a.count() == b.count()
 
 
+def test_crowded_keys_of_large_rows_are_salted(spark):
+    big = graph.checkpointed(spark.range(30_000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 9000).alias("k"), "id"))
+    small = spark.range(-1, 9000).select(F.col("id").alias("k"), F.repeat(F.lit("x"), 50).alias("v"))
+    want = sorted(map(tuple, big.join(small, "k").collect()))
+    for most in (0, 64 << 20):
+        assert sorted(map(tuple, graph.skew_join(big, small, ["k"], most_bytes=most).select("k", "id", "v").collect())) == want
+
+
 def test_bent_lines(spark):
     rows = [(1, {"kind": "LineString", "parts": [[[{"x": -5.0, "y": 5.0}, {"x": 5.0, "y": 5.0}, {"x": 5.0, "y": 15.0}]]]}), (2, {"kind": "MultiLineString", "parts": [[[{"x": 20.0, "y": 20.0}, {"x": 30.0, "y": 20.0}]], [[{"x": 1.0, "y": 1.0}, {"x": 2.0, "y": 2.0}]]]})]
     lines = spark.createDataFrame(rows, f"lid long, geom {G.TYPE}")
