@@ -455,17 +455,26 @@ def buffer(kind: str, parts: list[Rings], distance: float, segments: int = 30) -
     if "Point" in kind:
         return run_around(np.concatenate([offset_curve(p[None, :], round_) for r in rings for p in np.unique(r, axis=0)])) if rings else []
     if "Polygon" not in kind:
+        if len(rings) == 1 and len(rings[0]) == 2 and (rings[0][0] != rings[0][1]).any():
+            return _curve_alone(offset_curve(rings[0], round_))
         return run_around(np.concatenate([offset_curve(np.concatenate([r, r[-2:0:-1]]), round_) for r in rings])) if rings else []
     own = oriented(repaired(rings))
     if not own:
         return []
     outer = [offset_curve(r, round_) for r in own]
+    if distance > 0 and len(own) == 1 and is_simple_convex(own[0]):
+        return _curve_alone(outer[0])
     if distance > 0:
         return run_around(np.concatenate(outer))
     border = run_around(np.concatenate(outer + [offset_curve(r[::-1], round_) for r in own]))
     return difference(own, border)
 
 
+def _curve_alone(edges: np.ndarray) -> Rings:
+    """The ring of a curve that never turns right."""
+    return [straightened(edges[(edges[:, :2] != edges[:, 2:]).any(1), :2])]
+
+
 def is_convex(ring: np.ndarray) -> bool:
     """Whether a ring never turns right."""
     before, after = ring - np.roll(ring, 1, 0), np.roll(ring, -1, 0) - ring
