@@ -154,18 +154,20 @@ def resample(pixels: DataFrame, targets: DataFrame, method: str = "nearest") ->
     and mode also ``sr1, sc1``, the far corner, with sr, sc the near one.  Weighted
     methods explode a target's source neighbours, join them and divide by the weights
     found, so edges and NoData lose no brightness.  Targets off the source are left out.
+    The join is by sorting: targets are exploded, so their size estimate is far too small
+    and Spark would broadcast them all.
     """
     one_of("method", method, RESAMPLERS)
     key = ["raster_id", "row", "col"]
     source = pixels.select("raster_id", "band", F.col("row").alias("_r"), F.col("col").alias("_c"), "value")
     if method == "nearest":
         at = targets.select(*key, F.floor("sr").cast("int").alias("_r"), F.floor("sc").cast("int").alias("_c"))
-        return at.join(source, ["raster_id", "_r", "_c"]).select(*KEY, "row", "col", "value")
+        return at.join(source.hint("merge"), ["raster_id", "_r", "_c"]).select(*KEY, "row", "col", "value")
     if method in ("average", "mode"):
         every = lambda a, b: F.explode(F.sequence(F.floor(a).cast("int"), F.greatest(F.floor(a), F.ceil(b) - 1).cast("int")))
         at = targets.withColumn("_r", every("sr", "sr1")).withColumn("_c", every("sc", "sc1"))
         cover = lambda a, b, k: F.least(F.col(b), F.col(k) + 1) - F.greatest(F.col(a), F.col(k))
-        got = at.join(source, ["raster_id", "_r", "_c"]).withColumn("_w", cover("sr", "sr1", "_r") * cover("sc", "sc1", "_c"))
+        got = at.join(source.hint("merge"), ["raster_id", "_r", "_c"]).withColumn("_w", cover("sr", "sr1", "_r") * cover("sc", "sc1", "_c"))
         out = [*KEY, "row", "col"]
         if method == "average":
             return got.groupBy(*out).agg((F.sum(F.col("_w") * F.col("value")) / F.sum("_w")).alias("value"))
@@ -176,7 +178,7 @@ def resample(pixels: DataFrame, targets: DataFrame, method: str = "nearest") ->
     at = at.withColumn("_dr", F.explode(steps)).withColumn("_dc", F.explode(steps))
     at = at.withColumns({"_r": (F.floor("_y") + F.col("_dr")).cast("int"), "_c": (F.floor("_x") + F.col("_dc")).cast("int")})
     at = at.withColumn("_w", weight(F.col("_y") - F.col("_r")) * weight(F.col("_x") - F.col("_c"))).where("_w <> 0")
-    got = at.join(source, ["raster_id", "_r", "_c"]).groupBy(*KEY, "row", "col").agg(F.sum("_w").alias("_w"), F.sum(F.col("_w") * F.col("value")).alias("_v"))
+    got = at.join(source.hint("merge"), ["raster_id", "_r", "_c"]).groupBy(*KEY, "row", "col").agg(F.sum("_w").alias("_w"), F.sum(F.col("_w") * F.col("value")).alias("_v"))
     return got.where(F.abs("_w") > 1e-9).select(*KEY, "row", "col", (F.col("_v") / F.col("_w")).alias("value"))
 
 

@@ -1,5 +1,8 @@
 """Cases that only larger tables showed."""
 
+import pytest
+
+from geoloom.operators import project as P
 from geoloom.sources import fixtures as X
 
 
@@ -11,3 +14,11 @@ def test_scenes_broadcast_no_pixels(spark, data):
     """The grid is made by explode(), whose rows no size estimate counts, and where() turns the outer join into an inner one."""
     plan = joins_of(X.scenes(spark, data).where("b1 > 180"))
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+@pytest.mark.parametrize("method", ["nearest", "mode", "bilinear"])
+def test_resampling_broadcasts_no_targets(spark, method):
+    pixels = spark.range(16).selectExpr("0L AS raster_id", "1 AS band", "CAST(id / 4 AS INT) AS row", "CAST(id % 4 AS INT) AS col", "CAST(id AS DOUBLE) AS value")
+    targets = P.grid_targets(pixels, 2, 2, lambda x, y: (x * 2, y * 2), method == "mode")
+    plan = joins_of(P.resample(pixels, targets, method))
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
