@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from geoloom.functions import geometry as G
+from geoloom.operators import matching as K
 from geoloom.operators import project as P
 from geoloom.operators import vector as V
 from geoloom.sources import fixtures as X
@@ -34,3 +35,14 @@ def test_line_parallel_to_an_edge(spark):
     lines = spark.range(1).select(F.col("id").alias("lid"), G.geometry("LineString", F.array(F.array(line))).alias("geom"))
     got = V.clip_lines(lines, areas, "lid", "fid", 4.0).select(G.length(F.col("geom")).alias("n")).collect()
     assert [round(r["n"], 6) for r in got] == [round((5.5**2 + 4.5**2) ** 0.5, 6)]
+
+
+@pytest.mark.parametrize("name", ["k3_corners_harris", "k3_corners_shi_tomasi"])
+def test_corners_that_tie(spark, monkeypatch, name):
+    """Responses that differ by the order of a sum alone are ties, and the upper one wins."""
+    noise = F.when(F.col("row") == 8, 1e-13).otherwise(0.0)
+    peak = F.when((F.col("col") == 5) & F.col("row").isin(5, 8), F.lit(0.5) + noise).otherwise(0.01)
+    response = spark.range(256).selectExpr("0L AS raster_id", "1 AS band", "CAST(id / 16 AS INT) AS row", "CAST(id % 16 AS INT) AS col").withColumn("value", peak)
+    monkeypatch.setattr(K, "corner_response", lambda pixels, method: pixels)
+    got = K.corners(response, name.removeprefix("k3_corners_"), 10, 0.5, 5).select("row", "col").collect()
+    assert [tuple(r) for r in got] == [(5, 5)]
