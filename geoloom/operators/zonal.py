@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoloom.operators.graph import small_join
+from geoloom.operators.graph import checkpointed, small_join
 from geoloom.operators.project import is_geographic, reproject_features, transform
-from geoloom.operators.vector import rasterize
+from geoloom.operators.vector import near_pairs, rasterize
 
 
 def parse_class_map(spark, text: str) -> DataFrame:
@@ -86,8 +86,8 @@ def class_raster(found: DataFrame, order: str = "fid", by: tuple[str, ...] = ())
 GRID = ("ox", "px", "oy", "py", "width", "height")
 
 
-def grids_in(catalog: DataFrame, target: int) -> list[dict]:
-    """The rasters of a catalog in the order of their priority, each with the bounds and the pixel size it would have in the target CRS.
+def grids_in(catalog: DataFrame, target: int) -> DataFrame:
+    """The rasters of a catalog, each with the bounds and the pixel size it would have in the target CRS.
 
     A raster in another CRS keeps the number of pixels along its diagonal, as its
     corners and the middles of its sides are transformed.
@@ -103,39 +103,42 @@ def grids_in(catalog: DataFrame, target: int) -> list[dict]:
         same = F.lit(srid == target)
         own = own.withColumns({"pixel_width": F.when(same, F.abs("px")).otherwise(across), "pixel_height": F.when(same, F.abs("py")).otherwise(across)})
         rows = own if rows is None else rows.unionByName(own)
-    return [r.asDict() for r in rows.orderBy("priority", "raster_id").collect()]
+    return rows
 
 
-def stats_over_rasters(zones: DataFrame, zone_srid: int, catalog: DataFrame, pixels: DataFrame, classes: DataFrame, target: int | None = None, most: int = 1000) -> DataFrame:
+def stats_over_rasters(zones: DataFrame, zone_srid: int, catalog: DataFrame, pixels: DataFrame, classes: DataFrame, target: int | None = None) -> DataFrame:
     """Records of :func:`feature_stats`, with their summary, over prioritised rasters of any grid and CRS.
 
     zones: ``(fid, fname, geom)``; catalog: ``(raster_id, ox, px, oy, py, width, height,
-    srid, priority, nodata)``, a row for each raster and at most ``most`` of them;
-    pixels: ``(raster_id, row, col, value)``.  All is brought to one CRS
-    (:func:`target_srs`) and the grid of the raster with the smallest pixels there, ties
-    to the first priority.  Zones become cells of that grid; each cell's centre is
-    looked up in every raster that holds it, by the nearest pixel, and the first
-    raster whose value is mapped decides.  Cells, not rasters, move.
+    srid, priority, nodata)``, a row for each raster, however many; pixels:
+    ``(raster_id, row, col, value)``.  All is brought to one CRS (:func:`target_srs`) and
+    the grid of the raster with the smallest pixels there, ties to the first priority.
+    Zones become cells of that grid; each cell's centre is looked up in every raster
+    that holds it (a join of boxes, then the pixel's place), by the nearest pixel, and
+    the first raster whose value is mapped decides.  Cells, not rasters, move.
     """
-    if catalog.limit(most + 1).count() > most:
-        raise ValueError(f"over {most} rasters in one catalog")
+    catalog = checkpointed(catalog)
     srids = sorted(r[0] for r in catalog.select("srid").distinct().collect())
     target = target_srs(srids, target)
-    rasters = grids_in(catalog, target)
-    best = min(rasters, key=lambda r: (r["pixel_width"] * r["pixel_height"], r["priority"]))
+    best = grids_in(catalog, target).orderBy(F.col("pixel_width") * F.col("pixel_height"), "priority", "raster_id").first()
     gt = (best["xmin"], best["pixel_width"], 0.0, best["ymax"], 0.0, -best["pixel_height"])
     shapes = reproject_features(zones, zone_srid, target)
     cells = rasterize(shapes, gt).select("fid", "row", "col")
-    cells = cells.withColumns({"_x": F.lit(gt[0]) + (F.col("col") + 0.5) * gt[1], "_y": F.lit(gt[3]) + (F.col("row") + 0.5) * gt[5]})
+    cells = checkpointed(cells.withColumns({"_x": F.lit(gt[0]) + (F.col("col") + 0.5) * gt[1], "_y": F.lit(gt[3]) + (F.col("row") + 0.5) * gt[5]}))
     found = None
     for srid in srids:
-        own = F.array(*[F.struct(*[F.lit(float(r[c])).alias(c) for c in GRID], F.lit(r["raster_id"]).cast("long").alias("raster_id"), F.lit(r["priority"]).cast("long").alias("priority"), F.lit(r["nodata"]).cast("double").alias("nodata")) for r in rasters if r["srid"] == srid])
+        own = catalog.where(F.col("srid") == srid).select(*[F.col(c).cast("double").alias(c) for c in GRID], F.col("raster_id").cast("long").alias("raster_id"), F.col("priority").cast("long").alias("priority"), F.col("nodata").cast("double").alias("nodata"))
+        ends = [[F.col(o), F.col(o) + F.col(p) * F.col(n)] for o, p, n in (("ox", "px", "width"), ("oy", "py", "height"))]
+        # the box is a little wider than the raster, so that rounding leaves no cell out; the pixel's place decides
+        wide = [F.abs(F.col(p)) for p in ("px", "py")]
+        own = own.withColumns({name: f(*e) + sign * w for name, f, e, sign, w in (("xmin", F.least, ends[0], -1, wide[0]), ("ymin", F.least, ends[1], -1, wide[1]), ("xmax", F.greatest, ends[0], 1, wide[0]), ("ymax", F.greatest, ends[1], 1, wide[1]))})
         x, y = transform(F.col("_x"), F.col("_y"), target, srid)
-        placed = cells.withColumns({"_u": x, "_v": y})
-        at = lambda v, o, p, r: F.floor((F.col(v) - r[o]) / r[p])
-        held = lambda r: (at("_u", "ox", "px", r) >= 0) & (at("_u", "ox", "px", r) < r["width"]) & (at("_v", "oy", "py", r) >= 0) & (at("_v", "oy", "py", r) < r["height"])  # noqa: B023, E731
-        one = placed.withColumn("r", F.explode(F.filter(own, held)))
-        one = one.select("fid", "row", "col", "r.raster_id", "r.priority", "r.nodata", at("_v", "oy", "py", F.col("r")).cast("int").alias("_r"), at("_u", "ox", "px", F.col("r")).cast("int").alias("_c"))
+        placed = cells.select(F.struct("fid", "row", "col").alias("cell"), x.alias("xmin"), y.alias("ymin"), x.alias("xmax"), y.alias("ymax"))
+        side = own.agg(F.avg(F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")))).first()[0]
+        pairs = near_pairs(placed, own, "cell", "raster_id", side, keep_right=(*GRID, "priority", "nodata"))
+        at = lambda v, o, p: F.floor((F.col(v) - F.col(f"b_{o}")) / F.col(f"b_{p}"))
+        one = pairs.withColumns({"_r": at("a_ymin", "oy", "py"), "_c": at("a_xmin", "ox", "px")}).where("_r >= 0 and _r < b_height and _c >= 0 and _c < b_width")
+        one = one.select("a_id.fid", "a_id.row", "a_id.col", F.col("b_id").alias("raster_id"), F.col("b_priority").alias("priority"), F.col("b_nodata").alias("nodata"), F.col("_r").cast("int").alias("_r"), F.col("_c").cast("int").alias("_c"))
         found = one if found is None else found.unionByName(one)
     source = pixels.select("raster_id", F.col("row").alias("_r"), F.col("col").alias("_c"), "value")
     read = small_join(source, found, ["raster_id", "_r", "_c"])

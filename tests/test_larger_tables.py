@@ -7,6 +7,7 @@ from geoloom.functions import geometry as G
 from geoloom.operators import matching as K
 from geoloom.operators import project as P
 from geoloom.operators import vector as V
+from geoloom.operators import zonal as Z
 from geoloom.sources import fixtures as X
 
 
@@ -46,3 +47,14 @@ def test_corners_that_tie(spark, monkeypatch, name):
     monkeypatch.setattr(K, "corner_response", lambda pixels, method: pixels)
     got = K.corners(response, name.removeprefix("k3_corners_"), 10, 0.5, 5).select("row", "col").collect()
     assert [tuple(r) for r in got] == [(5, 5)]
+
+
+def test_stats_over_more_than_a_thousand_rasters(spark):
+    """1,100 rasters of 2 x 2 pixels in a row."""
+    grid = [F.lit(1.0).alias("px"), F.lit(2.0).alias("oy"), F.lit(-1.0).alias("py"), F.lit(2).alias("width"), F.lit(2).alias("height"), F.lit(3857).alias("srid"), F.lit(0.0).alias("nodata")]
+    catalog = spark.range(1100).select(F.col("id").alias("raster_id"), (F.col("id") * 2.0).alias("ox"), F.col("id").alias("priority"), *grid)
+    places = spark.range(4).selectExpr("CAST(id / 2 AS INT) AS row", "CAST(id % 2 AS INT) AS col")
+    pixels = spark.range(1100).crossJoin(places).select(F.col("id").alias("raster_id"), "row", "col", (F.col("id") % 2 + 1.0).alias("value"))
+    zones = V.rectangles(spark.createDataFrame([(7, "all", 0.0, 0.0, 2200.0, 2.0)], "fid long, fname string, xmin double, ymin double, xmax double, ymax double"))
+    got = Z.stats_over_rasters(zones, 3857, catalog, pixels, Z.parse_class_map(spark, '{"1": "a", "2": "b"}'))
+    assert sorted((r["class_value"], r["pixel_count"]) for r in got.where("feature_id = '7'").collect()) == [(1, 2200), (2, 2200)]
