@@ -13,7 +13,7 @@ from geoloom.functions import arrow_geometry as A
 from geoloom.functions import geometry as G
 from geoloom.functions.covering import CellEdges, box_of, cover, inside_rows, meets_box, rows_meet, rows_within
 from geoloom.functions.params import extent, in_range, one_of
-from geoloom.operators.graph import checkpointed
+from geoloom.operators.graph import alike, checkpointed
 
 CELLS = "level int, cx long, cy long, inside boolean, area boolean, corner boolean, edges array<double>, n long"
 
@@ -110,16 +110,21 @@ def spatial_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     Shapes are covered by quadtree cells and joined on them.  A cell inside an area
     settles every pair in it without geometry; edges are compared only in cells of side
     ``cell`` that both borders pass, so a large shape is spread over its cells and no
-    task holds all that meet it.  Null and empty geometries meet nothing; ids should
-    tell rows apart.
+    task holds all that meet it.  Equal shapes are covered and compared once, and their
+    pairs given to every row that has them.  Null and empty geometries meet nothing; ids
+    should tell rows apart.
     """
     one_of("predicate", predicate, ("intersects", "contains", "within"))
     if predicate == "contains":
         return spatial_join(right, left, right_id, left_id, "within", cell).select(left_id, right_id)
-    a, b = (checkpointed(covering(t, i, cell)) for t, i in ((left, left_id), (right, right_id)))
-    if predicate == "intersects":
-        return _meeting(a, b, cell).select(F.col("a_fid").alias(left_id), F.col("b_fid").alias(right_id))
-    return _within(a, b, cell).select(F.col("a_fid").alias(left_id), F.col("b_fid").alias(right_id))
+    (one, mine), (other, others) = alike(left, left_id), alike(right, right_id)
+    a, b = checkpointed(covering(one, left_id, cell)), checkpointed(covering(other, right_id, cell))
+    pairs = (_meeting if predicate == "intersects" else _within)(a, b, cell)
+    for side, fid, rows in (("a_fid", left_id, mine), ("b_fid", right_id, others)):
+        if rows is not None:
+            named = rows.select(F.col("_alike").alias(side), F.col(fid).alias("_own"))
+            pairs = pairs.join(named, side).drop(side).withColumnRenamed("_own", side)
+    return pairs.select(F.col("a_fid").alias(left_id), F.col("b_fid").alias(right_id))
 
 
 def _meeting(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
