@@ -19,7 +19,7 @@ from geoloom.functions import geometry as G
 from geoloom.functions import polygons as P
 from geoloom.functions.covering import cover, cut_at_cells
 from geoloom.functions.params import in_range
-from geoloom.operators.graph import checkpointed, skew_join
+from geoloom.operators.graph import alike, checkpointed, skew_join
 from geoloom.operators.project import require_projected, require_same
 from geoloom.operators.rings import CHAIN, chain_rows, rings_of_chains
 from geoloom.operators.vector import BOX, near_pairs, overlap_ratio
@@ -70,7 +70,17 @@ def normalized(features: DataFrame) -> DataFrame:
     v = features.where(~G.is_empty(F.col("geom"))).select(*names, "geom")
     box = G.is_box()
     fine = v.where(box).withColumn("geom", G.promoted(F.col("geom")))
-    return G.with_box(fine.unionByName(_shaped(v.where(~box), names, ["geom"], P.repaired)))
+    return G.with_box(fine.unionByName(_each_once(v.where(~box), names, lambda t, own: _shaped(t, own, ["geom"], P.repaired))))
+
+
+def _each_once(features: DataFrame, names: list[str], work: Callable[[DataFrame, list[str]], DataFrame]) -> DataFrame:
+    """``names`` and ``geom`` of what ``work``, given rows and the columns to keep, makes of each shape: equal shapes once, if most rows are copies."""
+    numbered = checkpointed(features.select(*names, "geom").withColumn("_row", F.monotonically_increasing_id()))
+    shapes, rows = alike(numbered, "_row", stored=True)
+    if rows is None:
+        return work(numbered.drop("_row"), names)
+    made = work(shapes, ["_row"]).select(F.col("_row").alias("_alike"), "geom")
+    return numbered.drop("geom").join(rows, "_row").join(made.hint("merge"), "_alike").select(*names, "geom")
 
 
 def _marked(features: DataFrame, fid: str) -> DataFrame:
@@ -209,7 +219,7 @@ def dissolve(features: DataFrame, field: str | None = None, cell: float = 16.0,
     in_range("cell", cell, 0, open_low=True)
     name = field or "group"
     key = F.coalesce(F.col(field).cast("string"), F.lit("")) if field else F.lit("")
-    v = checkpointed(normalized(features.withColumn("_k", key).select(F.col("_k").alias(name), "geom")))
+    v = checkpointed(normalized(features.withColumn("_k", key).select(F.col("_k").alias(name), "geom").distinct()))  # copies add nothing
     crowd = v.groupBy(name, F.floor(F.col("xmin") / cell), F.floor(F.col("ymin") / cell)).count().agg(F.max("count")).first()[0] or 0
     fine = cell / 2 ** min(10, max(0, math.ceil(math.log(max(1, crowd) / fan_in, 4))))
     span = v.agg(*[F.max(F.abs(c)).alias(c) for c in BOX]).first()
@@ -280,23 +290,27 @@ def _polygons(rings: DataFrame, keys: list[str], kind: str) -> DataFrame:
 
 
 def buffer(features: DataFrame, distance: float, srid: int, segments: int = 30) -> DataFrame:
-    """Features widened by ``distance``, attributes kept; a geographic CRS is refused, null geometries give no row."""
+    """Features widened by ``distance``, attributes kept; a geographic CRS is refused, null geometries give no row.  Equal shapes are widened once."""
     require_projected(srid)
     in_range("segments", segments, 1)
-    names = _names(features)
-    v = features.where(~G.is_empty(F.col("geom"))).select(*names, "geom")
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in v.dtypes if c != "geom"), f"geom {G.TYPE}"])
+    v = features.where(~G.is_empty(F.col("geom")))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            kinds = b.column("geom").flatten()[0].to_pylist()
-            given = [[rings_of([p]) if "Polygon" in k else p for p in parts] for k, parts in zip(kinds, A.parts_of(b.column("geom")), strict=True)]
-            out = [parts_of(P.buffer(k, parts, distance, segments)) for k, parts in zip(kinds, given, strict=True)]
-            keep = [n for n, parts in enumerate(out) if parts]
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in names), A.geometries("MultiPolygon", [out[n] for n in keep])], [*names, "geom"])
+    def widened(table: DataFrame, names: list[str]) -> DataFrame:
+        types = dict(table.dtypes)
+        schema = ", ".join([*(f"`{c}` {types[c]}" for c in names), f"geom {G.TYPE}"])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                kinds = b.column("geom").flatten()[0].to_pylist()
+                given = [[rings_of([p]) if "Polygon" in k else p for p in parts] for k, parts in zip(kinds, A.parts_of(b.column("geom")), strict=True)]
+                out = [parts_of(P.buffer(k, parts, distance, segments)) for k, parts in zip(kinds, given, strict=True)]
+                keep = [n for n, parts in enumerate(out) if parts]
+                at = pa.array(keep, pa.int64())
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in names), A.geometries("MultiPolygon", [out[n] for n in keep])], [*names, "geom"])
+
+        return table.select(*names, "geom").mapInArrow(run, schema)
 
-    return G.with_box(v.mapInArrow(run, schema))
+    return G.with_box(_each_once(v, _names(features), widened))
 
 
 def buffer_report(features: DataFrame, buffered: DataFrame, distance: float) -> DataFrame:

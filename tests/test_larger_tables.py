@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from geoloom.functions import geometry as G
 from geoloom.operators import matching as K
+from geoloom.operators import overlay as O
+from geoloom.operators import predicates as R
 from geoloom.operators import project as P
 from geoloom.operators import vector as V
 from geoloom.operators import zonal as Z
@@ -58,3 +60,33 @@ def test_stats_over_more_than_a_thousand_rasters(spark):
     zones = V.rectangles(spark.createDataFrame([(7, "all", 0.0, 0.0, 2200.0, 2.0)], "fid long, fname string, xmin double, ymin double, xmax double, ymax double"))
     got = Z.stats_over_rasters(zones, 3857, catalog, pixels, Z.parse_class_map(spark, '{"1": "a", "2": "b"}'))
     assert sorted((r["class_value"], r["pixel_count"]) for r in got.where("feature_id = '7'").collect()) == [(1, 2200), (2, 2200)]
+
+
+def _copies(spark, n: int):
+    """n copies of one rectangle, and one other that meets them."""
+    return spark.range(n + 1).select(F.col("id").alias("oid"), F.when(F.col("id") < n, 0.0).otherwise(2.5).alias("xmin"), F.lit(0.0).alias("ymin"), F.when(F.col("id") < n, 3.0).otherwise(4.0).alias("xmax"), F.lit(2.0).alias("ymax"))
+
+
+def test_equal_shapes_are_covered_once(spark, monkeypatch):
+    seen, covering = [], R.covering
+    monkeypatch.setattr(R, "covering", lambda t, i, cell: (seen.append(t.count()), covering(t, i, cell))[1])
+    many = V.rectangles(_copies(spark, 50))
+    got = R.spatial_join(many, many.where("oid = 50").withColumnRenamed("oid", "fid"), "oid", "fid").collect()
+    assert sorted(tuple(r) for r in got) == [(k, 50) for k in range(51)]
+    assert seen == [2, 1]
+
+
+def test_equal_boxes_are_compared_once(spark, monkeypatch):
+    seen, pairs = [], V.grid_pairs
+    monkeypatch.setattr(V, "grid_pairs", lambda *a, **b: (seen.append(pairs(*a, **b).count()), pairs(*a, **b))[1])
+    got = V.overlap_ratio(_copies(spark, 50), "oid", 1.0).first()
+    assert (got["pairs"], got["total"], seen) == (50 * 49 // 2 + 50, 51 * 50 // 2, [4])
+
+
+def test_equal_shapes_are_worked_on_once(spark):
+    seen = []
+    many = V.rectangles(_copies(spark, 50))
+    got = O._each_once(many, ["oid"], lambda t, names: (seen.append(t.count()), t.select(*names, "geom"))[1]).select("oid").collect()
+    assert sorted(r["oid"] for r in got) == list(range(51)) and seen == [2]
+    wide = O.buffer(many.select("oid", "geom"), 0.5, 3857).collect()
+    assert len(wide) == 51 and {(r["xmin"], r["xmax"]) for r in wide} == {(-0.5, 3.5), (2.0, 4.5)}
