@@ -136,7 +136,7 @@ def _pieces(own: DataFrame, others: DataFrame, fid: str, oid: str, cell: float)
     x0, y0, x1, y1 = (f"{'greatest' if c.endswith('min') else 'least'}(a_{c}, b_{c})" for c in BOX)
     boxes = near.where(f"a_box_only AND b_box_only AND {x1} > {x0} AND {y1} > {y0}").select(F.col("a_id").alias(fid), G.box_area(x0, y0, x1, y1).alias("geom"))
     rest = near.where("NOT (a_box_only AND b_box_only)").select(F.col("a_id").alias(fid), F.col("b_id").alias("_oid"))
-    rest = skew_join(rest.join(own.select(fid, "geom"), fid), others.select(F.col(oid).alias("_oid"), F.col("geom").alias("_o")), ["_oid"])
+    rest = skew_join(rest.join(own.select(fid, "geom").hint("merge"), fid), others.select(F.col(oid).alias("_oid"), F.col("geom").alias("_o")), ["_oid"])
     return boxes.unionByName(_shaped(rest, [fid], ["geom", "_o"], P.intersection))
 
 
@@ -158,7 +158,7 @@ def clip(features: DataFrame, overlay: DataFrame, fid: str, oid: str, cell: floa
     """
     require_same(srid, overlay_srid)
     common = united(_pieces(_marked(features, fid), _overlay(overlay, oid), fid, oid, cell), [fid])
-    return G.with_box(features.select(*_names(features)).join(common, fid).select(*_names(features), "geom"))
+    return G.with_box(features.select(*_names(features)).join(common.hint("merge"), fid).select(*_names(features), "geom"))
 
 
 def difference(features: DataFrame, overlay: DataFrame, fid: str, oid: str, cell: float, srid: int | None = None, overlay_srid: int | None = None) -> DataFrame:
@@ -166,7 +166,7 @@ def difference(features: DataFrame, overlay: DataFrame, fid: str, oid: str, cell
     require_same(srid, overlay_srid)
     names, own = _names(features), _marked(features, fid)
     taken = united(_pieces(own, _overlay(overlay, oid), fid, oid, cell), [fid]).select(fid, F.col("geom").alias("_cut"))
-    both = features.where(~G.is_empty(F.col("geom"))).select(*names, "geom").join(taken, fid, "left")
+    both = features.where(~G.is_empty(F.col("geom"))).select(*names, "geom").join(taken.hint("merge"), fid, "left")
     whole = G.is_box() & (G.area(F.col("_cut")) >= G.area(F.col("geom")) * (1 - 1e-12))
     alone = both.where("_cut is null").select(*names, "geom")
     cut = _shaped(both.where(F.col("_cut").isNotNull() & ~whole), names, ["geom", "_cut"], P.difference)

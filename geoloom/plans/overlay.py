@@ -53,7 +53,7 @@ def _grown(c: str, share):
 
 def _beside_rect(df, rects, share: bool):
     named = rects.select("oid", *[F.col(c).alias(f"r_{c}") for c in V.BOX])
-    return _with_probes(df.join(named, "oid"), 5 if share else 7, _grown("x", share), _grown("y", share))
+    return _with_probes(df.join(named.hint("merge"), "oid"), 5 if share else 7, _grown("x", share), _grown("y", share))
 
 
 @query(f"WITH {RECTS}, {ZONES} SELECT oid, kind, round(sum({SHARED}), 4) AS area, count(*) AS parts, 5 * count(*) AS vertices, round(min(greatest(r.xmin, z.xmin)), 6) AS xmin, round(min(greatest(r.ymin, z.ymin)), 6) AS ymin, round(max(least(r.xmax, z.xmax)), 6) AS xmax, round(max(least(r.ymax, z.ymax)), 6) AS ymax FROM rects r JOIN zones z ON {MEET} WHERE {SHARED} > 1e-9 GROUP BY oid, kind")

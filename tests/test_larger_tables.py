@@ -90,3 +90,18 @@ def test_equal_shapes_are_worked_on_once(spark):
     assert sorted(r["oid"] for r in got) == list(range(51)) and seen == [2]
     wide = O.buffer(many.select("oid", "geom"), 0.5, 3857).collect()
     assert len(wide) == 51 and {(r["xmin"], r["xmax"]) for r in wide} == {(-0.5, 3.5), (2.0, 4.5)}
+
+
+def test_grid_join_broadcasts_no_cells(spark):
+    many = _copies(spark, 5)
+    plan = joins_of(V.grid_pairs(many, many.withColumnRenamed("oid", "other"), "oid", "other", 1.0))
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_points_on_the_border_of_a_rectangle(spark):
+    """Left and lower sides are inside; rectangles decide where the pair is found, without a join with their geometry."""
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, 3.0, 1.0), (3, 1.0, 2.0), (4, 1.0, 1.0)], "pid long, x double, y double")
+    areas = V.rectangles(_copies(spark, 1)).where("oid = 0")
+    got = V.points_in_areas(points, areas, "pid", "oid", 1.0)
+    assert sorted(r["pid"] for r in got.collect()) == [1, 4]
+    assert "BroadcastHashJoin" not in joins_of(got)
