@@ -174,22 +174,36 @@ def difference(features: DataFrame, overlay: DataFrame, fid: str, oid: str, cell
 
 
 def union(features: DataFrame, overlay: DataFrame, fid: str, oid: str, cell: float, keep_attributes: bool = False, srid: int | None = None, overlay_srid: int | None = None) -> DataFrame:
-    """``(fid, source, geom)``: each feature united with all overlay shapes whose boxes meet its own (``union``) if it touches any, else itself (``input``)."""
+    """``(fid, source, geom)``: each feature united with all overlay shapes whose boxes meet its own (``union``) if it touches any, else itself (``input``).  Equal features are united once."""
     require_same(srid, overlay_srid)
     names = _names(features) if keep_attributes else [fid]
-    own, others = _marked(features, fid), _overlay(overlay, oid, 0)
+    numbered = checkpointed(features.select(*names, "geom", *BOX).withColumn("_row", F.monotonically_increasing_id()))
+    others = _overlay(overlay, oid, 0)
+    shapes, rows = alike(numbered, "_row", stored=True)
+    if rows is None:
+        return G.with_box(_with_overlay(numbered, others, "_row", oid, cell, names))
+    made = _with_overlay(G.with_box(shapes), others, "_row", oid, cell, ["_row"]).withColumnRenamed("_row", "_alike")
+    given = numbered.select("_row", *names).join(rows, "_row").join(made.hint("merge"), "_alike").select(*names, "source", "geom")
+    return G.with_box(given.unionByName(numbered.where("geom is null").select(*names, F.lit("input").alias("source"), "geom")))
+
+
+def _with_overlay(features: DataFrame, others: DataFrame, fid: str, oid: str, cell: float, names: list[str]) -> DataFrame:
+    """``(names.., source, geom)`` of :func:`union`; others: the overlay of :func:`_overlay`."""
+    own = _marked(features, fid)
     near = checkpointed(near_pairs(own, others, fid, oid, cell, keep=("box_only",)))
     shapes = near.where("b_box_only").select(F.col("a_id").alias(fid), G.box_area(*[f"b_{c}" for c in BOX]).alias("geom"))
     others_ = skew_join(near.where("not b_box_only").select(F.col("a_id").alias(fid), F.col("b_id").alias("_oid")), others.select(F.col(oid).alias("_oid"), "geom"), ["_oid"]).select(fid, "geom")
     around = united(shapes.unionByName(others_), [fid]).select(fid, F.col("geom").alias("_all"))
     sure = near.where("a_box_only and b_box_only").select(F.col("a_id").alias(fid)).distinct().withColumn("_sure", F.lit(True))
-    both = features.select(*names, "geom").join(around, fid, "left").join(sure, fid, "left")
+    kept = [fid, *[n for n in names if n != fid]]
+    tasks = min(2000, max(1, features.count() // 500))  # an arrangement takes milliseconds, and small rows would meet in few tasks
+    both = checkpointed(features.select(*kept, "geom").join(around.hint("merge"), fid, "left").join(sure.hint("merge"), fid, "left").repartition(tasks, fid))
     alone = both.where("_all is null").select(*names, F.lit("input").alias("source"), "geom")
     joined = _shaped(both.where("_sure").withColumn("source", F.lit("union")), [*names, "source"], ["geom", "_all"], P.union)
     doubtful = both.where("_all is not null and _sure is null")
-    met = _shaped(doubtful.withColumn("source", F.lit("union")), [*names, "source"], ["geom", "_all"], lambda a, b: P.union(a, b) if P.touches(a, b) else [])
+    met = _shaped(doubtful.withColumn("source", F.lit("union")), [*kept, "source"], ["geom", "_all"], lambda a, b: P.union(a, b) if P.touches(a, b) else [])
     apart = doubtful.join(met.select(F.col(fid).alias("_met")), F.col(fid) == F.col("_met"), "left_anti").select(*names, F.lit("input").alias("source"), "geom")
-    return G.with_box(alone.unionByName(joined).unionByName(met).unionByName(apart))
+    return alone.unionByName(joined).unionByName(met.select(*names, "source", "geom")).unionByName(apart)
 
 
 def require_simple_overlay(overlay: DataFrame, oid: str, cell: float, least: int = 3, ratio: float = 0.25) -> None:
