@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -226,32 +228,69 @@ def change_summary(changes: DataFrame, threshold_value: float | None = None) ->
     return v.groupBy("raster_id").agg(F.first("threshold").alias("threshold"), F.sum((F.col("value") > F.col("threshold")).cast("long")).alias("changed"), F.count("*").alias("total")).withColumn("ratio", F.col("changed") / F.col("total"))
 
 
-def _cubic(t: Column) -> Column:
+def _cubic(t: np.ndarray) -> np.ndarray:
     """The cubic kernel of a scaled image, with the fixed slope -0.75 at one pixel."""
-    t = F.abs(t)
-    near, far = 1.25 * t * t * t - 2.25 * t * t + 1, -0.75 * t * t * t + 3.75 * t * t - 6 * t + 3
-    return F.when(t < 1, near).when(t < 2, far).otherwise(0.0)
+    t = np.abs(t)
+    return np.where(t < 1, 1.25 * t * t * t - 2.25 * t * t + 1, np.where(t < 2, -0.75 * t * t * t + 3.75 * t * t - 6 * t + 3, 0.0))
 
 
-def onto_grid(pixels: DataFrame, grid: DataFrame) -> DataFrame:
+def _scaled_way(first: int, n: int, own: int, other: int, low: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of m places from ``low`` of a side of ``own`` pixels for n places from ``first`` of one of ``other``, and whether they are among the four neighbours (n x m)."""
+    t = (first + np.arange(n) + 0.5) * own / other - 0.5
+    weight, near = np.zeros((n, m)), np.zeros((n, m))
+    for d in range(-1, 3):
+        k = np.floor(t) + d
+        at = np.clip(k, 0, own - 1).astype(np.int64) - low
+        on = np.flatnonzero((at >= 0) & (at < m))
+        np.add.at(weight, (on, at[on]), _cubic(t - k)[on])
+        near[on, at[on]] = 1.0
+    return weight, near
+
+
+def onto_grid(pixels: DataFrame, grid: DataFrame, tile: int = 256) -> DataFrame:
     """Pixels scaled to the size of each raster's ``grid`` pixels: as they are where the sizes agree, else by a cubic kernel, the edge's pixels standing for those beyond it.
 
-    Only rasters whose sizes differ are resampled, each target pixel from its 16
-    neighbours.
+    Only rasters whose sizes differ are resampled.  A pixel is sent to the tiles of the
+    grid that it weighs in, one shuffle, and a tile weighs its 16 neighbours for each
+    of its pixels; those that the grid lacks are left out by a join.
     """
     size = lambda t, h, w: t.groupBy("raster_id").agg((F.max("row") + 1).alias(h), (F.max("col") + 1).alias(w))
     sizes = size(pixels, "_h", "_w").join(size(grid, "_gh", "_gw"), "raster_id").withColumn("_same", (F.col("_h") == F.col("_gh")) & (F.col("_w") == F.col("_gw")))
     told = small_join(pixels, sizes, ["raster_id"])
     same = told.where("_same").select(*PLACE, "value")
-    at = small_join(grid.select("raster_id", "row", "col").distinct(), sizes.where("not _same"), ["raster_id"])
-    at = at.withColumns({"_y": (F.col("row") + 0.5) * F.col("_h") / F.col("_gh") - 0.5, "_x": (F.col("col") + 0.5) * F.col("_w") / F.col("_gw") - 0.5})
-    steps = F.explode(F.sequence(F.lit(-1), F.lit(2)))
-    at = at.withColumn("_dy", steps).withColumn("_dx", steps).withColumns({"_ny": F.floor("_y") + F.col("_dy"), "_nx": F.floor("_x") + F.col("_dx")})
-    held = lambda n, most: F.greatest(F.lit(0), F.least(F.col(n), F.col(most) - 1)).cast("int")
-    at = at.select("raster_id", "row", "col", held("_ny", "_h").alias("_r"), held("_nx", "_w").alias("_c"), (_cubic(F.col("_y") - F.col("_ny")) * _cubic(F.col("_x") - F.col("_nx"))).alias("_k"))
-    source = told.where("not _same").select("raster_id", "band", F.col("row").alias("_r"), F.col("col").alias("_c"), "value")
-    scaled = at.join(source, ["raster_id", "_r", "_c"]).groupBy(*PLACE).agg(F.sum(F.col("_k") * F.col("value")).alias("value"))
-    return same.unionByName(scaled.select(*PLACE, "value"))
+
+    def span(c: str, own: str, other: str) -> Column:
+        """Tiles with a place whose neighbours a pixel is among; the edge's pixels stand for all beyond."""
+        ratio = F.col(other) / F.col(own)
+        low = F.greatest(F.floor(((F.col(c) - 2) * ratio - 2) / tile), F.lit(0))
+        return F.explode(F.sequence(low, F.greatest(low, F.least(F.floor(((F.col(c) + 3) * ratio + 2) / tile), F.floor((F.col(other) - 1) / tile)))))
+
+    def scale(table: pa.Table) -> pa.Table:
+        row, col, value = (table.column(c).combine_chunks() for c in ("row", "col", "value"))
+        held = value.is_valid().to_numpy(zero_copy_only=False)
+        row, col, value = row.to_numpy(), col.to_numpy(), value.to_numpy(zero_copy_only=False).astype(float)
+        y0, x0, h, w, gh, gw = (table.column(c)[0].as_py() * k for c, k in (("ty", tile), ("tx", tile), ("_h", 1), ("_w", 1), ("_gh", 1), ("_gw", 1)))
+        top, left = int(row.min()), int(col.min())
+        v, there, known = np.zeros((3, int(row.max()) - top + 1, int(col.max()) - left + 1))
+        finite = held & np.isfinite(value)
+        v[row - top, col - left] = np.where(finite, value, 0.0)
+        there[row - top, col - left] = 1.0
+        known[row - top, col - left] = held
+        down, rows = _scaled_way(y0, min(tile, gh - y0), h, gh, top, v.shape[0])
+        across, cols = _scaled_way(x0, min(tile, gw - x0), w, gw, left, v.shape[1])
+        total, some, found = down @ v @ across.T, rows @ known @ cols.T, rows @ there @ cols.T
+        for k in np.flatnonzero(held & ~finite):
+            y, x = row[k] - top, col[k] - left
+            with np.errstate(invalid="ignore"):
+                total = np.where(np.outer(rows[:, y], cols[:, x]) > 0, total + np.outer(down[:, y], across[:, x]) * value[k], total)
+        r, c = np.nonzero(found > 0.5)
+        first = pa.array(np.zeros(len(r), np.int64))
+        return pa.table({**{k: table.column(k).combine_chunks().take(first) for k in ("raster_id", "band")}, "row": (r + y0).astype(np.int32), "col": (c + x0).astype(np.int32), "value": pa.array(total[r, c], mask=some[r, c] < 0.5)})
+
+    types = dict(pixels.dtypes)
+    sent = told.where("not _same").withColumn("ty", span("row", "_h", "_gh")).withColumn("tx", span("col", "_w", "_gw"))
+    scaled = sent.groupBy("raster_id", "band", "ty", "tx").applyInArrow(scale, f"raster_id {types['raster_id']}, band {types['band']}, row int, col int, value double")
+    return same.unionByName(scaled.hint("merge").join(grid.select("raster_id", "row", "col"), ["raster_id", "row", "col"], "left_semi").select(*PLACE, "value"))
 
 
 def pansharpen(multi: DataFrame, pan: DataFrame, bands: list[int], method: str = "brovey") -> DataFrame:

@@ -12,6 +12,7 @@ from geoloom.operators import mosaic as M
 from geoloom.operators import overlay as O
 from geoloom.operators import predicates as R
 from geoloom.operators import project as P
+from geoloom.operators import raster
 from geoloom.operators import vector as V
 from geoloom.operators import zonal as Z
 from geoloom.sources import fixtures as X
@@ -170,3 +171,25 @@ def test_queries_go_to_their_lists_in_slices():
     i, k = np.nonzero(np.ones((300, 40), bool))
     parts = list(K._slices(i, k, 64, 4096))
     assert max(len(a) for a, _ in parts) == 64 and (np.concatenate([a for a, _ in parts]) == i).all() and (np.concatenate([b for _, b in parts]) == k).all()
+
+
+def test_scaling_onto_a_grid_explodes_no_neighbours(spark):
+    """12 x 9 pixels on 30 x 20, in tiles of 8: as with all neighbours of each target at once."""
+    pixels = _noise(spark).where("row < 12 and col < 9 and raster_id = 0 and not (value = 'NaN' or value = 'Infinity')")
+    pixels = pixels.unionByName(spark.createDataFrame([(0, 1, 11, 8, 2.0), (0, 2, 11, 8, 2.0)], pixels.schema)).dropDuplicates(["band", "row", "col"])
+    grid = spark.range(600).selectExpr("0L AS raster_id", "CAST(id DIV 20 AS INT) AS row", "CAST(id % 20 AS INT) AS col").where("(row + col) % 11 <> 3")
+    got = raster.onto_grid(pixels, grid, 8)
+    assert "Generate explode(sequence(-1, 2" not in joins_of(got)
+    held = {(r["band"], r["row"], r["col"]): r["value"] for r in pixels.collect()}
+    kernel = lambda t: 1.25 * t**3 - 2.25 * t**2 + 1 if t < 1 else -0.75 * t**3 + 3.75 * t**2 - 6 * t + 3 if t < 2 else 0.0
+    want = {}
+    for g in grid.collect():
+        y, x = (g["row"] + 0.5) * 12 / 30 - 0.5, (g["col"] + 0.5) * 9 / 20 - 0.5
+        for band in (1, 2):
+            near = [(int(np.floor(y)) + a, int(np.floor(x)) + b) for a in range(-1, 3) for b in range(-1, 3)]
+            own = [(held[k], kernel(abs(y - r)) * kernel(abs(x - c))) for r, c in near if (k := (band, min(max(r, 0), 11), min(max(c, 0), 8))) in held]
+            known = [v * w for v, w in own if v is not None]
+            if own:
+                want[band, g["row"], g["col"]] = sum(known) if known else None
+    rows = got.collect()
+    assert {(r["band"], r["row"], r["col"]): r["value"] for r in rows} == pytest.approx(want, abs=1e-9) and len(rows) == len(want)
