@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -13,8 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoloom.functions import geometry as G
+from geoloom.functions.arrow_geometry import ARROW, VERTEX, geometries
 from geoloom.functions.params import in_range, one_of
-from geoloom.functions.polygons import chained, straightened
 from geoloom.operators.focal import DERIVATIVE, TILE, separable, tile_apply, tiles
 from geoloom.operators.graph import checkpointed, connected_components, small_join
 from geoloom.operators.raster import KEY, by_band, otsu, stretched
@@ -85,8 +86,8 @@ def components(pixels: DataFrame, connectivity: int = 4, tile: int = TILE) -> Da
     here = rim.select(*KEY, "row", "col", "value", F.col("local").alias("a"), F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in STEPS[connectivity]])).alias("s"))
     here = here.select(*KEY, (F.col("row") + F.col("s.dy")).alias("row"), (F.col("col") + F.col("s.dx")).alias("col"), "value", "a")
     links = here.join(rim.select(*KEY, "row", "col", "value", F.col("local").alias("b")), [*KEY, "row", "col", "value"]).where("a <> b").select("a", "b").distinct()
-    found = connected_components(links)
-    return local.join(found, local["local"] == found["node"], "left").select(*KEY, "row", "col", "value", F.coalesce("component", "local").alias("label"))
+    found = connected_components(links).select(F.col("node").alias("local"), "component")
+    return small_join(local, found, ["local"], "left").select(*KEY, "row", "col", "value", F.coalesce("component", "local").alias("label"))
 
 
 def region_table(labelled: DataFrame, cell_area: float = 1.0) -> DataFrame:
@@ -102,67 +103,137 @@ def region_table(labelled: DataFrame, cell_area: float = 1.0) -> DataFrame:
 def polygonize(pixels: DataFrame, gt: tuple[float, ...], connectivity: int = 4, tile: int = TILE, most: int = 1 << 20) -> DataFrame:
     """``(raster_id, band, label, DN, geom)``: a polygon for each region of equal whole values, zero included.
 
-    Each tile walks the pixel sides between its labels into chains, whole rings among
-    them, without the vertices on straight runs.  Chains end where they reach the
-    tile's edge, and those of all tiles are linked to rings
-    (:func:`geoloom.operators.rings.rings_of_chains`), so a region over many tiles comes
-    together as its outline only.  Regions that hang together at corners alone
-    (``connectivity`` 8) have a part for each.
+    Each tile links the pixel sides between its labels, all at once, and drops the
+    vertices on straight runs.  Regions that lie in one tile are polygons there.  Those
+    of others are rings and chains, which end where the outline goes on in another tile
+    and are linked to rings (:func:`geoloom.operators.rings.rings_of_chains`), so a
+    region over many tiles comes together as its outline only.  Regions that hang
+    together at corners alone (``connectivity`` 8) have a part for each.
     """
     from geoloom.operators.overlay import _polygons
 
+    kind = "Polygon" if connectivity == 4 else "MultiPolygon"
+    ox, px, _, oy, _, py = gt
     v = checkpointed(components(pixels.withColumn("value", F.floor("value").cast("double")), connectivity))
-    span = lambda c: F.explode(F.array_distinct(F.array(*[F.floor((F.col(c) + d) / tile) for d in (-1, 0, 1)])))
+    # pixels have no numbers below 0, so no tiles either
+    span = lambda c: F.explode(F.array_distinct(F.array(*[F.greatest(F.floor((F.col(c) + d) / tile), F.lit(0)) for d in (-1, 0, 1)])))
     dealt = v.select(*KEY, "row", "col", "label", F.col("value").cast("int").alias("DN")).withColumn("ty", span("row")).withColumn("tx", span("col"))
 
     def walk(table: pa.Table) -> pa.Table:
         row, col, label, dn = (table.column(c).to_numpy() for c in ("row", "col", "label", "DN"))
-        y0, x0 = table.column("ty")[0].as_py() * tile, table.column("tx")[0].as_py() * tile
+        core = (row // tile == table.column("ty")[0].as_py()) & (col // tile == table.column("tx")[0].as_py())
         names, at = np.unique(label, return_inverse=True)
-        grid = np.full((tile + 2, tile + 2), -1)
-        grid[row - y0 + 1, col - x0 + 1] = at.ravel()
+        at, r0, c0 = at.ravel(), int(row.min()), int(col.min())
+        grid = np.full((int(row.max()) - r0 + 3, int(col.max()) - c0 + 3), -1)
+        grid[row - r0 + 1, col - c0 + 1] = at
+        own = np.zeros(grid.shape, bool)
+        own[row - r0 + 1, col - c0 + 1] = core
         value = np.zeros(len(names), np.int64)
-        value[at.ravel()] = dn
-        own, rings, chains = [], [], []
-        for k, sides in _label_sides(grid, y0, x0):
-            closed, open_ = chained(sides, _on_rim(sides, y0, x0, tile))
-            rings += [(k, straightened(r)) for r in closed]
-            chains += [(k, straightened(r, closed=False)) for r in open_]
-        own = np.array([k for k, _ in rings + chains], np.int64)
-        xs, ys, whole = chain_rows([r for _, r in rings], [r for _, r in chains])
-        one = lambda c: table.column(c).take(pa.array(np.zeros(len(own), np.int64)))
-        return pa.table({"raster_id": one("raster_id"), "band": one("band"), "label": pa.array(names[own] if len(own) else own), "DN": pa.array(value[own].astype(np.int32) if len(own) else own.astype(np.int32)), "xs": xs, "ys": ys, "closed": whole})
+        value[at] = dn
+        lies = np.ones(len(names), bool)
+        lies[at[~core]] = False
+        of, closed, first, xy = _outlines(grid, own, r0, c0)
+        told, geom = _whole_polygons(of, first, xy, lies, kind, lambda p: np.stack([ox + p[:, 0] * px, oy - p[:, 1] * py], 1))
+        parts = [(k, xy[i:j]) for k, i, j in zip(of, first, first[1:], strict=False) if not lies[k]]
+        xs, ys, _ = chain_rows([], [p for _, p in parts])
+        none, every = len(told), np.concatenate([told, [k for k, _ in parts]]).astype(np.int64)
+        one = lambda c: table.column(c).take(pa.array(np.zeros(len(every), np.int64)))
+        with_none = lambda c: pa.concat_arrays([pa.nulls(none, c.type), c])
+        return pa.table({"raster_id": one("raster_id"), "band": one("band"), "label": pa.array(names[every]), "DN": pa.array(value[every].astype(np.int32)), "geom": pa.concat_arrays([geom, pa.nulls(len(parts), geom.type)]), "xs": with_none(xs), "ys": with_none(ys), "closed": with_none(pa.array(closed[~lies[of]]))})
 
     keys = [*KEY, "label", "DN"]
-    chains = dealt.groupBy(*KEY, "ty", "tx").applyInArrow(walk, f"raster_id long, band int, label long, DN int, {CHAIN}")
-    rings = rings_of_chains(chains, keys, most)
-    ox, px, _, oy, _, py = gt
-    shapes = _polygons(rings, keys, "Polygon" if connectivity == 4 else "MultiPolygon")
-    return shapes.withColumn("geom", G.map_vertices(F.col("geom"), lambda x, y: (ox + x * px, oy - y * py)))
-
-
-def _label_sides(grid: np.ndarray, y0: int, x0: int):
-    """(label, directed sides) of the pixels of a tile with one more cell around it: x is the column, y the row below zero, the pixel on the left."""
-    core = grid[1:-1, 1:-1]
-    found = []
-    # neighbour, and the side's ends from the pixel's upper left corner
-    for (dy, dx), a, b in (((1, 0), (0, -1), (1, -1)), ((0, 1), (1, -1), (1, 0)), ((-1, 0), (1, 0), (0, 0)), ((0, -1), (0, 0), (0, -1))):
-        other = grid[1 + dy : grid.shape[0] - 1 + dy, 1 + dx : grid.shape[1] - 1 + dx]
-        r, c = np.nonzero((core >= 0) & (core != other))
-        x, y = c + x0, -(r + y0)
-        found.append(np.stack([core[r, c], x + a[0], y + a[1], x + b[0], y + b[1]], axis=1))
-    sides = np.concatenate(found)
-    sides = sides[np.argsort(sides[:, 0], kind="stable")]
-    cuts = np.flatnonzero(np.diff(sides[:, 0])) + 1
-    for part in np.split(sides, cuts) if len(sides) else []:
-        yield int(part[0, 0]), part[:, 1:].astype(float)
-
-
-def _on_rim(sides: np.ndarray, y0: int, x0: int, tile: int) -> set:
-    """Ends of sides on the tile's edge, where sides of other tiles may go on."""
-    at = np.unique(sides.reshape(-1, 2), axis=0)
-    rim = np.isin(at[:, 0], (x0, x0 + tile)) | np.isin(at[:, 1], (-y0, -y0 - tile))
-    return {tuple(p) for p in at[rim].tolist()}
+    found = checkpointed(dealt.groupBy(*KEY, "ty", "tx").applyInArrow(walk, f"raster_id long, band int, label long, DN int, geom {G.TYPE}, {CHAIN}"))
+    whole, chains = found.where("geom is not null").select(*keys, "geom"), found.where("geom is null").drop("geom")
+    if not chains.limit(1).count():
+        return whole
+    shapes = _polygons(rings_of_chains(chains, keys, most), keys, kind)
+    return whole.unionByName(shapes.withColumn("geom", G.map_vertices(F.col("geom"), lambda x, y: (ox + x * px, oy - y * py))))
+
+
+#: A pixel's sides against the clock from the lower one: their outer neighbour, the way they go and their begin from the pixel's upper left corner, in rows and columns.
+SIDES = (((1, 0), (0, 1), (1, 0)), ((0, 1), (-1, 0), (1, 1)), ((-1, 0), (0, -1), (0, 1)), ((0, -1), (1, 0), (0, 0)))
+
+
+def _outlines(grid: np.ndarray, own: np.ndarray, r0: int, c0: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(label, closed, first vertex, vertices) of the outlines around the ``own`` cells of a grid of labels with one more cell on every side; x is the column, y the row below zero, the region on the left.
+
+    After a side comes the one that turns most to the left, which the three cells
+    around its end tell.  Chains end where that side is of a cell that is not ``own``;
+    they have a vertex at each end.  One more number ends the list of first vertices.
+    """
+    h, w = grid.shape
+    flat, mine = grid.ravel(), own.ravel()
+    at, turn, after = [], [], []
+    for d, ((oy, ox), (my, mx), _) in enumerate(SIDES):
+        out, ahead = oy * w + ox, my * w + mx
+        p = np.flatnonzero(mine)
+        p = p[flat[p + out] != flat[p]]
+        left, right = flat[p + ahead] != flat[p], flat[p + ahead + out] == flat[p]
+        cell = np.where(left, p, np.where(right, p + ahead + out, p + ahead))
+        to = np.where(left, (d + 1) % 4, np.where(right, (d + 3) % 4, d))
+        at.append(d * h * w + p)
+        turn.append(to != d)
+        after.append(np.where(mine[cell], to * h * w + cell, -1))
+    at, turn, after = (np.concatenate(x) for x in (at, turn, after))
+    n = len(at)
+    number = np.full(4 * h * w + 1, -1)
+    number[at] = np.arange(n)
+    after = number[after]  # -1 is the last place, which no side has
+    every = np.arange(n)
+    low, jump = every, np.where(after < 0, every, after)
+    for _ in range(n.bit_length()):
+        low, jump = np.minimum(low, low[jump]), jump[jump]
+    open_ = after[jump] < 0
+    line = np.where(open_, jump, low)  # a chain goes by its last side, a ring by its least
+    end = (after < 0) | ~open_ & (after == low)
+    left, jump = np.where(end, 0, 1), np.where(end, every, after)
+    while (jump[jump] != jump).any():
+        left, jump = left + left[jump], jump[jump]
+    bent = np.zeros(n, bool)
+    bent[after[turn & (after >= 0)]] = True
+    begins = np.ones(n, bool)
+    begins[after[after >= 0]] = False
+    order = np.lexsort((-left, line))
+    order = order[(bent | begins | (open_ & end))[order]]
+    begin = np.array([b for _, _, b in SIDES])[at // (h * w)] + np.stack([at % (h * w) // w + r0 - 1, at % w + c0 - 1], 1)
+    # the last side of a chain has its begin, if it is a vertex, and its end
+    twice = np.where((open_ & end)[order], np.where((bent | begins)[order], 2, 1), 1)
+    side = np.repeat(order, twice)
+    last = np.append(side[1:] != side[:-1], True) & (open_ & end)[side]
+    way = np.array([m for _, m, _ in SIDES])[at[side] // (h * w)]
+    place = begin[side] + np.where(last[:, None], way, 0)
+    first = np.flatnonzero(np.append(True, line[side][1:] != line[side][:-1])) if n else np.empty(0, np.int64)
+    of = side[first]
+    return flat[at[of] % (h * w)], ~open_[of], np.append(first, len(side)), np.stack([place[:, 1], -place[:, 0]], 1).astype(float)
+
+
+def _whole_polygons(of: np.ndarray, first: np.ndarray, xy: np.ndarray, lies: np.ndarray, kind: str, placed: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, pa.Array]:
+    """(labels, geometries) of the labels that ``lies`` marks, from the outlines of :func:`_outlines` with their vertices ``placed``: shells before their holes."""
+    from geoloom.operators.overlay import parts_of
+
+    size = np.diff(first)
+    after = np.arange(len(xy)) + 1
+    after[first[1:] - 1] = first[:-1]
+    cross = (xy[:, 0] * xy[after, 1] - xy[after, 0] * xy[:, 1]) if len(xy) else np.empty(0)
+    area = np.add.reduceat(cross, first[:-1]) if len(of) else np.empty(0)
+    shell = area > 0
+    shells = np.bincount(of[shell], minlength=len(lies))
+    simple = np.flatnonzero(lies[of] & (shells[of] == 1))
+    simple = simple[np.lexsort((simple, ~shell[simple], of[simple]))]
+    ends = lambda sizes: pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+    # each ring's vertices and its first one again
+    many = size[simple] + 1
+    upto = np.cumsum(many)
+    take = np.repeat(first[simple] - (upto - many), many) + np.arange(upto[-1] if len(upto) else 0)
+    take[upto - 1] = first[simple]
+    vertices = pa.StructArray.from_arrays([pa.array(c) for c in placed(xy[take]).T], fields=list(VERTEX))
+    labels, rings = np.unique(of[simple], return_counts=True)
+    level = pa.ListArray.from_arrays(ends(rings), pa.ListArray.from_arrays(ends(many), vertices))
+    level = pa.ListArray.from_arrays(ends(np.ones(len(labels))), level)
+    geom = pa.StructArray.from_arrays([pa.array([kind] * len(labels), pa.string()), level], fields=list(ARROW))
+    others = np.flatnonzero(lies & (shells > 1))
+    held = [[[placed(r) for r in p] for p in parts_of([xy[first[i] : first[i + 1]] for i in np.flatnonzero(of == k)])] for k in others]
+    return np.concatenate([labels, others]), pa.concat_arrays([geom, geometries(kind, held)])
 
 
 def contours(pixels: DataFrame, min_area: float = 100) -> DataFrame:

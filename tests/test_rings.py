@@ -114,6 +114,28 @@ def test_polygons_of_regions_that_meet_at_corners(spark):
     assert got["geom"]["kind"] == "MultiPolygon" and len(got["geom"]["parts"]) == 6 and area_of(got["geom"]) == 6
 
 
+@pytest.mark.parametrize("connectivity, tile", [(4, 64), (8, 64), (4, 8), (8, 8)])
+def test_regions_in_one_tile_need_no_linking(spark, monkeypatch, connectivity, tile):
+    """A tile's polygons are whole if no other tile has pixels of theirs; only the rest is linked, and holes and missing pixels are right."""
+    linked, link = [], segment.rings_of_chains
+    monkeypatch.setattr(segment, "rings_of_chains", lambda *a: (linked.append(a[0].select("label").distinct().count()), link(*a))[1])
+    grid = np.random.default_rng(8).integers(0, 3, (20, 18))
+    pixels = image(spark, grid).where("pmod(hash(row, col), 11) <> 0")
+    labels = np.full(grid.shape, -1)
+    for r in segment.components(pixels, connectivity).collect():
+        labels[r["row"], r["col"]] = r["label"]
+    got = segment.polygonize(pixels, (0.0, 2.0, 0.0, 9.0, 0.0, 3.0), connectivity, tile).collect()  # upside down
+    assert linked == [] if tile == 64 else 0 < linked[0] < len(got)
+    assert sorted(r["label"] for r in got) == np.unique(labels[labels >= 0]).tolist()
+    points, want = np.stack(np.meshgrid(np.arange(18), np.arange(20)), -1).reshape(-1, 2), corners(labels)
+    for r in got:
+        shape = polygons.from_struct(r["geom"])
+        assert sum(map(len, shape)) == want[r["label"]] and r["DN"] == grid[labels == r["label"]][0]
+        assert len(r["geom"]["parts"]) == (1 if connectivity == 4 else sum(polygons.signed_area(s) < 0 for s in shape))
+        held = polygons.inside(points * (2, 3) + (1, 10.5), polygons.edges_of(shape))
+        assert (held == (labels[points[:, 1], points[:, 0]] == r["label"])).all()
+
+
 def within_reach(points, path, distance, corners):
     """Whether points lie in the sum of a path and a circle's polygon, segment by segment."""
     out = np.zeros(len(points), bool)
