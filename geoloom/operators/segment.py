@@ -286,49 +286,85 @@ def watershed(pixels: DataFrame, markers: DataFrame, tile: int = TILE) -> DataFr
     flooded from their own markers and their neighbours' borders, by pass height and
     then by distance since the pass was reached; ties go to the smaller label.  Rounds
     go on until no border changes, so the result is that of one flood of the whole.
-    Only tiles with or beside a pixel that the round before changed are flooded again.
+    A tile is flooded again, and then anew, only if a pixel beside it changed in the
+    round before: what came of a neighbour's earlier labels must not stay.  Bands that
+    are settled are put aside.  A pixel without a value is lower than all others.
     """
-    state = pixels.select(*KEY, "row", "col", "value").join(markers.select(*KEY, "row", "col", F.col("label").cast("long").alias("label")), [*KEY, "row", "col"], "left")
-    state = checkpointed(state.withColumns({"cost": F.when(F.col("label").isNotNull(), F.col("value")).otherwise(F.lit(float("inf"))), "steps": F.lit(0.0), "label": F.coalesce("label", F.lit(0))}))
-    schema = "raster_id long, band int, row int, col int, value double, label long, cost double, steps double, changed boolean"
-
-    def flood(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = {(r, c): k for k, (r, c) in enumerate(zip(pdf["row"], pdf["col"], strict=True))}
-        value, label = pdf["value"].to_numpy(), pdf["label"].to_numpy().copy()
-        cost, steps, core = pdf["cost"].to_numpy().copy(), pdf["steps"].to_numpy().copy(), pdf["core"].to_numpy()
-        before = list(zip(cost, steps, label, strict=True))
-        heap = [(cost[k], steps[k], int(label[k]), r, c) for (r, c), k in own.items() if label[k]]
-        heapq.heapify(heap)
-        while heap:
-            h, s, lab, r, c = heapq.heappop(heap)
-            k = own[r, c]
-            if (h, s, lab) != (cost[k], steps[k], label[k]):
-                continue
-            for dr, dc in ((0, 1), (1, 0), (0, -1), (-1, 0)):
-                j = own.get((r + dr, c + dc))
-                if j is None:
-                    continue
-                new = (value[j], 0.0, lab) if value[j] > h else (h, s + 1, lab)
-                if not label[j] or new < (cost[j], steps[j], label[j]):
-                    cost[j], steps[j], label[j] = new
-                    heapq.heappush(heap, (*new, r + dr, c + dc))
-        changed = [b != a for a, b in zip(before, zip(cost, steps, label, strict=True), strict=True)]
-        return pdf.assign(label=label, cost=cost, steps=steps, changed=changed)[core][[x.split()[0] for x in schema.split(", ")]]
+    none = F.col("value").isNull() | F.isnan("value")
+    state = pixels.select(*KEY, "row", "col", F.when(none, F.lit(float("-inf"))).otherwise(F.col("value")).alias("value")).join(markers.select(*KEY, "row", "col", F.col("label").cast("long").alias("mark")), [*KEY, "row", "col"], "left")
+    state = state.withColumns({"cost": F.when(F.col("mark").isNotNull(), F.col("value")).otherwise(F.lit(float("inf"))), "steps": F.lit(0).cast("long"), "mark": F.coalesce("mark", F.lit(0))})
+    state = checkpointed(state.withColumns({"label": F.col("mark"), "changed": F.col("mark") > 0}))
+    schema = "raster_id long, band int, row int, col int, value double, mark long, label long, cost double, steps long, changed boolean"
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    place, aside, first = [*KEY, "ty", "tx"], [], True
+
+    def flood(table: pa.Table) -> pa.Table:
+        t = {c: table.column(c).to_numpy() for c in table.column_names}
+        core, before = t["core"], [t[c] for c in ("cost", "steps", "label")]
+        given = [np.where(core, x, y) for x, y in zip((t["value"], 0, t["mark"]), before, strict=True)]
+        after = [x.copy() for x in before]
+        order = np.lexsort([t[c] for c in place])
+        cuts = np.flatnonzero(np.any([np.diff(t[c][order]) != 0 for c in place], axis=0)) + 1
+        for part in np.split(order, cuts):
+            for x, new in zip(after, _flooded(*(t[c][part] for c in ("row", "col", "value")), *(x[part] for x in given)), strict=True):
+                x[part] = new
+        t |= dict(zip(("cost", "steps", "label"), after, strict=True), changed=np.any([x != y for x, y in zip(before, after, strict=True)], axis=0))
+        return pa.table({c: t[c][core] for c in names})
 
     span = lambda c: F.explode(F.array_distinct(F.array(*[F.floor((F.col(c) + d) / tile) for d in (-1, 0, 1)])))
     own = lambda c: F.floor(F.col(c) / tile)
-    place = [*KEY, "ty", "tx"]
-    state = state.withColumn("changed", F.col("label") > 0)
+    pieces, bands = state.rdd.getNumPartitions(), state.select(*KEY).distinct().count()
     while True:
-        dealt = state.withColumn("ty", span("row")).withColumn("tx", span("col"))
-        woken = checkpointed(dealt.where("changed").select(*place).distinct())
-        if not woken.limit(1).count():  # costs only fall, so this comes
+        dealt = state.withColumn("ty", span("row")).withColumn("tx", span("col")).withColumn("core", (own("row") == F.col("ty")) & (own("col") == F.col("tx")))
+        woken = checkpointed(dealt.where("changed" if first else "changed and not core").select(*place).distinct())
+        first, busy = False, woken.select(*KEY).distinct().count()
+        if not busy:  # costs and steps only fall, and labels follow them, so this comes
+            for part in aside:
+                state = state.unionByName(part)
             return state.select(*KEY, "row", "col", "label")
-        dealt = small_join(dealt.drop("changed"), woken, place).withColumn("core", (own("row") == F.col("ty")) & (own("col") == F.col("tx")))
-        flooded = dealt.groupBy(*place).applyInPandas(flood, schema)
-        names = [x.split()[0] for x in schema.split(", ")]
+        if 2 * busy <= bands:
+            running = woken.select(*KEY).distinct()
+            aside.append(small_join(state, running, KEY, "left_anti"))
+            state, dealt, bands = small_join(state, running, KEY, "left_semi"), small_join(dealt, running, KEY, "left_semi"), busy
+        # groups of tiles with about 2^18 pixels, as a task spends more on a group than on a small tile
+        group = F.pmod(F.xxhash64(*place), F.lit(woken.count() * (tile + 2) ** 2 // (1 << 18) + 1)).alias("group")
+        flooded = small_join(dealt.drop("changed"), woken, place).groupBy(group).applyInArrow(flood, schema)
         calm = small_join(state.withColumns({"ty": own("row"), "tx": own("col")}), woken, place, "left_anti").withColumn("changed", F.lit(False))
-        state = checkpointed(flooded.unionByName(calm.select(*names)))
+        state = checkpointed(flooded.unionByName(calm.select(*names)).coalesce(pieces))
+
+
+def _flooded(row: np.ndarray, col: np.ndarray, value: np.ndarray, cost: np.ndarray, steps: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(cost, steps, label) of pixels that are flooded from those with a label: heights and labels go by their ranks, so that a state is one whole number."""
+    n, start = len(row), np.flatnonzero(label)
+    r, c = row - row.min() + 1, col - col.min() + 1
+    at = np.full((r.max() + 2, c.max() + 2), n)
+    at[r, c] = np.arange(n)
+    near = list(zip(*(at[r + dr, c + dc].tolist() for dr, dc in ((0, 1), (1, 0), (0, -1), (-1, 0))), strict=True))
+    levels, names = np.unique(np.concatenate([value, cost[start]])), np.unique(label[start])
+    many, far = len(names) or 1, int(steps.max()) + n + 1
+    high = [*np.searchsorted(levels, value).tolist(), 0]
+    unit = far * many
+    unseen = (len(levels) + 1) * unit
+    best = [unseen] * n + [-1]  # nothing is lower than what lies outside
+    for k, h, s, lab in zip(start.tolist(), np.searchsorted(levels, cost[start]).tolist(), steps[start].tolist(), np.searchsorted(names, label[start]).tolist(), strict=True):
+        best[k] = (h * far + int(s)) * many + lab
+    heap = [best[k] * n + k for k in start.tolist()]
+    heapq.heapify(heap)
+    while heap:
+        now, k = divmod(heapq.heappop(heap), n)
+        if now != best[k]:
+            continue
+        h, lab = now // unit, now % many
+        for j in near[k]:
+            new = high[j] * unit + lab if high[j] > h else now + many
+            if new < best[j]:
+                best[j] = new
+                heapq.heappush(heap, new * n + j)
+    got = [(x // unit, x // many % far, x % many) if x < unseen else (-1, 0, 0) for x in best[:n]]
+    h, s, lab = (np.array(x, np.int64) for x in zip(*got, strict=True))
+    seen = h >= 0
+    return np.where(seen, levels[h], np.inf), s, np.where(seen, names[lab] if len(names) else 0, 0)
 
 
 def with_boundaries(labels: DataFrame, markers: DataFrame | None = None, frame: bool = True) -> DataFrame:
@@ -378,7 +414,8 @@ def distance_transform(mask: DataFrame, tile: int = TILE) -> DataFrame:
     """``(raster_id, band, row, col, value)``: each pixel's distance to the nearest pixel of value 0, along chamfer steps; infinite where the band has none.
 
     Tiles are relaxed with two rows and columns of their neighbours; rounds go on until
-    no tile changes, so they are as many as the tiles that a distance spans.
+    nothing changes that another tile sees, so they are as many as the tiles that a
+    distance spans.
     """
     size = mask.groupBy(*KEY).agg((F.max("row") + 1).alias("h"), (F.max("col") + 1).alias("w"))
     start = F.when(F.col("value") == 0, F.lit(0.0)).otherwise(F.lit(float("inf")))
@@ -390,7 +427,8 @@ def distance_transform(mask: DataFrame, tile: int = TILE) -> DataFrame:
         grid = np.full((y.max() + 1, x.max() + 1), np.inf)
         grid[y, x] = pdf["value"].to_numpy()
         new = _chamfer(grid)[y, x]
-        out = pdf.assign(value=new, changed=new != pdf["value"].to_numpy())
+        seen = np.any([np.maximum((pdf[c] - 2) // tile, 0) != np.minimum((pdf[c] + 2) // tile, (pdf[n] - 1) // tile) for c, n in (("row", "h"), ("col", "w"))], axis=0)
+        out = pdf.assign(value=new, changed=(new != pdf["value"].to_numpy()) & seen)
         own = (pdf["row"] // tile == pdf["ty"]) & (pdf["col"] // tile == pdf["tx"])
         return out[own][[*KEY, "row", "col", "value", "h", "w", "changed"]]
 

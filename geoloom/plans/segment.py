@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from geoloom.functions import geometry as G
 from geoloom.operators import segment as S
 from geoloom.operators.focal import DERIVATIVE
+from geoloom.operators.graph import checkpointed
 from geoloom.plans.base import group, rounded
 from geoloom.plans.focal import ONE, neighbours, outer
 from geoloom.plans.raster import OTSU
@@ -79,7 +80,7 @@ def w11_edge_canny(spark, sf):
 
 @query()
 def c3_watershed(spark, sf):
-    p = X.pixels(spark, sf, (1,))
+    p = checkpointed(X.pixels(spark, sf, (1,)))  # read by each of the steps
     return S.watershed(p, S.auto_markers(p), tile=32)
 
 

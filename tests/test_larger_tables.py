@@ -1,5 +1,6 @@
 """Cases that only larger tables showed."""
 
+import heapq
 import os
 
 import numpy as np
@@ -13,6 +14,7 @@ from geoloom.operators import overlay as O
 from geoloom.operators import predicates as R
 from geoloom.operators import project as P
 from geoloom.operators import raster
+from geoloom.operators import segment as S
 from geoloom.operators import vector as V
 from geoloom.operators import zonal as Z
 from geoloom.sources import fixtures as X
@@ -133,6 +135,48 @@ def test_overviews_in_tiles_are_those_of_aggregates(spark, monkeypatch, method):
     assert "FlatMapGroupsInArrow" in plan and "Generate explode([2,3,4])" not in plan
 
 
+def _flood_of_the_whole(value, marks):
+    best = {p: (value[p], 0, k) for p, k in marks.items()}
+    heap = [(*c, p) for p, c in best.items()]
+    heapq.heapify(heap)
+    while heap:
+        h, s, k, p = heapq.heappop(heap)
+        if best[p] != (h, s, k):
+            continue
+        for q in ((p[0] + 1, p[1]), (p[0] - 1, p[1]), (p[0], p[1] + 1), (p[0], p[1] - 1)):
+            if q in value:
+                new = (value[q], 0, k) if value[q] > h else (h, s + 1, k)
+                if q not in best or new < best[q]:
+                    best[q] = new
+                    heapq.heappush(heap, (*new, q))
+    return {p: best[p][2] if p in best else 0 for p in value}
+
+
+@pytest.mark.parametrize("tile", [4, 7, 64])
+def test_watershed_of_tiles_is_that_of_the_whole(spark, tile):
+    """A label that a tile had before its neighbours' better ones came must not stay beyond it."""
+    rng = np.random.default_rng(11)
+    rows, marked, want = [], [], {}
+    for rid in range(12):
+        places = [(y, x) for y in range(24) for x in range(24) if rng.random() > 0.05]
+        value = {p: int(rng.integers(0, 256 if rid % 2 else 12)) for p in places}
+        marks = {p: int(k) for p, k in zip(places, rng.integers(1, 90, len(places)), strict=True) if rng.random() < 0.06} if rid else {}
+        rows += [(rid, 1, *p, float(v)) for p, v in value.items()]
+        marked += [(rid, 1, *p, k) for p, k in marks.items()]
+        want |= {(rid, *p): k for p, k in _flood_of_the_whole(value, marks).items()}
+    pixels = spark.createDataFrame(rows, "raster_id long, band int, row int, col int, value double")
+    got = S.watershed(pixels, spark.createDataFrame(marked, "raster_id long, band int, row int, col int, label long"), tile)
+    assert {(r["raster_id"], r["row"], r["col"]): r["label"] for r in got.collect()} == want
+
+
+def test_distances_in_one_tile_take_one_round(spark, monkeypatch):
+    kept, keep = [], S.checkpointed
+    monkeypatch.setattr(S, "checkpointed", lambda df: (kept.append(1), keep(df))[1])
+    mask = spark.range(400).selectExpr("0L AS raster_id", "1 AS band", "CAST(id DIV 20 AS INT) AS row", "CAST(id % 20 AS INT) AS col", "CAST(id > 0 AS DOUBLE) AS value")
+    far = {(r["row"], r["col"]): r["value"] for r in S.distance_transform(mask).collect()}
+    assert far[0, 19] == 19 and far[19, 0] == 19 and len(kept) == 2
+
+
 def test_stores_have_no_folder_a_raster(spark, tmp_path):
     pixels = spark.range(16 * 300).selectExpr("CAST(id DIV 16 AS LONG) AS raster_id", "1 AS band", "CAST(id % 16 DIV 4 AS INT) AS row", "CAST(id % 4 AS INT) AS col", "CAST(id AS DOUBLE) AS value")
     IO.write_tiles(pixels, f"file://{tmp_path}/tiles", 2)
