@@ -171,7 +171,7 @@ def resample(pixels: DataFrame, targets: DataFrame, method: str = "nearest") ->
         out = [*KEY, "row", "col"]
         if method == "average":
             return got.groupBy(*out).agg((F.sum(F.col("_w") * F.col("value")) / F.sum("_w")).alias("value"))
-        return got.groupBy(*out, "value").agg(F.sum("_w").alias("_w")).groupBy(*out).agg(F.max_by("value", F.struct(F.round("_w", 9), -F.col("value"))).alias("value"))
+        return _heaviest(got)
     reach, weight = WEIGHTS[method]
     steps = F.sequence(F.lit(1 - reach), F.lit(reach))
     at = targets.select(*key, (F.col("sr") - 0.5).alias("_y"), (F.col("sc") - 0.5).alias("_x"))
@@ -202,11 +202,12 @@ def resize(pixels: DataFrame, height: int, width: int, factor: float, method: st
     The places that weigh in a target are those of its row and of its column, so weighted
     methods and ``average`` work on tiles of the target: source pixels are dealt to the
     tiles they weigh in, one shuffle, and a tile sums its kernel's places one after
-    another.  Others go by :func:`resample`.
+    another.  For ``nearest`` and ``mode`` each source pixel names the targets it is for,
+    so no grid of targets is made and joined; ``nearest`` moves no row.
     """
     one_of("method", method, RESAMPLERS)
     if method in ("nearest", "mode"):
-        return resample(pixels, grid_targets(pixels, height, width, lambda x, y: (x * factor, y * factor), method == "mode"), method)
+        return _sent_to_targets(pixels, height, width, factor, method)
     reach = 1 if method == "average" else WEIGHTS[method][0] + 1
 
     def span(c: str, most: int) -> Column:
@@ -252,6 +253,39 @@ def resize(pixels: DataFrame, height: int, width: int, factor: float, method: st
     return sent.groupBy(*KEY, "ty", "tx").applyInPandas(scale, "raster_id long, band int, row int, col int, value double")
 
 
+def _sent_to_targets(pixels: DataFrame, height: int, width: int, factor: float, method: str) -> DataFrame:
+    """:func:`resample` onto a scaled grid, by ``nearest`` or ``mode``, from the side of the source."""
+    if method == "nearest":
+        first = last = lambda t: F.floor((t + 0.5) * factor)
+    else:
+        first = lambda t: F.floor(t.cast("double") * factor)
+        last = lambda t: F.greatest(first(t), F.ceil((t + 1.0) * factor) - 1)
+    half = 0.5 if method == "nearest" else 0.0
+
+    def least(of: Callable[[Column], Column], k: Column, near: Column) -> Column:
+        """The least target whose place ``of`` is k or more: ``near`` or, as doubles are rounded, the one beside it."""
+        return near + F.when(of(near) < k, 1).when(of(near - 1) >= k, -1).otherwise(0)
+
+    def targets(c: str, most: int) -> Column:
+        k = F.col(c)
+        low = F.greatest(least(last, k, F.ceil(k / factor - half) if half else F.floor(k / factor)), F.lit(0))
+        high = F.least(least(first, k + 1, F.ceil((k + 1) / factor - half)) - 1, F.lit(most - 1))
+        return F.explode(F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>")))
+
+    own = pixels.select(*KEY, F.col("row").alias("_r"), F.col("col").alias("_c"), "value")
+    sent = own.withColumn("row", targets("_r", height)).withColumn("col", targets("_c", width)).withColumns({"row": F.col("row").cast("int"), "col": F.col("col").cast("int")})
+    if method == "nearest":
+        return sent.select(*KEY, "row", "col", "value")
+    cover = lambda t, k: F.least((F.col(t) + 1.0) * factor, F.col(k) + 1) - F.greatest(F.col(t).cast("double") * factor, F.col(k))
+    return _heaviest(sent.withColumn("_w", cover("row", "_r") * cover("col", "_c")))
+
+
+def _heaviest(covered: DataFrame) -> DataFrame:
+    """The value that covers most of each target by its weight ``_w``, the smallest of equal ones."""
+    out = [*KEY, "row", "col"]
+    return covered.groupBy(*out, "value").agg(F.sum("_w").alias("_w")).groupBy(*out).agg(F.max_by("value", F.struct(F.round("_w", 9), -F.col("value"))).alias("value"))
+
+
 def warp(pixels: DataFrame, height: int, width: int, inverse: tuple[float, ...], method: str = "nearest") -> DataFrame:
     """A raster seen through the inverse of a 2 x 3 affine or 3 x 3 projective matrix (row by row): target place to source place."""
     m = inverse if len(inverse) == 9 else (*inverse, 0.0, 0.0, 1.0)

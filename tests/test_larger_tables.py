@@ -237,3 +237,16 @@ def test_scaling_onto_a_grid_explodes_no_neighbours(spark):
                 want[band, g["row"], g["col"]] = sum(known) if known else None
     rows = got.collect()
     assert {(r["band"], r["row"], r["col"]): r["value"] for r in rows} == pytest.approx(want, abs=1e-9) and len(rows) == len(want)
+
+
+@pytest.mark.parametrize("method", ["nearest", "mode"])
+@pytest.mark.parametrize(("factor", "height", "width"), [(0.64, 62, 70), (2.5, 16, 17), (1.0, 40, 40), (0.1, 50, 30), (7 / 3, 18, 12)])
+def test_scaling_makes_no_grid_of_targets(spark, method, factor, height, width):
+    """Pixels name the targets they are for; the result is that of targets joined with their sources."""
+    pixels = _noise(spark)
+    got = P.resize(pixels, height, width, factor, method)
+    targets = P.grid_targets(pixels, height, width, lambda x, y: (x * factor, y * factor), method == "mode")
+    rows = lambda t: sorted((r["raster_id"], r["band"], r["row"], r["col"], str(r["value"])) for r in t.collect())
+    assert rows(got) == rows(P.resample(pixels, targets, method)) and got.dtypes == P.resample(pixels, targets, method).dtypes
+    plan = joins_of(got)
+    assert "Join" not in plan and (method == "mode" or "Exchange" not in plan)
