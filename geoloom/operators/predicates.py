@@ -118,7 +118,7 @@ def spatial_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     if predicate == "contains":
         return spatial_join(right, left, right_id, left_id, "within", cell).select(left_id, right_id)
     (one, mine), (other, others) = alike(left, left_id), alike(right, right_id)
-    a, b = checkpointed(covering(one, left_id, cell)), checkpointed(covering(other, right_id, cell))
+    a, b = (checkpointed(covering(_dealt(t, fid), fid, cell)) for t, fid in ((one, left_id), (other, right_id)))
     pairs = (_meeting if predicate == "intersects" else _within)(a, b, cell)
     for side, fid, rows in (("a_fid", left_id, mine), ("b_fid", right_id, others)):
         if rows is not None:
@@ -127,6 +127,11 @@ def spatial_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     return pairs.select(F.col("a_fid").alias(left_id), F.col("b_fid").alias(right_id))
 
 
+def _dealt(shapes: DataFrame, fid: str, most: int = 500) -> DataFrame:
+    """Stored shapes in tasks of about ``most``, at most 2,000: a covering takes milliseconds, and small rows would meet in few tasks."""
+    return shapes.repartition(min(2000, max(1, shapes.count() // most)), fid)
+
+
 def _meeting(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
     """``(a_fid, b_fid)`` of shapes that share a point, from two coverings."""
     ids = ["a_fid", "b_fid"]

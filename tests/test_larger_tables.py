@@ -261,3 +261,12 @@ def test_cutting_lines_broadcasts_no_segments(spark, cut):
     got = cut(lines, areas, "lid", "fid", 4.0)
     assert got.count() >= 12
     assert [x for x in joins_of(got).splitlines() if "BroadcastHashJoin" in x and "BroadcastHashJoin [fid" not in x] == []
+
+
+def test_shapes_are_covered_in_many_tasks(spark, monkeypatch):
+    """1,600 small shapes are few bytes, which would come together in one task."""
+    seen, covering = [], R.covering
+    monkeypatch.setattr(R, "covering", lambda t, i, cell: (seen.append(t.rdd.getNumPartitions()), covering(t, i, cell))[1])
+    many = V.rectangles(spark.range(1600).selectExpr("id AS oid", "id * 2.0D AS xmin", "0D AS ymin", "id * 2.0D + 1 AS xmax", "1D AS ymax"))
+    got = R.spatial_join(many, many.where("oid < 3").withColumnRenamed("oid", "fid"), "oid", "fid").collect()
+    assert sorted(tuple(r) for r in got) == [(0, 0), (1, 1), (2, 2)] and seen == [3, 1]
