@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 from geoloom.functions.covering import ragged
@@ -29,13 +31,22 @@ class PackedTree:
 
     def meeting(self, boxes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(i, j) of all asked boxes i and held boxes j that share a point, i ascending."""
-        top = self.levels[-1]
-        i, j = np.repeat(np.arange(len(boxes)), len(top)), np.tile(np.arange(len(top)), len(boxes))
-        for k in range(len(self.levels) - 1, -1, -1):
-            a, b = boxes[i], self.levels[k][j]
-            met = (a[:, 0] <= b[:, 2]) & (b[:, 0] <= a[:, 2]) & (a[:, 1] <= b[:, 3]) & (b[:, 1] <= a[:, 3])
-            i, j = i[met], j[met]
-            if k:
-                size = np.minimum(self.fan, len(self.levels[k - 1]) - j * self.fan)
-                i, j = np.repeat(i, size), ragged(j * self.fan, size)
-        return i, self.order[j]
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64)), *self.runs(boxes)]
+        return tuple(np.concatenate(side) for side in zip(*found, strict=True))
+
+    def runs(self, boxes: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The pairs of :meth:`meeting` in runs, so that no more than about ``most`` are held at a time, however many boxes meet."""
+        top = len(self.levels[-1])
+        return self._under(boxes, len(self.levels) - 1, np.repeat(np.arange(len(boxes)), top), np.tile(np.arange(top), len(boxes)), max(1, most // self.fan))
+
+    def _under(self, boxes: np.ndarray, k: int, i: np.ndarray, j: np.ndarray, step: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        a, b = boxes[i], self.levels[k][j]
+        met = (a[:, 0] <= b[:, 2]) & (b[:, 0] <= a[:, 2]) & (a[:, 1] <= b[:, 3]) & (b[:, 1] <= a[:, 3])
+        i, j = i[met], j[met]
+        if not k:
+            yield i, self.order[j]
+            return
+        for n in range(0, len(i), step):
+            p, q = i[n : n + step], j[n : n + step]
+            size = np.minimum(self.fan, len(self.levels[k - 1]) - q * self.fan)
+            yield from self._under(boxes, k - 1, np.repeat(p, size), ragged(q * self.fan, size), step)

@@ -125,6 +125,9 @@ def stats_over_rasters(zones: DataFrame, zone_srid: int, catalog: DataFrame, pix
     shapes = reproject_features(zones, zone_srid, target)
     cells = rasterize(shapes, gt).select("fid", "row", "col")
     cells = checkpointed(cells.withColumns({"_x": F.lit(gt[0]) + (F.col("col") + 0.5) * gt[1], "_y": F.lit(gt[3]) + (F.col("row") + 0.5) * gt[5]}))
+    # cells are few rows, but each meets all rasters over it, so they are dealt to as many tasks as that may need
+    tasks = min(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + (cells.count() * catalog.count() >> 20))
+    cells = cells.repartition(tasks, "row", "col")
     found = None
     for srid in srids:
         own = catalog.where(F.col("srid") == srid).select(*[F.col(c).cast("double").alias(c) for c in GRID], F.col("raster_id").cast("long").alias("raster_id"), F.col("priority").cast("long").alias("priority"), F.col("nodata").cast("double").alias("nodata"))

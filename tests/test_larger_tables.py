@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from geoloom.functions import geometry as G
+from geoloom.functions import rtree
+from geoloom.operators import graph as GR
 from geoloom.operators import matching as K
 from geoloom.operators import mosaic as M
 from geoloom.operators import overlay as O
@@ -70,6 +72,23 @@ def test_stats_over_more_than_a_thousand_rasters(spark):
     assert sorted((r["class_value"], r["pixel_count"]) for r in got.where("feature_id = '7'").collect()) == [(1, 2200), (2, 2200)]
 
 
+def test_many_rows_of_a_small_estimate_are_not_broadcast(spark):
+    """Cells met with rasters come from explode() and Python, so Spark's estimate of them is that of a few rows."""
+    pixels = spark.range(100).selectExpr("id AS k", "id AS v")
+    many = spark.range(2).select(F.explode(F.sequence(F.lit(0), F.lit(49))).alias("n"), "id").selectExpr("id * 50 + n AS k", "n")
+    got = GR.small_join(pixels, many, ["k"], most=60)
+    plan = joins_of(got)
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan and got.count() == 100
+    assert "BroadcastHashJoin" in joins_of(GR.small_join(pixels, many, ["k"], most=100))
+
+
+def test_boxes_that_all_meet_come_in_runs():
+    tree = rtree.PackedTree(np.tile([0.0, 0.0, 4.0, 4.0], (3000, 1)))
+    runs = list(tree.runs(np.tile([1.0, 1.0, 1.0, 1.0], (200, 1)), 1 << 12))
+    assert max(len(i) for i, _ in runs) <= 1 << 12
+    assert len({(a, b) for i, j in runs for a, b in zip(i.tolist(), j.tolist(), strict=True)}) == sum(len(i) for i, _ in runs) == 600_000
+
+
 def _copies(spark, n: int):
     """n copies of one rectangle, and one other that meets them."""
     return spark.range(n + 1).select(F.col("id").alias("oid"), F.when(F.col("id") < n, 0.0).otherwise(2.5).alias("xmin"), F.lit(0.0).alias("ymin"), F.when(F.col("id") < n, 3.0).otherwise(4.0).alias("xmax"), F.lit(2.0).alias("ymax"))
