@@ -125,6 +125,21 @@ def test_grid_join_broadcasts_no_cells(spark):
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
 
 
+def test_equal_boxes_meet_once_in_the_grid_join(spark, monkeypatch):
+    """50 features of one box and one of another are two rows of the grid; all pairs are there, those of a feature without a number too."""
+    seen, pairs = [], V.grid_pairs
+    monkeypatch.setattr(V, "grid_pairs", lambda a, b, *rest, **more: (seen.append((a.count(), b.count())), pairs(a, b, *rest, **more))[1])
+    many = _copies(spark, 50).withColumn("oid", F.expr("nullif(oid, 7)"))
+    got = V.grid_join(many, many.withColumnRenamed("oid", "other"), "oid", "other", 1.0).collect()
+    assert seen == [(2, 2)] and len(got) == 51 * 51
+    names = {None if k == 7 else k for k in range(51)}
+    assert {tuple(r) for r in got} == {(a, b) for a in names for b in names}
+    lists = V._listed(many, "oid", most=8).select(F.size("oid").alias("n")).collect()
+    assert sum(r["n"] for r in lists) == 51 and max(r["n"] for r in lists) < 25
+    lone = many.where("oid >= 49")
+    assert V._listed(lone, "oid") is None and V.grid_join(lone, many.withColumnRenamed("oid", "other"), "oid", "other", 1.0).count() == 2 * 51
+
+
 def test_points_on_the_border_of_a_rectangle(spark):
     """Left and lower sides are inside; rectangles decide where the pair is found, without a join with their geometry."""
     points = spark.createDataFrame([(1, 0.0, 0.0), (2, 3.0, 1.0), (3, 1.0, 2.0), (4, 1.0, 1.0)], "pid long, x double, y double")
