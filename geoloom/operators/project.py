@@ -7,10 +7,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoloom.functions.params import epsg, one_of
+from geoloom.operators.graph import small_join
 from geoloom.operators.raster import KEY
 
 A, FLAT = 6378137.0, 1 / 298.257223563
@@ -286,15 +287,86 @@ def _heaviest(covered: DataFrame) -> DataFrame:
     return covered.groupBy(*out, "value").agg(F.sum("_w").alias("_w")).groupBy(*out).agg(F.max_by("value", F.struct(F.round("_w", 9), -F.col("value"))).alias("value"))
 
 
+def back_to_source(m: tuple[float, ...], x, y) -> tuple:
+    """The source place of a target place, of columns or of arrays."""
+    z = m[6] * x + m[7] * y + m[8]
+    return (m[0] * x + m[1] * y + m[2]) / z, (m[3] * x + m[4] * y + m[5]) / z
+
+
 def warp(pixels: DataFrame, height: int, width: int, inverse: tuple[float, ...], method: str = "nearest") -> DataFrame:
-    """A raster seen through the inverse of a 2 x 3 affine or 3 x 3 projective matrix (row by row): target place to source place."""
+    """A raster seen through the inverse of a 2 x 3 affine or 3 x 3 projective matrix (row by row): target place to source place.
+
+    ``nearest`` and ``bilinear`` under an affine matrix that makes nothing over eight
+    times smaller work on tiles of the target: source pixels are dealt to the tiles whose
+    places they may be at, one shuffle.  All else goes by a join of the target's places.
+    """
     m = inverse if len(inverse) == 9 else (*inverse, 0.0, 0.0, 1.0)
+    if method in ("nearest", "bilinear") and m[6] == m[7] == 0 and max(abs(m[0]) + abs(m[1]), abs(m[3]) + abs(m[4])) <= 8 * abs(m[8]):
+        return _warp_tiles(pixels, height, width, tuple(float(v) for v in m), method)
+    return resample(pixels, grid_targets(pixels, height, width, lambda x, y: back_to_source(m, x, y)), method)
+
+
+def _warp_tiles(pixels: DataFrame, height: int, width: int, m: tuple[float, ...], method: str, tile: int = 256) -> DataFrame:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ty, tx = int(pdf["ty"].iat[0]) * tile, int(pdf["tx"].iat[0]) * tile
+        y0, x0 = int(pdf["row"].min()), int(pdf["col"].min())
+        grid = np.full((int(pdf["row"].max()) - y0 + 1, int(pdf["col"].max()) - x0 + 1), np.nan)
+        grid[pdf["row"].to_numpy() - y0, pdf["col"].to_numpy() - x0] = pdf["value"].to_numpy()
+        out = seen_in(grid, y0, x0, np.arange(ty, min(ty + tile, height)), np.arange(tx, min(tx + tile, width)), m, method)
+        y, x = np.nonzero(~np.isnan(out))
+        return pd.DataFrame({"raster_id": pdf["raster_id"].iat[0], "band": pdf["band"].iat[0], "row": y + ty, "col": x + tx, "value": out[y, x]})
+
+    sent = dealt_to_tiles(pixels.select(*KEY, "row", "col", "value"), tile_boxes(pixels.sparkSession, height, width, m, tile=tile), tile)
+    return sent.groupBy(*KEY, "ty", "tx").applyInPandas(run, "raster_id long, band int, row int, col int, value double")
 
-    def back(x: Column, y: Column) -> Pair:
-        z = m[6] * x + m[7] * y + m[8]
-        return (m[0] * x + m[1] * y + m[2]) / z, (m[3] * x + m[4] * y + m[5]) / z
 
-    return resample(pixels, grid_targets(pixels, height, width, back), method)
+def tile_boxes(spark: SparkSession, height: int, width: int, m: tuple[float, ...], more: int = 0, beyond: int = 0, tile: int = 256) -> DataFrame:
+    """``(ty, tx, r0, r1, c0, c1)``: the source rows and columns that each tile of a target of ``height`` x ``width`` may be seen at, by the two nearest on each side, and ``more`` around.
+
+    Tiles reach ``beyond`` pixels further right and down.  A projective matrix may take
+    a tile over the horizon; its box is null then.
+    """
+    across, down = -(-width // tile), -(-height // tile)
+    tiles = spark.range(across * down).select(F.floor(F.col("id") / across).cast("int").alias("ty"), (F.col("id") % across).cast("int").alias("tx"))
+    ends = lambda c, n: (F.col(c) * tile + 0.5, F.least(F.col(c) * tile + (tile - 1 + beyond), F.lit(n - 1)) + 0.5)
+    corners = [(x, y) for x in ends("tx", width) for y in ends("ty", height)]
+    z = [m[6] * x + m[7] * y + m[8] for x, y in corners]
+    sx, sy = ([F.try_divide(m[k] * x + m[k + 1] * y + m[k + 2], d) for (x, y), d in zip(corners, z, strict=True)] for k in (0, 3))
+    whole = (F.least(*z) > 0) | (F.greatest(*z) < 0)
+    box = {"r0": F.floor(F.least(*sy)) - 2 - more, "r1": F.floor(F.greatest(*sy)) + 2 + more, "c0": F.floor(F.least(*sx)) - 2 - more, "c1": F.floor(F.greatest(*sx)) + 2 + more}
+    return tiles.select("ty", "tx", *[F.when(whole, c).alias(n) for n, c in box.items()])
+
+
+def dealt_to_tiles(pixels: DataFrame, boxes: DataFrame, tile: int = 256) -> DataFrame:
+    """``pixels`` with the ``ty, tx`` of every tile whose box of source rows and columns they are in."""
+    every = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / tile), F.floor(F.col(b) / tile)))
+    blocks = boxes.where("r0 <= r1 and c0 <= c1").withColumn("_by", every("r0", "r1")).withColumn("_bx", every("c0", "c1"))
+    own = pixels.withColumns({"_by": F.floor(F.col("row") / tile), "_bx": F.floor(F.col("col") / tile)})
+    return small_join(own, blocks, ["_by", "_bx"]).where("row between r0 and r1 and col between c0 and c1").select(*pixels.columns, "ty", "tx")
+
+
+def seen_in(grid: np.ndarray, top: int, left: int, rows: np.ndarray, cols: np.ndarray, m: tuple[float, ...], method: str) -> np.ndarray:
+    """The target pixels ``rows`` x ``cols`` as a grid of source pixels from (top, left) on shows them through ``m``; NaN where it has none."""
+    with np.errstate(all="ignore"):
+        sx, sy = back_to_source(m, cols[None, :] + 0.5, rows[:, None] + 0.5)
+
+    def at(r: np.ndarray, c: np.ndarray) -> np.ndarray:
+        r, c = r - top, c - left
+        on = (r >= 0) & (r < grid.shape[0]) & (c >= 0) & (c < grid.shape[1])
+        if not on.any():
+            return np.full(on.shape, np.nan)
+        return np.where(on, grid[np.where(on, r, 0).astype(np.int64), np.where(on, c, 0).astype(np.int64)], np.nan)
+
+    if method == "nearest":
+        return at(np.floor(sy), np.floor(sx))
+    total, whole = np.zeros(sx.shape), np.zeros(sx.shape)
+    for r in (np.floor(sy - 0.5), np.floor(sy - 0.5) + 1):
+        for c in (np.floor(sx - 0.5), np.floor(sx - 0.5) + 1):
+            value, w = at(r, c), np.maximum(1 - np.abs(sy - 0.5 - r), 0) * np.maximum(1 - np.abs(sx - 0.5 - c), 0)
+            known = ~np.isnan(value) & (w > 0)
+            total += np.where(known, w * np.where(known, value, 0.0), 0.0)
+            whole += np.where(known, w, 0.0)
+    return np.where(whole > 1e-9, total / np.where(whole > 1e-9, whole, 1.0), np.nan)
 
 
 def reproject_raster(pixels: DataFrame, src: str | int, dst: str | int, gt_src: tuple[float, ...], gt_dst: tuple[float, ...], height: int, width: int, method: str = "nearest") -> DataFrame:

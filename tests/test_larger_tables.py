@@ -4,6 +4,7 @@ import heapq
 import os
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -304,3 +305,32 @@ def test_shapes_are_covered_in_many_tasks(spark, monkeypatch):
     many = V.rectangles(spark.range(1600).selectExpr("id AS oid", "id * 2.0D AS xmin", "0D AS ymin", "id * 2.0D + 1 AS xmax", "1D AS ymax"))
     got = R.spatial_join(many, many.where("oid < 3").withColumnRenamed("oid", "fid"), "oid", "fid").collect()
     assert sorted(tuple(r) for r in got) == [(0, 0), (1, 1), (2, 2)] and seen == [3, 1]
+
+
+@pytest.mark.parametrize("motion", ["affine"])
+def test_intensity_registration_warps_no_pixel_table(spark, monkeypatch, motion):
+    """Images of several tiles, further apart than a tile carries at first."""
+    y, x = np.mgrid[0:270, 0:530]
+    wave = lambda dy, dx: 100 + 60 * np.sin((x + dx) / 47) * np.cos((y + dy) / 35) + 30 * np.sin((x + dx + y + dy) / 61)
+    rows = lambda v: spark.createDataFrame(pd.DataFrame({"raster_id": 3, "band": np.int32(2), "row": y.ravel().astype(np.int32), "col": x.ravel().astype(np.int32), "value": v.ravel()}))
+    made, tiles = [], K._ecc_tiles
+    monkeypatch.setattr(K, "_ecc_tiles", lambda *a, **b: (made.append(1), tiles(*a, **b))[1])
+    monkeypatch.setattr(K, "warp", None)
+    out, m = K.ecc_register(rows(wave(0, 0)), rows(wave(-3.25, -21.5)), 270, 530, motion)
+    assert (m[0, 2], m[1, 2]) == pytest.approx((21.5, 3.25), abs=0.05) and len(made) == 2
+    got = out.toPandas()
+    assert set(got["raster_id"]) == {3} and set(got["band"]) == {2} and not got.duplicated(["row", "col"]).any()
+    inside = got[(got["row"] < 265) & (got["col"] < 505)]
+    assert len(inside) == 265 * 505 and np.abs(inside["value"] - wave(0, 0)[inside["row"], inside["col"]]).max() < 0.1
+
+
+@pytest.mark.parametrize("method", ["nearest", "bilinear"])
+@pytest.mark.parametrize("matrix", [(0.9, -0.1, 3.33, 0.1, 0.9, 1.25), (1.0, 0.0, -2.0, 0.0, 1.0, -300.0), (-1.3, 0.4, 300.0, 0.2, 2.5, -7.5)])
+def test_warps_on_tiles_are_those_of_the_join(spark, method, matrix):
+    source = spark.range(90 * 310).where("id % 7 <> 3").selectExpr("5L AS raster_id", "1 AS band", "CAST(id / 310 AS INT) AS row", "CAST(id % 310 AS INT) AS col", "CAST(xxhash64(id) % 256 AS DOUBLE) AS value")
+    got = P.warp(source, 400, 280, matrix, method)
+    back = lambda x, y: (matrix[0] * x + matrix[1] * y + matrix[2], matrix[3] * x + matrix[4] * y + matrix[5])
+    want = P.resample(source, P.grid_targets(source, 400, 280, back), method)
+    table = lambda t: t.toPandas().sort_values(["row", "col"]).reset_index(drop=True)
+    a, b = table(got), table(want)
+    assert len(a) == len(b) > 100 and (a[["row", "col"]] == b[["row", "col"]]).all(None) and np.allclose(a["value"], b["value"])
