@@ -334,3 +334,17 @@ def test_warps_on_tiles_are_those_of_the_join(spark, method, matrix):
     table = lambda t: t.toPandas().sort_values(["row", "col"]).reset_index(drop=True)
     a, b = table(got), table(want)
     assert len(a) == len(b) > 100 and (a[["row", "col"]] == b[["row", "col"]]).all(None) and np.allclose(a["value"], b["value"])
+
+
+def test_repeated_pictures_are_stitched(spark):
+    """A picture that is there three times: its points find their own copies as near, and Lowe's test must not refuse them for it."""
+    rng = np.random.default_rng(5)
+    shared = [v for v in rng.integers(-(2**62), 2**62, (8, 4)).tolist() for _ in range(3)]  # eight descriptors, three places each
+    places = [(k // 3, 7 * (k // 3), 100 * (k % 3) + 3 * (k // 3)) for k in range(24)]
+    table = lambda dy, dx: spark.createDataFrame([(0, y + dy, x + dx, d) for (_, y, x), d in zip(places, shared, strict=True)], "raster_id long, row int, col int, descriptor array<long>")
+    got = K.match_keypoints(table(0, 0), table(3, 2)).collect()
+    assert len(got) == 24 and {(r["x2"] - r["x1"], r["y2"] - r["y1"]) for r in got} == {(2, 3)}
+    fewer = K.match_keypoints(table(0, 0), table(3, 2).where("col < 200")).collect()
+    assert fewer == []  # two of three copies: which belong together is open
+    one = K.match_keypoints(table(0, 0), table(3, 2).where("col < 100")).collect()
+    assert len(one) == 24  # as without copies on the other side
